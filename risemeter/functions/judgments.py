@@ -42,9 +42,9 @@ def parse_judgments(responses: DataFrame, text: str = "response_text") -> DataFr
     elements = responses.withColumn("_parsed", F.try_parse_json(F.nullif(body, F.lit("")))).where(
         F.schema_of_variant("_parsed").startswith("ARRAY")
     )
-    items = elements.withColumn(
-        "_item", F.explode(F.try_variant_get("_parsed", "$", "array<variant>"))
-    ).drop("_parsed")
+    items = elements.select(
+        *responses.columns, F.posexplode(F.try_variant_get("_parsed", "$", "array<variant>")).alias("element", "_item")
+    )
     value = F.col("_item")
     index = _typed(value, "candidateIndex", _NUMBER, "double")
     terms = F.try_variant_get(value, "$.matchedTerms", "array<variant>")

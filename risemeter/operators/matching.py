@@ -191,31 +191,35 @@ def _match(method: str, confidence: int, source: str) -> Column:
     )
 
 
-def drop_contained(hits: DataFrame) -> DataFrame:
-    """Drop a match whose term lies inside a longer matched term of another entry in the same title.
+def judged_pairs(hits: DataFrame) -> DataFrame:
+    """Title hits with ``is_match``: a match counts unless its term lies inside a longer matched
+    term of another entry in the same title.
 
     The rows of one title are compared as an array. They are distinct per entry by then, so an
     array is bounded by the entries that one title names.
     """
-    matched = hits.where(F.col("method").isNotNull())
-    per_title = matched.groupBy("item_id").agg(
-        F.collect_list(F.struct("catalog_id", "method", "confidence", "term", "term_text")).alias("all")
+    per_title = hits.groupBy("item_id").agg(
+        F.collect_list(F.struct("catalog_id", "method", "confidence", "term", "term_text", "is_ambiguous")).alias("all")
     )
-    kept = F.filter(
-        "all",
-        lambda a: ~F.exists(
+
+    def covered(a: Column) -> Column:
+        return F.exists(
             F.col("all"),
-            lambda b: (b["catalog_id"] != a["catalog_id"])
+            lambda b: b["method"].isNotNull()
+            & (b["catalog_id"] != a["catalog_id"])
             & (utf16_length(b["term_text"]) > utf16_length(a["term_text"]))
             & F.contains(b["term_text"], a["term_text"]),
-        ),
+        )
+
+    flagged = F.transform(
+        "all", lambda a: a.withField("is_match", a["method"].isNotNull() & ~F.coalesce(covered(a), F.lit(False)))
     )
-    return per_title.select("item_id", F.inline(kept)).drop("term_text")
+    return per_title.select("item_id", F.inline(flagged)).drop("term_text")
 
 
 def match_titles(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """Confirmed matches (item_id, catalog_id, method, confidence, term)."""
-    return drop_contained(title_hits(items, catalog))
+    return judged_pairs(title_hits(items, catalog)).where("is_match").drop("is_match", "is_ambiguous")
 
 
 def ambiguous_candidates(items: DataFrame, catalog: DataFrame) -> DataFrame:
