@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # The whitespace characters and the punctuation that normalization removes.
 SPACE = "\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
@@ -18,7 +19,7 @@ SAFE_TOKEN_LENGTHS = (3, 5)
 _SEPARATOR = "\x00"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc_batch(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 

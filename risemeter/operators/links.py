@@ -136,7 +136,7 @@ def preferred_links(links: DataFrame) -> DataFrame:
 
 def newest_mentions(mentions: DataFrame) -> DataFrame:
     """One mention per (item, catalog): the most recently updated, the first of equals."""
-    order = F.struct(F.negative(F.unix_micros("updated_at")).alias("a"), F.col("mention_id").alias("b"))
+    order = F.struct(F.negative(F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("a"), F.col("mention_id").alias("b"))
     return first_by(mentions, ["item_id", "catalog_id"], order)
 
 

@@ -5,16 +5,18 @@ without losing pairs: every term is filed under one of its own n-grams (its anch
 offers all its n-grams, and a text can only contain a term whose anchor it offers. Candidate
 pairs are then verified on the full text.
 
-* Anchors are as long as the term allows (1, 2, 3, 4, 8, 16 or 32 characters) and the rarest of
+* Anchors are as long as the term allows (1, 2, 3, 4, 8 or 16 characters) and the rarest of
   the term's n-grams within the catalog, so common prefixes never become hot join keys.
 * Texts only offer lengths that occur among the anchors.
-* N-grams travel as 64-bit hashes without the text. The term side holds one row per term; Spark
-  broadcasts it while it is small by statistics and otherwise shuffles both sides, with AQE
+* N-grams travel as 64-bit hashes without the text. The term side holds one row per term. It is
+  broadcast only when its measured size is small; beyond that both sides are shuffled, with AQE
   splitting a partition whose n-gram is frequent in the texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,8 +31,18 @@ from risemeter.functions.text import (
     strip_text,
     utf16_length,
 )
+from risemeter.session import checkpointed
 
-GRAM_LENGTHS = [1, 2, 3, 4, 8, 16, 32]
+GRAM_LENGTHS = [1, 2, 3, 4, 8, 16]
+
+# Prepared terms up to this size are broadcast, counting four bytes per character and row overhead.
+BROADCAST_BYTES = 64 * 1024 * 1024
+ROW_BYTES = 200
+
+ROLES = ("name", "alias", "ambiguous", "weak")
+MATCHING_ROLES = ("name", "alias", "ambiguous")
+# More positions than any entry lists terms.
+POSITIONS = 1_000_000_000
 
 # Confidence of the three kinds of match.
 NAME_CONFIDENCE, ALIAS_CONFIDENCE, RESOLVED_CONFIDENCE = 100, 85, 75
@@ -43,49 +55,78 @@ def _grams(text: Column, length: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), 1)
 
 
-def _grams_up_to(text: Column, wanted: Column) -> Column:
-    """N-grams of every length for which ``wanted(length)`` holds."""
-    none = F.array().cast(_NO_STRINGS)
-    return F.flatten(F.array(*[F.when(wanted(n), _grams(text, n)).otherwise(none) for n in GRAM_LENGTHS]))
-
-
-def anchored(terms: DataFrame, text: str = "term_text") -> DataFrame:
-    """Add ``anchor``: the hash of the term's rarest n-gram of its anchor length."""
-    length = F.length(text)
+def anchored(rows: DataFrame) -> DataFrame:
+    """Add ``anchor``: the hash of the rarest n-gram of each ``term_text``, at its anchor length."""
+    length = F.length("term_text")
     classes = reduce(
         lambda chosen, n: F.when(length >= n, F.lit(n)).otherwise(chosen), GRAM_LENGTHS, F.lit(None).cast("int")
     )
-    sized = terms.where(length > 0).withColumn("anchor_length", classes)
-    own = _grams_up_to(F.col(text), lambda n: F.col("anchor_length") == n)
-    grams = sized.select(text, "anchor_length", F.explode(F.array_distinct(own)).alias("_gram")).distinct()
+    sized = rows.select("term_text").distinct().withColumn("anchor_length", classes)
+    own = _all_grams(F.col("term_text"), lambda n: F.col("anchor_length") == n)
+    grams = sized.select("term_text", "anchor_length", F.explode(F.array_distinct(own)).alias("_gram"))
     usage = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_uses"))
-    anchor = (
-        grams.join(usage, "_gram")
-        .groupBy(text)
-        .agg(F.min_by("_gram", F.struct("_uses", "_gram")).alias("_gram"))
-        .select(text, F.xxhash64("_gram").alias("anchor"))
+    anchors = grams.join(usage, "_gram").groupBy("term_text", "anchor_length").agg(
+        F.xxhash64(F.min_by("_gram", F.struct("_uses", "_gram"))).alias("anchor")
     )
-    return sized.join(anchor, text)
+    return rows.join(anchors, "term_text")
+
+
+def _all_grams(text: Column, wanted: Callable[[int], Column]) -> Column:
+    """N-grams of the one length for which ``wanted(length)`` holds."""
+    chosen = F.lit(None).cast(_NO_STRINGS)
+    for n in GRAM_LENGTHS:
+        chosen = F.when(wanted(n), _grams(text, n)).otherwise(chosen)
+    return chosen
 
 
-def containing_pairs(texts: DataFrame, text_id: str, text: str, terms: DataFrame) -> DataFrame:
-    """(text_id, text, term_text) with the term contained in the text.
+@dataclass
+class CatalogIndex:
+    """The term side of the join, written once and read by every use.
 
-    ``terms`` needs a distinct non-empty ``term_text`` per row. The text is read twice (once for
-    n-grams, once for the check) rather than copied next to each n-gram.
+    ``terms`` has catalog_id, role, rank, term, term_text, confirms, exclusions, resolvers, anchor.
+    ``lengths`` are the anchor lengths that occur, ``small`` tells whether terms may be broadcast.
     """
-    filed = anchored(terms.select("term_text"))
-    lengths = filed.agg(F.collect_set("anchor_length")).scalar()
-    offered = _grams_up_to(F.col(text), lambda n: F.array_contains(lengths, n))
-    candidates = (
-        texts.select(text_id, F.explode(F.array_distinct(offered)).alias("_gram"))
-        .select(text_id, F.xxhash64("_gram").alias("anchor"))
-        .join(filed.select("anchor", "term_text"), "anchor")
-        .select(text_id, "term_text")
-    )
-    return candidates.join(texts.select(text_id, text), text_id).where(F.contains(text, "term_text")).select(
-        text_id, text, "term_text"
+
+    terms: DataFrame
+    lengths: list[int]
+    small: bool
+
+    def joined(self, rows: DataFrame, columns: list[str], keys: list[str], how: str = "inner") -> DataFrame:
+        """Join rows with term columns, broadcast when small, else by a sort-merge join.
+
+        The choice is explicit: Spark underestimates rows that an explode multiplies.
+        """
+        terms = self.terms.select(*columns).distinct()
+        return rows.join(F.broadcast(terms) if self.small else terms.hint("merge"), keys, how)
+
+
+def index_catalog(catalog: DataFrame, roles: tuple[str, ...] | None = None) -> CatalogIndex:
+    """Prepare the catalog for matching. Its size is measured on the prepared rows."""
+    spark = catalog.sparkSession
+    rows = catalog_term_rows(catalog, roles or ROLES).join(catalog_guards(catalog), "catalog_id")
+    terms = checkpointed(anchored(checkpointed(rows, spark)), spark)
+    width = F.length("term") + F.length("term_text") + F.length(F.array_join(F.concat("exclusions", "resolvers"), ""))
+    facts = terms.agg(
+        F.collect_set("anchor_length").alias("lengths"), F.coalesce(F.sum(width * 4 + ROW_BYTES), F.lit(0)).alias("bytes")
+    ).first()
+    return CatalogIndex(terms, sorted(facts["lengths"]), facts["bytes"] <= BROADCAST_BYTES)
+
+
+def containing_pairs(texts: DataFrame, text_id: str, text: str, index: CatalogIndex) -> DataFrame:
+    """(text_id, text, term_text) for every indexed term contained in the text.
+
+    The text is not copied next to each n-gram but joined again for the check. Pass ``texts``
+    partitioned by ``text_id``: both uses then share that one exchange, and with a broadcast term
+    side nothing else moves.
+    """
+    none = F.array().cast(_NO_STRINGS)
+    offered = F.flatten(F.array(none, *[_grams(F.col(text), n) for n in index.lengths]))
+    grams = texts.select(text_id, F.explode(F.array_distinct(offered)).alias("_gram")).select(
+        text_id, F.xxhash64("_gram").alias("anchor")
     )
+    candidates = index.joined(grams, ["anchor", "term_text"], ["anchor"]).select(text_id, "term_text")
+    whole = texts.select(text_id, text).hint("merge")
+    return candidates.join(whole, text_id).where(F.contains(text, "term_text")).select(text_id, text, "term_text")
 
 
 def _strings(column: str) -> Column:
@@ -96,12 +137,13 @@ def _in_role(role: str) -> Column:
     return F.transform(role, lambda t, i: F.struct(F.lit(role).alias("role"), i.alias("position"), t.alias("term")))
 
 
-def catalog_term_rows(catalog: DataFrame) -> DataFrame:
-    """One row per usable term of the catalog with its role.
+def catalog_term_rows(catalog: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """One row per usable term of the catalog with its role, for the asked roles.
 
     Roles: ``name`` (matches at any length), ``alias`` and ``ambiguous`` (safe terms in order),
     ``weak`` (tokens that only suggest a match). ``confirms`` marks the terms whose presence
-    settles a title, so that it needs no review.
+    settles a title, so that it needs no review. ``rank`` orders the terms of one entry and role
+    as one whole number: aliases by length, longest first, then position; others by position.
     """
     everything = F.concat(
         F.array("name", "short_name"), _strings("aliases"), _strings("unique_aliases"), _strings("ambiguous_aliases")
@@ -114,7 +156,7 @@ def catalog_term_rows(catalog: DataFrame) -> DataFrame:
         _strings("ambiguous_aliases").alias("ambiguous"),
         split_tokens(nfkc_array(filled)).alias("weak"),
     )
-    terms = F.flatten(F.array(*[_in_role(role) for role in ("name", "alias", "ambiguous", "weak")]))
+    terms = F.flatten(F.array(*[_in_role(role) for role in roles]))
     listed = sources.select("catalog_id", F.inline(terms)).where(F.col("term").isNotNull() & (F.col("term") != ""))
     normalized = listed.withColumn("term_text", normalize_text(F.col("term"))).where(F.col("term_text") != "")
     safe = is_safe_term(F.col("term_text"))
@@ -124,7 +166,15 @@ def catalog_term_rows(catalog: DataFrame) -> DataFrame:
         .otherwise(safe)
     )
     confirms = F.col("role").isin("name", "alias") & safe
-    return normalized.where(usable).withColumn("confirms", confirms)
+    by_length = F.when(F.col("role") == "alias", utf16_length(F.col("term")).cast("long") * F.lit(-POSITIONS)).otherwise(
+        F.lit(0).cast("long")
+    )
+    return (
+        normalized.where(usable)
+        .withColumn("confirms", confirms)
+        .withColumn("rank", by_length + F.col("position"))
+        .drop("position")
+    )
 
 
 def catalog_guards(catalog: DataFrame) -> DataFrame:
@@ -136,58 +186,52 @@ def catalog_guards(catalog: DataFrame) -> DataFrame:
     )
 
 
-def title_hits(items: DataFrame, catalog: DataFrame) -> DataFrame:
+def title_hits(items: DataFrame, index: CatalogIndex) -> DataFrame:
     """Per (item, entry) whose terms occur in the title and whose exclusions do not.
 
     ``items`` has (item_id, title), optionally ``title_text`` with the title normalized earlier.
     Columns: the matched method, confidence, term and its normalized text (NULL without a
-    match), and ``is_ambiguous`` for pairs that only deserve a review.
+    match), and ``is_ambiguous`` for pairs that only deserve a review (needs the weak role).
     """
-    texts = items.select(
-        "item_id",
-        (F.col("title_text") if "title_text" in items.columns else normalize_text(F.col("title"))).alias("title_text"),
-    )
-    rows = catalog_term_rows(catalog)
-    found = containing_pairs(texts, "item_id", "title_text", rows.select("term_text").distinct())
-    # The pairs are partitioned by item; the catalog side is joined as a whole per term, so the
-    # grouping below needs no further shuffle while the catalog is small enough to broadcast.
     text = F.col("title_text")
-    hits = found.join(rows.join(catalog_guards(catalog), "catalog_id"), "term_text").where(
-        ~F.exists("exclusions", lambda t: F.contains(text, t))
-    )
-
-    def best(role: str, order: Column) -> Column:
-        return F.min_by(
-            F.when(F.col("role") == role, F.struct("term", "term_text")), F.when(F.col("role") == role, order)
+    normalized = text if "title_text" in items.columns else normalize_text(F.col("title"))
+    # Never NULL, so that no join adds a filter to one use only and both uses share the exchange.
+    texts = items.select("item_id", F.coalesce(normalized, F.lit("")).alias("title_text")).repartition("item_id")
+    found = containing_pairs(texts, "item_id", "title_text", index)
+    # Guards see the whole text here; behind this point rows are a few numbers wide, so that the
+    # grouping is a hash aggregation with map-side combine. It keeps the items' partitioning.
+    guarded = ["term_text", "catalog_id", "role", "rank", "confirms", "exclusions", "resolvers"]
+    hits = (
+        index.joined(found, guarded, ["term_text"])
+        .where(~F.exists("exclusions", lambda t: F.contains(text, t)))
+        .select(
+            "item_id", "catalog_id", "role", "rank", "confirms",
+            F.exists("resolvers", lambda t: F.contains(text, t)).alias("resolved"),
         )
-
-    position = F.col("position")
-    longest_first = F.struct(F.negative(utf16_length(F.col("term"))).alias("a"), position.alias("b"))
-    in_order = F.struct(position.alias("a"))
+    )
+    best = [F.min(F.when(F.col("role") == role, F.col("rank"))).alias(f"_{role}") for role in ROLES]
     pairs = hits.groupBy("item_id", "catalog_id").agg(
-        best("name", in_order).alias("_name"),
-        best("alias", longest_first).alias("_alias"),
-        best("ambiguous", in_order).alias("_ambiguous"),
-        F.max(F.col("role") == "weak").alias("_weak"),
-        F.max("confirms").alias("_confirmed"),
-        F.max(F.exists("resolvers", lambda t: F.contains(text, t))).alias("_resolved"),
+        *best, F.max("confirms").alias("_confirmed"), F.max("resolved").alias("_resolved")
+    )
+    chosen = (
+        F.when(F.col("_name").isNotNull(), _choice("name", "exact_name", NAME_CONFIDENCE))
+        .when(F.col("_alias").isNotNull(), _choice("alias", "alias", ALIAS_CONFIDENCE))
+        .when(F.col("_ambiguous").isNotNull() & F.col("_resolved"), _choice("ambiguous", "alias", RESOLVED_CONFIDENCE))
     )
-    match = (
-        F.when(F.col("_name").isNotNull(), _match("exact_name", NAME_CONFIDENCE, "_name"))
-        .when(F.col("_alias").isNotNull(), _match("alias", ALIAS_CONFIDENCE, "_alias"))
-        .when(F.col("_ambiguous").isNotNull() & F.col("_resolved"), _match("alias", RESOLVED_CONFIDENCE, "_ambiguous"))
+    ambiguous = F.col("_weak").isNotNull() & ~F.col("_confirmed")
+    flagged = pairs.select("item_id", "catalog_id", chosen.alias("_c"), ambiguous.alias("is_ambiguous")).select(
+        "item_id", "catalog_id", "_c.*", "is_ambiguous"
     )
-    return pairs.select(
-        "item_id", "catalog_id", match.alias("_m"), (F.col("_weak") & ~F.col("_confirmed")).alias("is_ambiguous")
-    ).select("item_id", "catalog_id", "_m.*", "is_ambiguous")
+    keys = ["catalog_id", "role", "rank"]
+    return index.joined(flagged, [*keys, "term", "term_text"], keys, "left").drop("role", "rank")
 
 
-def _match(method: str, confidence: int, source: str) -> Column:
+def _choice(role: str, method: str, confidence: int) -> Column:
     return F.struct(
+        F.lit(role).alias("role"),
+        F.col(f"_{role}").alias("rank"),
         F.lit(method).alias("method"),
         F.lit(confidence).alias("confidence"),
-        F.col(f"{source}.term").alias("term"),
-        F.col(f"{source}.term_text").alias("term_text"),
     )
 
 
@@ -219,12 +263,13 @@ def judged_pairs(hits: DataFrame) -> DataFrame:
 
 def match_titles(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """Confirmed matches (item_id, catalog_id, method, confidence, term)."""
-    return judged_pairs(title_hits(items, catalog)).where("is_match").drop("is_match", "is_ambiguous")
+    hits = title_hits(items, index_catalog(catalog, MATCHING_ROLES)).where(F.col("method").isNotNull())
+    return judged_pairs(hits).where("is_match").drop("is_match", "is_ambiguous")
 
 
 def ambiguous_candidates(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """(item_id, catalog_id) pairs that only weak tokens suggest."""
-    return title_hits(items, catalog).where("is_ambiguous").select("item_id", "catalog_id")
+    return title_hits(items, index_catalog(catalog)).where("is_ambiguous").select("item_id", "catalog_id")
 
 
 def matching_entries(items: DataFrame, catalog: DataFrame) -> DataFrame:

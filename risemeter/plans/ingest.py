@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from risemeter.functions.content import classify_content
 from risemeter.operators.links import unlinked_items
-from risemeter.operators.matching import judged_pairs, title_hits
+from risemeter.operators.matching import index_catalog, judged_pairs, title_hits
 from risemeter.operators.tallies import run_metrics
 from risemeter.sources.sinks import (
     ITEM_COLUMNS,
@@ -125,7 +125,7 @@ def ingest_items(
     snapshots = new_snapshots(item_snapshots.where(F.col("date") == today), rows, "item_id", F.struct(*counters))
 
     collected = upserted.join(incoming.select("item_id"), "item_id", "left_semi")
-    pairs = judged_pairs(title_hits(collected.select("item_id", "title"), catalog))
+    pairs = judged_pairs(title_hits(collected.select("item_id", "title"), index_catalog(catalog)))
     columns_of_link = ["item_id", "catalog_id", "method", "confidence"]
     linked = replaced_auto_links(
         links.select(*columns_of_link), pairs.where("is_match").select(*columns_of_link), collected

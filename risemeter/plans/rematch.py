@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from risemeter.operators.links import without
-from risemeter.operators.matching import judged_pairs, title_hits
+from risemeter.operators.matching import index_catalog, judged_pairs, title_hits
 from risemeter.operators.predicates import EXCLUDED_METHOD, MANUAL_METHODS
 
 
@@ -23,7 +23,7 @@ def rematch(items: DataFrame, catalog: DataFrame, links: DataFrame) -> Rematch:
 
     A second run over the result adds nothing. All three come from one pass over the titles.
     """
-    pairs = judged_pairs(title_hits(items, catalog))
+    pairs = judged_pairs(title_hits(items, index_catalog(catalog)))
     stored = links.select("item_id", "catalog_id").distinct()
     to_add = without(pairs.where("is_match"), stored, ["item_id", "catalog_id"]).select(
         "item_id", "catalog_id", "method", "confidence"

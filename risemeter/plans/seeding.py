@@ -98,7 +98,7 @@ def suggest_aliases(catalog: DataFrame) -> DataFrame:
 def apply_aliases(catalog: DataFrame, approved: DataFrame) -> DataFrame:
     """Catalog with short name, aliases and exclusions replaced by approved suggestions."""
     fields = ["short_name", "aliases", "exclude_terms"]
-    latest = approved.groupBy("catalog_id").agg(F.max(F.struct(*fields)).alias("_new"))
+    latest = approved.groupBy("catalog_id").agg(F.max_by(F.struct(*fields), "position").alias("_new"))
     joined = catalog.join(latest, "catalog_id", "left")
     given = F.col("_new").isNotNull()
     return joined.select(

@@ -7,7 +7,7 @@ item, and the mappers below turn items into rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from risemeter.functions.content import parse_duration
 from risemeter.functions.misc import PAGE_ADDRESS, best_thumbnail, optional_number
@@ -52,7 +52,7 @@ def _others(items: DataFrame) -> list[str]:
     return [c for c in items.columns if c != "item"]
 
 
-def _count(text) -> F.Column:
+def _count(text: Column) -> Column:
     return F.coalesce(text.try_cast("long"), F.lit(0))
 
 

@@ -27,7 +27,9 @@ def read_alias_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def alias_suggestions(files: DataFrame) -> DataFrame:
-    return files.select(F.explode("suggestions").alias("s")).select(
+    """One row per suggestion; ``position`` follows the file, as later suggestions overrule earlier ones."""
+    return files.select(F.posexplode("suggestions").alias("position", "s")).select(
+        "position",
         F.col("s.machineId").alias("catalog_id"),
         F.col("s.shortName").alias("short_name"),
         F.col("s.aliases").alias("aliases"),
