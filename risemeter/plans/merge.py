@@ -51,20 +51,27 @@ def folded_catalog(catalog: DataFrame, groups: DataFrame) -> DataFrame:
     reviewed ``name``, ``maker``, ``type`` and ``release_date`` for the canonical row.
     """
     reviewed = [c for c in ("name", "maker", "type", "release_date") if c in groups.columns]
-    duplicates = groups.select("duplicate_id", F.col("canonical_id").alias("catalog_id"), *[F.col(c).alias(f"_r_{c}") for c in reviewed])
-    payload = catalog.select(F.col("catalog_id").alias("duplicate_id"), F.struct(*SCALARS, *LISTS).alias("_dup"))
-    folded = duplicates.join(payload, "duplicate_id")
+    payload = catalog.select(F.col("catalog_id").alias("duplicate_id"), *[F.col(c).alias(f"_d_{c}") for c in SCALARS + LISTS])
+    # An entry may absorb several duplicates: the first value by duplicate id fills a scalar, and
+    # lists follow one another in that order. Both are bounded by the reviewed groups of one entry.
+    folded = groups.join(payload, "duplicate_id").groupBy(F.col("canonical_id").alias("catalog_id")).agg(
+        *[F.min_by(f"_d_{c}", F.when(F.col(f"_d_{c}").isNotNull(), F.col("duplicate_id"))).alias(f"_d_{c}") for c in SCALARS],
+        *[F.sort_array(F.collect_list(F.struct("duplicate_id", f"_d_{c}"))).alias(f"_d_{c}") for c in LISTS],
+        *[F.min_by(c, "duplicate_id").alias(f"_r_{c}") for c in reviewed],
+        F.lit(True).alias("_absorbs"),
+    )
     kept = catalog.join(groups.select(F.col("duplicate_id").alias("catalog_id")), "catalog_id", "left_anti")
     joined = kept.join(folded, "catalog_id", "left")
+    none = F.array().cast("array<string>")
     out = []
     for c in catalog.columns:
         if c in SCALARS:
-            value = fill_missing(F.col(c), F.col(f"_dup.{c}"))
+            value = fill_missing(F.col(c), F.col(f"_d_{c}"))
         elif c in LISTS:
-            merged = union_strings(F.col(c), F.col(f"_dup.{c}"))
-            value = F.when(F.col("_dup").isNotNull(), merged).otherwise(F.col(c))
+            absorbed = F.flatten(F.transform(F.col(f"_d_{c}")[f"_d_{c}"], lambda d: F.coalesce(d, none)))
+            value = F.when(F.col("_absorbs"), union_strings(F.col(c), absorbed)).otherwise(F.col(c))
         elif c in reviewed:
-            value = F.when(F.col("_dup").isNotNull(), F.col(f"_r_{c}")).otherwise(F.col(c))
+            value = F.when(F.col("_absorbs"), F.col(f"_r_{c}")).otherwise(F.col(c))
         else:
             value = F.col(c)
         out.append(value.alias(c))
@@ -146,22 +153,23 @@ def merge_preview(
 ) -> DataFrame:
     """Counts before and after per group for the four child tables.
 
-    Every table is re-keyed, counted per (group, key) and then per group, so that a group with
-    very many rows is spread over its keys.
+    Every table is counted per (group, key) and then per group, so that a group with very many
+    rows is spread over its keys.
     """
+    pair = ["canonical_id", "duplicate_id"]
     ids = groups.select(
-        "canonical_id",
+        *pair,
         F.explode(F.array(
             F.struct(F.col("canonical_id").alias("catalog_id"), F.lit(False).alias("is_duplicate")),
             F.struct(F.col("duplicate_id").alias("catalog_id"), F.lit(True).alias("is_duplicate")),
         )).alias("_m"),
-    ).select("canonical_id", "_m.*")
+    ).select(*pair, "_m.*")
 
     def counted(rows: DataFrame, key: str, name: str) -> DataFrame:
-        per_key = rows.join(ids, "catalog_id").groupBy("canonical_id", key).agg(
+        per_key = rows.join(ids, "catalog_id").groupBy(*pair, key).agg(
             F.count(F.lit(1)).alias("_n"), F.count_if("is_duplicate").alias("_dup")
         )
-        return per_key.groupBy("canonical_id").agg(
+        return per_key.groupBy(*pair).agg(
             F.sum("_n").alias(f"{name}_before"),
             F.count(F.lit(1)).alias(f"{name}_after"),
             F.sum("_dup").alias(f"{name}_to_move"),
@@ -175,14 +183,14 @@ def merge_preview(
         counted(links, "item_id", "links"),
         counted(mentions, "item_id", "mentions"),
         counted(votes.withColumnRenamed("target_id", "catalog_id"), "voter_id", "votes"),
-        counted(judgments, "judgment_id", "judgments").select("canonical_id", "judgments_to_move"),
-        counted(rankable, "item_id", "rankable").select("canonical_id", "rankable_after"),
+        counted(judgments, "judgment_id", "judgments").select(*pair, "judgments_to_move"),
+        counted(rankable, "item_id", "rankable").select(*pair, "rankable_after"),
     ]
-    out = groups.select("canonical_id", "duplicate_id")
+    out = groups.select(*pair)
     for part in parts:
-        out = out.join(part, "canonical_id", "left")
-    counts = [c for c in out.columns if c not in ("canonical_id", "duplicate_id")]
-    return out.select("canonical_id", "duplicate_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+        out = out.join(part, pair, "left")
+    counts = [c for c in out.columns if c not in pair]
+    return out.select(*pair, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
 
 def duplicate_report(

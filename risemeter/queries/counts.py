@@ -141,10 +141,10 @@ def _(v: Views) -> DataFrame:
 
 
 def _counted(source: str, key: str, name: str) -> str:
-    return f"""(SELECT canonical_id, CAST(sum(n) AS BIGINT) AS {name}_before, count(*) AS {name}_after,
+    return f"""(SELECT canonical_id, duplicate_id, CAST(sum(n) AS BIGINT) AS {name}_before, count(*) AS {name}_after,
         CAST(sum(d) AS BIGINT) AS {name}_to_move, CAST(sum(CASE WHEN d > 0 AND n > d THEN d ELSE 0 END) AS BIGINT) AS {name}_shared
-        FROM (SELECT canonical_id, {key}, count(*) AS n, count(*) FILTER (is_dup) AS d FROM {source} JOIN members USING (catalog_id)
-        GROUP BY ALL) GROUP BY canonical_id)"""
+        FROM (SELECT canonical_id, duplicate_id, {key}, count(*) AS n, count(*) FILTER (is_dup) AS d FROM {source} JOIN members USING (catalog_id)
+        GROUP BY ALL) GROUP BY ALL)"""
 
 
 _PREVIEW_COLUMNS = ", ".join(
@@ -156,13 +156,13 @@ _PREVIEW_COLUMNS = ", ".join(
     "a16_merge_preview",
     f"""WITH members AS (SELECT canonical_id, canonical_id AS catalog_id, false AS is_dup, duplicate_id FROM merge_groups
         UNION ALL SELECT canonical_id, duplicate_id, true, duplicate_id FROM merge_groups),
-    parts AS (SELECT * FROM merge_groups LEFT JOIN {_counted('links', 'item_id', 'links')} USING (canonical_id)
-        LEFT JOIN {_counted('mentions', 'item_id', 'mentions')} USING (canonical_id)
-        LEFT JOIN {_counted('(SELECT *, target_id AS catalog_id FROM votes)', 'voter_id', 'votes')} USING (canonical_id)
-        LEFT JOIN (SELECT canonical_id, count(*) FILTER (is_dup) AS judgments_to_move FROM judgments JOIN members USING (catalog_id)
-            GROUP BY 1) USING (canonical_id)
-        LEFT JOIN (SELECT canonical_id, count(DISTINCT item_id) AS rankable_after FROM rankable JOIN members USING (catalog_id)
-            GROUP BY 1) USING (canonical_id))
+    parts AS (SELECT * FROM merge_groups LEFT JOIN {_counted('links', 'item_id', 'links')} USING (canonical_id, duplicate_id)
+        LEFT JOIN {_counted('mentions', 'item_id', 'mentions')} USING (canonical_id, duplicate_id)
+        LEFT JOIN {_counted('(SELECT *, target_id AS catalog_id FROM votes)', 'voter_id', 'votes')} USING (canonical_id, duplicate_id)
+        LEFT JOIN (SELECT canonical_id, duplicate_id, count(*) FILTER (is_dup) AS judgments_to_move FROM judgments JOIN members USING (catalog_id)
+            GROUP BY ALL) USING (canonical_id, duplicate_id)
+        LEFT JOIN (SELECT canonical_id, duplicate_id, count(DISTINCT item_id) AS rankable_after FROM rankable JOIN members USING (catalog_id)
+            GROUP BY ALL) USING (canonical_id, duplicate_id))
     SELECT canonical_id, duplicate_id, {_PREVIEW_COLUMNS}, coalesce(judgments_to_move, 0) AS judgments_to_move,
     coalesce(rankable_after, 0) AS rankable_after FROM parts""",
 )

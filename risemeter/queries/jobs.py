@@ -1 +1,769 @@
-"""Queries."""
+"""Queries for the composite jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from risemeter.functions.identity import normalize_type
+from risemeter.operators.matching import ambiguous_candidates
+from risemeter.operators.ranking import candidate_order
+from risemeter.plans import catalog as C, digest as D, discovery, growth as G, ingest, items as I, merge as M, review as R, seeding
+from risemeter.plans.rematch import rematch
+from risemeter.queries.joins import TAGS_SQL, TERMS_SQL, identity_sql, merge_groups, tag_text
+from risemeter.queries.orders import BUZZ_SQL, TRENDING_SQL
+from risemeter.queries.registry import query, text, whole
+from risemeter.queries.columns import CLASS_SQL, REASON_SQL
+from risemeter.queries.counts import SUMMARY_SQL
+from risemeter.queries.series import OVERVIEW_SQL
+from risemeter.queries.tables import HITS_SQL, entity_stat_rows, search_rows, suggestion_rows
+from risemeter.session import fresh_folder
+from risemeter.sources import seeds as seed_sources, sinks
+from risemeter.views import Views, compare_sql, fixed_sql
+
+# -- growth ----------------------------------------------------------------
+
+
+def _ranking_sql(value: str, period: int, low: int, high: int) -> str:
+    return f"""SELECT * FROM (SELECT e.entity_id, name, category, CASE WHEN NOT coalesce(is_ready, false) THEN 'insufficient' WHEN delta > 0
+    THEN 'rising' WHEN delta < 0 THEN 'falling' END AS list, coalesce(latest_value, 0) AS latest_count,
+    CAST(latest_date AS VARCHAR) AS latest_date, coalesce(CASE WHEN is_ready THEN comparison_days ELSE snapshot_count END, 0)
+    AS snapshot_count, coalesce(comparison_days, 0) AS comparison_days, coalesce(is_provisional, false) AS is_provisional,
+    coalesce(status, 'insufficient') AS status, CAST(base_date AS VARCHAR) AS comparison_start, coalesce(delta, 0) AS delta,
+    coalesce(delta_pct, 0.0) AS delta_pct FROM entities e LEFT JOIN ({compare_sql('entity_daily', 'entity_id', value, period, low, high)}) c
+    ON c.entity_id = e.entity_id WHERE active) WHERE list IS NOT NULL"""
+
+
+def _ranking(v: Views, period: int) -> DataFrame:
+    rows = G.growth_ranking(v.entities(), v.entity_daily(), period)
+    return rows.select(
+        "entity_id", "name", "category", "list", "latest_count", *text("latest_date"), "snapshot_count", "comparison_days",
+        "is_provisional", "status", *text("comparison_start"), "delta", "delta_pct",
+    )
+
+
+for _period, _low, _high in ((1, 1, 3), (7, 5, 9), (30, 21, 39), (90, 60, 120)):
+
+    @query(f"job1_growth_ranking_{_period}d", _ranking_sql("subscriber_count", _period, _low, _high))
+    def _(v: Views, period: int = _period) -> DataFrame:
+        return _ranking(v, period)
+
+
+@query(
+    "job2_trending_page",
+    f"""SELECT p.item_id, view_count, delta, delta_pct, entity_name, tags, (SELECT count(*) > 50 FROM {TRENDING_SQL}) AS has_next
+    FROM (SELECT * FROM {TRENDING_SQL} ORDER BY delta DESC, view_count DESC, CAST(item_id AS VARCHAR) LIMIT 50) p
+    LEFT JOIN ({TAGS_SQL}) t ON t.item_id = p.item_id""",
+)
+def _(v: Views) -> DataFrame:
+    page = I.trending_page(v.items(), v.entities(), v.item_daily(), v.links(), v.catalog(), "previous", "standard,short")
+    return tag_text(page).select("item_id", "view_count", "delta", "delta_pct", "entity_name", "tags", "has_next")
+
+
+@query("job3_catalog_buzz", f"SELECT * FROM {BUZZ_SQL}")
+def _(v: Views) -> DataFrame:
+    rows = C.catalog_buzz(v.catalog(), v.links(), v.items(), v.item_daily())
+    return rows.withColumn("release_date", F.col("release_date").cast("string"))
+
+
+_DETAIL = 11
+_DETAIL_ROWS = f"""(SELECT c.item_id, c.entity_id, view_count, content_type, published_at, updated_at FROM confirmed c JOIN entities USING (entity_id)
+    WHERE catalog_id = {_DETAIL})"""
+
+
+@query(
+    "job4_detail_items",
+    f"""SELECT d.item_id, d.view_count, d.content_type, coalesce(t.delta, 0) AS delta, coalesce(t.delta_pct, 0.0) AS delta_pct, tags,
+    CASE WHEN published_at < release_date THEN 'pre_release' WHEN published_at <= release_date + INTERVAL 7 DAY THEN 'first_7_days'
+    ELSE 'after_release' END AS release_bucket FROM {_DETAIL_ROWS} d LEFT JOIN item_trend_7 t ON t.item_id = d.item_id
+    LEFT JOIN ({TAGS_SQL}) g ON g.item_id = d.item_id, (SELECT release_date FROM catalog WHERE catalog_id = {_DETAIL})
+    WHERE content_type IN ('standard', 'short', 'promotion')""",
+)
+def _(v: Views) -> DataFrame:
+    rows = C.catalog_detail(
+        v.catalog(), v.links(), v.items(), v.entities(), v.item_daily(), _DETAIL, "standard,short,promotion", "newest"
+    )
+    return tag_text(rows).select("item_id", "view_count", "content_type", "delta", "delta_pct", "tags", "release_bucket")
+
+
+@query(
+    "job4_detail_counts",
+    f"""SELECT count(*) FILTER (content_type = 'standard') AS standard, count(*) FILTER (content_type = 'short') AS short,
+    count(*) FILTER (content_type = 'live') AS live, count(*) FILTER (content_type = 'promotion') AS promotion,
+    count(*) FILTER (content_type = 'unknown') AS unknown FROM {_DETAIL_ROWS}""",
+)
+def _(v: Views) -> DataFrame:
+    return C.catalog_detail_counts(v.links(), v.items(), v.entities(), _DETAIL)
+
+
+@query("job4_detail_summary", f"{SUMMARY_SQL} FROM {_DETAIL_ROWS} LEFT JOIN item_trend_7 USING (item_id)")
+def _(v: Views) -> DataFrame:
+    now = F.lit("2000-01-01 00:00:00").cast("timestamp")
+    rows = C.catalog_detail_summary(v.links(), v.items(), v.entities(), v.item_daily(), _DETAIL, now)
+    dated = ["last_updated_at", "period_start", "period_end"]
+    return rows.select(*[c for c in rows.columns if c not in dated], *text(*dated))
+
+
+@query(
+    "job5_entity_overview",
+    f"""SELECT e.entity_id, name, latest_value, latest_date, coalesce(weekly_delta, 0) AS weekly_delta,
+    coalesce(weekly_delta_pct, 0.0) AS weekly_delta_pct FROM entities e LEFT JOIN ({OVERVIEW_SQL}) o ON o.entity_id = e.entity_id
+    WHERE active""",
+)
+def _(v: Views) -> DataFrame:
+    rows = G.entity_overview(v.entities(), v.entity_daily())
+    return rows.select("entity_id", "name", "latest_value", *text("latest_date"), "weekly_delta", "weekly_delta_pct")
+
+
+@query(
+    "job5_entity_series",
+    """SELECT CAST(date AS VARCHAR) AS date, subscriber_count AS raw_value, subscriber_count - first_value(subscriber_count) OVER w AS value,
+    coalesce(subscriber_count - lag(subscriber_count) OVER w, 0) AS day_diff FROM entity_daily WHERE entity_id = 9
+    WINDOW w AS (ORDER BY date)""",
+)
+def _(v: Views) -> DataFrame:
+    return G.entity_series(v.entity_daily(), 9).select(*text("date"), "raw_value", "value", "day_diff")
+
+
+# -- digest ----------------------------------------------------------------
+
+_TOPS_SQL = """WITH change AS (SELECT entity_id, name, arg_max(subscriber_count, date) AS amount, arg_max(subscriber_count, date)
+        - arg_min(subscriber_count, date) AS delta FROM entity_daily JOIN entities USING (entity_id) WHERE active GROUP BY ALL),
+    buzz AS (SELECT catalog_id, name, maker, CAST(coalesce(sum(view_count), 0) AS BIGINT) AS amount, count(item_id) AS delta
+        FROM catalog LEFT JOIN (SELECT catalog_id, item_id, view_count FROM mentions) USING (catalog_id) GROUP BY ALL),
+    tops AS (SELECT 'rising' AS section, row_number() OVER (ORDER BY delta DESC, entity_id) AS position, name,
+        CAST(NULL AS VARCHAR) AS maker, amount, delta FROM change QUALIFY position <= 5
+        UNION ALL SELECT 'falling', row_number() OVER (ORDER BY delta, entity_id) AS position, name, NULL, amount, delta FROM change
+        QUALIFY position <= 5
+        UNION ALL SELECT 'buzz', row_number() OVER (ORDER BY amount DESC, catalog_id) AS position, name, maker, amount, delta FROM buzz
+        QUALIFY position <= 5)"""
+
+
+def _tops(v: Views) -> DataFrame:
+    return D.digest_tops(v.entities(), v.entity_daily(), v.catalog(), sinks.rebuilt_mentions(v.links(), v.items()))
+
+
+@query("job7_digest_tops", f"{_TOPS_SQL} SELECT section, position, name, maker, amount, delta FROM tops")
+def _(v: Views) -> DataFrame:
+    return _tops(v)
+
+
+_BODY_SQL = f"""{_TOPS_SQL}, lines AS (SELECT section, position, position || '. **' || name || '**' || CASE section
+        WHEN 'rising' THEN ' — 現在' || format('{{:,}}', amount) || '人 (' || CASE WHEN delta >= 0 THEN '+' ELSE '' END || format('{{:,}}', delta) || ')'
+        WHEN 'falling' THEN ' — 現在' || format('{{:,}}', amount) || '人 (' || format('{{:,}}', delta) || ')'
+        ELSE '(' || maker || ') — 合計再生数' || format('{{:,}}', amount) || '・関連動画' || delta || '本' END AS line FROM tops),
+    listed AS (SELECT section, string_agg(line, chr(10) ORDER BY position) AS body FROM lines GROUP BY section)
+    SELECT '2024-01-29' AS week_of, '{D.TITLE.format(week='2024-01-29')}' AS title,
+    '# {D.TITLE.format(week='2024-01-29')}' || chr(10) || chr(10) || '{D.INTRODUCTION}' || chr(10) || chr(10) || '{D.HEADINGS['rising']}'
+    || chr(10) || chr(10) || (SELECT body FROM listed WHERE section = 'rising') || chr(10) || chr(10) || '{D.HEADINGS['falling']}'
+    || chr(10) || chr(10) || (SELECT body FROM listed WHERE section = 'falling') || chr(10) || chr(10) || '{D.HEADINGS['buzz']}'
+    || chr(10) || chr(10) || (SELECT body FROM listed WHERE section = 'buzz') AS body_markdown"""
+
+
+@query("job7_weekly_digest", _BODY_SQL)
+def _(v: Views) -> DataFrame:
+    return D.weekly_digest(_tops(v), "2024-01-29")
+
+
+@query("snk7_written_digest", _BODY_SQL)
+def _(v: Views) -> DataFrame:
+    """Written twice, so that the second write replaces its own week and keeps the other."""
+    folder = fresh_folder(v.spark, "digest")
+    tops = _tops(v)
+    sinks.write_digest(D.weekly_digest(tops, "2024-01-22"), folder)
+    for _ in range(2):
+        sinks.write_digest(D.weekly_digest(tops, "2024-01-29"), folder)
+    rows = v.spark.read.parquet(folder).withColumn("week_of", F.col("week_of").cast("string"))
+    return rows.where("week_of = '2024-01-29'")
+
+
+# -- ingest ----------------------------------------------------------------
+
+
+def _entity_ingest(v: Views):
+    stored = v.entity_daily().select("entity_id", "date")
+    return ingest.ingest_entity_snapshots(v.entities(), stored, entity_stat_rows(v), "2024-01-30")
+
+
+@query(
+    "job8_new_snapshots",
+    """SELECT entity_id, CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal) AS BIGINT) ELSE 0 END AS subscriber_count,
+    c_custkey * 10 AS view_count FROM entities JOIN customer ON c_custkey = entity_id WHERE active AND external_id IS NOT NULL
+    AND entity_id NOT IN (SELECT entity_id FROM entity_daily WHERE date = DATE '2024-01-30')""",
+)
+def _(v: Views) -> DataFrame:
+    return _entity_ingest(v).snapshots.select("entity_id", "subscriber_count", "view_count")
+
+
+@query(
+    "job8_metrics",
+    """SELECT count(*) AS requested, count(*) AS fetched, CAST(0 AS BIGINT) AS failed, true AS is_successful FROM entities
+    WHERE active AND external_id IS NOT NULL""",
+)
+def _(v: Views) -> DataFrame:
+    return _entity_ingest(v).metrics
+
+
+# Documents as uploads: French ones gained views, Spanish ones are new, some have manual states.
+_DOC_STATUS = "CASE lang WHEN 'fr' THEN 'manual' WHEN 'de' THEN 'manual_excluded' ELSE 'matched' END"
+_DOC_LINKS = """(SELECT l_suppkey AS item_id, CAST(l_linenumber AS BIGINT) AS catalog_id, min(method) AS method FROM lineitem JOIN
+    (SELECT link_id, item_id, catalog_id, method FROM links) k ON k.item_id = l_orderkey AND k.catalog_id = l_partkey
+    AND k.link_id = CAST(l_linenumber AS BIGINT) * 1000000000 + CAST(round(l_extendedprice * 100) AS BIGINT)
+    GROUP BY ALL)"""
+
+
+def doc_links(v: Views) -> DataFrame:
+    rows = v.table("lineitem").selectExpr(
+        "l_suppkey AS item_id", "CAST(l_linenumber AS BIGINT) AS catalog_id",
+        "CASE WHEN l_returnflag = 'A' THEN 'exact_name' WHEN l_returnflag = 'N' THEN 'alias' "
+        "WHEN l_linestatus = 'F' THEN 'manual_excluded' ELSE 'manual' END AS method",
+    )
+    return rows.groupBy("item_id", "catalog_id").agg(F.min("method").alias("method")).withColumn("confidence", F.lit(50))
+
+
+def doc_items(v: Views) -> DataFrame:
+    return v.table("documents").selectExpr(
+        "doc_id AS item_id", "doc_id AS entity_id", "text AS title", f"{_DOC_STATUS} AS match_status"
+    )
+
+
+def _item_ingest(v: Views) -> ingest.ItemIngest:
+    docs = v.table("documents")
+    entities = docs.selectExpr("doc_id AS entity_id", "'individual' AS category", "true AS active")
+    uploads = docs.selectExpr(
+        "doc_id AS item_id", "doc_id AS entity_id", "text AS title", "CAST(NULL AS STRING) AS thumbnail_url", "'2024-01-01' AS published_at"
+    )
+    stats = docs.selectExpr(
+        "doc_id AS item_id", "n_chars AS view_count", "0L AS like_count", "0L AS comment_count", "n_chars AS duration_seconds",
+        "'none' AS live_flag",
+        "CAST(NULL AS STRUCT<actualStartTime: STRING, actualEndTime: STRING, scheduledStartTime: STRING>) AS live_details",
+    )
+    known = docs.where("lang <> 'es'").selectExpr("doc_id AS item_id", f"{_DOC_STATUS} AS match_status", "lang")
+    gained = F.when(F.col("lang") == "fr", F.col("view_count") - 1).otherwise(F.col("view_count"))
+    stored = ingest.classified_items(uploads, stats, entities).join(known, "item_id").withColumn("view_count", gained).drop("lang")
+    snapshots = docs.where("lang = 'en'").selectExpr("doc_id AS item_id", "DATE '2024-01-31' AS date")
+    mentions = v.spark.createDataFrame(
+        [], "item_id BIGINT, catalog_id BIGINT, entity_id BIGINT, title STRING, view_count BIGINT, like_count BIGINT, "
+        "comment_count BIGINT, published_at STRING"
+    )
+    return ingest.ingest_items(
+        entities, stored, snapshots, doc_links(v), mentions, v.phrases(), uploads, stats, "2024-01-31"
+    )
+
+
+@query(
+    "job9_item_actions",
+    """SELECT doc_id AS item_id, CASE lang WHEN 'es' THEN 'insert' WHEN 'fr' THEN 'update' ELSE 'unchanged' END AS action,
+    lang <> 'en' AS new_snapshot FROM documents""",
+)
+def _(v: Views) -> DataFrame:
+    done = _item_ingest(v)
+    new = done.snapshots.select("item_id").withColumn("new_snapshot", F.lit(True))
+    return done.actions.select("item_id", "action").join(new, "item_id", "left").na.fill(False, ["new_snapshot"])
+
+
+_OPEN = "(SELECT doc_id FROM documents WHERE lang NOT IN ('fr', 'de'))"
+_JOB9_LINKS = f"""linked AS (SELECT item_id, catalog_id, method FROM {_DOC_LINKS} WHERE method NOT IN ('exact_name', 'alias')
+        OR item_id NOT IN {_OPEN}
+        UNION ALL SELECT item_id, catalog_id, method FROM judged j WHERE is_match AND item_id IN {_OPEN} AND NOT EXISTS (SELECT 1 FROM
+        {_DOC_LINKS} m WHERE m.method NOT IN ('exact_name', 'alias') AND m.item_id = j.item_id AND m.catalog_id = j.catalog_id))"""
+
+
+@query("job9_links", f"WITH {TERMS_SQL}, {_JOB9_LINKS} SELECT item_id, catalog_id, method FROM linked")
+def _(v: Views) -> DataFrame:
+    return _item_ingest(v).links.select("item_id", "catalog_id", "method")
+
+
+@query(
+    "job9_status_and_mentions",
+    f"""WITH {TERMS_SQL}, {_JOB9_LINKS} SELECT match_status, count(*) AS items, CAST(sum(mentions) AS BIGINT) AS mentions FROM (
+    SELECT doc_id, CASE lang WHEN 'fr' THEN 'manual' WHEN 'de' THEN 'manual_excluded' ELSE CASE WHEN count(method) > 0 THEN 'matched'
+    ELSE 'unmatched' END END AS match_status, count(method) AS mentions FROM documents LEFT JOIN (SELECT * FROM linked
+    WHERE method <> 'manual_excluded') ON item_id = doc_id GROUP BY doc_id, lang) GROUP BY match_status""",
+)
+def _(v: Views) -> DataFrame:
+    done = _item_ingest(v)
+    counts = done.mentions.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = done.items.select("item_id", "match_status").join(counts, "item_id", "left")
+    return rows.groupBy("match_status").agg(
+        F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("mentions")
+    )
+
+
+# -- review ----------------------------------------------------------------
+
+
+@query(
+    "job10_review_candidates",
+    f"""WITH {TERMS_SQL} SELECT item_id, catalog_id, 'v1:gemini:' || item_id || ':' || catalog_id AS judgment_key FROM judged j
+    WHERE is_ambiguous AND NOT EXISTS (SELECT 1 FROM {_DOC_LINKS} l WHERE l.item_id = j.item_id AND l.catalog_id = j.catalog_id)""",
+)
+def _(v: Views) -> DataFrame:
+    judged = doc_links(v).select(
+        F.concat_ws(":", F.lit("v1:gemini"), F.col("item_id").cast("string"), F.col("catalog_id").cast("string")).alias("judgment_key")
+    )
+    pairs = ambiguous_candidates(v.titles(), v.phrases())
+    return R.review_candidates(pairs, doc_items(v), judged, limit=None).select("item_id", "catalog_id", "judgment_key")
+
+
+# One candidate and one answer element per (order, line number).
+_LINES = """(SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_discount, l_tax, l_suppkey, row_number() OVER (PARTITION BY
+    l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_discount DESC, l_tax DESC, l_suppkey DESC) AS rn FROM lineitem) WHERE rn = 1)"""
+_ANSWERED = f"""(SELECT l_orderkey AS item_id, CASE WHEN l_tax < 0.02 THEN l_partkey + 1 ELSE l_partkey END AS catalog_id,
+    l_partkey AS judged_id, CASE WHEN l_suppkey >= 5 THEN l_discount * 10 END AS confidence FROM {_LINES})"""
+
+
+def _judgments(v: Views, links: DataFrame | None = None) -> R.AppliedJudgments:
+    lines = v.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.max(F.struct("l_partkey", "l_discount", "l_tax", "l_suppkey")).alias("l")
+    )
+    sent = lines.selectExpr(
+        "l_orderkey AS batch_id", "CAST(l_linenumber AS BIGINT) AS candidate_index", "l_orderkey AS item_id",
+        "CASE WHEN l.l_tax < 0.02 THEN l.l_partkey + 1 ELSE l.l_partkey END AS catalog_id",
+    )
+    element = F.expr(
+        """CASE WHEN l.l_suppkey < 5 THEN to_json(named_struct('candidateIndex', l_linenumber, 'confidence', 'high'))
+        ELSE to_json(named_struct('candidateIndex', l_linenumber, 'machineId', l.l_partkey, 'confidence', l.l_discount * 10)) END"""
+    )
+    answers = lines.select(F.col("l_orderkey").alias("batch_id"), element.alias("e")).groupBy("batch_id").agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list("e"), ","), F.lit("]")).alias("response_text")
+    )
+    return R.apply_judgments(sent, answers, v.items(), v.links() if links is None else links)
+
+
+@query(
+    "job11_judgments",
+    f"""SELECT 'v1:gemini:' || item_id || ':' || catalog_id AS judgment_key, CASE WHEN confidence >= 0.9 THEN 'auto_linked'
+    WHEN confidence >= 0.7 THEN 'pending' ELSE 'rejected' END AS status, CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS confidence
+    FROM {_ANSWERED} WHERE confidence IS NOT NULL""",
+)
+def _(v: Views) -> DataFrame:
+    return _judgments(v).judgments.select("judgment_key", "status", "confidence")
+
+
+@query(
+    "job11_new_links",
+    f"""SELECT DISTINCT item_id, catalog_id, 'alias' AS method, CAST(90 AS BIGINT) AS confidence FROM {_ANSWERED} a WHERE confidence >= 0.9
+    AND judged_id = catalog_id AND NOT EXISTS (SELECT 1 FROM links l WHERE l.item_id = a.item_id AND l.catalog_id = a.catalog_id
+    AND l.method <> 'exact_name')""",
+)
+def _(v: Views) -> DataFrame:
+    return _judgments(v, v.links().where("method <> 'exact_name'")).new_links.select(
+        "item_id", "catalog_id", "method", *whole("confidence")
+    )
+
+
+@query(
+    "job11_summary",
+    f"""SELECT count(*) AS candidates, count(*) FILTER (confidence >= 0.9 AND judged_id = catalog_id) AS auto_linked,
+    count(*) FILTER (confidence >= 0.7 AND confidence < 0.9) AS pending,
+    count(*) FILTER (confidence < 0.7 OR (confidence >= 0.9 AND judged_id <> catalog_id)) AS rejected,
+    count(*) FILTER (confidence IS NULL) AS failed FROM {_ANSWERED}""",
+)
+def _(v: Views) -> DataFrame:
+    return _judgments(v).summary
+
+
+@query(
+    "job12_applied_reviews",
+    """SELECT item_id, catalog_id, 'alias' AS method, CAST(max(confidence) AS BIGINT) AS confidence FROM judgments j WHERE status = 'pending'
+    AND confidence >= 20 AND NOT EXISTS (SELECT 1 FROM links l WHERE l.method = 'manual' AND l.item_id = j.item_id
+    AND l.catalog_id = j.catalog_id) GROUP BY ALL""",
+)
+def _(v: Views) -> DataFrame:
+    decisions = v.judgments().where("status = 'pending'").select(
+        "judgment_id", F.when(F.col("confidence") >= 20, "approve").otherwise("reject").alias("decision")
+    ).distinct()
+    done = R.apply_reviews(v.judgments(), decisions.dropDuplicates(["judgment_id"]), v.links().where("method = 'manual'"))
+    return done.new_links.select("item_id", "catalog_id", "method", *whole("confidence"))
+
+
+def _overridden(v: Views) -> R.AppliedOverrides:
+    overrides = v.table("lineitem").where("l_quantity > 45").selectExpr(
+        "l_orderkey AS item_id", "l_partkey AS catalog_id", "CASE WHEN l_returnflag = 'R' THEN 'link' ELSE 'exclude' END AS kind",
+        "CAST(l_linenumber AS BIGINT) * 1000000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS position",
+    )
+    return R.apply_overrides(v.items(), v.links(), v.catalog().where("type IS NOT NULL"), overrides)
+
+
+_OVERRIDDEN_SQL = """WITH last AS (SELECT l_orderkey AS item_id, l_partkey AS catalog_id, arg_max(CASE WHEN l_returnflag = 'R' THEN 'link'
+        ELSE 'exclude' END, CAST(l_linenumber AS BIGINT) * 1000000000 + CAST(round(l_extendedprice * 100) AS BIGINT)) AS kind FROM lineitem
+        WHERE l_quantity > 45 AND l_partkey IN (SELECT catalog_id FROM catalog WHERE type IS NOT NULL) GROUP BY ALL),
+    done AS (SELECT item_id, catalog_id, method, CAST(confidence AS BIGINT) AS confidence FROM links l WHERE NOT EXISTS
+        (SELECT 1 FROM last WHERE last.item_id = l.item_id AND last.catalog_id = l.catalog_id)
+        UNION ALL SELECT item_id, catalog_id, CASE kind WHEN 'link' THEN 'manual' ELSE 'manual_excluded' END,
+        CASE kind WHEN 'link' THEN 100 ELSE 0 END FROM last)"""
+
+
+@query("job13_overridden_links", f"{_OVERRIDDEN_SQL} SELECT item_id, catalog_id, method, confidence FROM done")
+def _(v: Views) -> DataFrame:
+    return _overridden(v).links.select("item_id", "catalog_id", "method", *whole("confidence"))
+
+
+@query(
+    "job13_overridden_items",
+    f"""{_OVERRIDDEN_SQL} SELECT i.item_id, CASE WHEN i.item_id NOT IN (SELECT item_id FROM last) THEN match_status
+    WHEN i.item_id IN (SELECT item_id FROM done WHERE method <> 'manual_excluded') THEN 'manual' ELSE 'manual_excluded' END
+    AS match_status FROM items i""",
+)
+def _(v: Views) -> DataFrame:
+    return _overridden(v).items.select("item_id", "match_status")
+
+
+_REMATCH_SQL = f"""WITH {TERMS_SQL}, stored AS (SELECT * FROM {_DOC_LINKS}),
+    added AS (SELECT item_id, catalog_id, method, CAST(confidence AS BIGINT) AS confidence FROM judged j WHERE is_match AND NOT EXISTS
+        (SELECT 1 FROM stored s WHERE s.item_id = j.item_id AND s.catalog_id = j.catalog_id)),
+    decided AS (SELECT doc_id AS item_id, (SELECT count(*) FROM judged j WHERE j.item_id = doc_id AND is_match) AS matches,
+        (SELECT count(*) FROM added a WHERE a.item_id = doc_id) AS links_to_add,
+        (SELECT count(*) FROM judged j WHERE j.item_id = doc_id AND is_ambiguous) AS ambiguous_entries,
+        (SELECT count(*) FROM stored s WHERE s.item_id = doc_id AND method IN ('manual', 'manual_excluded')) AS preserved_manual,
+        (SELECT count(*) FROM stored s WHERE s.item_id = doc_id AND method NOT IN ('manual', 'manual_excluded')) AS preserved_auto,
+        {_DOC_STATUS} AS status,
+        (SELECT count(*) FROM stored s WHERE s.item_id = doc_id AND method <> 'manual_excluded') AS active FROM documents),
+    planned AS (SELECT *, CASE WHEN status IN ('manual', 'manual_excluded') THEN status WHEN active > 0 OR links_to_add > 0 THEN 'matched'
+        WHEN ambiguous_entries > 0 THEN 'ambiguous' ELSE 'unmatched' END AS planned_status FROM decided)"""
+
+
+@query(
+    "job14_rematch_decisions",
+    f"""{_REMATCH_SQL} SELECT item_id, matches, links_to_add, ambiguous_entries, preserved_manual, preserved_auto, planned_status
+    FROM planned""",
+)
+def _(v: Views) -> DataFrame:
+    return rematch(doc_items(v), v.phrases(), doc_links(v)).decisions
+
+
+@query("job14_rematch_links", f"{_REMATCH_SQL} SELECT item_id, catalog_id, method, confidence FROM added")
+def _(v: Views) -> DataFrame:
+    rows = rematch(doc_items(v), v.phrases(), doc_links(v)).links_to_add
+    return rows.select("item_id", "catalog_id", "method", *whole("confidence"))
+
+
+@query(
+    "a10_rematch_summary",
+    f"""{_REMATCH_SQL} SELECT 'total_items' AS measure, count(*) AS amount FROM planned
+    UNION ALL SELECT 'matched', count(*) FROM planned WHERE planned_status = 'matched'
+    UNION ALL SELECT 'ambiguous', count(*) FROM planned WHERE planned_status = 'ambiguous'
+    UNION ALL SELECT 'unmatched', count(*) FROM planned WHERE planned_status = 'unmatched'
+    UNION ALL SELECT 'links_to_add', count(*) FROM added UNION ALL SELECT 'existing_links', count(*) FROM stored
+    UNION ALL SELECT 'exclusions_preserved', count(*) FROM stored WHERE method = 'manual_excluded'""",
+)
+def _(v: Views) -> DataFrame:
+    return rematch(doc_items(v), v.phrases(), doc_links(v)).summary
+
+
+# -- reclassification ------------------------------------------------------
+
+
+def _reclassified(v: Views, refresh: bool = False) -> I.Reclassification:
+    fetched = v.items().where("match_status = 'matched'").selectExpr(
+        "item_id", "CASE WHEN duration_seconds > 10 THEN duration_seconds END AS duration_seconds", "coalesce(live_flag, 'none') AS live_flag",
+        "CASE WHEN content_type = 'short' THEN named_struct('actualStartTime', '2026-07-01T12:00:00Z', 'actualEndTime', CAST(NULL AS STRING), "
+        "'scheduledStartTime', CAST(NULL AS STRING)) END AS live_details",
+    )
+    return I.reclassify(v.items(), v.entities(), fetched, refresh)
+
+
+_RECLASS_SQL = f"""WITH joined AS (SELECT i.item_id, i.content_type, category, content_type AS stored, match_status = 'matched' AS fetched,
+        match_status = 'matched' AND content_type = 'short' AS started,
+        CASE WHEN match_status = 'matched' THEN CASE WHEN duration_seconds > 10 THEN duration_seconds END ELSE duration_seconds END
+        AS duration_seconds, CASE WHEN match_status = 'matched' THEN coalesce(live_flag, 'none') ELSE live_flag END AS live_flag,
+        match_status <> 'matched' AND (duration_seconds IS NULL OR live_flag IS NULL) AS failed
+        FROM items i JOIN entities USING (entity_id)),
+    classed AS (SELECT item_id, content_type AS before, failed, fetched, duration_seconds, {CLASS_SQL} AS after, {REASON_SQL} AS reason FROM joined)"""
+
+
+@query(
+    "job15_reclassify_updates",
+    f"{_RECLASS_SQL} SELECT item_id, duration_seconds, after AS content_type, reason FROM classed WHERE NOT failed",
+)
+def _(v: Views) -> DataFrame:
+    return _reclassified(v).updates.select("item_id", "duration_seconds", "content_type", "reason")
+
+
+@query("job15_reclassify_refresh", f"{_RECLASS_SQL} SELECT item_id, after AS content_type FROM classed WHERE fetched")
+def _(v: Views) -> DataFrame:
+    return _reclassified(v, refresh=True).updates.select("item_id", "content_type")
+
+
+@query("job15_reclassify_failures", f"{_RECLASS_SQL} SELECT item_id FROM classed WHERE failed")
+def _(v: Views) -> DataFrame:
+    return _reclassified(v).failures.select("item_id")
+
+
+@query(
+    "job15_transitions",
+    f"{_RECLASS_SQL} SELECT before, after, count(*) AS items FROM classed WHERE NOT failed AND before <> after GROUP BY ALL",
+)
+def _(v: Views) -> DataFrame:
+    return _reclassified(v).transitions()
+
+
+@query(
+    "job15_transition_examples",
+    f"""{_RECLASS_SQL} SELECT before, after, item_id, row_number() OVER (PARTITION BY before, after ORDER BY item_id) AS position FROM classed
+    WHERE NOT failed AND before <> after QUALIFY position <= 20""",
+)
+def _(v: Views) -> DataFrame:
+    return _reclassified(v).examples().select("before", "after", "item_id", *whole("position"))
+
+
+_TYPE_LIST = ["standard", "short", "live", "promotion", "unknown"]
+
+
+@query(
+    "job15_counts",
+    f"{_RECLASS_SQL} "
+    + " UNION ALL ".join(
+        f"SELECT '{side}' AS at, " + ", ".join(f"count(*) FILTER ({value} = '{t}') AS {t}" for t in _TYPE_LIST) + " FROM classed"
+        for side, value in (("before", "before"), ("after", "CASE WHEN failed THEN before ELSE after END"))
+    ),
+)
+def _(v: Views) -> DataFrame:
+    return _reclassified(v).counts()
+
+
+# -- merging ---------------------------------------------------------------
+
+_VALIDATED_SQL = f"""WITH k AS (SELECT catalog_id, {identity_sql('name', 'maker', 'kind', 'release_date')} AS key FROM kinds)
+    SELECT canonical_id, duplicate_id, CASE WHEN a.key = b.key THEN 'same normalized machine identity' ELSE 'machine identity differs' END
+    AS reason, a.key = b.key AS ok FROM merge_groups JOIN k a ON a.catalog_id = canonical_id JOIN k b ON b.catalog_id = duplicate_id"""
+
+
+@query("job16_validated_groups", _VALIDATED_SQL)
+def _(v: Views) -> DataFrame:
+    return M.validate_groups(merge_groups(v), v.catalog())
+
+
+def _mentions(v: Views) -> DataFrame:
+    return v.links().select(F.col("link_id").alias("mention_id"), "item_id", "catalog_id", "updated_at")
+
+
+def _merged(v: Views) -> M.Merged:
+    return M.merge_catalog(v.catalog(), v.links(), _mentions(v), v.votes(), v.judgments(), merge_groups(v))
+
+
+@query(
+    "job16_merged_catalog",
+    """WITH members AS (SELECT c.*, coalesce(canonical_id, catalog_id) AS target FROM catalog c LEFT JOIN merge_groups
+        ON duplicate_id = catalog_id), terms AS (SELECT target, term, min(row(catalog_id, pos)) AS place FROM (SELECT target, catalog_id,
+        unnest(aliases) AS term, generate_subscripts(aliases, 1) AS pos FROM members) GROUP BY ALL)
+    SELECT c.catalog_id, name, (SELECT arg_min(short_name, CASE WHEN m.catalog_id = c.catalog_id THEN -1 ELSE m.catalog_id END)
+    FILTER (short_name IS NOT NULL) FROM members m WHERE m.target = c.catalog_id) AS short_name,
+    (SELECT string_agg(term, '|' ORDER BY place) FROM terms WHERE target = c.catalog_id) AS aliases FROM catalog c
+    WHERE catalog_id NOT IN (SELECT duplicate_id FROM merge_groups)""",
+)
+def _(v: Views) -> DataFrame:
+    return _merged(v).catalog.select("catalog_id", "name", "short_name", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query(
+    "job16_merged_links",
+    """WITH affected AS (SELECT canonical_id AS id FROM merge_groups UNION SELECT duplicate_id FROM merge_groups)
+    SELECT item_id, catalog_id, method, link_id FROM links WHERE catalog_id NOT IN (SELECT id FROM affected)
+    UNION ALL SELECT item_id, target, method, link_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id, target ORDER BY
+    CASE method WHEN 'manual_excluded' THEN 0 ELSE 1 END, CASE method WHEN 'manual' THEN 0 WHEN 'exact_name' THEN 1 ELSE 2 END,
+    CASE WHEN method = 'manual_excluded' THEN 0 ELSE -confidence END, link_id) AS rn FROM (SELECT l.*, coalesce(canonical_id, catalog_id)
+    AS target FROM links l LEFT JOIN merge_groups ON catalog_id = duplicate_id WHERE catalog_id IN (SELECT id FROM affected)))
+    WHERE rn = 1""",
+)
+def _(v: Views) -> DataFrame:
+    return _merged(v).links.select("item_id", "catalog_id", "method", "link_id")
+
+
+@query(
+    "job16_verified_tables",
+    """SELECT 'catalog' AS name, count(*) AS rows FROM catalog WHERE catalog_id NOT IN (SELECT duplicate_id FROM merge_groups)
+    UNION ALL SELECT 'judgments', count(*) FROM judgments""",
+)
+def _(v: Views) -> DataFrame:
+    """All merged tables written to a fresh folder, checked for references to removed ids and read back."""
+    groups = merge_groups(v)
+    stored = sinks.write_verified(
+        v.spark, _merged(v).tables(), fresh_folder(v.spark, "merge"), lambda t: M.merge_problems(t, groups)
+    )
+    counts = [
+        stored[n].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n in ("catalog", "judgments")
+    ]
+    return counts[0].unionByName(counts[1])
+
+
+_INSPECTED = [3, 11, 25]
+
+
+@query(
+    "job17_duplicate_report",
+    """SELECT catalog_id, name, (SELECT count(*) FROM links l WHERE l.catalog_id = c.catalog_id) AS links,
+    (SELECT count(DISTINCT item_id) FROM links l WHERE l.catalog_id = c.catalog_id) AS distinct_links,
+    (SELECT count(*) FROM votes WHERE target_id = c.catalog_id) AS votes,
+    (SELECT count(*) FROM judgments j WHERE j.catalog_id = c.catalog_id) AS judgments FROM catalog c WHERE catalog_id IN (3, 11, 25)""",
+)
+def _(v: Views) -> DataFrame:
+    rows = M.duplicate_report(v.catalog(), v.links(), _mentions(v), v.votes(), v.judgments(), _INSPECTED)
+    return rows.select("catalog_id", "name", "links", "distinct_links", "votes", "judgments")
+
+
+@query(
+    "job17_planned_moves",
+    """SELECT vote_id, voter_id, voter_id IN (SELECT voter_id FROM votes WHERE target_id = 3) AS conflict FROM votes WHERE target_id = 11""",
+)
+def _(v: Views) -> DataFrame:
+    votes = v.votes().withColumnRenamed("target_id", "catalog_id")
+    return M.planned_moves(votes, "voter_id", 3, 11).select("vote_id", "voter_id", "conflict")
+
+
+@query(
+    "job17_alias_change",
+    """SELECT array_to_string(a.aliases, '|') AS before, array_to_string(list_concat(a.aliases, [b.name, 'extra']), '|') AS after,
+    b.name || '|extra' AS added FROM catalog a, catalog b WHERE a.catalog_id = 3 AND b.catalog_id = 11""",
+)
+def _(v: Views) -> DataFrame:
+    rows = M.alias_change(v.catalog(), 3, 11, ["extra", ""])
+    return rows.select(*[F.array_join(c, "|").alias(c) for c in ("before", "after", "added")])
+
+
+# -- seeding ---------------------------------------------------------------
+
+
+def _sized_names(v: Views) -> DataFrame:
+    """Entries named by part name and size: some names are new, some known."""
+    sizes = v.table("part").select(F.col("p_partkey").alias("catalog_id"), "p_size")
+    return v.catalog().join(sizes, "catalog_id").withColumn("name", F.concat_ws(" ", "name", F.col("p_size").cast("string"))).drop("p_size")
+
+
+_NAMED = "(SELECT k.*, name || ' ' || p_size AS full_name FROM kinds k JOIN part ON p_partkey = catalog_id)"
+
+
+@query(
+    "job18_catalog_upsert_plan",
+    f"""SELECT s.name, s.position, e.existing_id, CASE WHEN e.existing_id IS NULL THEN 'insert' ELSE 'update' END AS action FROM
+    (SELECT full_name AS name, max(catalog_id) AS position FROM {_NAMED} WHERE catalog_id >= 100 GROUP BY 1) s LEFT JOIN
+    (SELECT full_name AS name, min(catalog_id) AS existing_id FROM {_NAMED} WHERE catalog_id < 100 GROUP BY 1) e USING (name)""",
+)
+def _(v: Views) -> DataFrame:
+    rows = _sized_names(v)
+    seeds = rows.where("catalog_id >= 100").withColumn("position", F.col("catalog_id")).drop("catalog_id")
+    plan = seeding.plan_catalog_upsert(rows.where("catalog_id < 100"), seeds)
+    return plan.select("name", "position", "existing_id", "action")
+
+
+@query(
+    "job18_upserted_catalog",
+    f"""WITH s AS (SELECT full_name AS name, arg_max(maker, catalog_id) AS maker, arg_max(kind, catalog_id) FILTER (catalog_id = top) AS kind
+        FROM (SELECT *, max(catalog_id) OVER (PARTITION BY full_name) AS top FROM {_NAMED} WHERE catalog_id >= 100) GROUP BY 1),
+    first AS (SELECT full_name AS name, min(catalog_id) AS catalog_id FROM {_NAMED} WHERE catalog_id < 100 GROUP BY 1)
+    SELECT n.catalog_id, n.full_name AS name, CASE WHEN f.catalog_id = n.catalog_id THEN coalesce(s.maker, n.maker) ELSE n.maker END AS maker,
+    CASE WHEN f.catalog_id = n.catalog_id THEN coalesce(s.kind, n.kind) ELSE n.kind END AS kind FROM {_NAMED} n
+    JOIN first f ON f.name = n.full_name LEFT JOIN s ON s.name = n.full_name WHERE n.catalog_id < 100
+    UNION ALL SELECT NULL, name, maker, kind FROM s WHERE name NOT IN (SELECT name FROM first)""",
+)
+def _(v: Views) -> DataFrame:
+    rows = _sized_names(v)
+    seeds = rows.where("catalog_id >= 100").withColumn("position", F.col("catalog_id")).drop("catalog_id")
+    existing = rows.where("catalog_id < 100")
+    done = seeding.apply_catalog_upsert(existing, seeding.plan_catalog_upsert(existing, seeds))
+    return done.select("catalog_id", "name", "maker", normalize_type(F.col("type")).alias("kind"))
+
+
+@query(
+    "job19_upserted_entities",
+    """WITH seeds AS (SELECT s_suppkey AS position, 'ext' || (s_suppkey * 7) AS external_id, '@h' || (s_suppkey * 7 + 2) AS handle,
+        s_name AS name FROM supplier), found AS (SELECT s.*, coalesce(a.entity_id, b.entity_id) AS entity_id FROM seeds s
+        LEFT JOIN entities a ON a.external_id = s.external_id LEFT JOIN entities b ON b.handle = s.handle),
+    last AS (SELECT * FROM found WHERE entity_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY position DESC) = 1)
+    SELECT e.entity_id, coalesce(l.external_id, e.external_id) AS external_id, coalesce(l.handle, e.handle) AS handle,
+    coalesce(l.name, e.name) AS name FROM entities e LEFT JOIN last l ON l.entity_id = e.entity_id
+    UNION ALL SELECT NULL, external_id, handle, name FROM found WHERE entity_id IS NULL""",
+)
+def _(v: Views) -> DataFrame:
+    seeds = v.table("supplier").selectExpr(
+        "s_suppkey AS position", "concat('ext', s_suppkey * 7) AS external_id", "concat('@h', s_suppkey * 7 + 2) AS handle",
+        "s_name AS name", "'other' AS category", "true AS active",
+    )
+    return seeding.upsert_entities(v.entities(), seeds).select("entity_id", "external_id", "handle", "name")
+
+
+@query(
+    "job19_renamed_entities",
+    """SELECT entity_id, CASE WHEN handle IN (SELECT '@h' || s_suppkey FROM supplier) THEN '@new' || entity_id ELSE handle END AS handle,
+    active AND NOT coalesce(handle IN (SELECT '@h' || (s_suppkey + 500) FROM supplier), false) AS active FROM entities""",
+)
+def _(v: Views) -> DataFrame:
+    suppliers = v.table("supplier")
+    renames = suppliers.selectExpr("concat('@h', s_suppkey) AS handle", "concat('@new', s_suppkey) AS new_handle")
+    off = suppliers.selectExpr("concat('@h', s_suppkey + 500) AS handle")
+    return seeding.rename_and_deactivate(v.entities(), renames, off).select("entity_id", "handle", "active")
+
+
+@query(
+    "job20_alias_suggestions",
+    """SELECT catalog_id, array_to_string(list_concat(CASE WHEN short_name IS NULL THEN [name] ELSE [name, short_name] END,
+    list_filter(aliases, lambda x: x <> coalesce(short_name, ''))), '|') AS aliases, array_to_string(coalesce(exclude_terms, []), '|') AS exclude_terms,
+    false AS approved, 'heuristic' AS source FROM catalog""",
+)
+def _(v: Views) -> DataFrame:
+    rows = seeding.suggest_aliases(v.catalog())
+    shown = {c: F.array_join(c, "|") for c in ("aliases", "exclude_terms")}
+    return rows.select("catalog_id", *[e.alias(c) for c, e in shown.items()], "approved", "source")
+
+
+@query(
+    "job20_applied_aliases",
+    """SELECT catalog_id, CASE WHEN type = 'slot' THEN name || '!' ELSE array_to_string(aliases, '|') END AS aliases FROM catalog""",
+)
+def _(v: Views) -> DataFrame:
+    approved = seed_sources.approved_aliases(suggestion_rows(v))
+    return seeding.apply_aliases(v.catalog(), approved).select("catalog_id", F.array_join("aliases", "|").alias("aliases"))
+
+
+# -- discovery -------------------------------------------------------------
+
+_GROUPS = f"""(SELECT external_id, count(DISTINCT item_id) AS item_count, string_agg(DISTINCT query, ',' ORDER BY query) AS queries,
+    count(DISTINCT query) AS n_ref, max(published_at) AS newest, max(entity_title) AS entity_title FROM ({HITS_SQL})
+    WHERE external_id NOT IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY external_id
+    HAVING count(DISTINCT item_id) >= 500)"""
+
+
+def _registered(v: Views) -> DataFrame:
+    return v.table("supplier").where("s_acctbal < 0").selectExpr("concat('s', s_suppkey) AS external_id")
+
+
+@query("a13_hit_groups", f"SELECT external_id, item_count, queries FROM {_GROUPS}")
+def _(v: Views) -> DataFrame:
+    rows = discovery.hit_groups(search_rows(v), _registered(v), 500)
+    return rows.select("external_id", "item_count", F.array_join("queries", ",").alias("queries"))
+
+
+_DISCOVERY_SCORE = """(item_count * 20 + n_ref * 15 + log10(CAST(coalesce(subs, 0) AS DOUBLE) + 1.0) * 3 + greatest(0.0, CAST(20.0 AS DOUBLE)
+    - greatest(0.0, CAST(epoch_ms(TIMESTAMP '2065-02-01') - epoch_ms(strptime(newest, '%Y-%m-%dT%H:%M:%SZ')) AS DOUBLE) / 86400000) / 3))"""
+_FOUND_SQL = f"""SELECT external_id, coalesce(s_name, entity_title) AS title, subs AS subscriber_count, item_count, queries,
+    {fixed_sql(_DISCOVERY_SCORE, 3)} AS score FROM {_GROUPS} LEFT JOIN (SELECT 's' || s_suppkey AS external_id, s_name,
+    CASE WHEN s_acctbal > 2000 THEN CAST(floor(s_acctbal) AS BIGINT) END AS subs FROM supplier WHERE s_nationkey > 4)
+    USING (external_id) ORDER BY score DESC, item_count DESC, title LIMIT 20"""
+
+
+def _discovered(v: Views) -> DataFrame:
+    details = v.table("supplier").where("s_nationkey > 4").selectExpr(
+        "concat('s', s_suppkey) AS external_id", "s_name AS title",
+        "CASE WHEN s_acctbal > 2000 THEN CAST(floor(s_acctbal) AS BIGINT) END AS subscriber_count", "0L AS view_count", "0L AS video_count",
+    )
+    now = F.lit("2065-02-01 00:00:00").cast("timestamp")
+    rows = discovery.discover_candidates(search_rows(v), details, _registered(v), now, 500, 20)
+    return rows.select("external_id", "title", "subscriber_count", "item_count", F.array_join("queries", ",").alias("queries"), "score")
+
+
+@query("job21_discovered_candidates", _FOUND_SQL)
+def _(v: Views) -> DataFrame:
+    return _discovered(v)
+
+
+@query("t11_candidate_order", f"SELECT external_id, score FROM ({_FOUND_SQL}) ORDER BY score DESC, item_count DESC, title LIMIT 10")
+def _(v: Views) -> DataFrame:
+    return _discovered(v).orderBy(*candidate_order()).limit(10).select("external_id", "score")
+
+
+@query("snk9_written_report", _FOUND_SQL)
+def _(v: Views) -> DataFrame:
+    folder = fresh_folder(v.spark, "report")
+    rows = _discovered(v)
+    sinks.write_report(rows, folder)
+    return v.spark.read.schema(rows.schema).json(folder)

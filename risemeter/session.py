@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -37,6 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/risemeter/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df, spark: SparkSession):
     """Cut the lineage of ``df`` through the shared checkpoint folder."""
     context = spark.sparkContext
