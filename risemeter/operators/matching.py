@@ -83,7 +83,8 @@ def _all_grams(text: Column, wanted: Callable[[int], Column]) -> Column:
 class CatalogIndex:
     """The term side of the join, written once and read by every use.
 
-    ``terms`` has catalog_id, role, rank, term, term_text, confirms, exclusions, resolvers, anchor.
+    ``terms`` has catalog_id, role, rank, term, term_text, confirms, exclusions, resolvers,
+    has_exclusions and anchor.
     ``lengths`` are the anchor lengths that occur, ``small`` tells whether terms may be broadcast.
     """
 
@@ -103,7 +104,9 @@ class CatalogIndex:
 def index_catalog(catalog: DataFrame, roles: tuple[str, ...] | None = None) -> CatalogIndex:
     """Prepare the catalog for matching. Its size is measured on the prepared rows."""
     spark = catalog.sparkSession
-    rows = catalog_term_rows(catalog, roles or ROLES).join(catalog_guards(catalog), "catalog_id")
+    rows = catalog_term_rows(catalog, roles or ROLES).join(catalog_guards(catalog), "catalog_id").withColumn(
+        "has_exclusions", F.size("exclusions") > 0
+    )
     terms = checkpointed(anchored(checkpointed(rows, spark)), spark)
     width = F.length("term") + F.length("term_text") + F.length(F.array_join(F.concat("exclusions", "resolvers"), ""))
     facts = terms.agg(
@@ -113,7 +116,7 @@ def index_catalog(catalog: DataFrame, roles: tuple[str, ...] | None = None) -> C
 
 
 def containing_pairs(texts: DataFrame, text_id: str, text: str, index: CatalogIndex) -> DataFrame:
-    """(text_id, text, term_text) for every indexed term contained in the text.
+    """(text_id, term_text) for every indexed term contained in the text.
 
     The text is not copied next to each n-gram but joined again for the check. Pass ``texts``
     partitioned by ``text_id``: both uses then share that one exchange, and with a broadcast term
@@ -126,7 +129,7 @@ def containing_pairs(texts: DataFrame, text_id: str, text: str, index: CatalogIn
     )
     candidates = index.joined(grams, ["anchor", "term_text"], ["anchor"]).select(text_id, "term_text")
     whole = texts.select(text_id, text).hint("merge")
-    return candidates.join(whole, text_id).where(F.contains(text, "term_text")).select(text_id, text, "term_text")
+    return candidates.join(whole, text_id).where(F.contains(text, "term_text")).select(text_id, "term_text")
 
 
 def _strings(column: str) -> Column:
@@ -193,35 +196,43 @@ def title_hits(items: DataFrame, index: CatalogIndex) -> DataFrame:
     Columns: the matched method, confidence, term and its normalized text (NULL without a
     match), and ``is_ambiguous`` for pairs that only deserve a review (needs the weak role).
     """
-    text = F.col("title_text")
-    normalized = text if "title_text" in items.columns else normalize_text(F.col("title"))
-    # Never NULL, so that no join adds a filter to one use only and both uses share the exchange.
-    texts = items.select("item_id", F.coalesce(normalized, F.lit("")).alias("title_text")).repartition("item_id")
+    stored = "title_text" if "title_text" in items.columns else "title"
+    moved = items.select("item_id", stored).repartition("item_id")
+    normalized = F.col("title_text") if stored == "title_text" else normalize_text(F.col("title"))
+    # Never NULL, so that no join adds a filter to one use only and all uses share the exchange.
+    texts = moved.select("item_id", F.coalesce(normalized, F.lit("")).alias("title_text"))
+
     found = containing_pairs(texts, "item_id", "title_text", index)
-    # Guards see the whole text here; behind this point rows are a few numbers wide, so that the
-    # grouping is a hash aggregation with map-side combine. It keeps the items' partitioning.
-    guarded = ["term_text", "catalog_id", "role", "rank", "confirms", "exclusions", "resolvers"]
-    hits = (
-        index.joined(found, guarded, ["term_text"])
-        .where(~F.exists("exclusions", lambda t: F.contains(text, t)))
-        .select(
-            "item_id", "catalog_id", "role", "rank", "confirms",
-            F.exists("resolvers", lambda t: F.contains(text, t)).alias("resolved"),
-        )
-    )
+    # From here rows are a few numbers wide, so that the grouping is a hash aggregation with
+    # map-side combine. It keeps the items' partitioning.
+    columns = ["term_text", "catalog_id", "role", "rank", "confirms", "has_exclusions"]
     best = [F.min(F.when(F.col("role") == role, F.col("rank"))).alias(f"_{role}") for role in ROLES]
-    pairs = hits.groupBy("item_id", "catalog_id").agg(
-        *best, F.max("confirms").alias("_confirmed"), F.max("resolved").alias("_resolved")
+    pairs = index.joined(found, columns, ["term_text"]).groupBy("item_id", "catalog_id").agg(
+        *best, F.max("confirms").alias("_confirmed"), F.max("has_exclusions").alias("_guarded")
     )
+    by_name, by_alias, by_ambiguous = (F.col(f"_{r}").isNotNull() for r in MATCHING_ROLES)
+    needs_resolver = by_ambiguous & ~by_name & ~by_alias
+
+    # The whole text comes back only for pairs whose exclusions or resolvers must be looked up.
+    whole = texts.select(F.col("item_id").alias("_item"), "title_text").hint("merge")
+    asks = F.col("_guarded") | needs_resolver
+    text = F.col("title_text")
+    looked_up = index.joined(
+        pairs.join(whole, (F.col("item_id") == F.col("_item")) & asks, "left"),
+        ["catalog_id", "exclusions", "resolvers"],
+        ["catalog_id"],
+    )
+    excluded = F.coalesce(F.exists("exclusions", lambda t: F.contains(text, t)), F.lit(False))
+    resolved = F.coalesce(F.exists("resolvers", lambda t: F.contains(text, t)), F.lit(False))
     chosen = (
-        F.when(F.col("_name").isNotNull(), _choice("name", "exact_name", NAME_CONFIDENCE))
-        .when(F.col("_alias").isNotNull(), _choice("alias", "alias", ALIAS_CONFIDENCE))
-        .when(F.col("_ambiguous").isNotNull() & F.col("_resolved"), _choice("ambiguous", "alias", RESOLVED_CONFIDENCE))
+        F.when(by_name, _choice("name", "exact_name", NAME_CONFIDENCE))
+        .when(by_alias, _choice("alias", "alias", ALIAS_CONFIDENCE))
+        .when(by_ambiguous & resolved, _choice("ambiguous", "alias", RESOLVED_CONFIDENCE))
     )
     ambiguous = F.col("_weak").isNotNull() & ~F.col("_confirmed")
-    flagged = pairs.select("item_id", "catalog_id", chosen.alias("_c"), ambiguous.alias("is_ambiguous")).select(
-        "item_id", "catalog_id", "_c.*", "is_ambiguous"
-    )
+    flagged = looked_up.where(~excluded).select(
+        "item_id", "catalog_id", chosen.alias("_c"), ambiguous.alias("is_ambiguous")
+    ).select("item_id", "catalog_id", "_c.*", "is_ambiguous")
     keys = ["catalog_id", "role", "rank"]
     return index.joined(flagged, [*keys, "term", "term_text"], keys, "left").drop("role", "rank")
 

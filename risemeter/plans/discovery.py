@@ -19,16 +19,20 @@ UNKNOWN_TITLE = "Unknown"
 def hit_groups(hits: DataFrame, registered: DataFrame, min_items: int) -> DataFrame:
     """Unregistered entities with their distinct items and queries, at least ``min_items`` items.
 
-    (entity, item) and (entity, query) are made distinct first; the query list of an entity is
-    bounded by the queries asked.
+    One pass: because of the distinct count, Spark first aggregates by (entity, item), so an
+    entity with very many hits is spread over its items. The query list is bounded by the
+    queries asked.
     """
     fresh = without(hits.where((F.col("external_id") != "") & (F.col("item_id") != "")), registered, "external_id")
-    items = fresh.groupBy("external_id", "item_id").agg(F.max("published_at").alias("published_at")).groupBy(
-        "external_id"
-    ).agg(F.count(F.lit(1)).alias("item_count"), F.max("published_at").alias("newest_at"))
-    queries = fresh.groupBy("external_id").agg(F.sort_array(F.collect_set("query")).alias("queries"))
-    return items.where(F.col("item_count") >= min_items).join(queries, "external_id").withColumn(
-        "query_count", F.size("queries").cast("long")
+    newest = F.max(F.struct("published_at", "item_id", "entity_title"))
+    groups = fresh.groupBy("external_id").agg(
+        F.count_distinct("item_id").alias("item_count"),
+        F.sort_array(F.collect_set("query")).alias("queries"),
+        newest.alias("_newest"),
+    )
+    return groups.where(F.col("item_count") >= min_items).select(
+        "external_id", "item_count", "queries", F.size("queries").cast("long").alias("query_count"),
+        F.col("_newest.published_at").alias("newest_at"), F.col("_newest.entity_title").alias("entity_title"),
     )
 
 
@@ -46,15 +50,14 @@ def discover_candidates(
 ) -> DataFrame:
     """Scored candidates, best first, with fallback details where none were fetched."""
     groups = hit_groups(hits, registered, min_items)
-    newest = sample_items(hits, 1).select("external_id", F.col("entity_title").alias("_hit_title"))
-    joined = groups.join(newest, "external_id", "left").join(
+    joined = groups.join(
         details.select("external_id", F.struct("title", "subscriber_count", "view_count", "video_count").alias("_d")),
         "external_id",
         "left",
     )
     scored = joined.select(
         "external_id",
-        F.coalesce("_d.title", "_hit_title", F.lit(UNKNOWN_TITLE)).alias("title"),
+        F.coalesce("_d.title", "entity_title", F.lit(UNKNOWN_TITLE)).alias("title"),
         F.concat(F.lit(PAGE_ADDRESS + "channel/"), "external_id").alias("entity_url"),
         F.col("_d.subscriber_count").alias("subscriber_count"),
         F.coalesce("_d.view_count", F.lit(0)).alias("view_count"),

@@ -15,7 +15,7 @@ from risemeter.queries.registry import query, text, whole
 from risemeter.queries.columns import CLASS_SQL, REASON_SQL
 from risemeter.queries.counts import SUMMARY_SQL
 from risemeter.queries.series import OVERVIEW_SQL
-from risemeter.queries.tables import HITS_SQL, entity_stat_rows, search_rows, suggestion_rows
+from risemeter.queries.tables import HITS_SQL, entity_stat_rows, hit_rows, suggestion_rows
 from risemeter.session import fresh_folder
 from risemeter.sources import seeds as seed_sources, sinks
 from risemeter.views import Views, compare_sql, fixed_sql
@@ -729,7 +729,7 @@ def _registered(v: Views) -> DataFrame:
 
 @query("a13_hit_groups", f"SELECT external_id, item_count, queries FROM {_GROUPS}")
 def _(v: Views) -> DataFrame:
-    rows = discovery.hit_groups(search_rows(v), _registered(v), 500)
+    rows = discovery.hit_groups(hit_rows(v), _registered(v), 500)
     return rows.select("external_id", "item_count", F.array_join("queries", ",").alias("queries"))
 
 
@@ -747,7 +747,7 @@ def _discovered(v: Views) -> DataFrame:
         "CASE WHEN s_acctbal > 2000 THEN CAST(floor(s_acctbal) AS BIGINT) END AS subscriber_count", "0L AS view_count", "0L AS video_count",
     )
     now = F.lit("2065-02-01 00:00:00").cast("timestamp")
-    rows = discovery.discover_candidates(search_rows(v), details, _registered(v), now, 500, 20)
+    rows = discovery.discover_candidates(hit_rows(v), details, _registered(v), now, 500, 20)
     return rows.select("external_id", "title", "subscriber_count", "item_count", F.array_join("queries", ",").alias("queries"), "score")
 
 

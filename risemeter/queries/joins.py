@@ -10,7 +10,7 @@ from risemeter.operators.matching import MATCHING_ROLES, ambiguous_candidates, i
 from risemeter.operators.tallies import catalog_stats
 from risemeter.plans.items import item_trends
 from risemeter.queries.registry import query, text, whole
-from risemeter.queries.tables import HITS_SQL, detail_rows, search_rows
+from risemeter.queries.tables import HITS_SQL, detail_rows, hit_rows
 from risemeter.views import Views
 
 # -- filters ---------------------------------------------------------------
@@ -238,7 +238,7 @@ def _(v: Views) -> DataFrame:
 )
 def _(v: Views) -> DataFrame:
     registered = v.table("supplier").where("s_acctbal < 0").selectExpr("concat('s', s_suppkey) AS external_id")
-    return L.without(search_rows(v), registered, "external_id").select("item_id", "external_id", "query")
+    return L.without(hit_rows(v), registered, "external_id").select("item_id", "external_id", "query")
 
 
 @query(

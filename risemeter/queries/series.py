@@ -8,7 +8,7 @@ from risemeter.operators import links as L, snapshots as W
 from risemeter.operators.ranking import momentum_order, with_positions
 from risemeter.plans.catalog import catalog_buzz
 from risemeter.queries.registry import query, text, whole
-from risemeter.queries.tables import HITS_SQL, search_rows
+from risemeter.queries.tables import HITS_SQL, hit_rows
 from risemeter.plans.discovery import sample_items
 from risemeter.views import Views, compare_sql, percent_sql
 
@@ -141,7 +141,7 @@ def _(v: Views) -> DataFrame:
     item_id) AS position FROM (SELECT DISTINCT external_id, item_id, published_at FROM ({HITS_SQL}))) WHERE position <= 5""",
 )
 def _(v: Views) -> DataFrame:
-    return sample_items(search_rows(v)).select("external_id", "item_id", *whole("position"))
+    return sample_items(hit_rows(v)).select("external_id", "item_id", *whole("position"))
 
 
 @query(
