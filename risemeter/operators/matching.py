@@ -19,7 +19,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from risemeter.functions.text import (
     is_safe_term,
@@ -250,26 +250,16 @@ def judged_pairs(hits: DataFrame) -> DataFrame:
     """Title hits with ``is_match``: a match counts unless its term lies inside a longer matched
     term of another entry in the same title.
 
-    The rows of one title are compared as an array. They are distinct per entry by then, so an
-    array is bounded by the entries that one title names.
+    An entry has one term per title, so a longer term always belongs to another entry, and it is
+    enough to know the distinct terms of the title. They are parts of the title, so their array
+    is bounded by it, however many entries share a term; the hits themselves stay rows.
     """
-    per_title = hits.groupBy("item_id").agg(
-        F.collect_list(F.struct("catalog_id", "method", "confidence", "term", "term_text", "is_ambiguous")).alias("all")
-    )
-
-    def covered(a: Column) -> Column:
-        return F.exists(
-            F.col("all"),
-            lambda b: b["method"].isNotNull()
-            & (b["catalog_id"] != a["catalog_id"])
-            & (utf16_length(b["term_text"]) > utf16_length(a["term_text"]))
-            & F.contains(b["term_text"], a["term_text"]),
-        )
-
-    flagged = F.transform(
-        "all", lambda a: a.withField("is_match", a["method"].isNotNull() & ~F.coalesce(covered(a), F.lit(False)))
-    )
-    return per_title.select("item_id", F.inline(flagged)).drop("term_text")
+    matched = F.when(F.col("method").isNotNull(), F.col("term_text"))
+    terms = F.collect_set(matched).over(Window.partitionBy("item_id"))
+    own = F.col("term_text")
+    covered = F.exists("_terms", lambda t: (utf16_length(t) > utf16_length(own)) & F.contains(t, own))
+    is_match = F.col("method").isNotNull() & ~F.coalesce(covered, F.lit(False))
+    return hits.withColumn("_terms", terms).withColumn("is_match", is_match).drop("_terms", "term_text")
 
 
 def match_titles(items: DataFrame, catalog: DataFrame) -> DataFrame:

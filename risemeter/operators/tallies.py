@@ -90,17 +90,14 @@ def buzz_totals(catalog: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def duplicate_votes(votes: DataFrame) -> DataFrame:
-    """(target, voter) pairs with several votes: count, kept id, and all ids as text.
+    """Votes of (target, voter) pairs with several votes, with the pair's count and the kept id.
 
-    Ids are listed only for pairs that repeat, so the list is built after the counts are known.
+    One row per vote rather than a list per pair, so that a pair with very many votes does not
+    gather in one place.
     """
     keys = ["target_id", "voter_id"]
     counted = votes.groupBy(*keys).agg(F.count(F.lit(1)).alias("duplicate_count"), F.max("vote_id").alias("kept_id"))
-    repeated = counted.where(F.col("duplicate_count") > 1)
-    ids = votes.join(repeated.select(*keys), keys, "left_semi").groupBy(*keys).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list("vote_id")), lambda v: v.cast("string")), ",").alias("vote_ids")
-    )
-    return repeated.join(ids, keys)
+    return votes.select(*keys, "vote_id").join(counted.where(F.col("duplicate_count") > 1), keys)
 
 
 def repeated_values(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from risemeter.functions.content import classify_content
 from risemeter.operators.links import unlinked_items
 from risemeter.operators.matching import index_catalog, judged_pairs, title_hits
 from risemeter.operators.tallies import run_metrics
+from risemeter.session import checkpointed
 from risemeter.sources.sinks import (
     ITEM_COLUMNS,
     apply_actions,
@@ -112,25 +113,34 @@ def ingest_items(
     stats: DataFrame,
     day: str,
 ) -> ItemIngest:
-    """Classify, upsert, snapshot, link and mention the day's uploads in one set-based pass."""
-    incoming = classified_items(uploads, stats, entities).withColumn("match_status", F.lit("pending"))
+    """Classify, upsert, snapshot, link and mention the day's uploads in one set-based pass.
+
+    The day's rows and their matches are checkpointed, as several results are made from them.
+    Stored items are split by the incoming ids: the few that came in again are compared, all
+    others pass through without being shuffled while the ids are small enough to broadcast.
+    """
+    spark = items.sparkSession
+    incoming = checkpointed(
+        classified_items(uploads, stats, entities).withColumn("match_status", F.lit("pending")), spark
+    )
+    ids = incoming.select("item_id")
     columns = [c for c in incoming.columns if c != "item_id"]
     stored = items.select("item_id", *columns)
-    actions = upsert_actions(stored, incoming, ["item_id"], ITEM_COLUMNS)
-    upserted = apply_actions(actions, ["item_id"], columns, keep=["match_status"])
+    actions = upsert_actions(stored.join(ids, "item_id", "left_semi"), incoming, ["item_id"], ITEM_COLUMNS)
+    collected = apply_actions(actions, ["item_id"], columns, keep=["match_status"])
 
     today = F.lit(day).cast("date")
     counters = ["view_count", "like_count", "comment_count"]
     rows = incoming.select("item_id", today.alias("date"), *counters)
     snapshots = new_snapshots(item_snapshots.where(F.col("date") == today), rows, "item_id", F.struct(*counters))
 
-    collected = upserted.join(incoming.select("item_id"), "item_id", "left_semi")
-    pairs = judged_pairs(title_hits(collected.select("item_id", "title"), index_catalog(catalog)))
+    hits = title_hits(incoming.select("item_id", "title"), index_catalog(catalog))
+    pairs = checkpointed(judged_pairs(hits), spark)
     columns_of_link = ["item_id", "catalog_id", "method", "confidence"]
     linked = replaced_auto_links(
         links.select(*columns_of_link), pairs.where("is_match").select(*columns_of_link), collected
     )
-    others = upserted.join(incoming.select("item_id"), "item_id", "left_anti")
+    others = stored.join(ids, "item_id", "left_anti")
     final_items = others.unionByName(status_after_linking(collected, linked))
     rebuilt = rebuilt_mentions(linked, final_items)
     review = unlinked_items(collected.select("item_id"), linked).join(

@@ -25,10 +25,13 @@ def item_trends(item_daily: DataFrame, period: int) -> DataFrame:
 def trending_ranked(
     items: DataFrame, entities: DataFrame, item_daily: DataFrame, mode: str | None, types: str | None
 ) -> DataFrame:
-    """Rankable items of the asked types that grew, with their entity."""
+    """Rankable items of the asked types that grew, with their entity.
+
+    Trends come first: few items grow, and only those are brought to their entities.
+    """
     trends = growing(item_trends(item_daily, period_of_mode(mode)).where("is_ready"))
     kept = trends.select("item_id", "latest_date", "base_date", "comparison_days", "is_provisional", "delta", "delta_pct")
-    return items_with_entities(of_types(items, types).where(is_rankable()), entities).join(kept, "item_id")
+    return items_with_entities(of_types(items, types).where(is_rankable()).join(kept, "item_id"), entities)
 
 
 def trending_page(

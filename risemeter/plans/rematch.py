@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from risemeter.operators.links import without
 from risemeter.operators.matching import index_catalog, judged_pairs, title_hits
 from risemeter.operators.predicates import EXCLUDED_METHOD, MANUAL_METHODS
+from risemeter.session import checkpointed
 
 
 @dataclass
@@ -21,9 +22,10 @@ class Rematch:
 def rematch(items: DataFrame, catalog: DataFrame, links: DataFrame) -> Rematch:
     """Links to add, the planned status of every item, and a summary.
 
-    A second run over the result adds nothing. All three come from one pass over the titles.
+    A second run over the result adds nothing. All three come from one pass over the titles,
+    whose pairs are checkpointed.
     """
-    pairs = judged_pairs(title_hits(items, index_catalog(catalog)))
+    pairs = checkpointed(judged_pairs(title_hits(items, index_catalog(catalog))), items.sparkSession)
     stored = links.select("item_id", "catalog_id").distinct()
     to_add = without(pairs.where("is_match"), stored, ["item_id", "catalog_id"]).select(
         "item_id", "catalog_id", "method", "confidence"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from risemeter.functions.identity import normalize_type, with_identity_key
 from risemeter.functions.text import catalog_terms
@@ -27,10 +27,12 @@ def plan_catalog_upsert(
     known = with_identity_key(catalog, reviewed_aliases).select("catalog_id", "name", "identity_key")
     found = by_name_or_key(seeds, known, "name")
     joined = seeds.join(found, "name", "left")
-    new = F.col("existing_id").isNull()
-    order = Window.partitionBy("identity_key", new).orderBy("position", "name")
-    first_new = new & (F.row_number().over(order) == 1)
-    return joined.withColumn("action", F.when(first_new, "insert").otherwise("update"))
+    first = joined.where(F.col("existing_id").isNull()).groupBy("identity_key").agg(
+        F.min(F.struct("position", "name")).alias("_first")
+    )
+    is_first = F.col("existing_id").isNull() & (F.struct("position", "name") == F.col("_first"))
+    action = F.when(F.coalesce(is_first, F.lit(False)), "insert").otherwise("update")
+    return joined.join(first, "identity_key", "left").withColumn("action", action).drop("_first")
 
 
 def apply_catalog_upsert(catalog: DataFrame, plan: DataFrame) -> DataFrame:

@@ -32,4 +32,4 @@ def vote_counts(votes: DataFrame, kinds: list[str] = CATALOG_VOTE_TYPES) -> Data
 
 
 def vote_audit(votes: DataFrame) -> DataFrame:
-    return duplicate_votes(votes).orderBy(F.desc("duplicate_count"), "target_id", "voter_id")
+    return duplicate_votes(votes).orderBy(F.desc("duplicate_count"), "target_id", "voter_id", "vote_id")

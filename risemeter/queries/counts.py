@@ -76,8 +76,8 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "a7_duplicate_votes",
-    """SELECT target_id, voter_id, count(*) AS duplicate_count, max(vote_id) AS kept_id,
-    string_agg(CAST(vote_id AS VARCHAR), ',' ORDER BY vote_id) AS vote_ids FROM votes GROUP BY ALL HAVING count(*) > 1""",
+    """SELECT target_id, voter_id, vote_id, duplicate_count, kept_id FROM votes JOIN (SELECT target_id, voter_id,
+    count(*) AS duplicate_count, max(vote_id) AS kept_id FROM votes GROUP BY ALL HAVING count(*) > 1) USING (target_id, voter_id)""",
 )
 def _(v: Views) -> DataFrame:
     return vote_audit(v.votes())
