@@ -163,8 +163,11 @@ class Views:
         return self._select("documents", "doc_id AS item_id", "text AS title")
 
     def phrases(self) -> DataFrame:
-        """Benchmark passages as a catalog: the passage is the name, its sentences are aliases."""
-        return self._select(
+        """Benchmark passages as a catalog: the passage is the name, its sentences are aliases.
+
+        A second entry per passage is named after the first sentence only, so that matches overlap.
+        """
+        passages = self._select(
             "benchmark",
             "item_id AS catalog_id",
             "text AS name",
@@ -175,6 +178,8 @@ class Views:
             "array(substring(text, 1, 12), substring(text, 30, 10)) AS resolving_keywords",
             "CASE WHEN contains(text, 'ó') THEN array(substring(text, 40, 30)) END AS exclude_terms",
         )
+        openings = self._select("benchmark", "item_id + 1000000 AS catalog_id", "split(text, '\\\\.')[0] AS name")
+        return passages.unionByName(openings, allowMissingColumns=True)
 
 
 # The same views for the checks. Statements over these names get what they need prepended.
@@ -235,7 +240,8 @@ SQL = {
     "phrases": """SELECT item_id AS catalog_id, text AS name, string_split(text, '.')[1] AS short_name,
         string_split(text, '.') AS aliases, string_split(text, ',') AS ambiguous_aliases,
         [substr(text, 1, 12), substr(text, 30, 10)] AS resolving_keywords,
-        CASE WHEN contains(text, 'ó') THEN [substr(text, 40, 30)] END AS exclude_terms FROM benchmark""",
+        CASE WHEN contains(text, 'ó') THEN [substr(text, 40, 30)] END AS exclude_terms FROM benchmark
+        UNION ALL SELECT item_id + 1000000, string_split(text, '.')[1], NULL, [], [], [], NULL FROM benchmark""",
     # Confirmed (item, entry) pairs, all and rankable ones.
     "confirmed": """SELECT DISTINCT l.item_id, l.catalog_id, i.entity_id, i.view_count, i.content_type, i.published_at,
         i.updated_at FROM links l JOIN items i USING (item_id)
