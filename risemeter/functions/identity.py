@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from risemeter.functions.text import SPACE, nfkc, trim_space
+from risemeter.functions.text import SPACE_CHARACTERS, nfkc, trim_space, without_characters
 
 # Numeral words, longest first; a bare "v" has no rule.
 ROMAN_NUMERALS = {"vi": 6, "iv": 4, "iii": 3, "ii": 2, "i": 1}
 # Punctuation dropped from catalog names and from maker names.
-NAME_PUNCTUATION = "・･,，.．:：/／\\-_()（）「」『』"
+NAME_PUNCTUATION = "・･,，.．:：/／-_()（）「」『』"
 MAKER_PUNCTUATION = "・･.．"
 # Maker synonyms after normalization.
 MAKER_SYNONYMS = {"オッケー": "おっけー", "京楽": "京楽産業"}
@@ -31,12 +31,12 @@ def normalize_name(name: Column) -> Column:
     out = F.lower(nfkc(name))
     for numeral, digit in ROMAN_NUMERALS.items():
         out = F.regexp_replace(out, f"(^|[^a-z]){numeral}([^a-z]|\\z)", f"$1{digit}$2")
-    return F.regexp_replace(out, f"[{SPACE}{NAME_PUNCTUATION}]", "")
+    return without_characters(out, SPACE_CHARACTERS + NAME_PUNCTUATION)
 
 
 def normalize_maker(maker: Column) -> Column:
     """Maker without spacing and dots, synonyms folded; NULL and empty become empty."""
-    plain = F.regexp_replace(F.lower(nfkc(maker)), f"[{SPACE}{MAKER_PUNCTUATION}]", "")
+    plain = without_characters(F.lower(nfkc(maker)), SPACE_CHARACTERS + MAKER_PUNCTUATION)
     out = plain
     for variant, chosen in MAKER_SYNONYMS.items():
         out = F.when(plain == variant, F.lit(chosen)).otherwise(out)

@@ -8,9 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
-# The whitespace characters and the punctuation that normalization removes.
+# The whitespace characters and the punctuation that normalization removes, first as
+# parts of a pattern, then as plain characters.
 SPACE = "\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 STRIPPED = "・･\\-_()\\[\\]【】「」『』"
+SPACE_CHARACTERS = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+STRIPPED_CHARACTERS = "・･-_()[]【】「」『』"
 # Minimum normalized lengths of terms and tokens, (any script, ASCII letters and digits).
 SAFE_TERM_LENGTHS = (4, 6)
 SAFE_TOKEN_LENGTHS = (3, 5)
@@ -34,9 +40,16 @@ def trim_space(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def without_characters(text: Column, characters: str) -> Column:
+    return F.translate(text, characters, "")
+
+
 def strip_text(text: Column) -> Column:
-    """The part of normalization after NFKC: lower case, whitespace and punctuation removed."""
-    return F.regexp_replace(F.lower(text), f"[{SPACE}{STRIPPED}]", "")
+    """The part of normalization after NFKC: lower case, whitespace and punctuation removed.
+
+    ``translate`` drops single characters several times faster than a character-class pattern.
+    """
+    return without_characters(F.lower(text), SPACE_CHARACTERS + STRIPPED_CHARACTERS)
 
 
 def normalize_text(text: Column) -> Column:

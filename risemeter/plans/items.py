@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 from risemeter.functions.content import CONTENT_TYPES, classify_content
 from risemeter.operators.links import catalog_tags, items_with_entities, top_per_group
 from risemeter.operators.predicates import fetched_only, growing, is_rankable, needs_metadata, of_types, period_of_mode
-from risemeter.operators.ranking import page_after
+from risemeter.operators.ranking import clamp_limit, page_after
 from risemeter.operators.snapshots import period_comparison
 from risemeter.operators.tallies import counts_of, missing_counts, transitions
 
-# Fixed value: examples shown per transition.
+# Examples shown per transition, page sizes.
 TRANSITION_EXAMPLES = 20
+DEFAULT_PAGE = 50
+LARGEST_PAGE = 100
 
 
 def item_trends(item_daily: DataFrame, period: int) -> DataFrame:
@@ -42,15 +44,16 @@ def trending_page(
     catalog: DataFrame,
     mode: str | None = "previous",
     types: str | None = "standard",
-    limit: int = 50,
+    limit: int | str | None = None,
     after: tuple[int, int, str] | None = None,
 ) -> DataFrame:
     """One page of trending items with catalog tags.
 
-    Tags are looked up for the page only. The page holds at most ``limit`` rows, so its ids are
+    Tags are looked up for the page only. The page holds at most ``LARGEST_PAGE`` rows, so its ids are
     broadcast to filter links and items without moving either.
     """
-    page = page_after(trending_ranked(items, entities, item_daily, mode, types), limit, after)
+    size = clamp_limit(limit, DEFAULT_PAGE, LARGEST_PAGE)
+    page = page_after(trending_ranked(items, entities, item_daily, mode, types), size, after)
     shown = F.broadcast(page.select("item_id"))
     tags = catalog_tags(links.join(shown, "item_id", "left_semi"), items.join(shown, "item_id", "left_semi"), catalog)
     return page.join(tags, "item_id", "left")
