@@ -9,6 +9,7 @@ from risemeter.operators.links import first_by
 from risemeter.operators.tallies import repeated_values
 from risemeter.plans.ingest import resolve_handles
 from risemeter.queries.registry import query, text, whole
+from risemeter.schemas import key_problems
 from risemeter.sources import payloads, seeds, sinks
 from risemeter.sources.tables import active_entities, lookup, scan
 from risemeter.views import Views
@@ -407,3 +408,13 @@ def _(v: Views) -> DataFrame:
 )
 def _(v: Views) -> DataFrame:
     return first_by(v.votes().drop("created_at"), ["target_id", "voter_id"], F.struct("vote_id"))
+
+
+@query(
+    "snk10_key_problems",
+    """SELECT 'links' AS table, item_id || '|' || catalog_id AS key, count(*) AS occurrences FROM links GROUP BY item_id, catalog_id
+    HAVING count(*) > 1 UNION ALL SELECT 'catalog_votes', target_id || '|' || voter_id, count(*) FROM votes
+    GROUP BY target_id, voter_id HAVING count(*) > 1""",
+)
+def _(v: Views) -> DataFrame:
+    return key_problems({"links": v.links(), "catalog_votes": v.votes(), "entities": v.entities(), "item_snapshots": v.item_daily()})

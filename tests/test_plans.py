@@ -396,3 +396,13 @@ def test_preferred_links(spark, rows):
         "link_id BIGINT, item_id STRING, catalog_id BIGINT, method STRING, confidence INT",
     )
     assert rows(L.preferred_links(links), "item_id", "link_id") == [("v1", 2), ("v2", 4), ("v3", 6)]
+
+
+def test_schemas_and_keys(spark, rows):
+    from risemeter import schemas
+
+    for name in schemas.SCHEMAS:
+        table = schemas.empty(spark, name)
+        assert set(schemas.UNIQUE_KEYS.get(name, [])) <= set(table.columns)
+    entities = spark.createDataFrame([(None,), (None,), ("x",), ("x",)], "external_id STRING")
+    assert rows(schemas.key_problems({"entities": entities})) == [("entities", "x", 2)]
