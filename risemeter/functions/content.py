@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from risemeter.functions.text import SPACE, trim_space
@@ -37,13 +35,16 @@ SHORTS_TAG = "(^|[S#])#?shorts?(S|\\z)"
 SHORT_MODE_NAME = "ショートS*st"
 
 
-def _pattern(text: str) -> str:
-    inside_class = text.replace("[S", f"[{SPACE}")
-    return "(?i)" + inside_class.replace("S", f"[{SPACE}]").replace("A*", "[^\\n\\r\\u2028\\u2029]*")
+def _pattern(*texts: str) -> str:
+    """One pattern for any of the listed ones, so that a title is passed over once per list."""
+    parts = [
+        t.replace("[S", f"[{SPACE}").replace("S", f"[{SPACE}]").replace("A*", "[^\\n\\r\\u2028\\u2029]*") for t in texts
+    ]
+    return "(?i)" + "|".join(f"(?:{part})" for part in parts)
 
 
 def _any(title: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [title.rlike(_pattern(p)) for p in patterns])
+    return title.rlike(_pattern(*patterns))
 
 
 def _class(content_type: str, reason: Column | str, confidence: int) -> Column:
