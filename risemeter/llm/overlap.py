@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from risemeter.llm.components import components
-from risemeter.llm.tables import saved
+from risemeter.llm.tables import free_name, saved
 from risemeter.llm.words import hash_words, mix, slices, split_words
 
 WORDS = 5
@@ -271,3 +271,24 @@ def _unsettled(lists: DataFrame, roots: DataFrame, after: int) -> DataFrame | No
     mixed = mixed.where(f"x <> y and last > {after}").select("gram", "run")
     waiting = saved(placed.join(mixed, ["gram", "run"], "left_semi"), "waiting")
     return waiting if waiting.limit(1).count() else None
+
+
+def one_per_component(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, one row each, and all rows without an id; the columns of ``docs``.
+
+    Texts move once, to meet the decisions on (id, text).
+    """
+    found = overlap_components(docs, percent, words)
+    id_, key = free_name(docs.columns, "_id"), free_name(docs.columns, "_key")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    kept = docs.join(gone, (F.col("doc_id").cast("long") == F.col(id_)) & (text_key() == F.col(key)), "left_anti")
+    repeated = found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return _first_rows(kept) if repeated else kept
+
+
+def _first_rows(kept: DataFrame) -> DataFrame:
+    """One row per id that has words, all rows that have no id or no word."""
+    columns, place = kept.columns, free_name(kept.columns, "_place")
+    apart = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    number = Window.partitionBy("doc_id", F.when(apart, F.monotonically_increasing_id())).orderBy("text")
+    return kept.withColumn(place, F.row_number().over(number)).where(F.col(place) == 1).select(*columns)
