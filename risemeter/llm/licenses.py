@@ -56,8 +56,8 @@ def notices_of(text: Column) -> Column:
 def closest_templates(notices: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, close: float = CLOSE) -> DataFrame:
     """(notice, license, score) of the distinct ``notice`` values that come close to a template."""
     spark = notices.sparkSession
-    given = spark.range(1 if templates else 0).select(F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in templates])).alias("t"))
-    given = given.select(F.monotonically_increasing_id().alias("template"), "t.license", F.explode(_terms(F.col("t.text"))).alias("term")).groupBy("template", "license", "term").count()
+    given = spark.range(1 if templates else 0).select(F.posexplode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in templates])).alias("template", "t"))
+    given = given.select("template", "t.license", F.explode(_terms(F.col("t.text"))).alias("term")).groupBy("template", "license", "term").count()
     words = notices.select("notice", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("notice", "term").count()
     spread = words.groupBy("term").agg(F.count("*").alias("held"))
     total = notices.agg(F.count("*").alias("all"))
@@ -95,7 +95,7 @@ def scan_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     depths = sorted(r.depth for r in declared.select("depth").distinct().collect())  # how deep directories lie, not how many there are
     seeking = known.where("own is null").select("row", directory.alias("folder"))
     cuts = F.filter(F.array(*map(F.lit, depths)) if depths else F.lit([]).cast(T.ArrayType(T.IntegerType())), lambda d: d <= _depth(F.col("folder")))
-    places = seeking.select("row", "folder", F.explode(cuts).alias("depth")).select("row", F.when(F.col("depth") == 0, "").otherwise(F.substring_index("folder", "/", F.col("depth"))).alias("directory"))
+    places = seeking.select("row", "folder", F.explode(cuts).alias("depth")).select("row", F.when(F.col("depth") == 0, "").otherwise(F.call_function("substring_index", F.col("folder"), F.lit("/"), F.col("depth"))).alias("directory"))
     found = places.join(declared, "directory").groupBy("row").agg(F.max(F.struct("depth", "directory", "given")).alias("f"))
     return known.join(found, "row", "left").select(
         "id",

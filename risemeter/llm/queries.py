@@ -97,7 +97,7 @@ ORACLES: dict[str, str] = {
             GROUP BY n
         )
         SELECT page_id, part.host, part.path, fit.rule,
-               coalesce(fit.verdict, CASE WHEN len(list_filter(regexp_split_to_array(part.host, '[^a-z0-9]+'), w -> w IN ({_WORDS}))) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+               coalesce(fit.verdict, CASE WHEN len([w for w in regexp_split_to_array(part.host, '[^a-z0-9]+') if w IN ({_WORDS})]) > 0 THEN 'block' ELSE 'allow' END) AS verdict
         FROM part LEFT JOIN fit USING (n)
     """,
     "op1_norm_sorted_topk": """
@@ -116,18 +116,22 @@ ORACLES: dict[str, str] = {
     """,
     "op7_shingle_jaccard": """
         WITH RECURSIVE words AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS w
+            SELECT doc_id, [w for w in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') if w <> ''] AS w
             FROM documents
+        ), word AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM words
+        ), five AS (
+            SELECT doc_id, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS g
+            FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY place)
         ), gram AS (
-            SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), k -> array_to_string(w[k : k + 4], ' ')))
-                                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
-            FROM words
+            SELECT DISTINCT doc_id, g FROM five WHERE g IS NOT NULL
+            UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 4
         ), size AS (
             SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id
-        ), both AS (
+        ), pair AS (
             SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM gram AS a JOIN gram AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
         ), link AS (
-            SELECT a, b FROM both JOIN size AS x ON x.doc_id = a JOIN size AS y ON y.doc_id = b WHERE 100 * both.n >= 75 * (x.n + y.n - both.n)
+            SELECT a, b FROM pair JOIN size AS x ON x.doc_id = a JOIN size AS y ON y.doc_id = b WHERE 100 * pair.n >= 75 * (x.n + y.n - pair.n)
         ), reach AS (
             SELECT doc_id, doc_id AS seen FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.seen
         )
