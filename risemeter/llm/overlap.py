@@ -13,7 +13,8 @@ threshold ``t`` (in per cent: ``100 * intersection >= t * union``):
    well as pairs whose sizes rule the threshold out, are no longer multiplied. A column goes once its nodes are one component. So a group of
    thousands of near copies costs one pass, no list is expanded into all its pairs, and yet each pair of different
    components that could link is counted.
-4. **Counts.** The overlap of each remaining pair is counted in full on the two texts and held against the threshold.
+4. **Counts.** Each set has a signature of parities, one bit per member. Cells of different parity bound from below how many members two sets do not share,
+   which rules most pairs out for an eighth of a byte per member. The overlap of the others is counted in full on the two texts and held against the threshold.
 
 Links are never brought to the driver, and components are found by star contraction in Spark.
 
@@ -70,6 +71,23 @@ def _set_keys(found: np.ndarray) -> tuple[int, int]:
     return int(mix(found, 11).sum(dtype=np.uint64).view(np.int64)), int(mix(found, 12).sum(dtype=np.uint64).view(np.int64))
 
 
+def signature(found: np.ndarray) -> bytes:
+    """The parity of the set's hashes in each of about as many cells as it has members (a power of two, 64 at least)."""
+    cells = max(64, 1 << max(0, len(found) - 1).bit_length())
+    odd = np.bincount((mix(found, 21) % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(one: bytes, two: bytes) -> int:
+    """A lower bound of how many members only one of two sets has: cells of different parity, the finer signature folded to the coarser."""
+    x, y = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _signed(found: np.ndarray) -> pa.Array:
     return pa.array(found.view(np.int64))
 
@@ -80,7 +98,7 @@ def text_key() -> Column:
 
 
 def describe(docs: DataFrame, words: int = WORDS, share: float = FREQUENT_SHARE) -> DataFrame:
-    """A row (doc_id, text_key, n, k1, k2, grams, counts) per document: size and name of its set.
+    """A row (doc_id, text_key, n, k1, k2, sign, grams, counts) per document: size, name and signature of its set.
 
     ``grams`` and ``counts`` are null there. Each task adds a row without names that lists the n-grams in at least half of ``share`` of
     its own documents (and in two at least); an n-gram in ``share`` of all documents is listed by some task.
@@ -98,12 +116,13 @@ def describe(docs: DataFrame, words: int = WORDS, share: float = FREQUENT_SHARE)
 
         size = 0
         for b in batches:
-            n, k1, k2 = [], [], []
+            n, k1, k2, sign = [], [], [], []
             for found in shingle_sets(b.column("text"), words):
                 n.append(len(found))
                 a, c = _set_keys(found)
                 k1.append(a)
                 k2.append(c)
+                sign.append(signature(found))
                 held.append(found)
                 size += len(found)
                 rows += 1
@@ -112,19 +131,19 @@ def describe(docs: DataFrame, words: int = WORDS, share: float = FREQUENT_SHARE)
                     held, size = [], 0
             empty = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), empty.cast(pa.list_(pa.int64())), empty.cast(pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "n", "k1", "k2", "grams", "counts"],
+                [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sign, pa.binary()), empty.cast(pa.list_(pa.int64())), empty.cast(pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n", "k1", "k2", "sign", "grams", "counts"],
             )
         if rows:
             kept, counts = merged(max(2, share * rows / 2))
             none = pa.nulls(1)
             yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array([kept.view(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "n", "k1", "k2", "grams", "counts"],
+                [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([kept.view(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n", "k1", "k2", "sign", "grams", "counts"],
             )
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
-    return wanted.mapInArrow(measure, "doc_id long, text_key long, n int, k1 long, k2 long, grams array<long>, counts array<long>")
+    return wanted.mapInArrow(measure, "doc_id long, text_key long, n int, k1 long, k2 long, sign binary, grams array<long>, counts array<long>")
 
 
 def frequent_grams(described: DataFrame, share: float = FREQUENT_SHARE) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +198,21 @@ def _column_rows(out: list[np.ndarray], names: list[int], sizes: list[int]) -> p
     )
 
 
+def near(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The (a, b) of ``pairs`` whose signatures allow the threshold; no pair that reaches it is lost."""
+    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sign").alias("sign_a"))
+    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sign").alias("sign_b"))
+    signed = pairs.join(one, "a").join(two, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), "sign_a", "sign_b")
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column("total").to_pylist(), b.column("sign_a").to_pylist(), b.column("sign_b").to_pylist(), strict=True)
+            keep = [(100 + percent) * least_difference(x, y) <= (100 - percent) * total for total, x, y in rows]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return signed.mapInArrow(reach, "a long, b long")
+
+
 def linked(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The (a, b) of ``pairs`` that link, counted on the texts of the nodes (node, text)."""
     one = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -211,19 +245,19 @@ def overlap_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     twins = rows.where("n > 0").groupBy("k1").agg(F.min("k2").alias("x"), F.max("k2").alias("y")).where("x <> y")
     clashing = frozenset(r.k1 for r in twins.select("k1").collect())
     rows = rows.withColumn("k1", F.when(F.col("k1").isin(*clashing), F.col("k2")).otherwise(F.col("k1"))) if clashing else rows
-    first = F.min(F.struct("doc_id", "text_key")).alias("first")
-    nodes = rows.where("n > 0 and doc_id is not null").groupBy(F.col("k1").alias("node")).agg(first).select("node", "first.doc_id", "first.text_key")
+    first = F.min(F.struct("doc_id", "text_key", "n", "sign")).alias("first")
+    nodes = rows.where("n > 0 and doc_id is not null").groupBy(F.col("k1").alias("node")).agg(first).select("node", "first.*")
 
     shared = saved(_runs(columns(docs, frequent_grams(described, share), percent, words, clashing), percent), "columns")
-    named = shared.select(F.col("k1").alias("node")).distinct().join(nodes, "node")
+    named = saved(shared.select(F.col("k1").alias("node")).distinct().join(nodes, "node"), "nodes")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", text_key())
-    texts = saved(source.join(named, ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    texts = saved(source.join(named.select("node", "doc_id", "text_key"), ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
 
-    joined = components(saved(linked(_block(shared, 0, 1, percent), texts, percent, words), "links"))
+    joined = components(saved(linked(near(_block(shared, 0, 1, percent), named, percent), texts, percent, words), "links"))
     after, width = 1, block
     waiting = _unsettled(shared, joined, after)
     while waiting is not None:
-        fresh = saved(linked(_block(waiting, after, width, percent), texts, percent, words), "links")
+        fresh = saved(linked(near(_block(waiting, after, width, percent), named, percent), texts, percent, words), "links")
         joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(fresh))
         after, width = after + width, width * 2
         waiting = _unsettled(waiting.drop("root"), joined, after)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from risemeter.llm import overlap
@@ -97,3 +98,11 @@ def test_the_task_count_finds_frequent_grams(spark):
     docs = spark.createDataFrame([(i, passage + f" a{i} b{i} c{i} d{i} e{i}") for i in range(50)], "doc_id long, text string")
     grams, counts = overlap.frequent_grams(overlap.describe(docs, share=0.5), share=0.5)
     assert len(grams) == 4 and set(counts) == {50}
+
+
+def test_signatures_never_exceed_the_difference():
+    dice = np.random.default_rng(4)
+    for _ in range(300):
+        pool = dice.integers(0, 2**63, 400).astype(np.uint64)
+        one, two = (np.unique(dice.choice(pool, int(dice.integers(1, 400)))) for _ in range(2))
+        assert overlap.least_difference(overlap.signature(one), overlap.signature(two)) <= len(np.setxor1d(one, two))
