@@ -162,7 +162,7 @@ def frequent_grams(described: DataFrame, share: float = FREQUENT_SHARE) -> tuple
 
 
 def columns(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int = PERCENT, words: int = WORDS, clashing: frozenset[int] = frozenset()) -> DataFrame:
-    """(gram, k1, n): the n-grams over which the product runs, per set."""
+    """(gram, k1, n, pos): the n-grams over which the product runs, per set."""
     grams, counts = frequent
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,14 +187,14 @@ def columns(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: i
                 yield _column_rows(out, names, sizes)
 
     wanted = docs.where("doc_id is not null and text is not null").select("text")
-    return wanted.mapInArrow(prefix, "gram long, k1 long, n int")
+    return wanted.mapInArrow(prefix, "gram long, k1 long, n int, pos int")
 
 
 def _column_rows(out: list[np.ndarray], names: list[int], sizes: list[int]) -> pa.RecordBatch:
     each = [len(x) for x in out]
     return pa.RecordBatch.from_arrays(
-        [_signed(np.concatenate(out)), pa.array(np.repeat(np.array(names, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))],
-        ["gram", "k1", "n"],
+        [_signed(np.concatenate(out)), pa.array(np.repeat(np.array(names, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(np.concatenate([np.arange(e, dtype=np.int32) for e in each]))],
+        ["gram", "k1", "n", "pos"],
     )
 
 
@@ -274,7 +274,7 @@ def overlap_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
 
 
 def _runs(listed: DataFrame, percent: int) -> DataFrame:
-    """(gram, run, k1, n, place): the columns, cut where sizes jump too far for any pair across the jump; lists of one node are left out.
+    """(gram, run, k1, n, pos, place): the columns, cut where sizes jump too far for any pair across the jump; lists of one node are left out.
 
     One exchange and one sort by n-gram; the windows stream over a list.
     """
@@ -285,22 +285,25 @@ def _runs(listed: DataFrame, percent: int) -> DataFrame:
     )
     numbered = jumps.where("not (start and end)").withColumn("run", F.sum(F.col("start").cast("int")).over(order))
     places = F.row_number().over(Window.partitionBy("gram", "run").orderBy("n", "k1")) - 1
-    return numbered.select("gram", "run", "k1", "n", places.alias("place"))
+    return numbered.select("gram", "run", "k1", "n", "pos", places.alias("place"))
 
 
 def _block(lists: DataFrame, after: int, width: int, percent: int) -> DataFrame:
     """The distinct (a, b) of the nodes in places ``after`` to ``after + width`` with later ones, as far as sizes and components allow."""
     known = "root" in lists.columns
-    side = lambda s: [F.col("k1").alias(s), F.col("n").alias(f"n_{s}"), F.col("place").alias(f"place_{s}"), F.col("root" if known else "k1").alias(f"root_{s}")]
+    side = lambda s: [F.col("k1").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("place").alias(f"place_{s}"), F.col("root" if known else "k1").alias(f"root_{s}")]
     left = lists.where(f"place >= {after} and place < {after + width}").select("gram", "run", *side("a"))
     right = lists.where(f"place > {after}").select("gram", "run", *side("b"))
-    pairs = left.join(right, ["gram", "run"]).where(f"place_a < place_b and root_a <> root_b and n_a * 100 >= n_b * {percent}")
+    # A pair that reaches the threshold shares an n-gram that stands, in both, before all but as many members as it must share.
+    spare = f"floor((n_a + n_b) * {percent} / {100 + percent})"
+    early = f"pos_a <= n_a - {spare} and pos_b <= n_b - {spare}"
+    pairs = left.join(right, ["gram", "run"]).where(f"place_a < place_b and root_a <> root_b and n_a * 100 >= n_b * {percent} and {early}")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _unsettled(lists: DataFrame, roots: DataFrame, after: int) -> DataFrame | None:
     """The lists that still hold nodes of several components and unmultiplied pairs, with the root of each node; None if there are none."""
-    placed = lists.join(roots, lists.k1 == roots.node, "left").select("gram", "run", "k1", "n", "place", F.coalesce("root", "k1").alias("root"))
+    placed = lists.join(roots, lists.k1 == roots.node, "left").select("gram", "run", "k1", "n", "pos", "place", F.coalesce("root", "k1").alias("root"))
     mixed = placed.groupBy("gram", "run").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("place").alias("last"))
     mixed = mixed.where(f"x <> y and last > {after}").select("gram", "run")
     waiting = saved(placed.join(mixed, ["gram", "run"], "left_semi"), "waiting")
