@@ -75,7 +75,11 @@ def with_identity_key(catalog: DataFrame, reviewed_aliases: DataFrame | None = N
     plain = catalog.withColumn("_name", normalize_name(F.col("name")))
     name, maker = F.col("_name"), F.col("maker")
     if reviewed_aliases is not None:
-        lookup = reviewed_aliases.select(
+        # A canonical name leads to its own canonical maker, as its aliases do.
+        own = F.col("canonical_name").alias("alias")
+        listed = reviewed_aliases.select("alias", "canonical_name", "canonical_maker")
+        listed = listed.unionByName(reviewed_aliases.select(own, "canonical_name", "canonical_maker"))
+        lookup = listed.select(
             normalize_name(F.col("alias")).alias("_alias"),
             F.struct(
                 normalize_name(F.col("canonical_name")).alias("name"), F.col("canonical_maker").alias("maker")

@@ -6,6 +6,8 @@ TakeOrderedAndProject: each task keeps n rows and only those travel.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from risemeter.session import checkpointed
@@ -72,7 +74,7 @@ def clamp_limit(parameter: str | int | None, default: int, maximum: int) -> int:
         number = float(default if parameter is None else parameter)
     except ValueError:
         return default
-    return default if number < 1 or number != int(number) else min(int(number), maximum)
+    return default if not math.isfinite(number) or number < 1 or number != int(number) else min(int(number), maximum)
 
 
 def offset_from(parameter: str | int | None) -> int:
@@ -80,7 +82,7 @@ def offset_from(parameter: str | int | None) -> int:
         number = float(0 if parameter is None else parameter)
     except ValueError:
         return 0
-    return int(number) if number > 0 and number == int(number) else 0
+    return int(number) if math.isfinite(number) and number > 0 and number == int(number) else 0
 
 
 def page_after(ranked: DataFrame, limit: int, after: tuple[int, int, str] | None = None) -> DataFrame:
