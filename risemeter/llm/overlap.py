@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from risemeter.llm.components import components
-from risemeter.llm.tables import free_name, saved
+from risemeter.llm.tables import free_name, saved, saved_by
 from risemeter.llm.words import hash_words, mix, slices, split_words
 
 WORDS = 5
@@ -213,11 +213,31 @@ def near(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
     return signed.mapInArrow(reach, "a long, b long")
 
 
+def node_texts(docs: DataFrame, nodes: DataFrame, words: int = WORDS, clashing: frozenset[int] = frozenset()) -> DataFrame:
+    """(node, text): one text of each of ``nodes``. All texts of a node have the same set, so any of them will do."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = []
+            for found in shingle_sets(b.column("text"), words):
+                k1, k2 = _set_keys(found)
+                names.append((k2 if k1 in clashing else k1) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), b.column("text")], ["node", "text"])
+
+    rows = docs.where("doc_id is not null and text is not null").select("text").mapInArrow(named, "node long, text string")
+    # Copies within a task are combined before the exchange on the node, which the semi-join then shares.
+    return rows.where("node is not null").dropDuplicates(["node"]).join(nodes.select("node"), "node", "left_semi")
+
+
 def linked(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """The (a, b) of ``pairs`` that link, counted on the texts of the nodes (node, text)."""
+    """The (a, b) of ``pairs`` that link, counted on the texts of the nodes (node, text), which are stored by node.
+
+    The pairs go to the stored texts of their followers b; only the texts of pairs, and those of leading nodes, move on.
+    """
     one = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    two = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    # The second exchange, on a, brings the pairs of a leading node together; a node with very many pairs is split by AQE.
+    leading = pairs.select(F.col("a").alias("node")).distinct()
+    two = texts.join(leading, "node", "left_semi").select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    # A follower has no more leading nodes than its columns allow; a leading node with very many followers is split by AQE here.
     joined = pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,14 +270,16 @@ def overlap_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
 
     shared = saved(_runs(columns(docs, frequent_grams(described, share), percent, words, clashing), percent), "columns")
     named = saved(shared.select(F.col("k1").alias("node")).distinct().join(nodes, "node"), "nodes")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", text_key())
-    texts = saved(source.join(named.select("node", "doc_id", "text_key"), ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    texts = saved_by(node_texts(docs, named, words, clashing), "node", "texts")
 
-    joined = components(saved(linked(near(_block(shared, 0, 1, percent), named, percent), texts, percent, words), "links"))
+    def links(block: DataFrame) -> DataFrame:
+        return saved(linked(saved(near(block, named, percent), "near"), texts, percent, words), "links")
+
+    joined = components(links(_block(shared, 0, 1, percent)))
     after, width = 1, block
     waiting = _unsettled(shared, joined, after)
     while waiting is not None:
-        fresh = saved(linked(near(_block(waiting, after, width, percent), named, percent), texts, percent, words), "links")
+        fresh = links(_block(waiting, after, width, percent))
         joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(fresh))
         after, width = after + width, width * 2
         waiting = _unsettled(waiting.drop("root"), joined, after)
@@ -289,7 +311,10 @@ def _runs(listed: DataFrame, percent: int) -> DataFrame:
 
 
 def _block(lists: DataFrame, after: int, width: int, percent: int) -> DataFrame:
-    """The distinct (a, b) of the nodes in places ``after`` to ``after + width`` with later ones, as far as sizes and components allow."""
+    """The distinct (a, b) of the nodes in places ``after`` to ``after + width`` with later ones, as far as sizes and components allow.
+
+    The leading node a comes before b in the order by size and name that all columns share, so no pair occurs the other way round.
+    """
     known = "root" in lists.columns
     side = lambda s: [F.col("k1").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("place").alias(f"place_{s}"), F.col("root" if known else "k1").alias(f"root_{s}")]
     left = lists.where(f"place >= {after} and place < {after + width}").select("gram", "run", *side("a"))
@@ -298,7 +323,7 @@ def _block(lists: DataFrame, after: int, width: int, percent: int) -> DataFrame:
     spare = f"floor((n_a + n_b) * {percent} / {100 + percent})"
     early = f"pos_a <= n_a - {spare} and pos_b <= n_b - {spare}"
     pairs = left.join(right, ["gram", "run"]).where(f"place_a < place_b and root_a <> root_b and n_a * 100 >= n_b * {percent} and {early}")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select("a", "b").distinct()
 
 
 def _unsettled(lists: DataFrame, roots: DataFrame, after: int) -> DataFrame | None:

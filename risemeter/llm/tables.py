@@ -35,6 +35,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like ``saved``, in as many buckets of ``key`` as the session has shuffle partitions: joins on ``key`` leave these rows in place."""
+    spark = df.sparkSession
+    table = f"llm_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.option("path", f"{shared_folder(spark)}/llm/{table}").bucketBy(buckets, key)
+    writer.saveAsTable(table, format="parquet")
+    return spark.table(table)
+
+
 def free_name(columns: list[str], wanted: str) -> str:
     """``wanted``, with underscores in front until no column is called so."""
     taken = {c.lower() for c in columns}
