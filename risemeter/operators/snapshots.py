@@ -30,6 +30,11 @@ def one_per_day(snapshots: DataFrame, key: str, values: list[str], collected_at:
     )
 
 
+def daily_rows(snapshots: DataFrame, key: str, value: str) -> DataFrame:
+    """``one_per_day`` of raw rows, which tell when they were collected; rows without that column are daily already."""
+    return one_per_day(snapshots, key, [value]) if "collected_at" in snapshots.columns else snapshots
+
+
 def latest_as_of(daily: DataFrame, key: str, values: list[str], reference_day: str | None = None) -> DataFrame:
     """Latest row per key, optionally not after ``reference_day``. NULL values are kept."""
     rows = daily if reference_day is None else daily.where(F.col("date") <= F.lit(reference_day).cast("date"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from risemeter.operators.ranking import ENTITY_ITEMS, falling, item_order, rising
-from risemeter.operators.snapshots import chart_series, newest_vs_oldest_of_last, period_comparison
+from risemeter.operators.snapshots import chart_series, daily_rows, newest_vs_oldest_of_last, period_comparison
 from risemeter.sources.tables import active_entities, lookup
 
 _SHOWN = ["entity_id", "name", "external_id", "handle", "category", "thumbnail_url"]
@@ -14,9 +14,10 @@ _SHOWN = ["entity_id", "name", "external_id", "handle", "category", "thumbnail_u
 def growth_ranking(entities: DataFrame, daily: DataFrame, period: int) -> DataFrame:
     """Active entities on the rising, falling or insufficient list; no change is on none.
 
-    Snapshots are reduced to one row per entity before they meet the entity table.
+    Snapshots are reduced to one row per entity before they meet the entity table. Rows with ``collected_at`` may
+    repeat within a day, the newest collection counts; without it a day must be unique.
     """
-    compared = period_comparison(daily, "entity_id", "subscriber_count", period)
+    compared = period_comparison(daily_rows(daily, "entity_id", "subscriber_count"), "entity_id", "subscriber_count", period)
     joined = active_entities(entities).select(*_SHOWN).join(compared, "entity_id", "left")
     ready = F.coalesce("is_ready", F.lit(False))
     side = F.when(~ready, "insufficient").when(F.col("delta") > 0, "rising").when(F.col("delta") < 0, "falling")

@@ -10,7 +10,7 @@ from risemeter.functions.content import CONTENT_TYPES, classify_content
 from risemeter.operators.links import catalog_tags, items_with_entities, top_per_group
 from risemeter.operators.predicates import fetched_only, growing, is_rankable, needs_metadata, of_types, period_of_mode
 from risemeter.operators.ranking import clamp_limit, page_after
-from risemeter.operators.snapshots import period_comparison
+from risemeter.operators.snapshots import daily_rows, period_comparison
 from risemeter.operators.tallies import counts_of, missing_counts, transitions
 
 # Examples shown per transition, page sizes.
@@ -20,8 +20,8 @@ LARGEST_PAGE = 100
 
 
 def item_trends(item_daily: DataFrame, period: int) -> DataFrame:
-    """One trend per item."""
-    return period_comparison(item_daily, "item_id", "view_count", period)
+    """One trend per item. Rows with ``collected_at`` may repeat within a day, the newest collection counts."""
+    return period_comparison(daily_rows(item_daily, "item_id", "view_count"), "item_id", "view_count", period)
 
 
 def trending_ranked(

@@ -18,11 +18,11 @@ MANUAL_CONFIDENCE = 100
 
 
 def review_candidates(
-    pairs: DataFrame, items: DataFrame, judged: DataFrame, limit: int | None = CANDIDATES_PER_RUN
+    pairs: DataFrame, items: DataFrame, judged: DataFrame, limit: int | None = None
 ) -> DataFrame:
-    """Ambiguous (item, catalog) pairs not judged yet, each once, the first ``limit`` by id.
+    """Ambiguous (item, catalog) pairs not judged yet, each once.
 
-    The limit is the size of one review run; pass None for all of them.
+    With a ``limit``, such as ``CANDIDATES_PER_RUN``, only the first ones by id: one review run.
     """
     keyed = pairs.select("item_id", "catalog_id").distinct().withColumn(
         "judgment_key", judgment_key(F.col("item_id"), F.col("catalog_id"))

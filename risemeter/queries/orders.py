@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from risemeter.operators import predicates as P, ranking as T
 from risemeter.operators.snapshots import period_comparison
@@ -24,27 +24,26 @@ def _growth(v: Views) -> DataFrame:
 
 @query(
     "t1_rising",
-    f"SELECT entity_id, delta, row_number() OVER (ORDER BY delta DESC, name, entity_id) AS place FROM {GROWTH_SQL} WHERE delta > 0 QUALIFY place <= 20",
+    f"SELECT entity_id, delta, row_number() OVER (ORDER BY delta DESC, name, entity_id) AS place FROM {GROWTH_SQL} WHERE delta > 0",
 )
 def _(v: Views) -> DataFrame:
-    return _placed(ranking_list(_growth(v), "rising"), [F.desc("delta"), F.asc("name"), F.asc("entity_id")], 20, "entity_id", "delta")
+    return _placed(ranking_list(_growth(v), "rising"), [F.desc("delta"), F.asc("name"), F.asc("entity_id")], "entity_id", "delta")
 
 
-def _placed(ranked: DataFrame, order: list, n: int, *columns: str) -> DataFrame:
-    """The first rows of an ordered list with their place; at most ``n`` rows are numbered."""
-    best = ranked.limit(n)
-    return best.select(*columns, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).cast("long").alias("place"))
+def _placed(ranked: DataFrame, order: list, *columns: str) -> DataFrame:
+    """All rows of an ordered list with their place."""
+    return T.with_positions(ranked, order, "place").select(*columns, F.col("place").cast("long").alias("place"))
 
 
 @query(
     "t2_by_growth_rate",
     f"""SELECT entity_id, delta_pct, row_number() OVER (ORDER BY delta_pct DESC, delta DESC, name, entity_id) AS place FROM {GROWTH_SQL}
-    WHERE delta > 0 QUALIFY place <= 20""",
+    WHERE delta > 0""",
 )
 def _(v: Views) -> DataFrame:
     ranked = T.by_growth_rate(ranking_list(_growth(v), "rising"), upwards=True)
     order = [F.desc("delta_pct"), F.desc("delta"), F.asc("name"), F.asc("entity_id")]
-    return _placed(ranked, order, 20, "entity_id", "delta_pct")
+    return _placed(ranked, order, "entity_id", "delta_pct")
 
 
 TRENDING_SQL = """(SELECT i.item_id, i.view_count, i.content_type, t.delta, t.delta_pct, e.name AS entity_name FROM items i JOIN entities e USING (entity_id)
@@ -54,11 +53,11 @@ TRENDING_SQL = """(SELECT i.item_id, i.view_count, i.content_type, t.delta, t.de
 @query(
     "t3_trending_order",
     f"""SELECT item_id, delta, row_number() OVER (ORDER BY delta DESC, view_count DESC, CAST(item_id AS VARCHAR)) AS place
-    FROM {TRENDING_SQL} QUALIFY place <= 50""",
+    FROM {TRENDING_SQL}""",
 )
 def _(v: Views) -> DataFrame:
     ranked = trending_ranked(v.items(), v.entities(), v.item_daily(), "previous", "standard,short").orderBy(*T.trending_order())
-    return _placed(ranked, T.trending_order(), 50, "item_id", "delta")
+    return _placed(ranked, T.trending_order(), "item_id", "delta")
 
 
 BUZZ_SQL = """(SELECT c.catalog_id, c.name, c.maker, CAST(c.release_date AS VARCHAR) AS release_date, c.kind AS type,
@@ -76,28 +75,26 @@ def _buzz(v: Views) -> DataFrame:
 @query(
     "t4_momentum_order",
     f"""SELECT catalog_id, recent_views, row_number() OVER (ORDER BY recent_views DESC, total_views DESC, catalog_id) AS place
-    FROM {BUZZ_SQL} QUALIFY place <= 30""",
+    FROM {BUZZ_SQL}""",
 )
 def _(v: Views) -> DataFrame:
-    return _placed(_buzz(v), T.momentum_order(), 30, "catalog_id", "recent_views")
+    return _placed(_buzz(v), T.momentum_order(), "catalog_id", "recent_views")
 
 
 @query(
     "t5_item_order_views",
-    """SELECT item_id, row_number() OVER (ORDER BY view_count DESC, published_at DESC, CAST(item_id AS VARCHAR)) AS place FROM items
-    QUALIFY place <= 40""",
+    """SELECT item_id, row_number() OVER (ORDER BY view_count DESC, published_at DESC, CAST(item_id AS VARCHAR)) AS place FROM items""",
 )
 def _(v: Views) -> DataFrame:
-    return _placed(v.items().orderBy(*T.item_order("views")), T.item_order("views"), 40, "item_id")
+    return _placed(v.items().orderBy(*T.item_order("views")), T.item_order("views"), "item_id")
 
 
 @query(
     "t5_item_order_newest",
-    """SELECT item_id, row_number() OVER (ORDER BY published_at DESC, view_count DESC, CAST(item_id AS VARCHAR)) AS place FROM items
-    QUALIFY place <= 40""",
+    """SELECT item_id, row_number() OVER (ORDER BY published_at DESC, view_count DESC, CAST(item_id AS VARCHAR)) AS place FROM items""",
 )
 def _(v: Views) -> DataFrame:
-    return _placed(v.items().orderBy(*T.item_order("newest")), T.item_order("newest"), 40, "item_id")
+    return _placed(v.items().orderBy(*T.item_order("newest")), T.item_order("newest"), "item_id")
 
 
 @query("t6_top_five", f"SELECT catalog_id, name, recent_views FROM {BUZZ_SQL} ORDER BY recent_views DESC, total_views DESC, catalog_id LIMIT 5")
@@ -151,11 +148,11 @@ def _(v: Views) -> DataFrame:
 @query(
     "t12_by_audience",
     f"""SELECT entity_id, latest_value, row_number() OVER (ORDER BY latest_value DESC, entity_id) AS place FROM
-    ({compare_sql('entity_daily', 'entity_id', 'subscriber_count', 7, 5, 9)}) QUALIFY place <= 50""",
+    ({compare_sql('entity_daily', 'entity_id', 'subscriber_count', 7, 5, 9)})""",
 )
 def _(v: Views) -> DataFrame:
     compared = period_comparison(v.entity_daily(), "entity_id", "subscriber_count", 7)
-    return _placed(compared.orderBy(*T.by_audience()), T.by_audience(), 50, "entity_id", "latest_value")
+    return _placed(compared.orderBy(*T.by_audience()), T.by_audience(), "entity_id", "latest_value")
 
 
 @query(
@@ -170,8 +167,8 @@ def _(v: Views) -> DataFrame:
     return digest_list(weeks)
 
 
-@query("t1_falling", "SELECT item_id, delta FROM item_trend_7 WHERE delta < 0 ORDER BY delta, item_id LIMIT 20")
+@query("t1_falling", "SELECT item_id, delta FROM item_trend_7 WHERE delta < 0")
 def _(v: Views) -> DataFrame:
     named = item_trends(v.item_daily(), 7).withColumn("name", F.lit("item"))
-    return T.falling(named, "item_id").select("item_id", "delta").limit(20)
+    return T.falling(named, "item_id").select("item_id", "delta")
 
