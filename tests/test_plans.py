@@ -406,3 +406,10 @@ def test_schemas_and_keys(spark, rows):
         assert set(schemas.UNIQUE_KEYS.get(name, [])) <= set(table.columns)
     entities = spark.createDataFrame([(None,), (None,), ("x",), ("x",)], "external_id STRING")
     assert rows(schemas.key_problems({"entities": entities})) == [("entities", "x", 2)]
+
+
+def test_raw_snapshots_count_once_a_day(spark, rows):
+    cast = [(1, "2026-07-08", 130, at(9)), (1, "2026-07-08", 120, at(2)), (1, "2026-07-01", 100, at(9)), (1, "2026-07-01", 90, at(2))]
+    raw = spark.createDataFrame(cast, "item_id BIGINT, date STRING, view_count BIGINT, collected_at TIMESTAMP")
+    trends = I.item_trends(raw.withColumn("date", F.to_date("date")), 7)
+    assert rows(trends, "item_id", "delta", "comparison_days") == [(1, 30, 7)]
