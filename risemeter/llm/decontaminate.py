@@ -3,12 +3,12 @@
 Texts are sequences of words (lower case, marks at both ends of a word removed), and distances count inserted, deleted and exchanged words.
 A document is contaminated by an item of n words if some passage is at most ``floor(MAX_EDITS * n)`` edits away.
 
-1. **Embedding.** A CGK random walk reads a window word by word: at each step it writes down the word under its pointer and moves on
-   or stays, by a random bit of (word, step). Few edits between two windows become few differing places of the two walks.
-2. **Bit sampling.** Each table of the index hashes ``SAMPLES`` random places of a walk. Walks are added until edited copies of the items
-   themselves, drawn with a fixed seed, are found with at least ``TARGET_RECALL``.
-3. **Windows.** Items are indexed with their windows at all words. Documents offer windows of the same size at every ``stride`` words, over their whole
-   texts; an item has at least as many windows as the stride, so that a whole copy always meets one of its windows.
+1. **Windows.** An item that allows ``k`` edits is cut into ``k + 1`` pieces; as an edit touches one piece at most, every copy within the limit holds one of
+   them unchanged. Each piece is indexed by the window of its first words (at most ``GAP``), so an item's window grows with its length over ``k + 1``.
+2. **Embedding.** A CGK random walk reads a window word by word: at each step it writes down the word under its pointer and moves on or stays, by a random bit
+   of (word, step); behind the window it reads padding, never the words that follow. The key of a window is the hash of all places of its walk, so equal
+   windows always meet and one walk finds every copy, whatever the length of its item.
+3. **Documents** offer windows at every word over their whole texts; only those whose first two words begin some window are walked.
 4. **Verification.** Each candidate is aligned with the whole item (bit-parallel edit distance) in the same task. Nothing is shuffled.
 
 The benchmark is read in blocks of a bounded number of words, one pass over the documents each, so what travels with a task is bounded.
@@ -31,21 +31,18 @@ from pyspark.sql import DataFrame, functions as F
 from risemeter.llm.words import hash_words, mix, slices, split_words
 
 MAX_EDITS = 0.15
-TARGET_RECALL = 0.95
-MOST_WALKS = 8
-TABLES_PER_WALK = 2
-SAMPLES = 6
+STEPS_PER_WORD = 3
 BLOCK_WORDS = 200_000
 MARKS = ".,;:!?\"'()[]{}<>|*#$%&~^_-=+/\\@`"
-GAP = 24
+#: A window has at most so many words: an item of n words has more than MAX_EDITS * n pieces.
+GAP = int(1 / MAX_EDITS)
 FILTER_BITS = 20
 
-#: (fewest words of an item, words in a window, stride): a window and the stride fit into the item.
-SIZES = ((15, 12, 4), (9, 6, 4), (4, 3, 2), (1, 1, 1))
 
-
-def _size_of(n: int) -> tuple[int, int]:
-    return next((window, stride) for fewest, window, stride in SIZES if n >= fewest)
+def _pieces(n: int) -> tuple[int, list[int]]:
+    """Words in a window, and where the windows of an item of n words begin."""
+    count = int(MAX_EDITS * n) + 1
+    return n // count, [k * n // count for k in range(count)]
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,30 +72,27 @@ def _padded(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, offsets[:-1] + GAP * np.arange(rows)
 
 
-def _tables(window: int, walk: int) -> list[list[int]]:
-    """Sampled places of each table of a walk."""
-    dice = np.random.default_rng([window, walk])
-    if window == 1:
-        return [[0]]
-    return [sorted(dice.choice(2 * window, size=min(SAMPLES, window), replace=False).tolist()) for _ in range(TABLES_PER_WALK)]
+def first_words(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """A small number for the first two words of each window (of one word: for the word)."""
+    first = words[starts]
+    return (mix(first if window == 1 else first * np.uint64(0x9E3779B97F4A7C15) + words[starts + 1], 7) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def walk_keys(words: np.ndarray, starts: np.ndarray, window: int, walk: int) -> list[np.ndarray]:
-    """One key per table and start: the sampled places of the CGK walk from there."""
-    masks = mix(words, 100 + walk)
-    tables = _tables(window, walk)
-    last = max(t[-1] for t in tables)
-    out = [np.zeros(len(starts), dtype=np.uint64) for _ in tables]
+def walk_keys(words: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """One key per start: all places of the CGK walk over the window there."""
+    out = np.zeros(len(starts), dtype=np.uint64)
     for first in range(0, len(starts), 1 << 16):
-        part = slice(first, first + (1 << 16))
-        at = starts[part].astype(np.int64)
-        for step in range(last + 1):
-            now = masks[at]
-            for keys, places in zip(out, tables, strict=True):
-                if step in places:
-                    keys[part] = (keys[part] ^ now) * np.uint64(0x9E3779B97F4A7C15)
-            at += ((now >> np.uint64(step + 20)) & np.uint64(1)).astype(np.int64)
-    return [mix(keys, 5) for keys in out]
+        part = starts[first : first + (1 << 16)]
+        read = np.zeros((len(part), window + 1), dtype=np.uint64)
+        read[:, :window] = words[part[:, None] + np.arange(window)]
+        masks = mix(read, 100)
+        rows, at = np.arange(len(part)), np.zeros(len(part), dtype=np.int64)
+        keys = out[first : first + (1 << 16)]
+        for step in range(STEPS_PER_WORD * window):
+            now = masks[rows, at]
+            keys[:] = (keys ^ now) * np.uint64(0x9E3779B97F4A7C15)
+            at = np.minimum(at + ((now >> np.uint64(step + 20)) & np.uint64(1)).astype(np.int64), window)
+    return mix(out, 5)
 
 
 def edit_match(pattern: list[int], text: list[int], anchored: bool = False) -> tuple[int, int]:
@@ -132,46 +126,39 @@ class Index:
     """The windows of one block of items."""
 
     items: list[tuple[int | None, list[int]]]
-    walks: dict[int, int] = field(default_factory=dict)
-    recall: dict[int, float] = field(default_factory=dict)
-    tables: dict = field(default_factory=dict)
-
-    def sizes(self) -> list[tuple[int, int]]:
-        return sorted({_size_of(len(words)) for _, words in self.items}, reverse=True)
-
-    def add_walk(self, window: int, walk: int) -> None:
-        members = [k for k, (_, words) in enumerate(self.items) if _size_of(len(words))[0] == window]
-        hashes = np.concatenate([np.array(self.items[k][1], dtype=np.uint64) for k in members])
-        sizes = np.array([len(self.items[k][1]) for k in members])
-        words, begins = _padded(hashes, np.concatenate(([0], np.cumsum(sizes))))
-        counts = sizes - window + 1
-        offsets = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        owners = np.repeat(np.array(members), counts)
-        for k, keys in enumerate(walk_keys(words, np.repeat(begins, counts) + offsets, window, walk)):
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        pieces = [_pieces(len(words)) for _, words in self.items]
+        for window in sorted({size for size, _ in pieces}, reverse=True):
+            members = [k for k, (size, _) in enumerate(pieces) if size == window]
+            sizes = np.array([len(self.items[k][1]) for k in members])
+            words, begins = _padded(np.concatenate([np.array(self.items[k][1], dtype=np.uint64) for k in members]), np.concatenate(([0], np.cumsum(sizes))))
+            counts = [len(pieces[k][1]) for k in members]
+            offsets = np.concatenate([np.array(pieces[k][1]) for k in members])
+            owners, starts = np.repeat(np.array(members), counts), np.repeat(begins, counts) + offsets
+            keys = walk_keys(words, starts, window)
             order = np.argsort(keys, kind="stable")
             seen = np.zeros(1 << FILTER_BITS, dtype=bool)
-            seen[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-            self.tables[window, walk, k] = (keys[order], owners[order].astype(np.int32), offsets[order].astype(np.int32), seen)
-        self.walks[window] = walk + 1
+            seen[first_words(words, starts, window)] = True
+            self.tables[window] = (keys[order], owners[order].astype(np.int32), offsets[order].astype(np.int32), seen)
 
-    def candidates_of(self, window: int, stride: int, words: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int, int]]:
+    def candidates_of(self, window: int, words: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int, int]]:
         """(text, item, word of the text at which the item would begin)."""
-        found = set()
-        counts = -(-sizes // stride)
+        known, owners, offsets, seen = self.tables[window]
+        counts = np.maximum(sizes - window + 1, 0)
         rows = np.repeat(np.arange(len(sizes)), counts)
-        at = stride * (np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts))
-        for walk in range(self.walks[window]):
-            for k, keys in enumerate(walk_keys(words, begins[rows] + at, window, walk)):
-                known, owners, offsets, seen = self.tables[window, walk, k]
-                hit = np.flatnonzero(seen[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-                left, right = np.searchsorted(known, keys[hit], "left"), np.searchsorted(known, keys[hit], "right")
-                for j in np.flatnonzero(right > left):
-                    for entry in range(left[j], right[j]):
-                        found.add((int(rows[hit[j]]), int(owners[entry]), int(at[hit[j]] - offsets[entry])))
-        return found
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+        starts = begins[rows] + at
+        hit = np.flatnonzero(seen[first_words(words, starts, window)])
+        keys = walk_keys(words, starts[hit], window)
+        left, right = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
+        found = np.repeat(hit, right - left)
+        entries = np.arange(len(found)) - np.repeat(np.cumsum(right - left) - right, right - left)
+        return set(zip(rows[found].tolist(), owners[entries].tolist(), (at[found] - offsets[entries]).tolist(), strict=True))
 
     def candidates(self, words: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int, int]]:
-        return set().union(*(self.candidates_of(window, stride, words, begins, sizes) for window, stride in self.sizes()))
+        return set().union(*(self.candidates_of(window, words, begins, sizes) for window in self.tables))
 
     def hits(self, texts: pa.Array) -> list[list[tuple]]:
         """For each text the (item id, distance, words of the item, start, end) of the items in it."""
@@ -205,41 +192,6 @@ class Index:
         return out
 
 
-def _edited(words: list[int], edits: int, dice: np.random.Generator) -> list[int]:
-    out = list(words)
-    for _ in range(edits):
-        at, kind = int(dice.integers(len(out))), int(dice.integers(3))
-        if kind == 0:
-            out[at] = int(dice.integers(1 << 62))
-        elif kind == 1:
-            out.insert(at, int(dice.integers(1 << 62)))
-        elif len(out) > 1:
-            del out[at]
-    return out
-
-
-def build_index(items: list[tuple[int | None, list[int]]], trials: int = 400) -> Index:
-    """Index (id, words), with as many walks as the target recall takes on edited copies of the items."""
-    index = Index(items)
-    for window, stride in index.sizes():
-        dice = np.random.default_rng(window)
-        members = [k for k, (_, words) in enumerate(items) if _size_of(len(words))[0] == window]
-        tried = []
-        for t in range(trials):
-            k = members[t % len(members)]
-            lead = dice.integers(1 << 62, size=int(dice.integers(stride))).tolist()
-            tried.append((k, lead + _edited(items[k][1], int(MAX_EDITS * len(items[k][1])), dice)))
-        sizes = np.array([len(words) for _, words in tried])
-        words, begins = _padded(np.concatenate([np.array(w, dtype=np.uint64) for _, w in tried]), np.concatenate(([0], np.cumsum(sizes))))
-        for walk in range(MOST_WALKS):
-            index.add_walk(window, walk)
-            found = {(row, item) for row, item, _ in index.candidates_of(window, stride, words, begins, sizes)}
-            index.recall[window] = sum((t, k) in found for t, (k, _) in enumerate(tried)) / trials
-            if index.recall[window] >= TARGET_RECALL:
-                break
-    return index
-
-
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int | None, list[int]]]]:
     """The items, at most about ``block_words`` words at a time."""
     sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", (F.size(F.split("text", r"\s+"))).cast("long").alias("size")).where("text is not null")
@@ -256,7 +208,7 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
 
 
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    return (build_index(items) for items in item_blocks(benchmark) if items)
+    return (Index(items) for items in item_blocks(benchmark) if items)
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

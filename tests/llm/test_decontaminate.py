@@ -61,6 +61,21 @@ def test_recall_and_precision(spark):
     assert whole and all(d._words(__import__("pyarrow").array([texts[r.doc_id][r.start : r.end]]))[0].size == r.item_words for r in whole)
 
 
+def test_every_length_with_most_edits_is_found_between_other_words():
+    dice, vocabulary, _ = make()
+    words_of = lambda text: d._words(__import__("pyarrow").array([text]))[0].tolist()
+    items = [(k, " ".join(dice.choices(vocabulary, k=n))) for k, n in enumerate([*range(1, 62), 90, 200])]
+    index = d.Index([(k, words_of(text)) for k, text in items])
+    tried = []
+    for k, text in items:
+        for _ in range(40):
+            sides = [" ".join(dice.choices(vocabulary, k=dice.randint(3, 40))) for _ in range(2)]
+            tried.append((k, f"{sides[0]} {edited(text, int(d.MAX_EDITS * len(text.split())), dice)} {sides[1]}"))
+    found = index.hits(__import__("pyarrow").array([text for _, text in tried]))
+    missed = [len(items[k][1].split()) for (k, _), hits in zip(tried, found, strict=True) if k not in {hit[0] for hit in hits}]
+    assert missed == []
+
+
 def test_blocks_change_nothing(spark, monkeypatch):
     _, _, items = make()
     docs = spark.createDataFrame([(k, "before it " + t + " behind") for k, t in items], "doc_id long, text string")
