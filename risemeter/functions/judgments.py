@@ -10,6 +10,10 @@ PENDING_CONFIDENCE = 0.7
 REASON_LENGTH = 500
 KEY_PREFIX = "v1:gemini"
 
+# Reasons of error judgments.
+NO_ARRAY = "missing JSON array"
+BAD_ARRAY = "invalid JSON array"
+
 _NUMBER = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
 
 
@@ -31,6 +35,16 @@ def _typed(value: Column, field: str, type_pattern: str, spark_type: str) -> Col
     return F.when(F.schema_of_variant(part).rlike(type_pattern), F.try_variant_get(value, f"$.{field}", spark_type))
 
 
+def _array_text(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, "(?s)\\[.*\\]", 0), F.lit(""))
+
+
+def answer_error(text: Column) -> Column:
+    """Why a response text holds no JSON array; NULL when it holds one."""
+    body = _array_text(text)
+    return F.when(body.isNull(), NO_ARRAY).when(F.try_parse_json(body).isNull(), BAD_ARRAY)
+
+
 def parse_judgments(responses: DataFrame, text: str = "response_text") -> DataFrame:
     """One row per valid element of the JSON array held in each response text.
 
@@ -38,8 +52,7 @@ def parse_judgments(responses: DataFrame, text: str = "response_text") -> DataFr
     ``candidateIndex`` and a ``confidence`` in 0..1; other elements are dropped. Variant
     access keeps the written JSON type, so the string "0.9" is not taken for a number.
     """
-    body = F.regexp_extract(F.col(text), "(?s)\\[.*\\]", 0)
-    elements = responses.withColumn("_parsed", F.try_parse_json(F.nullif(body, F.lit("")))).where(
+    elements = responses.withColumn("_parsed", F.try_parse_json(_array_text(F.col(text)))).where(
         F.schema_of_variant("_parsed").startswith("ARRAY")
     )
     items = elements.select(

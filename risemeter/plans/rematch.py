@@ -10,6 +10,7 @@ from risemeter.operators.links import without
 from risemeter.operators.matching import index_catalog, judged_pairs, title_hits
 from risemeter.operators.predicates import EXCLUDED_METHOD, MANUAL_METHODS
 from risemeter.session import checkpointed
+from risemeter.sources.sinks import rebuilt_mentions
 
 
 @dataclass
@@ -17,6 +18,14 @@ class Rematch:
     links_to_add: DataFrame
     decisions: DataFrame
     summary: DataFrame
+    links: DataFrame
+    items: DataFrame
+
+    @property
+    def mentions(self) -> DataFrame:
+        """All mentions of the items, from their stored and added links; they replace the stored ones."""
+        columns = ["item_id", "catalog_id", "method"]
+        return rebuilt_mentions(self.links.select(*columns).unionByName(self.links_to_add.select(*columns)), self.items)
 
 
 def rematch(items: DataFrame, catalog: DataFrame, links: DataFrame) -> Rematch:
@@ -55,7 +64,7 @@ def rematch(items: DataFrame, catalog: DataFrame, links: DataFrame) -> Rematch:
         .otherwise("unmatched")
     )
     decisions = filled.select("item_id", *counts, planned.alias("planned_status"))
-    return Rematch(to_add, decisions, summarize(decisions, links))
+    return Rematch(to_add, decisions, summarize(decisions, links), links, items)
 
 
 def summarize(decisions: DataFrame, links: DataFrame) -> DataFrame:

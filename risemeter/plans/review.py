@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from risemeter.functions.judgments import judgment_key, judgment_status, parse_judgments
+from risemeter.functions.judgments import REASON_LENGTH, answer_error, judgment_key, judgment_status, parse_judgments
 from risemeter.functions.numbers import round_half_up
 from risemeter.operators.links import first_by, without
 from risemeter.operators.predicates import EXCLUDED_METHOD, MANUAL_METHODS
+from risemeter.sources.sinks import mention_rows, rebuilt_mentions
 
 # Candidates per run, and confidence of links made by judgment or by hand.
 CANDIDATES_PER_RUN = 50
@@ -34,10 +35,18 @@ def review_candidates(
 @dataclass
 class AppliedJudgments:
     judgments: DataFrame
+    error_judgments: DataFrame
     accepted: DataFrame
+    confirmed: DataFrame
     new_links: DataFrame
     matched_items: DataFrame
     summary: DataFrame
+    items: DataFrame
+
+    @property
+    def mentions(self) -> DataFrame:
+        """Mentions to insert or update: every confirmed pair, linked before or not, with the item's counters."""
+        return mention_rows(self.confirmed, self.items)
 
 
 def apply_judgments(candidates: DataFrame, responses: DataFrame, items: DataFrame, links: DataFrame) -> AppliedJudgments:
@@ -46,6 +55,11 @@ def apply_judgments(candidates: DataFrame, responses: DataFrame, items: DataFram
     ``candidates`` (batch_id, candidate_index, item_id, catalog_id) were sent in batches,
     ``responses`` (batch_id, response_text) came back. A link needs an automatic status, the
     candidate's own catalog id, an item without manual status and no existing link of the pair.
+
+    A batch that came back without a JSON array (or NULL, with the message in an optional column
+    ``error``) gives an error judgment of confidence 0 per candidate, so that the pairs do not wait
+    again. Batches without a response row were not answered, such as those behind an exhausted quota,
+    and candidates that a readable answer passes over get no judgment; both are only counted.
     """
     parsed = first_by(parse_judgments(responses), ["batch_id", "candidate_index"], F.struct("element")).drop(
         "response_text"
@@ -58,6 +72,18 @@ def apply_judgments(candidates: DataFrame, responses: DataFrame, items: DataFram
         round_half_up(F.col("confidence") * 100).alias("confidence"),
         "reason", "matched_terms",
     )
+    message = answer_error(F.col("response_text"))
+    if "error" in responses.columns:
+        message = F.when(message.isNotNull(), F.coalesce("error", message))
+    failed = responses.groupBy("batch_id").agg(
+        F.min(F.substring(message, 1, REASON_LENGTH)).alias("reason"), F.max(message.isNull()).alias("_read")
+    )
+    errors = candidates.join(failed.where(~F.col("_read")).drop("_read"), "batch_id").select(
+        "batch_id", "candidate_index", "item_id", "catalog_id", F.lit(None).cast("long").alias("judged_catalog_id"),
+        judgment_key(F.col("item_id"), F.col("catalog_id")).alias("judgment_key"),
+        F.lit("error").alias("status"), F.lit(0).cast(judged.schema["confidence"].dataType).alias("confidence"),
+        "reason", F.array().cast("array<string>").alias("matched_terms"),
+    )
     accepted = judged.where(
         (F.col("status") == "auto_linked") & F.col("judged_catalog_id").eqNullSafe(F.col("catalog_id"))
     )
@@ -76,37 +102,53 @@ def apply_judgments(candidates: DataFrame, responses: DataFrame, items: DataFram
         F.count_if(has & ((status == "rejected") | ((status == "auto_linked") & ~agreed))).alias("rejected"),
         F.count_if(~has).alias("failed"),
     )
-    return AppliedJudgments(judged, accepted, new_links, confirmed.select("item_id").distinct(), summary)
+    matched = confirmed.select("item_id").distinct()
+    return AppliedJudgments(judged, errors, accepted, confirmed, new_links, matched, summary, items)
 
 
 @dataclass
 class AppliedReviews:
     judgments: DataFrame
     new_links: DataFrame
+    mentions: DataFrame
     matched_items: DataFrame
 
 
-def apply_reviews(judgments: DataFrame, decisions: DataFrame, links: DataFrame) -> AppliedReviews:
-    """Approve (link, item matched, judgment auto_linked) or reject judgments.
+def apply_reviews(judgments: DataFrame, decisions: DataFrame, links: DataFrame, items: DataFrame) -> AppliedReviews:
+    """Approve (link, mention, item matched, judgment auto_linked) or reject judgments.
 
-    ``decisions`` is (judgment_id, decision). Approving needs a catalog and an entity id.
+    ``decisions`` is (judgment_id, decision). Approving needs a catalog and an entity id. A mention
+    names the entity of the pair's first judgment and has the item's counters, 0 for an unknown item.
     """
     joined = judgments.join(decisions, "judgment_id", "left")
     complete = F.col("catalog_id").isNotNull() & F.col("entity_id").isNotNull()
     approved = (F.col("decision") == "approve") & complete
     status = F.when(approved, "auto_linked").when(F.col("decision") == "reject", "rejected").otherwise(F.col("status"))
-    chosen = joined.where(approved).groupBy("item_id", "catalog_id").agg(F.max("confidence").alias("confidence"))
+    chosen = joined.where(approved).groupBy("item_id", "catalog_id").agg(
+        F.max("confidence").alias("confidence"), F.min(F.struct("judgment_id", "entity_id"))["entity_id"].alias("entity_id")
+    )
     new_links = without(chosen, links, ["item_id", "catalog_id"]).select(
         "item_id", "catalog_id", F.lit("alias").alias("method"), "confidence"
     )
+    counters = ["view_count", "like_count", "comment_count"]
+    known = items.select("item_id", "title", *counters, "published_at")
+    mentions = chosen.drop("confidence").join(known, "item_id", "left").withColumns(
+        {c: F.coalesce(c, F.lit(0)) for c in counters}
+    )
     updated = joined.withColumn("status", status).select(*judgments.columns)
-    return AppliedReviews(updated, new_links, chosen.select("item_id").distinct())
+    return AppliedReviews(updated, new_links, mentions, chosen.select("item_id").distinct())
 
 
 @dataclass
 class AppliedOverrides:
     links: DataFrame
     items: DataFrame
+    touched: DataFrame
+
+    @property
+    def mentions(self) -> DataFrame:
+        """All mentions of the touched items; they replace those stored for these items."""
+        return rebuilt_mentions(self.links.join(self.touched, "item_id", "left_semi"), self.items)
 
 
 def apply_overrides(items: DataFrame, links: DataFrame, catalog: DataFrame, overrides: DataFrame) -> AppliedOverrides:
@@ -138,4 +180,4 @@ def apply_overrides(items: DataFrame, links: DataFrame, catalog: DataFrame, over
     status = (
         F.when(F.col("_active").isNull(), F.col("match_status")).when(F.col("_active"), "manual").otherwise("manual_excluded")
     )
-    return AppliedOverrides(new_links, joined.withColumn("match_status", status).drop("_active"))
+    return AppliedOverrides(new_links, joined.withColumn("match_status", status).drop("_active"), touched)

@@ -224,7 +224,8 @@ def doc_links(v: Views) -> DataFrame:
 
 def doc_items(v: Views) -> DataFrame:
     return v.table("documents").selectExpr(
-        "doc_id AS item_id", "doc_id AS entity_id", "text AS title", f"{_DOC_STATUS} AS match_status"
+        "doc_id AS item_id", "doc_id AS entity_id", "text AS title", f"{_DOC_STATUS} AS match_status", "n_chars AS view_count",
+        "0L AS like_count", "0L AS comment_count", "'2024-01-01' AS published_at",
     )
 
 
@@ -314,7 +315,7 @@ _ANSWERED = f"""(SELECT l_orderkey AS item_id, CASE WHEN l_tax < 0.02 THEN l_par
     l_partkey AS judged_id, CASE WHEN l_suppkey >= 5 THEN l_discount * 10 END AS confidence FROM {_LINES})"""
 
 
-def _judgments(v: Views, links: DataFrame | None = None) -> R.AppliedJudgments:
+def _judgments(v: Views, links: DataFrame | None = None, unreadable: bool = False) -> R.AppliedJudgments:
     lines = v.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
         F.max(F.struct("l_partkey", "l_discount", "l_tax", "l_suppkey")).alias("l")
     )
@@ -329,6 +330,9 @@ def _judgments(v: Views, links: DataFrame | None = None) -> R.AppliedJudgments:
     answers = lines.select(F.col("l_orderkey").alias("batch_id"), element.alias("e")).groupBy("batch_id").agg(
         F.concat(F.lit("["), F.array_join(F.collect_list("e"), ","), F.lit("]")).alias("response_text")
     )
+    if unreadable:
+        broken = "CASE batch_id % 50 WHEN 0 THEN 'none' WHEN 1 THEN '[{\"candidateIndex\": 1]' WHEN 2 THEN NULL ELSE response_text END"
+        answers = answers.withColumn("response_text", F.expr(broken))
     return R.apply_judgments(sent, answers, v.items(), v.links() if links is None else links)
 
 
@@ -365,6 +369,34 @@ def _(v: Views) -> DataFrame:
     return _judgments(v).summary
 
 
+def _mention_rows(mentions: DataFrame) -> DataFrame:
+    counters = whole("view_count", "like_count", "comment_count")
+    return mentions.select("item_id", "catalog_id", "entity_id", "title", *counters, *text("published_at"))
+
+
+_ITEM_SQL = """i.title, i.view_count, i.like_count, i.comment_count, CAST(i.published_at AS VARCHAR) AS published_at"""
+
+
+@query(
+    "job11_mentions",
+    f"""SELECT DISTINCT a.item_id, a.catalog_id, i.entity_id, {_ITEM_SQL} FROM {_ANSWERED} a JOIN items i ON i.item_id = a.item_id
+    WHERE confidence >= 0.9 AND judged_id = catalog_id AND i.match_status NOT IN ('manual', 'manual_excluded')""",
+)
+def _(v: Views) -> DataFrame:
+    return _mention_rows(_judgments(v).mentions)
+
+
+@query(
+    "job11_error_judgments",
+    f"""SELECT 'v1:gemini:' || item_id || ':' || catalog_id AS judgment_key, item_id, catalog_id, 'error' AS status,
+    CAST(0 AS BIGINT) AS confidence, CASE item_id % 50 WHEN 1 THEN 'invalid JSON array' ELSE 'missing JSON array' END AS reason
+    FROM {_ANSWERED} WHERE item_id % 50 < 3""",
+)
+def _(v: Views) -> DataFrame:
+    errors = _judgments(v, unreadable=True).error_judgments
+    return errors.select("judgment_key", "item_id", "catalog_id", "status", *whole("confidence"), "reason")
+
+
 @query(
     "job12_applied_reviews",
     """SELECT item_id, catalog_id, 'alias' AS method, CAST(max(confidence) AS BIGINT) AS confidence FROM judgments j WHERE status = 'pending'
@@ -372,11 +404,26 @@ def _(v: Views) -> DataFrame:
     AND l.catalog_id = j.catalog_id) GROUP BY ALL""",
 )
 def _(v: Views) -> DataFrame:
+    return _reviewed(v).new_links.select("item_id", "catalog_id", "method", *whole("confidence"))
+
+
+@query(
+    "job12_mentions",
+    f"""SELECT j.item_id, j.catalog_id, arg_min(j.entity_id, j.judgment_id) AS entity_id, {_ITEM_SQL} FROM judgments j
+    LEFT JOIN items i ON i.item_id = j.item_id WHERE status = 'pending' AND confidence >= 20 GROUP BY j.item_id, j.catalog_id,
+    i.title, i.view_count, i.like_count, i.comment_count, i.published_at""",
+)
+def _(v: Views) -> DataFrame:
+    return _mention_rows(_reviewed(v).mentions)
+
+
+def _reviewed(v: Views) -> R.AppliedReviews:
     decisions = v.judgments().where("status = 'pending'").select(
         "judgment_id", F.when(F.col("confidence") >= 20, "approve").otherwise("reject").alias("decision")
     ).distinct()
-    done = R.apply_reviews(v.judgments(), decisions.dropDuplicates(["judgment_id"]), v.links().where("method = 'manual'"))
-    return done.new_links.select("item_id", "catalog_id", "method", *whole("confidence"))
+    return R.apply_reviews(
+        v.judgments(), decisions.dropDuplicates(["judgment_id"]), v.links().where("method = 'manual'"), v.items()
+    )
 
 
 def _overridden(v: Views) -> R.AppliedOverrides:
@@ -411,6 +458,15 @@ def _(v: Views) -> DataFrame:
     return _overridden(v).items.select("item_id", "match_status")
 
 
+@query(
+    "job13_mentions",
+    f"""{_OVERRIDDEN_SQL} SELECT DISTINCT d.item_id, d.catalog_id, i.entity_id, {_ITEM_SQL} FROM done d JOIN items i ON i.item_id = d.item_id
+    WHERE method <> 'manual_excluded' AND d.item_id IN (SELECT item_id FROM last)""",
+)
+def _(v: Views) -> DataFrame:
+    return _mention_rows(_overridden(v).mentions)
+
+
 _REMATCH_SQL = f"""WITH {TERMS_SQL}, stored AS (SELECT * FROM {_DOC_LINKS}),
     added AS (SELECT item_id, catalog_id, method, CAST(confidence AS BIGINT) AS confidence FROM judged j WHERE is_match AND NOT EXISTS
         (SELECT 1 FROM stored s WHERE s.item_id = j.item_id AND s.catalog_id = j.catalog_id)),
@@ -440,6 +496,17 @@ def _(v: Views) -> DataFrame:
     return rows.select("item_id", "catalog_id", "method", *whole("confidence"))
 
 
+@query(
+    "job14_mentions",
+    f"""{_REMATCH_SQL} SELECT DISTINCT l.item_id, l.catalog_id, doc_id AS entity_id, md5(text) AS title_md5, n_chars AS view_count
+    FROM (SELECT item_id, catalog_id, method FROM stored UNION ALL SELECT item_id, catalog_id, method FROM added) l
+    JOIN documents ON doc_id = l.item_id WHERE method <> 'manual_excluded'""",
+)
+def _(v: Views) -> DataFrame:
+    rows = rematch(doc_items(v), v.phrases(), doc_links(v)).mentions
+    return rows.select("item_id", "catalog_id", "entity_id", F.md5("title").alias("title_md5"), *whole("view_count"))
+
+
 @query(
     "a10_rematch_summary",
     f"""{_REMATCH_SQL} SELECT 'total_items' AS measure, count(*) AS amount FROM planned

@@ -117,9 +117,13 @@ def status_after_linking(items: DataFrame, links: DataFrame) -> DataFrame:
 
 def rebuilt_mentions(links: DataFrame, items: DataFrame) -> DataFrame:
     """All mentions: active links with the counters of their items."""
-    active = links.where(F.col("method") != EXCLUDED_METHOD).select("item_id", "catalog_id").distinct()
+    return mention_rows(links.where(F.col("method") != EXCLUDED_METHOD), items)
+
+
+def mention_rows(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """One mention per (item, catalog) pair of a known item."""
     columns = ["item_id", "entity_id", "title", "view_count", "like_count", "comment_count", "published_at"]
-    return active.join(items.select(*columns), "item_id")
+    return pairs.select("item_id", "catalog_id").distinct().join(items.select(*columns), "item_id")
 
 
 def mention_changes(mentions: DataFrame, rebuilt: DataFrame) -> DataFrame:

@@ -237,6 +237,40 @@ def test_judgments_need_the_same_entry_and_an_open_item(spark, rows):
     assert tuple(done.summary.first()) == (5, 2, 1, 1, 1)
 
 
+def test_review_jobs_write_mentions_and_error_judgments(spark, rows):
+    columns = "item_id STRING, entity_id BIGINT, title STRING, match_status STRING, view_count BIGINT, like_count BIGINT, comment_count BIGINT, published_at STRING"
+    items = spark.createDataFrame([(f"v{i}", i, f"t{i}", "manual" if i == 3 else "unmatched", 10 * i, i, 0, "2024-01-01") for i in range(1, 5)], columns)
+    links = spark.createDataFrame([("v2", 7, "alias", 85)], "item_id STRING, catalog_id BIGINT, method STRING, confidence INT")
+    shown = ("item_id", "catalog_id", "entity_id", "title", "view_count")
+
+    sent = [(1, k, f"v{k + 1}", 7) for k in range(3)] + [(b, k, f"v{k + 1}", 8) for b in (2, 3, 4, 5) for k in range(2)]
+    answer = json.dumps([{"candidateIndex": k, "machineId": 7, "confidence": 0.95} for k in range(3)])
+    responses = [(1, answer, None), (2, "sorry", None), (3, '[{"candidateIndex": 0', None), (4, "[]", None), (3, None, "503 unavailable"), (6, "[", "x")]
+    done = R.apply_judgments(
+        spark.createDataFrame(sent, "batch_id INT, candidate_index BIGINT, item_id STRING, catalog_id BIGINT"),
+        spark.createDataFrame(responses, "batch_id INT, response_text STRING, error STRING"), items, links,
+    )
+    assert rows(done.mentions, *shown) == [("v1", 7, 1, "t1", 10), ("v2", 7, 2, "t2", 20)]
+    errors = rows(done.error_judgments, "batch_id", "item_id", "judgment_key", "status", "confidence", "reason")
+    assert [e[:2] for e in errors] == [(2, "v1"), (2, "v2"), (3, "v1"), (3, "v2")]
+    assert errors[0][2:] == ("v1:gemini:v1:8", "error", 0, "missing JSON array")
+    assert done.judgments.unionByName(done.error_judgments).count() == 7
+
+    judgments = spark.createDataFrame(
+        [(1, "v2", 7, 5, "pending", 80), (2, "v4", 7, 9, "pending", 70), (3, "v4", 7, 4, "pending", 75), (4, "v8", 7, 6, "pending", 70), (5, "v1", 7, None, "pending", 70)],
+        "judgment_id INT, item_id STRING, catalog_id BIGINT, entity_id BIGINT, status STRING, confidence INT",
+    )
+    decisions = judgments.selectExpr("judgment_id", "'approve' AS decision")
+    assert rows(R.apply_reviews(judgments, decisions, links, items).mentions, *shown) == [
+        ("v2", 7, 5, "t2", 20), ("v4", 7, 9, "t4", 40), ("v8", 7, 6, None, 0)
+    ]
+
+    overrides = spark.createDataFrame([("v1", 7, "link", 1), ("v3", 7, "exclude", 2)], "item_id STRING, catalog_id BIGINT, kind STRING, position INT")
+    catalog = spark.createDataFrame([(7,)], "catalog_id BIGINT")
+    done = R.apply_overrides(items, links, catalog, overrides)
+    assert rows(done.mentions, *shown) == [("v1", 7, 1, "t1", 10)] and rows(done.touched) == [("v1",), ("v3",)]
+
+
 # -- digest --------------------------------------------------------------------
 
 
