@@ -194,24 +194,21 @@ def _(v: Views) -> DataFrame:
     return rows.groupBy("name", "maker", normalize_type(F.col("type")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def suggestion_rows(v: Views) -> DataFrame:
-    """An alias file per maker, read back from its JSON form."""
-    files = v.catalog().groupBy("maker").agg(
-        F.to_json(
-            F.struct(
-                F.collect_list(
-                    F.struct(
-                        F.col("catalog_id").alias("machineId"),
-                        F.col("short_name").alias("shortName"),
-                        F.array(F.concat(F.col("name"), F.lit("!"))).alias("aliases"),
-                        F.array("maker").alias("excludeTerms"),
-                        F.when(F.col("type").isNotNull(), F.col("type") == "slot").alias("approved"),
-                    )
-                ).alias("suggestions")
-            )
-        ).alias("body")
+def suggestion_files(v: Views) -> DataFrame:
+    """Alias files in their JSON form, one per entry, so that no text grows with the catalog."""
+    suggestion = F.struct(
+        F.col("catalog_id").alias("machineId"),
+        F.col("short_name").alias("shortName"),
+        F.array(F.concat(F.col("name"), F.lit("!"))).alias("aliases"),
+        F.array("maker").alias("excludeTerms"),
+        F.when(F.col("type").isNotNull(), F.col("type") == "slot").alias("approved"),
     )
-    return seeds.alias_suggestions(files.select(F.from_json("body", seeds.ALIAS_FILE).alias("f")).select("f.*"))
+    return v.catalog().select(F.to_json(F.struct(F.array(suggestion).alias("suggestions"))).alias("body"))
+
+
+def suggestion_rows(v: Views) -> DataFrame:
+    """The suggestions of these files, read back from JSON."""
+    return seeds.alias_suggestions(suggestion_files(v).select(F.from_json("body", seeds.ALIAS_FILE).alias("f")).select("f.*"))
 
 
 @query(

@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 from risemeter.queries import ORACLES, QUERIES
+from risemeter.views import Views
 from tests.compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -32,3 +33,12 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", CHECKED)
 def test_query(spark, con, name):
     assert compare(spark, con, name, QUERIES[name], ORACLES[name], FOLDER) is None
+
+
+def test_alias_files_do_not_grow_with_the_catalog(spark):
+    from risemeter.queries.tables import suggestion_files, suggestion_rows
+
+    v = Views(spark, FOLDER)
+    sizes = suggestion_files(v).selectExpr("size(from_json(body, 'suggestions ARRAY<STRING>').suggestions) AS n").groupBy("n").count().collect()
+    entries = v.catalog().count()
+    assert [tuple(r) for r in sizes] == [(1, entries)] and suggestion_rows(v).select("catalog_id").distinct().count() == entries
