@@ -31,7 +31,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-WEAK_ID = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Z]*[0-9])[A-Z0-9]{16,128}(?![A-Za-z0-9+/_=-])")
+WEAK_ID = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Z0-9]{16,}+(?![A-Za-z0-9+/_=-])")
+DIGIT = re.compile(r"[0-9]")
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 ENDPOINT = re.compile(r"(?<![A-Za-z0-9])(?:[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+){1,8}:[0-9]{2,5})")
 
@@ -79,7 +80,7 @@ class Parts:
 def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     """The weak parts whose scope holds a complementary part."""
     taken = Parts([(a, b) for _, a, b in base])
-    ids = [m.span() for m in WEAK_ID.finditer(text) if not taken.meets(*m.span())]
+    ids = [m.span() for m in WEAK_ID.finditer(text) if DIGIT.search(m.group()) and not taken.meets(*m.span())]
     known = Parts(ids)
     secrets = [m.span() for m in WEAK_SECRET.finditer(text) if _mixed(m.group()) and not taken.meets(*m.span()) and not known.meets(*m.span())]
     if not ids and not secrets:

@@ -72,6 +72,14 @@ def test_weak_parts_need_a_complement(text, kinds):
     assert [k for k, *_ in every] == kinds
 
 
+@pytest.mark.parametrize("n", [128, 129, 5000, 300_000])
+def test_long_identifiers_count(n):
+    long = "A" * (n - 1) + "7"
+    (_, every), = secrets.scan(pa.array([f"{long} and {KEY}"]))
+    assert every == [("weak_id", 0, n), ("weak_secret", n + 5, n + 5 + len(KEY))]
+    assert [every for _, every in secrets.scan(pa.array([f"{'A' * n} and {KEY}"]))] == [[]]
+
+
 def test_interval_search_equals_all_pairs():
     dice = np.random.default_rng(3)
     for _ in range(200):
