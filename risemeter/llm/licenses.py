@@ -3,7 +3,8 @@
 1. **Notices.** Lines of a file that hold a licence word are its notices, wherever in the text they stand; of mark-up the tags are cut out first.
    Equal notices are compared once, however many files hold them.
 2. **Cosine.** Notices and templates are sparse vectors of words, weighted by 1 + ln tf and the inverse of how many distinct notices hold the word. Dot
-   products are joins on words with the templates, whose number of words is fixed. The best template of at least ``CLOSE`` is the notice's licence; a file has the
+   products are joins on words with the templates, whose number of words is fixed. The best template of at least ``CLOSE`` is the notice's licence. A notice
+   that equals none is also compared by its windows of the templates' sizes around each licence word, so that it may stand within a longer line. A file has the
    licence of its best notice.
 3. **Inheritance.** A licence file (by name, or the index of a directory) with a licence declares it for its directory. A file without a licence of
    its own takes that of the deepest declaring directory above it: its path is cut at the depths at which directories declare something, and joined on the cut path.
@@ -20,6 +21,8 @@ from risemeter.llm.tables import saved
 
 CLOSE = 0.6
 NOTICE = r"(?i)licen[cs]|copyright|permission|public domain|all rights reserved|warrant"
+WINDOW_WORD = r"licen[cs]|copyright|permi(?:ssion|tted)|domain|reserved|warrant"
+TAG = r"</?[A-Za-z!?][^<>]*>"
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice|unlicense)[^/]*$|/$"
 
 #: The notices that licences ask for, in their short forms.
@@ -54,10 +57,23 @@ def _terms(text: Column) -> Column:
 
 def notices_of(text: Column) -> Column:
     """The distinct lines with a licence word."""
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]*>", "\n"), r"\r?\n")
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), TAG, "\n"), r"\r?\n")
     return F.array_distinct(F.filter(F.transform(lines, F.trim), lambda line: line.rlike(NOTICE)))
 
 
+def _windows(terms: Column, sizes: list[int]) -> Column:
+    """The distinct runs of so many words that hold a licence word, at about four places each."""
+    n = F.size(terms)
+    at = F.filter(F.transform(terms, lambda w, i: F.when(w.rlike(WINDOW_WORD), i)), lambda i: i.isNotNull())
+
+    def around(p: Column, size: int, before: int) -> Column:
+        return F.array_join(F.slice(terms, F.greatest(F.lit(0), F.least(p - before, n - size)) + 1, size), " ")
+
+    return F.array_distinct(
+        F.flatten(F.transform(at, lambda p: F.array(*[around(p, size, k) for size in sizes for k in range(0, size, max(1, size // 4))])))
+    )
+
+
 def closest_templates(notices: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, close: float = CLOSE) -> DataFrame:
     """(notice, license, score) of the distinct ``notice`` values that come close to a template."""
     spark = notices.sparkSession
@@ -68,16 +84,30 @@ def closest_templates(notices: DataFrame, templates: tuple[tuple[str, str], ...]
     total = notices.agg(F.count("*").alias("all"))
     idf = F.log((F.col("all") + 1) / (F.coalesce("held", F.lit(0)) + 1)) + 1
     tf = 1 + F.log(F.col("count").cast("double"))
-    weighted = words.join(spread, "term").join(F.broadcast(total)).select("notice", "term", (tf * idf).alias("w"))
-    lengths = weighted.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
     template_words = given.join(spread, "term", "left").join(F.broadcast(total)).select("template", "license", "term", (tf * idf).alias("v"))
     template_sizes = template_words.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("template_size"))
     # The templates are a parameter of fixed size.
     held = F.broadcast(template_words.join(template_sizes, "template"))
-    dots = weighted.join(held, "term").groupBy("notice", "template", "license", "template_size").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.join(lengths, "notice").select("notice", "license", (F.col("dot") / (F.col("size") * F.col("template_size"))).alias("score"))
-    best = scored.where(F.col("score") >= close).groupBy("notice").agg(F.min(F.struct((-F.col("score")).alias("least"), "license")).alias("b"))
-    return best.select("notice", F.col("b.license").alias("license"), (-F.col("b.least")).alias("score"))
+    nearest = F.min(F.struct((-F.col("score")).alias("least"), "license")).alias("b")
+    named = [F.col("b.license").alias("license"), (-F.col("b.least")).alias("score")]
+
+    def best_of(words: DataFrame) -> DataFrame:
+        weighted = words.join(spread, "term").join(F.broadcast(total)).select("notice", "term", (tf * idf).alias("w"))
+        lengths = weighted.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+        dots = weighted.join(held, "term").groupBy("notice", "template", "license", "template_size").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+        scored = dots.join(lengths, "notice").select("notice", "license", (F.col("dot") / (F.col("size") * F.col("template_size"))).alias("score"))
+        return scored.where(F.col("score") >= close).groupBy("notice").agg(nearest).select("notice", *named)
+
+    whole = saved(best_of(words), "whole")
+    sizes = sorted(r.n for r in given.groupBy("template").agg(F.sum("count").alias("n")).select("n").distinct().collect())  # of the templates
+    same = whole.where(F.col("score") > 1 - 1e-9)  # no window comes closer
+    rest = notices.join(same, "notice", "left_anti").select("notice", F.monotonically_increasing_id().alias("line"), _terms(F.col("notice")).alias("terms"))
+    rest = saved(rest.where(F.size("terms") > min(sizes, default=0)), "rest")
+    windows = saved(rest.select("line", F.explode(_windows(F.col("terms"), sizes)).alias("notice")), "windows")
+    parts = windows.select("notice").distinct().select("notice", F.explode(F.split("notice", " ")).alias("term")).groupBy("notice", "term").count()
+    within = windows.join(best_of(parts), "notice").groupBy("line").agg(nearest).select("line", *named)
+    found = whole.unionByName(rest.select("line", "notice").join(within, "line").drop("line"))
+    return found.groupBy("notice").agg(nearest).select("notice", *named)
 
 
 def scan_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, close: float = CLOSE) -> DataFrame:

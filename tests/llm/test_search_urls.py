@@ -188,3 +188,17 @@ def test_labels_of_other_rows_are_no_inputs(spark):
 def test_script_ranges_are_in_order():
     assert [a for a, _ in language.RANGES] == sorted({a for a, _ in language.RANGES})
     assert list(language.label(language.Model((), np.zeros((language.BUCKETS, 0)), np.zeros((len(language.SCRIPTS), 0), bool)), pa.array(["abc"]))) == [("und", 0.0, [])]
+
+
+def test_licences_within_longer_lines(spark):
+    rest = "home about contact imprint careers press newsletter support status pricing blog docs forum community events partners"
+    files = [
+        (1, "a/index.htm", f"{rest} Released under the MIT License {rest}"),
+        (2, "a/x.min.js", f"/*! {rest.replace(' ', ';')} Licensed under the Apache License, Version 2.0 */" + "var a=1;" * 5000),
+        (3, "a/y.c", "if (a < b) run();\n// GNU General Public License, version 3\nif (c > d) stop();"),
+        (4, "a/z.txt", f"{rest} ask for a licence or a license before you print {rest}"),
+        (5, "a/p.html", f"<div>{rest}</div><p>GNU Lesser General Public License, version 3</p>"),
+        (6, "a/q.txt", f"{rest} this work is licensed under the GNU Lesser General Public License, version 3 {rest} " * 20),
+    ]
+    found = licenses.scan_licenses(spark.createDataFrame(files, "id long, path string, text string")).collect()
+    assert {r.id: r.license for r in found} == {1: "MIT", 2: "Apache-2.0", 3: "GPL-3.0", 4: None, 5: "LGPL-3.0", 6: "LGPL-3.0"}
