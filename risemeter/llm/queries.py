@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from risemeter.llm import conversation_sql
 from risemeter.llm.decontaminate import benchmark_hits
 from risemeter.llm.inner import top_inner_products
 from risemeter.llm.language import languages
@@ -16,6 +17,7 @@ from risemeter.llm.personal import personal_spans
 from risemeter.llm.quality import quality_scores
 from risemeter.llm.secrets import secret_spans
 from risemeter.llm.tables import read
+from risemeter.llm.trie import conversation_trie
 from risemeter.llm.urls import LISTED_WORDS, RULES, parts, url_verdicts
 
 
@@ -62,6 +64,10 @@ def op10_multipart_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_spans(read(spark, folder, "documents")).drop("found")
 
 
+def op11_zfast_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(read(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_inheritance,
         op9_viterbi_languages,
         op10_multipart_secrets,
+        op11_zfast_prefix_trie,
     )
 }
 
@@ -82,6 +89,7 @@ _RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path
 _WORDS = ", ".join(f"'{w}'" for w in LISTED_WORDS)
 
 ORACLES: dict[str, str] = {
+    "op11_zfast_prefix_trie": conversation_sql.TRIE,
     "op4_bloom_cascade_urls": f"""
         WITH cut AS (
             SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
