@@ -22,8 +22,9 @@ def in_order(rows: DataFrame, order: list[str], seq: str = "seq") -> DataFrame:
     return placed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(tie).withColumn(seq, F.monotonically_increasing_id())
 
 
-def digests(pieces: DataFrame, keys: list[str], place: str, text: str = "text") -> DataFrame:
-    """(keys, sha256): the digest over each key's pieces in the order of ``place``.
+def digests(pieces: DataFrame, keys: list[str], place: str, text: str = "text", between: bytes = b"", skip: int = 0) -> DataFrame:
+    """(keys, sha256): the digest over each key's pieces in the order of ``place``, with ``between`` between them and
+    without the first ``skip`` bytes of each key's first piece.
 
     A digest is one chain of blocks, so all bytes of a key must pass one task in turn; they stream through it with constant memory.
     """
@@ -41,9 +42,12 @@ def digests(pieces: DataFrame, keys: list[str], place: str, text: str = "text")
                 if name != key:
                     if state is not None:
                         done.append((*key, state.hexdigest()))
-                    key, state = name, hashlib.sha256()
+                    key, state, drop = name, hashlib.sha256(), skip
+                else:
+                    state.update(between)
+                    drop = 0
                 piece = piece.as_py()
-                state.update(piece if isinstance(piece, bytes) else piece.encode())
+                state.update((piece if isinstance(piece, bytes) else piece.encode())[drop:])
             if done:
                 yield rows(done)
         if state is not None:

@@ -15,6 +15,7 @@ from risemeter.llm.overlap import overlap_components
 from risemeter.llm.packing import packed
 from risemeter.llm.personal import personal_spans
 from risemeter.llm.quality import quality_scores
+from risemeter.llm.repair import damaged_repairs
 from risemeter.llm.secrets import secret_spans
 from risemeter.llm.tables import read
 from risemeter.llm.trie import conversation_trie
@@ -68,6 +69,10 @@ def op11_zfast_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie(read(spark, folder, "conversations"))
 
 
+def op12_idastar_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return damaged_repairs(read(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_viterbi_languages,
         op10_multipart_secrets,
         op11_zfast_prefix_trie,
+        op12_idastar_conversation_repair,
     )
 }
 
@@ -90,6 +96,7 @@ _WORDS = ", ".join(f"'{w}'" for w in LISTED_WORDS)
 
 ORACLES: dict[str, str] = {
     "op11_zfast_prefix_trie": conversation_sql.TRIE,
+    "op12_idastar_conversation_repair": conversation_sql.REPAIR,
     "op4_bloom_cascade_urls": f"""
         WITH cut AS (
             SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages

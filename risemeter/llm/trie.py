@@ -182,9 +182,11 @@ def z_fast_nodes(strings: DataFrame) -> DataFrame:
     keyed = strings.selectExpr(*_NODE, "element_at(x, -1) as sx", "element_at(y, -1) as sy")
     pending = saved(keyed.dropDuplicates(["sx", "sy"]), "pending")
     longest = pending.agg(F.max(F.col("high") - F.col("low"))).first()[0]
+    # Each step clears the highest bit in which the two ends of the search differ; a start that is not 0 can cost one more.
+    steps = int(longest or 0).bit_length() + int(pending.where("low > 0").limit(1).count())
     nodes = None
     while longest and (nodes is None or pending.limit(1).count()):
-        located = saved(_located(pending, nodes, int(longest).bit_length() + 1), "located")
+        located = saved(_located(pending, nodes, steps), "located")
         leaving = located.where("q < high").selectExpr("*", "x[q - low] as gx", "y[q - low] as gy")
         first = leaving.groupBy("gx", "gy").agg(F.min(F.struct("sx", "sy")).alias("first")).selectExpr("gx", "gy", "first.sx as first_x", "first.sy as first_y")
         marked = saved(leaving.join(first, ["gx", "gy"]), "marked")
@@ -238,8 +240,7 @@ def _end_digests(ends: DataFrame) -> DataFrame:
 
     dealt = ends.select("ex", "ey", "conv_id").repartitionByRange("ex", "ey", "conv_id").sortWithinPartitions("ex", "ey", "conv_id")
     pieces = dealt.mapInArrow(join, "ex long, ey long, at long, text string")
-    least = pieces.groupBy("ex", "ey").agg(F.min("at").alias("least"))
-    return digests(pieces.join(least, ["ex", "ey"]).withColumn("text", F.expr("if(at = least, text, concat(',', text))")), ["ex", "ey"], "at")
+    return digests(pieces, ["ex", "ey"], "at", between=b",")
 
 
 def prefix_trie(turns: DataFrame, ids: DataFrame, length: int = STRING) -> DataFrame:
