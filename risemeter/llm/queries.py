@@ -17,6 +17,7 @@ from risemeter.llm.personal import personal_spans
 from risemeter.llm.quality import quality_scores
 from risemeter.llm.repair import damaged_repairs
 from risemeter.llm.secrets import secret_spans
+from risemeter.llm.simhash import near_duplicates
 from risemeter.llm.tables import read
 from risemeter.llm.trie import conversation_trie
 from risemeter.llm.urls import LISTED_WORDS, RULES, parts, url_verdicts
@@ -73,6 +74,10 @@ def op12_idastar_conversation_repair(spark: SparkSession, folder: str) -> DataFr
     return damaged_repairs(read(spark, folder, "conversations"))
 
 
+def op13_covering_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_multipart_secrets,
         op11_zfast_prefix_trie,
         op12_idastar_conversation_repair,
+        op13_covering_simhash,
     )
 }
 
