@@ -8,9 +8,12 @@ pairs are then verified on the full text.
 * Anchors are as long as the term allows (1, 2, 3, 4, 8 or 16 characters) and the rarest of
   the term's n-grams within the catalog, so common prefixes never become hot join keys.
 * Texts only offer lengths that occur among the anchors.
-* N-grams travel as 64-bit hashes without the text. The term side holds one row per term. It is
-  broadcast only when its measured size is small; beyond that both sides are shuffled, with AQE
-  splitting a partition whose n-gram is frequent in the texts.
+* A bit table of all anchors, of bounded size, travels as one column value. N-grams that are no
+  anchor fall at it where they are made, before anything moves, whatever the size of the catalog.
+* N-grams travel as 64-bit hashes without the text. Texts are normalized once, move once, by item,
+  and are read twice: for their n-grams and for the check.
+* Exclusions and resolving keywords are terms like others, so that no text is looked up again.
+* Which term lies inside which longer one is a fact of the catalog, written with the index.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from risemeter.functions.text import (
     is_safe_term,
@@ -31,13 +34,12 @@ from risemeter.functions.text import (
     strip_text,
     utf16_length,
 )
-from risemeter.session import checkpointed
+from risemeter.session import written
 
 GRAM_LENGTHS = [1, 2, 3, 4, 8, 16]
 
-# Prepared terms up to this size are broadcast, counting four bytes per character and row overhead.
-BROADCAST_BYTES = 64 * 1024 * 1024
-ROW_BYTES = 200
+# The bit table has about so many bits per anchor, and at most so many bits (2 MB).
+BITS_PER_ANCHOR, MOST_BITS = 16, 1 << 24
 
 ROLES = ("name", "alias", "ambiguous", "weak")
 MATCHING_ROLES = ("name", "alias", "ambiguous")
@@ -55,20 +57,21 @@ def _grams(text: Column, length: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), 1)
 
 
-def anchored(rows: DataFrame) -> DataFrame:
-    """Add ``anchor``: the hash of the rarest n-gram of each ``term_text``, at its anchor length."""
-    length = F.length("term_text")
-    classes = reduce(
-        lambda chosen, n: F.when(length >= n, F.lit(n)).otherwise(chosen), GRAM_LENGTHS, F.lit(None).cast("int")
-    )
-    sized = rows.select("term_text").distinct().withColumn("anchor_length", classes)
+def _length_class(length: Column) -> Column:
+    """The largest anchor length that fits."""
+    return reduce(lambda chosen, n: F.when(length >= n, F.lit(n)).otherwise(chosen), GRAM_LENGTHS, F.lit(None).cast("int"))
+
+
+def anchored(texts: DataFrame) -> DataFrame:
+    """Add ``anchor``: the hash of the rarest n-gram of each ``term_text``, at its ``anchor_length``. Texts are distinct."""
+    sized = texts.withColumn("anchor_length", _length_class(F.length("term_text")))
     own = _all_grams(F.col("term_text"), lambda n: F.col("anchor_length") == n)
-    grams = sized.select("term_text", "anchor_length", F.explode(F.array_distinct(own)).alias("_gram"))
+    grams = sized.select("term_id", "anchor_length", F.explode(F.array_distinct(own)).alias("_gram"))
     usage = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_uses"))
-    anchors = grams.join(usage, "_gram").groupBy("term_text", "anchor_length").agg(
+    anchors = grams.join(usage, "_gram").groupBy("term_id", "anchor_length").agg(
         F.xxhash64(F.min_by("_gram", F.struct("_uses", "_gram"))).alias("anchor")
     )
-    return rows.join(anchors, "term_text")
+    return texts.join(anchors, "term_id")
 
 
 def _all_grams(text: Column, wanted: Callable[[int], Column]) -> Column:
@@ -79,57 +82,99 @@ def _all_grams(text: Column, wanted: Callable[[int], Column]) -> Column:
     return chosen
 
 
+def anchor_bits(terms: DataFrame, anchors: int) -> tuple[DataFrame, int]:
+    """One row with the bit table of all anchors as an array of longs, and its number of bits (a power of two).
+
+    The table is bounded; with more anchors than it has room for, more n-grams pass, and none is lost.
+    """
+    bits = 1 << max(10, min(MOST_BITS, anchors * BITS_PER_ANCHOR).bit_length())
+    place = F.col("anchor").bitwiseAND(F.lit(bits - 1))
+    held = terms.select(F.shiftright(place, 6).alias("id"), F.expr("shiftleft(1L, cast(anchor & 63 as int))").alias("bit"))
+    held = held.groupBy("id").agg(F.bit_or("bit").alias("bit"))
+    words = terms.sparkSession.range(bits // 64).join(held, "id", "left").select(F.struct("id", F.coalesce("bit", F.lit(0)).alias("bit")).alias("w"))
+    return words.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w.bit).alias("words")), bits
+
+
 @dataclass
 class CatalogIndex:
     """The term side of the join, written once and read by every use.
 
-    ``terms`` has catalog_id, role, rank, term, term_text, confirms, exclusions, resolvers,
-    has_exclusions and anchor.
-    ``lengths`` are the anchor lengths that occur, ``small`` tells whether terms may be broadcast.
+    ``terms`` has term_id, term_text, is_guard, anchor, one row per distinct text. ``entries`` has
+    term_id, catalog_id, role, rank, term, confirms, guarded, one row per entry and term. ``guards`` has
+    catalog_id and the term ids of its exclusions and resolvers, for entries that have any.
+    ``covers`` has (longer_id, term_id) for each term inside a longer one.
+    ``words`` is the bit table of the anchors with ``bits`` bits, ``lengths`` are the anchor lengths that occur.
     """
 
     terms: DataFrame
+    entries: DataFrame
+    guards: DataFrame
+    words: DataFrame
+    bits: int
     lengths: list[int]
-    small: bool
-
-    def joined(self, rows: DataFrame, columns: list[str], keys: list[str], how: str = "inner") -> DataFrame:
-        """Join rows with term columns, broadcast when small, else by a sort-merge join.
+    covers: DataFrame | None = None
 
-        The choice is explicit: Spark underestimates rows that an explode multiplies.
-        """
-        terms = self.terms.select(*columns).distinct()
-        return rows.join(F.broadcast(terms) if self.small else terms.hint("merge"), keys, how)
+    def offers(self, gram: Column) -> Column:
+        """Whether the hash of an n-gram is in the bit table."""
+        word = F.get(self.words.scalar(), F.shiftright(gram.bitwiseAND(F.lit(self.bits - 1)), 6).cast("int"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), gram.bitwiseAND(F.lit(63)).cast("int"))
+        return word.bitwiseAND(bit) != 0
 
 
 def index_catalog(catalog: DataFrame, roles: tuple[str, ...] | None = None) -> CatalogIndex:
-    """Prepare the catalog for matching. Its size is measured on the prepared rows."""
-    spark = catalog.sparkSession
-    rows = catalog_term_rows(catalog, roles or ROLES).join(catalog_guards(catalog), "catalog_id").withColumn(
-        "has_exclusions", F.size("exclusions") > 0
+    """Prepare the catalog for matching, once, in tables of the shared folder. Joins with them follow from their sizes."""
+    guards = catalog_guards(catalog)
+    listed = catalog_term_rows(catalog, roles or ROLES).join(guards, "catalog_id")
+    # An exclusion that normalizes to nothing is in every title, and so is such a resolver.
+    rows = listed.where(~F.array_contains("exclusions", "")).select(
+        "catalog_id", "role", "rank", "term", "term_text", "confirms",
+        (F.size("exclusions") > 0).alias("guarded"), F.array_contains("resolvers", "").alias("resolves"),
+    )
+    rows = written(rows, "term-rows")
+    checks = written(
+        guards.select("catalog_id", F.explode("exclusions").alias("term_text"), F.lit(True).alias("excludes"))
+        .unionByName(guards.select("catalog_id", F.explode("resolvers").alias("term_text"), F.lit(False).alias("excludes")))
+        .where("term_text <> ''"),
+        "guard-rows",
     )
-    terms = checkpointed(anchored(checkpointed(rows, spark)), spark)
-    width = F.length("term") + F.length("term_text") + F.length(F.array_join(F.concat("exclusions", "resolvers"), ""))
-    facts = terms.agg(
-        F.collect_set("anchor_length").alias("lengths"), F.coalesce(F.sum(width * 4 + ROW_BYTES), F.lit(0)).alias("bytes")
-    ).first()
-    return CatalogIndex(terms, sorted(facts["lengths"]), facts["bytes"] <= BROADCAST_BYTES)
+    used = rows.select("term_text", F.lit(False).alias("is_guard")).unionByName(checks.select("term_text", F.lit(True).alias("is_guard")))
+    texts = written(used.groupBy("term_text").agg(F.max("is_guard").alias("is_guard")).withColumn("term_id", F.monotonically_increasing_id()), "term-texts")
+    terms = written(anchored(texts), "terms")
+    entries = written(rows.join(texts.select("term_text", "term_id"), "term_text").drop("term_text"), "entries")
+    ids = lambda wanted: F.collect_set(F.when(wanted, F.col("term_id")))
+    listed_guards = checks.join(texts.select("term_text", "term_id"), "term_text").groupBy("catalog_id").agg(
+        ids(F.col("excludes")).alias("exclusions"), ids(~F.col("excludes")).alias("resolvers")
+    )
+    # The longest anchor is no longer than its term, so the lengths and their number are facts of the terms.
+    facts = terms.select(_length_class(F.length("term_text")).alias("n")).groupBy("n").count().collect()
+    words, bits = anchor_bits(terms, sum(r["count"] for r in facts))
+    return CatalogIndex(terms, entries, written(listed_guards, "guards"), written(words, "anchor-bits"), bits, sorted(r["n"] for r in facts))
 
 
 def containing_pairs(texts: DataFrame, text_id: str, text: str, index: CatalogIndex) -> DataFrame:
-    """(text_id, term_text) for every indexed term contained in the text.
+    """(text_id, term_id, is_guard) for every indexed term contained in the text.
 
     The text is not copied next to each n-gram but joined again for the check. Pass ``texts``
-    partitioned by ``text_id``: both uses then share that one exchange, and with a broadcast term
-    side nothing else moves.
+    partitioned by ``text_id``: both uses then share that one exchange.
     """
     none = F.array().cast(_NO_STRINGS)
     offered = F.flatten(F.array(none, *[_grams(F.col(text), n) for n in index.lengths]))
     grams = texts.select(text_id, F.explode(F.array_distinct(offered)).alias("_gram")).select(
         text_id, F.xxhash64("_gram").alias("anchor")
     )
-    candidates = index.joined(grams, ["anchor", "term_text"], ["anchor"]).select(text_id, "term_text")
+    known = grams.where(index.offers(F.col("anchor")))
+    candidates = known.join(index.terms, "anchor").select(text_id, "term_id", "term_text", "is_guard")
     whole = texts.select(text_id, text).hint("merge")
-    return candidates.join(whole, text_id).where(F.contains(text, "term_text")).select(text_id, "term_text")
+    return candidates.join(whole, text_id).where(F.contains(text, "term_text")).select(text_id, "term_id", "is_guard")
+
+
+def covering_terms(index: CatalogIndex) -> DataFrame:
+    """(longer_id, term_id): each indexed term that lies inside a longer one. A longer term holds no more than its own parts."""
+    texts = index.terms.select(F.col("term_id").alias("longer_id"), F.col("term_text").alias("longer"))
+    inside = containing_pairs(texts.repartition("longer_id"), "longer_id", "longer", index).select("longer_id", "term_id")
+    sizes = index.terms.select("term_id", utf16_length(F.col("term_text")).alias("units"))
+    longer = sizes.select(F.col("term_id").alias("longer_id"), F.col("units").alias("longer_units"))
+    return inside.join(sizes, "term_id").join(longer, "longer_id").where("longer_units > units").select("longer_id", "term_id")
 
 
 def _strings(column: str) -> Column:
@@ -193,48 +238,38 @@ def title_hits(items: DataFrame, index: CatalogIndex) -> DataFrame:
     """Per (item, entry) whose terms occur in the title and whose exclusions do not.
 
     ``items`` has (item_id, title), optionally ``title_text`` with the title normalized earlier.
-    Columns: the matched method, confidence, term and its normalized text (NULL without a
-    match), and ``is_ambiguous`` for pairs that only deserve a review (needs the weak role).
+    Columns: the matched method, confidence, term and its id (NULL without a match), and
+    ``is_ambiguous`` for pairs that only deserve a review (needs the weak role).
     """
-    stored = "title_text" if "title_text" in items.columns else "title"
-    moved = items.select("item_id", stored).repartition("item_id")
-    normalized = F.col("title_text") if stored == "title_text" else normalize_text(F.col("title"))
-    # Never NULL, so that no join adds a filter to one use only and all uses share the exchange.
-    texts = moved.select("item_id", F.coalesce(normalized, F.lit("")).alias("title_text"))
-
+    normalized = F.col("title_text") if "title_text" in items.columns else normalize_text(F.col("title"))
+    # Never NULL, so that no join adds a filter to one use only and both uses share the exchange.
+    texts = items.select("item_id", F.coalesce(normalized, F.lit("")).alias("title_text")).repartition("item_id")
     found = containing_pairs(texts, "item_id", "title_text", index)
     # From here rows are a few numbers wide, so that the grouping is a hash aggregation with
     # map-side combine. It keeps the items' partitioning.
-    columns = ["term_text", "catalog_id", "role", "rank", "confirms", "has_exclusions"]
+    columns = ["term_id", "catalog_id", "role", "rank", "confirms", "guarded", "resolves"]
     best = [F.min(F.when(F.col("role") == role, F.col("rank"))).alias(f"_{role}") for role in ROLES]
-    pairs = index.joined(found, columns, ["term_text"]).groupBy("item_id", "catalog_id").agg(
-        *best, F.max("confirms").alias("_confirmed"), F.max("has_exclusions").alias("_guarded")
-    )
+    flags = [F.max(flag).alias(f"_{flag}") for flag in ("confirms", "guarded", "resolves")]
+    pairs = found.join(index.entries.select(*columns), "term_id").groupBy("item_id", "catalog_id").agg(*best, *flags)
+
     by_name, by_alias, by_ambiguous = (F.col(f"_{r}").isNotNull() for r in MATCHING_ROLES)
-    needs_resolver = by_ambiguous & ~by_name & ~by_alias
-
-    # The whole text comes back only for pairs whose exclusions or resolvers must be looked up.
-    whole = texts.select(F.col("item_id").alias("_item"), "title_text").hint("merge")
-    asks = F.col("_guarded") | needs_resolver
-    text = F.col("title_text")
-    looked_up = index.joined(
-        pairs.join(whole, (F.col("item_id") == F.col("_item")) & asks, "left"),
-        ["catalog_id", "exclusions", "resolvers"],
-        ["catalog_id"],
-    )
-    excluded = F.coalesce(F.exists("exclusions", lambda t: F.contains(text, t)), F.lit(False))
-    resolved = F.coalesce(F.exists("resolvers", lambda t: F.contains(text, t)), F.lit(False))
+    # The guards of a title are parts of it; they meet those of an entry only where these decide.
+    present = found.where("is_guard").groupBy(F.col("item_id").alias("_item")).agg(F.collect_set("term_id").alias("_present"))
+    asks = F.col("_guarded") | (by_ambiguous & ~by_name & ~by_alias)
+    guarded = pairs.join(present, (F.col("item_id") == F.col("_item")) & asks, "left").join(index.guards, "catalog_id", "left")
+    hit = lambda guards: F.coalesce(F.arrays_overlap(guards, "_present"), F.lit(False))
+    resolved = F.col("_resolves") | hit("resolvers")
     chosen = (
         F.when(by_name, _choice("name", "exact_name", NAME_CONFIDENCE))
         .when(by_alias, _choice("alias", "alias", ALIAS_CONFIDENCE))
         .when(by_ambiguous & resolved, _choice("ambiguous", "alias", RESOLVED_CONFIDENCE))
     )
-    ambiguous = F.col("_weak").isNotNull() & ~F.col("_confirmed")
-    flagged = looked_up.where(~excluded).select(
+    ambiguous = F.col("_weak").isNotNull() & ~F.col("_confirms")
+    flagged = guarded.where(~hit("exclusions")).select(
         "item_id", "catalog_id", chosen.alias("_c"), ambiguous.alias("is_ambiguous")
     ).select("item_id", "catalog_id", "_c.*", "is_ambiguous")
     keys = ["catalog_id", "role", "rank"]
-    return index.joined(flagged, [*keys, "term", "term_text"], keys, "left").drop("role", "rank")
+    return flagged.join(index.entries.select(*keys, "term", "term_id"), keys, "left").drop("role", "rank")
 
 
 def _choice(role: str, method: str, confidence: int) -> Column:
@@ -246,26 +281,26 @@ def _choice(role: str, method: str, confidence: int) -> Column:
     )
 
 
-def judged_pairs(hits: DataFrame) -> DataFrame:
+def judged_pairs(hits: DataFrame, index: CatalogIndex) -> DataFrame:
     """Title hits with ``is_match``: a match counts unless its term lies inside a longer matched
     term of another entry in the same title.
 
     An entry has one term per title, so a longer term always belongs to another entry, and it is
-    enough to know the distinct terms of the title. They are parts of the title, so their array
-    is bounded by it, however many entries share a term; the hits themselves stay rows.
+    enough to know the distinct terms of the title: each of them covers the terms inside it, which
+    the index lists.
     """
-    matched = F.when(F.col("method").isNotNull(), F.col("term_text"))
-    terms = F.collect_set(matched).over(Window.partitionBy("item_id"))
-    own = F.col("term_text")
-    covered = F.exists("_terms", lambda t: (utf16_length(t) > utf16_length(own)) & F.contains(t, own))
-    is_match = F.col("method").isNotNull() & ~F.coalesce(covered, F.lit(False))
-    return hits.withColumn("_terms", terms).withColumn("is_match", is_match).drop("_terms", "term_text")
+    covers = index.covers if index.covers is not None else covering_terms(index)
+    matched = hits.where("method is not null").select("item_id", F.col("term_id").alias("longer_id")).distinct()
+    covered = matched.join(covers, "longer_id").select("item_id", "term_id", F.lit(True).alias("_covered")).distinct()
+    is_match = F.col("method").isNotNull() & F.col("_covered").isNull()
+    return hits.join(covered, ["item_id", "term_id"], "left").withColumn("is_match", is_match).drop("_covered", "term_id")
 
 
 def match_titles(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """Confirmed matches (item_id, catalog_id, method, confidence, term)."""
-    hits = title_hits(items, index_catalog(catalog, MATCHING_ROLES)).where(F.col("method").isNotNull())
-    return judged_pairs(hits).where("is_match").drop("is_match", "is_ambiguous")
+    index = index_catalog(catalog, MATCHING_ROLES)
+    hits = title_hits(items, index).where(F.col("method").isNotNull())
+    return judged_pairs(hits, index).where("is_match").drop("is_match", "is_ambiguous")
 
 
 def ambiguous_candidates(items: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -134,8 +134,8 @@ def ingest_items(
     rows = incoming.select("item_id", today.alias("date"), *counters)
     snapshots = new_snapshots(item_snapshots.where(F.col("date") == today), rows, "item_id", F.struct(*counters))
 
-    hits = title_hits(incoming.select("item_id", "title"), index_catalog(catalog))
-    pairs = checkpointed(judged_pairs(hits), spark)
+    index = index_catalog(catalog)
+    pairs = checkpointed(judged_pairs(title_hits(incoming.select("item_id", "title"), index), index), spark)
     columns_of_link = ["item_id", "catalog_id", "method", "confidence"]
     linked = replaced_auto_links(
         links.select(*columns_of_link), pairs.where("is_match").select(*columns_of_link), collected

@@ -34,7 +34,8 @@ def rematch(items: DataFrame, catalog: DataFrame, links: DataFrame) -> Rematch:
     A second run over the result adds nothing. All three come from one pass over the titles,
     whose pairs are checkpointed.
     """
-    pairs = checkpointed(judged_pairs(title_hits(items, index_catalog(catalog))), items.sparkSession)
+    index = index_catalog(catalog)
+    pairs = checkpointed(judged_pairs(title_hits(items, index), index), items.sparkSession)
     stored = links.select("item_id", "catalog_id").distinct()
     to_add = without(pairs.where("is_match"), stored, ["item_id", "catalog_id"]).select(
         "item_id", "catalog_id", "method", "confidence"

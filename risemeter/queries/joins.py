@@ -317,7 +317,8 @@ def _(v: Views) -> DataFrame:
     f"WITH {TERMS_SQL} SELECT item_id, catalog_id, term FROM judged WHERE method IS NOT NULL AND NOT is_match",
 )
 def _(v: Views) -> DataFrame:
-    rows = judged_pairs(title_hits(v.titles(), index_catalog(v.phrases(), MATCHING_ROLES)))
+    index = index_catalog(v.phrases(), MATCHING_ROLES)
+    rows = judged_pairs(title_hits(v.titles(), index), index)
     return rows.where("method IS NOT NULL AND NOT is_match").select("item_id", "catalog_id", "term")
 
 

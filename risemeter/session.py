@@ -50,3 +50,10 @@ def checkpointed(df, spark: SparkSession):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def written(df, name: str):
+    """Cut the lineage of ``df`` by a written table in the shared folder, whose size Spark knows when it picks joins."""
+    spark, folder = df.sparkSession, fresh_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -1,6 +1,5 @@
 """Title matching: reference vectors, brute force, and the shuffled path."""
 
-import dataclasses
 import random
 import re
 import unicodedata
@@ -132,13 +131,14 @@ def crowd():
     return catalog, titles
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_brute_force(spark, crowd, small):
+@pytest.mark.parametrize("most_bits", [M.MOST_BITS, 64])
+def test_brute_force(spark, crowd, most_bits, monkeypatch):
+    """A bit table that is too small passes more n-grams and changes no row."""
+    monkeypatch.setattr(M, "MOST_BITS", most_bits)
     catalog, titles = crowd
     index = M.index_catalog(spark.createDataFrame(catalog, CATALOG))
-    assert index.small
     items = spark.createDataFrame(list(enumerate(titles)), "item_id BIGINT, title STRING")
-    rows = M.judged_pairs(M.title_hits(items, dataclasses.replace(index, small=small))).collect()
+    rows = M.judged_pairs(M.title_hits(items, index), index).collect()
     matches, review = {}, {}
     for r in rows:
         if r.is_match:
@@ -151,6 +151,54 @@ def test_brute_force(spark, crowd, small):
         assert review.get(i, set()) == doubtful, title
 
 
+def exchanges(plan, above=()):
+    """(exchange, operators below it down to the next exchange) of a physical plan, as text lines by depth."""
+    lines = [(len(re.match(r"[ :+-]*", line).group()), line.strip(" :+-")) for line in plan.splitlines() if line.strip()]
+    found = []
+    for k, (depth, name) in enumerate(lines):
+        if re.match(r"(\*\(\d+\) )?Exchange", name):
+            below = []
+            for d, n in lines[k + 1 :]:
+                if d <= depth:
+                    break
+                below.append(n)
+            found.append((name, below))
+    return found
+
+
+def physical(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[-1].split("Subqueries")[0]
+
+
+def test_only_known_ngrams_move_and_titles_are_normalized_once(spark, crowd):
+    """The same plan with joins that are sorted, as for a catalog beyond any broadcast, and with small ones."""
+    catalog, titles = crowd
+    items = spark.createDataFrame(list(enumerate(titles)), "item_id BIGINT, title STRING")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in ("-1", before):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            index = M.index_catalog(spark.createDataFrame(catalog, CATALOG))
+            plan = physical(M.title_hits(items, index))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        moved = [below for _, below in exchanges(plan) if any("Generate explode" in b for b in below)]
+        for below in moved:
+            first = next(k for k, b in enumerate(below) if "Generate explode" in b)
+            assert any("ubquery" in b and "Filter" in b for b in below[:first]), plan
+        assert (threshold == "-1") == bool(moved)
+        normalizers = {below[0] for name, below in exchanges(plan) if "ArrowEvalPython" in " ".join(below[:3])}
+        assert len(normalizers) <= 1 and "Window" not in plan
+
+
+def test_covering_terms_are_facts_of_the_catalog(spark):
+    index = M.index_catalog(spark.createDataFrame([entry(1, "Ocean 5 Special"), entry(2, "Ocean 5"), entry(3, "cean 5 Sp"), entry(4, "Other")], CATALOG), M.MATCHING_ROLES)
+    names = {r.term_id: r.term_text for r in index.terms.collect()}
+    got = {(names[r.longer_id], names[r.term_id]) for r in M.covering_terms(index).collect()}
+    assert got == {("ocean5special", "ocean5"), ("ocean5special", "cean5sp")}
+
+
 def test_stored_normal_text_is_used(spark):
     catalog = spark.createDataFrame([entry(1, "Long Name Here")], CATALOG)
     items = spark.createDataFrame([(1, "ignored", "xxlongnameherexx")], "item_id BIGINT, title STRING, title_text STRING")
