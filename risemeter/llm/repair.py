@@ -6,8 +6,8 @@ one whose initials, in order, are least in ASCII.
 
 1. **Order.** Rows are dealt by ranges of (conversation, turn, role, text), so a conversation of any length is spread; blocks of at most ``BLOCK`` rows of one conversation are
    repaired one by one.
-2. **Search.** Within a block: depth-first in the order Delete, Insert, Keep, Rerole, cut off where the cost so far plus the least cost of the rows left exceeds
-   the bound; the bound rises to the least cost that was cut off. States (row, place in the pattern) that failed are kept with the most that was left to spend, and are not entered
+2. **Search.** Within a block: depth-first in the order Delete, Insert, Keep, Rerole, cut off where the cost so far plus a lower bound of the rest (what each row costs at the least, and breaks of the
+   pattern) exceeds the bound; the bound rises to the least cost that was cut off. States (row, place in the pattern) that failed are kept with the most that was left to spend, and are not entered
    again with as much or less. The first accepting path is the answer: with costs whole and the order that of ASCII, it is the cheapest and the least.
 3. **Blocks.** Inserted rows belong to the row that follows, so the edits of a block are never a prefix of other edits of it, and the least edits of a conversation are made of
    least edits of its blocks. A conversation of several blocks is searched once for each entry and exit state; the states are then chained, a few numbers per block.
@@ -30,7 +30,7 @@ from risemeter.llm.ordering import digests, in_order
 from risemeter.llm.tables import saved
 
 #: Rows of a block.
-BLOCK = 256
+BLOCK = 64
 #: Bytes of a digest piece.
 PIECE = 1 << 20
 
@@ -41,6 +41,7 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 FILL = (USER, USER, ASSISTANT, USER)
 #: The least cost of completing the pattern from each place.
 CLOSE = (0, 2 * INSERT, INSERT, 0)
+LEGAL = ("su", "ua", "au")
 KEEP = {(START, "s"): SYSTEM, (START, "u"): USER, (SYSTEM, "u"): USER, (USER, "a"): ASSISTANT, (ASSISTANT, "u"): USER}
 
 
@@ -52,12 +53,26 @@ def search(rows: list[tuple[str, bool, bool]], entry: int = START, leave: int |
     n = len(rows)
     if leave == START != entry or (leave == SYSTEM and entry != SYSTEM and (entry != START or not any(s == "s" and not gone for s, gone, _ in rows))):
         return None
-    rest = [0] * (n + 1)  # a lower bound: what each row costs at the least
+    # A lower bound: what each row costs at the least, and 2 for each two breaks of the pattern, since an edit beyond that costs 2 or more and mends two breaks at the most.
+    rest, breaks, live = [0] * (n + 1), [0] * (n + 1), [n] * (n + 1)
     for i in range(n - 1, -1, -1):
-        rest[i] = rest[i + 1] + (DELETE if rows[i][1] else CUT if rows[i][2] else 0)
+        initial, gone, cut = rows[i]
+        rest[i] = rest[i + 1] + (DELETE if gone else cut * CUT)
+        after_it = live[i + 1]
+        if gone:
+            breaks[i], live[i] = breaks[i + 1], after_it
+        elif after_it < n:
+            breaks[i], live[i] = breaks[i + 1] + (initial + rows[after_it][0] not in LEGAL), i
+        else:
+            breaks[i], live[i] = int(leave is None and initial != "a"), i
 
     def after(i: int, place: int) -> int:
-        return rest[i] + (CLOSE[place] if i == n and leave is None else 0)
+        if leave in (START, SYSTEM):  # nothing but deletions stays there, and one system row leads from the one to the other
+            return DELETE * (n - i - (place != leave)) if place in (START, leave) else DELETE * (n + 1)
+        k = live[i]
+        if k == n:
+            return rest[i] + (CLOSE[place] if leave is None else 0)
+        return rest[i] + 2 * ((breaks[i] + ((place, rows[k][0]) not in KEEP) + 1) // 2)
 
     def edits(i: int, place: int) -> list[tuple[str, int, int, int]]:
         """(edit, cost, next row, next place) in ASCII order."""
@@ -170,7 +185,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found = search(rows, entry, None if leave == _END else leave)
                     if found is not None:
                         options.append({"entry": entry, "leave": leave, "cost": found[0], "edits": found[1]})
-            illegal = sum(x + y not in ("su", "ua", "au") for x, y in zip(r["initial"], r["initial"][1:], strict=False))
+            illegal = sum(x + y not in LEGAL for x, y in zip(r["initial"], r["initial"][1:], strict=False))
             out.append({**r, "illegal": illegal, "first": r["initial"][0], "last": r["initial"][-1], "options": options})
         yield pa.RecordBatch.from_pylist([{k: o[k] for k in schema.names} for o in out], schema)
 
@@ -206,7 +221,7 @@ def _forwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r["conv_id"] != conv:
                 conv, place, last = r["conv_id"], START, None
             o = next(o for o in r["options"] if o["entry"] == place)
-            illegal = r["illegal"] + (last is not None and last + r["first"] not in ("su", "ua", "au"))
+            illegal = r["illegal"] + (last is not None and last + r["first"] not in LEGAL)
             place, last = o["leave"], r["last"]
             out.append((r["conv_id"], r["block"], r["alone"], o["entry"], o["cost"], o["edits"], r["blank"], r["duplicate"], r["truncated"], illegal))
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.string(), *[pa.int64()] * 4]
@@ -216,7 +231,9 @@ def _forwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _edits(rows: DataFrame) -> DataFrame:
     """The edits of each block of the rows."""
-    solved = saved(_blocks(rows).mapInArrow(_solve, _SOLVED), "solved")
+    # Small rows with much work in each: as many tasks as the session shuffles into, whatever their size.
+    blocks = _blocks(rows).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id", "block")
+    solved = saved(blocks.mapInArrow(_solve, _SOLVED), "solved")
     several = solved.where("not alone")
     # A block is a row of sixteen options at most; a conversation's blocks pass one task, a few hundred rows in each.
     chosen = several.repartition("conv_id").sortWithinPartitions("conv_id", F.desc("block")).mapInArrow(_backwards, _SOLVED)

@@ -119,7 +119,7 @@ def talk(seed):
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 3])
+@pytest.mark.parametrize("block", [64, 3])
 def test_repairs_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(repair, "BLOCK", block)
     monkeypatch.setattr(repair, "PIECE", 40)
