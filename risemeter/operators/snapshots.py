@@ -45,6 +45,15 @@ def latest_as_of(daily: DataFrame, key: str, values: list[str], reference_day: s
     )
 
 
+def days_needed(latest: DataFrame, periods: list[int]) -> DataFrame:
+    """(date): the latest days themselves, and the days at which the windows of ``periods`` lie before them."""
+    day = F.col(latest.columns[0])
+    windows = [F.sequence(F.date_add(day, -PERIOD_WINDOWS[p][1]), F.date_add(day, -PERIOD_WINDOWS[p][0])) for p in periods]
+    listed = latest.distinct().select(F.explode(F.concat(F.array(day), *windows)).alias("date")).distinct()
+    # A comparison on the small side is what lets Spark prune the partitions of the large one at run time.
+    return listed.where(F.col("date") > F.lit("0001-01-01").cast("date"))
+
+
 def period_comparisons(
     daily: DataFrame,
     key: str,
@@ -55,15 +64,25 @@ def period_comparisons(
     """Compare each key's latest row with the row nearest to ``period`` days before it.
 
     Nearest means smallest distance on either side, the earlier date on ties; NULL values never
-    serve as baseline. One pass answers all periods: the latest day is a window over the key and
-    the baselines are grouped minima over the same partitioning, so there is one shuffle, no
-    self join, and the work is linear in the rows.
-
-    Needs at most one row per (key, date). Output: one row per (key, period).
+    serve as baseline. A row that makes a comparison ready lies within its window of days, and no row
+    outside is nearer. So the latest day and the row count of each key are found first, by an
+    aggregate that moves one row per key and task; then only the latest days and the windows
+    before them are read again and shuffled, once for all periods. On a table partitioned by day the
+    other days are not even read.
+
+    Needs at most one row per (key, date): repeated days that could change a result are refused, with
+    an error; ``one_per_day`` resolves them. Output: one row per (key, period).
     """
     rows = daily if reference_day is None else daily.where(F.col("date") <= F.lit(reference_day).cast("date"))
     raw_rows = F.sum("raw_rows") if "raw_rows" in daily.columns else F.count(F.lit(1))
-    marked = rows.withColumn("_last", F.max("date").over(Window.partitionBy(key)))
+    totals = rows.groupBy(key).agg(F.max("date").alias("_last"), raw_rows.cast("long").alias("_rows"))
+    # No more rows than there are calendar days.
+    near = rows.join(F.broadcast(days_needed(totals.select("_last"), periods)), "date", "left_semi")
+    days = near.join(totals, key).groupBy(key, "date", "_last", "_rows").agg(
+        F.max(value).alias(value), F.count(F.lit(1)).alias("_same_day")
+    )
+    repeated = F.raise_error(F.concat(F.lit("several snapshots on one day of key "), F.col(key).cast("string")))
+    marked = days.withColumn(value, F.when(F.col("_same_day") > 1, repeated.cast("long")).otherwise(F.col(value)))
 
     def nearest(period: int) -> Column:
         gap = day_gap(F.col("date"), F.date_add("_last", -period))
@@ -73,7 +92,7 @@ def period_comparisons(
     grouped = marked.groupBy(key).agg(
         F.max("_last").alias("latest_date"),
         F.max(F.when(F.col("date") == F.col("_last"), F.col(value))).alias("latest_value"),
-        raw_rows.cast("long").alias("snapshot_count"),
+        F.max("_rows").alias("snapshot_count"),
         *[nearest(p).alias(f"_base_{p}") for p in periods],
     )
     choices = [

@@ -10,6 +10,8 @@ from risemeter.plans.catalog import catalog_buzz
 from risemeter.queries.registry import query, text, whole
 from risemeter.queries.tables import HITS_SQL, hit_rows
 from risemeter.plans.discovery import sample_items
+from risemeter.session import fresh_folder
+from risemeter.sources.sinks import append_by_day
 from risemeter.views import Views, compare_sql, percent_sql
 
 
@@ -76,6 +78,45 @@ def _(v: Views) -> DataFrame:
     return _shown(W.period_comparison(v.entity_daily(), "entity_id", "subscriber_count", 7, "2024-01-18"))
 
 
+# Order dates span years, so that all windows are filled, and values rise and fall.
+ORDER_DAYS = """order_days AS (SELECT o_custkey % 300 AS entity_id, CAST(o_orderdate AS DATE) AS date,
+    CAST(floor(max(o_totalprice)) AS BIGINT) AS subscriber_count FROM orders GROUP BY ALL)"""
+
+
+def _order_days(v: Views) -> DataFrame:
+    rows = v.table("orders").selectExpr("o_custkey % 300 AS entity_id", "CAST(o_orderdate AS DATE) AS date", "o_totalprice")
+    return rows.groupBy("entity_id", "date").agg(F.floor(F.max("o_totalprice")).cast("long").alias("subscriber_count"))
+
+
+@query(
+    "w3_order_days_all_periods",
+    f"WITH {ORDER_DAYS} "
+    + " UNION ALL ".join(
+        f"SELECT CAST({p} AS BIGINT) AS period, entity_id, status, delta, comparison_days FROM "
+        f"({compare_sql('order_days', 'entity_id', 'subscriber_count', p, low, high)})"
+        for p, (low, high) in W.PERIOD_WINDOWS.items()
+    ),
+)
+def _(v: Views) -> DataFrame:
+    rows = W.period_comparisons(_order_days(v), "entity_id", "subscriber_count", list(W.PERIOD_WINDOWS))
+    return rows.select(*whole("period"), "entity_id", "status", "delta", *whole("comparison_days"))
+
+
+_EARLY_ORDERS = f"""WITH {ORDER_DAYS}, early AS (SELECT * FROM order_days WHERE date <= (SELECT CAST(max(o_orderdate) AS DATE) - 200 FROM orders))
+    SELECT {_COLUMNS} FROM ({compare_sql('early', 'entity_id', 'subscriber_count', 90, 60, 120)})"""
+
+
+@query("snk1_growth_of_appended_days", _EARLY_ORDERS)
+def _(v: Views) -> DataFrame:
+    """Two appends to a table by day, then the comparison as of a day that later folders do not reach."""
+    rows, folder = _order_days(v), fresh_folder(v.spark, "by-day")
+    even = F.dayofmonth("date") % 2 == 0
+    append_by_day(rows.where(even), folder)
+    append_by_day(rows.where(~even), folder)
+    last = rows.agg(F.date_sub(F.max("date"), 200).cast("string")).first()[0]
+    return _shown(W.period_comparison(v.spark.read.parquet(folder), "entity_id", "subscriber_count", 90, last))
+
+
 OVERVIEW_SQL = f"""SELECT entity_id, latest_date, latest_value, CASE WHEN n > 1 THEN latest_value - oldest_value ELSE 0 END
     AS weekly_delta, {percent_sql('(CASE WHEN n > 1 THEN latest_value - oldest_value ELSE 0 END)', 'oldest_value')} AS weekly_delta_pct
     FROM (SELECT entity_id, CAST(max(date) AS VARCHAR) AS latest_date, arg_max(subscriber_count, date) AS latest_value,

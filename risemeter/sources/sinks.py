@@ -18,6 +18,8 @@ ITEM_COLUMNS = [
     "title", "thumbnail_url", "view_count", "like_count", "comment_count", "content_type",
     "content_type_reason", "content_type_confidence", "duration_seconds", "live_flag",
 ]
+# Files that an append adds to a day at most.
+DAY_FILES = 8
 MENTION_COLUMNS = ["title", "view_count", "like_count", "comment_count", "published_at"]
 
 
@@ -160,7 +162,8 @@ def without_entities(snapshots: DataFrame, entities: DataFrame, handles: list[st
 
 
 def append_by_day(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("date").parquet(path)
+    """Add snapshots to a table with a folder per day; rows of one day are brought together first, so that a day gets few files."""
+    rows.repartition("date", F.pmod(F.xxhash64(*rows.columns), F.lit(DAY_FILES))).write.mode("append").partitionBy("date").parquet(path)
 
 
 def write_digest(digest: DataFrame, path: str) -> None:

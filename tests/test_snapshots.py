@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from risemeter.operators import snapshots as W
+from risemeter.sources.sinks import append_by_day
 from risemeter.plans.growth import growth_ranking, ranking_list
 
 
@@ -48,6 +49,29 @@ def test_reference_day_hides_later_rows(spark):
     assert compared(spark, pairs, 7, "2026-07-17") == ("ready", 7, False, "2026-07-10", 20)
 
 
+def test_repeated_days_are_refused(spark):
+    with pytest.raises(Exception, match="several snapshots on one day of key 1"):
+        compared(spark, [("2026-07-17", 120), ("2026-07-10", 100), ("2026-07-10", 90)], 7)
+    # A repeated day that no comparison needs changes nothing.
+    pairs = [("2026-07-17", 120), ("2026-07-10", 100), ("2026-01-01", 5), ("2026-01-01", 7)]
+    assert compared(spark, pairs, 7) == ("ready", 7, False, "2026-07-10", 20)
+
+
+def test_only_days_of_the_windows_are_read_and_shuffled(spark, folder):
+    start = dt.date(2026, 1, 1)
+    rows = [(k, start + dt.timedelta(days=d), k + d) for k in range(5) for d in range(200)]
+    append_by_day(spark.createDataFrame(rows, "entity_id BIGINT, date DATE, subscriber_count BIGINT"), folder + "/days")
+    stored = spark.read.parquet(folder + "/days")
+    frame = W.period_comparison(stored, "entity_id", "subscriber_count", 7, "2026-06-30")
+    assert {r.status for r in frame.collect()} == {"ready"}
+    plan = frame._jdf.queryExecution().executedPlan()
+    scans = [line for line in plan.toString().split("== Initial Plan ==")[0].splitlines() if "FileScan" in line]
+    assert scans and all("date" in s.split("PartitionFilters: [")[1].split("]")[0] for s in scans)
+    assert any("dynamicpruning" in s for s in scans) and "ReusedExchange" in plan.toString()
+    wide = W.days_needed(spark.createDataFrame([(dt.date(2026, 6, 30),)], "d DATE"), [7])
+    assert sorted(str(r.date) for r in wide.collect()) == ["2026-06-21", "2026-06-22", "2026-06-23", "2026-06-24", "2026-06-25", "2026-06-30"]
+
+
 def test_newest_collection_wins_a_day(spark):
     rows = [
         (1, dt.date(2026, 7, 17), 120, dt.datetime(2026, 7, 17, 1)),
