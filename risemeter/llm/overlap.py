@@ -5,16 +5,16 @@ threshold ``t`` (in per cent: ``100 * intersection >= t * union``):
 
 1. **Sets.** Every document becomes the set of its shingle hashes. Equal sets are one node; a hash group of thousands of copies is one
    row of the matrix from here on.
-2. **Columns.** Two sets of sizes a and b can only reach ``t`` if they share one of the first ``n - ceil(t n) + 1`` n-grams of each, in an
-   order that is the same for all documents. Frequent n-grams come last in that order, so that a passage which a third of all documents
-   hold is hardly ever a column. The product runs over these columns only.
-3. **Blocks.** Each column is a list of nodes, cut where sizes jump too far for any pair across the jump. Block after block of its nodes is multiplied with the rest of the list: first the leading
-   node, then the next 32, 64, 128 and so on. Between blocks, linked nodes are joined to components, and pairs within one component, as
-   well as pairs whose sizes rule the threshold out, are no longer multiplied. A column goes once its nodes are one component. So a group of
-   thousands of near copies costs one pass, no list is expanded into all its pairs, and yet each pair of different
-   components that could link is counted.
-4. **Counts.** Each set has a signature of parities, one bit per member. Cells of different parity bound from below how many members two sets do not share,
-   which rules most pairs out for an eighth of a byte per member. The overlap of the others is counted in full on the two texts and held against the threshold.
+2. **Survivors.** Two sets of sizes a and b can only reach ``t`` if they share one of the first ``n - ceil(t n) + 1`` n-grams of each, in an
+   order that is the same for all documents. A first order, by hash with the most frequent n-grams last, tells which sets share any such n-gram with another
+   of a fitting size; most sets share none and go.
+3. **Columns.** Over the survivors every n-gram is counted exactly, and the order is from the rarest on. N-grams of one set come first and need no column, so a
+   passage that many documents share is a column only of sets that hold little else. Each column is a list of nodes, cut where sizes jump too far for any pair across the jump.
+4. **Blocks.** A node leads once its place in all of its lists has been reached: first the nodes that stand first in all of them, then the next 32, 64, 128 and so on, so a list has
+   no more leaders in a block than that. A block multiplies its leaders with the nodes behind them in all their lists, *accumulates* the count of each pair over the columns, and discards the pairs whose
+   count and rest of both sets cannot reach the overlap that their sizes ask for. The sets of the other pairs are intersected. Between blocks, linked nodes are joined to components, and pairs within one
+   component are no longer multiplied; a list goes once its nodes are one component. So a group of thousands of near copies costs one pass, and yet each pair of
+   different components that could link is counted.
 
 Links are never brought to the driver, and components are found by star contraction in Spark.
 
@@ -39,6 +39,10 @@ WORDS = 5
 PERCENT = 75
 #: n-grams in at least this share of all documents are put last. There are at most (mean set size / share) of them, whatever the input.
 FREQUENT_SHARE = 0.0005
+#: Followers of a leading node whose sets are intersected in one task; a leader with more is dealt to several.
+FOLLOWERS = 200
+#: Bits of the table that drops sets without a partner before they move.
+SURVIVOR_BITS = 1 << 24
 #: Nodes of a column multiplied in the second block; each further block is twice as large.
 BLOCK = 32
 
@@ -71,23 +75,6 @@ def _set_keys(found: np.ndarray) -> tuple[int, int]:
     return int(mix(found, 11).sum(dtype=np.uint64).view(np.int64)), int(mix(found, 12).sum(dtype=np.uint64).view(np.int64))
 
 
-def signature(found: np.ndarray) -> bytes:
-    """The parity of the set's hashes in each of about as many cells as it has members (a power of two, 64 at least)."""
-    cells = max(64, 1 << max(0, len(found) - 1).bit_length())
-    odd = np.bincount((mix(found, 21) % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def least_difference(one: bytes, two: bytes) -> int:
-    """A lower bound of how many members only one of two sets has: cells of different parity, the finer signature folded to the coarser."""
-    x, y = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
-    if len(x) < len(y):
-        x, y = y, x
-    if len(x) > len(y):
-        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def _signed(found: np.ndarray) -> pa.Array:
     return pa.array(found.view(np.int64))
 
@@ -98,7 +85,7 @@ def text_key() -> Column:
 
 
 def describe(docs: DataFrame, words: int = WORDS, share: float = FREQUENT_SHARE) -> DataFrame:
-    """A row (doc_id, text_key, n, k1, k2, sign, grams, counts) per document: size, name and signature of its set.
+    """A row (doc_id, text_key, n, k1, k2, grams, counts) per document: size and name of its set.
 
     ``grams`` and ``counts`` are null there. Each task adds a row without names that lists the n-grams in at least half of ``share`` of
     its own documents (and in two at least); an n-gram in ``share`` of all documents is listed by some task.
@@ -116,13 +103,12 @@ def describe(docs: DataFrame, words: int = WORDS, share: float = FREQUENT_SHARE)
 
         size = 0
         for b in batches:
-            n, k1, k2, sign = [], [], [], []
+            n, k1, k2 = [], [], []
             for found in shingle_sets(b.column("text"), words):
                 n.append(len(found))
                 a, c = _set_keys(found)
                 k1.append(a)
                 k2.append(c)
-                sign.append(signature(found))
                 held.append(found)
                 size += len(found)
                 rows += 1
@@ -131,19 +117,19 @@ def describe(docs: DataFrame, words: int = WORDS, share: float = FREQUENT_SHARE)
                     held, size = [], 0
             empty = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sign, pa.binary()), empty.cast(pa.list_(pa.int64())), empty.cast(pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "n", "k1", "k2", "sign", "grams", "counts"],
+                [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), empty.cast(pa.list_(pa.int64())), empty.cast(pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n", "k1", "k2", "grams", "counts"],
             )
         if rows:
             kept, counts = merged(max(2, share * rows / 2))
             none = pa.nulls(1)
             yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([kept.view(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "n", "k1", "k2", "sign", "grams", "counts"],
+                [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array([kept.view(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n", "k1", "k2", "grams", "counts"],
             )
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
-    return wanted.mapInArrow(measure, "doc_id long, text_key long, n int, k1 long, k2 long, sign binary, grams array<long>, counts array<long>")
+    return wanted.mapInArrow(measure, "doc_id long, text_key long, n int, k1 long, k2 long, grams array<long>, counts array<long>")
 
 
 def frequent_grams(described: DataFrame, share: float = FREQUENT_SHARE) -> tuple[np.ndarray, np.ndarray]:
@@ -198,63 +184,64 @@ def _column_rows(out: list[np.ndarray], names: list[int], sizes: list[int]) -> p
     )
 
 
-def near(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The (a, b) of ``pairs`` whose signatures allow the threshold; no pair that reaches it is lost."""
-    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sign").alias("sign_a"))
-    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sign").alias("sign_b"))
-    signed = pairs.join(one, "a").join(two, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), "sign_a", "sign_b")
-
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = zip(b.column("total").to_pylist(), b.column("sign_a").to_pylist(), b.column("sign_b").to_pylist(), strict=True)
-            keep = [(100 + percent) * least_difference(x, y) <= (100 - percent) * total for total, x, y in rows]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return signed.mapInArrow(reach, "a long, b long")
+def _survivor_bits(survivors: DataFrame) -> np.ndarray:
+    """A bounded bit table of the nodes ``k1``: it holds all of them, and with many also others."""
+    place = F.col("k1").bitwiseAND(F.lit(SURVIVOR_BITS - 1))
+    words = survivors.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(k1 & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(SURVIVOR_BITS // 64, np.uint64)
+    table[np.asarray(found.column("word").combine_chunks())] = np.asarray(found.column("bits").combine_chunks(), dtype=np.int64).view(np.uint64)
+    return table
 
 
-def node_texts(docs: DataFrame, nodes: DataFrame, words: int = WORDS, clashing: frozenset[int] = frozenset()) -> DataFrame:
-    """(node, text): one text of each of ``nodes``. All texts of a node have the same set, so any of them will do."""
+def node_sets(docs: DataFrame, survivors: DataFrame, words: int = WORDS, clashing: frozenset[int] = frozenset()) -> DataFrame:
+    """(node, n, grams): the set of each of ``survivors`` (k1)."""
+    bits = _survivor_bits(survivors)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = []
-            for found in shingle_sets(b.column("text"), words):
-                k1, k2 = _set_keys(found)
-                names.append((k2 if k1 in clashing else k1) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), b.column("text")], ["node", "text"])
-
-    rows = docs.where("doc_id is not null and text is not null").select("text").mapInArrow(named, "node long, text string")
+            for first, last in slices(b.column("text"), 1_000_000):
+                names, sets = [], []
+                for found in shingle_sets(b.column("text").slice(first, last - first), words):
+                    if len(found):
+                        k1, k2 = _set_keys(found)
+                        name = k2 if k1 in clashing else k1
+                        at = name % SURVIVOR_BITS
+                        if int(bits[at >> 6]) >> (at & 63) & 1:
+                            names.append(name)
+                            sets.append(found)
+                sizes = [len(x) for x in sets]
+                grams = _signed(np.concatenate(sets)) if sets else pa.array([], pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32()), grams)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), lists], ["node", "n", "grams"])
+
+    rows = docs.where("doc_id is not null and text is not null").select("text").mapInArrow(named, "node long, n int, grams array<long>")
     # Copies within a task are combined before the exchange on the node, which the semi-join then shares.
-    return rows.where("node is not null").dropDuplicates(["node"]).join(nodes.select("node"), "node", "left_semi")
+    return rows.dropDuplicates(["node"]).join(survivors.select(F.col("k1").alias("node")), "node", "left_semi")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """The (a, b) of ``pairs`` that link, counted on the texts of the nodes (node, text), which are stored by node.
+def rare_columns(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(gram, k1, n, pos): the n-grams over which the product runs, from the rarest on, per set; those of one set only count as places."""
+    cells = sets.select("node", "n", F.explode("grams").alias("gram"))
+    counts = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    # An n-gram of very many sets meets one count, so AQE can split it; the list of a set is bounded by the set.
+    back = cells.join(counts, "gram").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("held", "gram"))).alias("shared"))
+    alone = "n - size(shared)"
+    first = back.selectExpr("node", "n", f"{alone} as alone", f"slice(shared, 1, greatest(0, n - ({percent} * n + 99) div 100 + 1 - ({alone}))) as shared")
+    return first.select(F.col("node").alias("k1"), "n", "alone", F.posexplode("shared").alias("k", "c")).selectExpr("c.gram as gram", "k1", "n", "cast(alone + k as int) as pos")
 
-    The pairs go to the stored texts of their followers b; only the texts of pairs, and those of leading nodes, move on.
-    """
-    one = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    leading = pairs.select(F.col("a").alias("node")).distinct()
-    two = texts.join(leading, "node", "left_semi").select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    # A follower has no more leading nodes than its columns allow; a leading node with very many followers is split by AQE here.
-    joined = pairs.join(one, "b").join(two, "a").select("a", "b", "text_a", "text_b")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
-        for b in batches:
-            names = b.column("a").to_pylist()
-            keep = []
-            for k, right in enumerate(shingle_sets(b.column("text_b"), words)):
-                if names[k] != last:
-                    last, left = names[k], next(shingle_sets(b.column("text_a").slice(k, 1), words))
-                both = len(left) + len(right) - len(np.unique(np.concatenate((left, right))))
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
-            kept = b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-            if kept.num_rows:
-                yield kept
 
-    return joined.mapInArrow(count, "a long, b long")
+def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, followers: int = FOLLOWERS) -> DataFrame:
+    """The (a, b) of ``pairs`` that link, by intersection of the sets (node, n, grams), which are stored by node.
+
+    A leading node's followers are dealt to groups of a bounded size, each of which gets the leader's set.
+    """
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / followers).alias("groups"))
+    dealt = pairs.join(counts, "a").selectExpr("a", "b", "pmod(xxhash64(b), groups) as deal")
+    one = dealt.join(sets.selectExpr("node as b", "n as n_b", "grams as grams_b"), "b")
+    two = counts.join(sets.selectExpr("node as a", "n as n_a", "grams as grams_a"), "a").selectExpr("a", "n_a", "grams_a", "explode(sequence(0L, groups - 1)) as deal")
+    both = one.join(two, ["a", "deal"]).selectExpr("a", "b", "n_a + n_b as total", "size(array_intersect(grams_a, grams_b)) as both")
+    return both.where(f"100 * both >= {percent} * (total - both)").select("a", "b")
 
 
 def overlap_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, share: float = FREQUENT_SHARE, block: int = BLOCK) -> DataFrame:
@@ -265,15 +252,16 @@ def overlap_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     twins = rows.where("n > 0").groupBy("k1").agg(F.min("k2").alias("x"), F.max("k2").alias("y")).where("x <> y")
     clashing = frozenset(r.k1 for r in twins.select("k1").collect())
     rows = rows.withColumn("k1", F.when(F.col("k1").isin(*clashing), F.col("k2")).otherwise(F.col("k1"))) if clashing else rows
-    first = F.min(F.struct("doc_id", "text_key", "n", "sign")).alias("first")
+    first = F.min(F.struct("doc_id", "text_key", "n")).alias("first")
     nodes = rows.where("n > 0 and doc_id is not null").groupBy(F.col("k1").alias("node")).agg(first).select("node", "first.*")
 
-    shared = saved(_runs(columns(docs, frequent_grams(described, share), percent, words, clashing), percent), "columns")
-    named = saved(shared.select(F.col("k1").alias("node")).distinct().join(nodes, "node"), "nodes")
-    texts = saved_by(node_texts(docs, named, words, clashing), "node", "texts")
+    survivors = saved(_runs(columns(docs, frequent_grams(described, share), percent, words, clashing), percent).select("k1").distinct(), "survivors")
+    sets = saved_by(node_sets(docs, survivors, words, clashing), "node", "sets")
+    lists = saved(_runs(rare_columns(sets, percent), percent), "lists")
+    shared = saved(lists.join(lists.groupBy("k1").agg(F.max("place").alias("lead")), "k1"), "columns")
 
     def links(block: DataFrame) -> DataFrame:
-        return saved(linked(saved(near(block, named, percent), "near"), texts, percent, words), "links")
+        return saved(linked(saved(block, "pairs"), sets, percent), "links")
 
     joined = components(links(_block(shared, 0, 1, percent)))
     after, width = 1, block
@@ -311,26 +299,29 @@ def _runs(listed: DataFrame, percent: int) -> DataFrame:
 
 
 def _block(lists: DataFrame, after: int, width: int, percent: int) -> DataFrame:
-    """The distinct (a, b) of the nodes in places ``after`` to ``after + width`` with later ones, as far as sizes and components allow.
+    """The (a, b) of the nodes that lead from ``after`` to ``after + width`` with later ones, as far as counts, sizes and components allow.
 
-    The leading node a comes before b in the order by size and name that all columns share, so no pair occurs the other way round.
+    The leading node a comes before b in the order by size and name that all columns share, so no pair occurs the other way round, and all
+    columns of a pair are counted in one block.
     """
     known = "root" in lists.columns
     side = lambda s: [F.col("k1").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("place").alias(f"place_{s}"), F.col("root" if known else "k1").alias(f"root_{s}")]
-    left = lists.where(f"place >= {after} and place < {after + width}").select("gram", "run", *side("a"))
-    right = lists.where(f"place > {after}").select("gram", "run", *side("b"))
-    # A pair that reaches the threshold shares an n-gram that stands, in both, before all but as many members as it must share.
-    spare = f"floor((n_a + n_b) * {percent} / {100 + percent})"
-    early = f"pos_a <= n_a - {spare} and pos_b <= n_b - {spare}"
-    pairs = left.join(right, ["gram", "run"]).where(f"place_a < place_b and root_a <> root_b and n_a * 100 >= n_b * {percent} and {early}")
-    return pairs.select("a", "b").distinct()
+    left = lists.where(f"lead >= {after} and lead < {after + width}").select("gram", "run", *side("a"))
+    right = lists.select("gram", "run", *side("b"))
+    # The overlap that the sizes ask for: both sets must have as many members from any shared n-gram on as are still to be found.
+    needed = f"(((n_a + n_b) * {percent} + {99 + percent}) div {100 + percent})"
+    early = f"pos_a <= n_a - {needed} and pos_b <= n_b - {needed}"
+    cells = left.join(right, ["gram", "run"]).where(f"place_a < place_b and root_a <> root_b and n_a * 100 >= n_b * {percent} and {early}")
+    counted = cells.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    # What is not in these columns stands behind the last of them in both sets.
+    return counted.where(f"count + least(n_a - 1 - pos_a, n_b - 1 - pos_b) >= {needed}").select("a", "b")
 
 
 def _unsettled(lists: DataFrame, roots: DataFrame, after: int) -> DataFrame | None:
     """The lists that still hold nodes of several components and unmultiplied pairs, with the root of each node; None if there are none."""
-    placed = lists.join(roots, lists.k1 == roots.node, "left").select("gram", "run", "k1", "n", "pos", "place", F.coalesce("root", "k1").alias("root"))
-    mixed = placed.groupBy("gram", "run").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("place").alias("last"))
-    mixed = mixed.where(f"x <> y and last > {after}").select("gram", "run")
+    placed = lists.join(roots, lists.k1 == roots.node, "left").select("gram", "run", "k1", "n", "pos", "place", "lead", F.coalesce("root", "k1").alias("root"))
+    mixed = placed.groupBy("gram", "run").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("lead").alias("last"))
+    mixed = mixed.where(f"x <> y and last >= {after}").select("gram", "run")
     waiting = saved(placed.join(mixed, ["gram", "run"], "left_semi"), "waiting")
     return waiting if waiting.limit(1).count() else None
 

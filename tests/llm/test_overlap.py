@@ -2,7 +2,6 @@
 
 import random
 
-import numpy as np
 import pytest
 
 from risemeter.llm import overlap
@@ -100,9 +99,25 @@ def test_the_task_count_finds_frequent_grams(spark):
     assert len(grams) == 4 and set(counts) == {50}
 
 
-def test_signatures_never_exceed_the_difference():
-    dice = np.random.default_rng(4)
-    for _ in range(300):
-        pool = dice.integers(0, 2**63, 400).astype(np.uint64)
-        one, two = (np.unique(dice.choice(pool, int(dice.integers(1, 400)))) for _ in range(2))
-        assert overlap.least_difference(overlap.signature(one), overlap.signature(two)) <= len(np.setxor1d(one, two))
+def test_leaders_are_dealt_to_several_tasks(spark):
+    sets = spark.createDataFrame([(k, 4, [1, 2, 3, 10 + (k if k % 3 else 0)]) for k in range(30)], "node long, n int, grams array<long>")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 30)], "a long, b long")
+    found = overlap.linked(pairs, sets, percent=75, followers=4)
+    assert {r.b for r in found.collect()} == {k for k in range(1, 30) if k % 3 == 0}
+
+
+def test_the_order_is_from_the_rarest_on(spark):
+    sets = spark.createDataFrame([(1, 4, [1, 2, 3, 4]), (2, 4, [1, 2, 3, 5]), (3, 4, [1, 2, 6, 7])], "node long, n int, grams array<long>")
+    found = {(r.k1, r.gram, r.pos) for r in overlap.rare_columns(sets, 50).collect()}
+    # Three of four are columns: n-grams of one set take the first places, then 3 (two sets), then 1 and 2.
+    assert found == {(1, 3, 1), (1, 1, 2), (2, 3, 1), (2, 1, 2), (3, 1, 2)}
+
+
+def test_documents_with_one_template(spark):
+    """A template that all documents share, in one third of them nearly the whole text: no links but those of brute force."""
+    dice = random.Random(12)
+    template = " ".join(f"t{k}" for k in range(40))
+    rows = [(i, f"{template} " + " ".join(f"w{dice.randrange(900)}" for _ in range(dice.choice([4, 12, 30])))) for i in range(150)]
+    found = overlap.overlap_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    wanted, _ = brute(rows)
+    assert sorted((r.doc_id, r.component_id) for r in found) == sorted((i, c) for (i, _), c in zip(rows, wanted, strict=True))
