@@ -5,15 +5,16 @@ threshold ``t`` (in per cent: ``100 * intersection >= t * union``):
 
 1. **Sets.** Every document becomes the set of its shingle hashes. Equal sets are one node; a hash group of thousands of copies is one
    row of the matrix from here on.
-2. **Survivors.** Two sets of sizes a and b can only reach ``t`` if they share one of the first ``n - ceil(t n) + 1`` n-grams of each, in an
-   order that is the same for all documents. A first order, by hash with the most frequent n-grams last, tells which sets share any such n-gram with another
-   of a fitting size; most sets share none and go.
-3. **Columns.** Over the survivors every n-gram is counted exactly, and the order is from the rarest on. N-grams of one set come first and need no column, so a
-   passage that many documents share is a column only of sets that hold little else. Each column is a list of nodes, cut where sizes jump too far for any pair across the jump.
-4. **Blocks.** A node leads once its place in all of its lists has been reached: first the nodes that stand first in all of them, then the next 32, 64, 128 and so on, so a list has
-   no more leaders in a block than that. A block multiplies its leaders with the nodes behind them in all their lists, *accumulates* the count of each pair over the columns, and discards the pairs whose
-   count and rest of both sets cannot reach the overlap that their sizes ask for. The sets of the other pairs are intersected. Between blocks, linked nodes are joined to components, and pairs within one
-   component are no longer multiplied; a list goes once its nodes are one component. So a group of thousands of near copies costs one pass, and yet each pair of
+2. **Columns.** Two sets of sizes a and b can only reach ``t`` if they share one of the first ``n - ceil(t n) + 1`` n-grams of each, in an
+   order that is the same for all documents. The product runs over these columns only. A first order is by hash, with the most frequent n-grams last. Each column is a list of nodes, cut where sizes
+   jump too far for any pair across the jump.
+3. **Short lists**, of at most ``SHORT`` nodes, are multiplied at once; the count of each pair is *accumulated* over the columns, and pairs whose count, long columns and rest of both sets cannot
+   reach the overlap that their sizes ask for are discarded. The sets of the other pairs are intersected.
+4. **Long lists** are not multiplied. A pair that meets in none of the short ones lies in one of them, so their nodes are ordered anew: every n-gram of these sets is counted exactly, and
+   columns go from the rarest on. N-grams of one set come first and need no column, so a passage that many documents share is a column only of sets that hold little else.
+5. **Blocks.** Of these columns a node leads once its place in all of its lists has been reached: first the nodes that stand first in all of them, then the next 32, 64, 128 and so on, so a list has
+   no more leaders in a block than that. A block multiplies its leaders with the nodes behind them in all their lists, accumulates and discards as before. Between blocks, linked nodes are joined to components, and
+   pairs within one component are no longer multiplied; a list goes once its nodes are one component. So a group of thousands of near copies costs one pass, and yet each pair of
    different components that could link is counted.
 
 Links are never brought to the driver, and components are found by star contraction in Spark.
@@ -39,10 +40,12 @@ WORDS = 5
 PERCENT = 75
 #: n-grams in at least this share of all documents are put last. There are at most (mean set size / share) of them, whatever the input.
 FREQUENT_SHARE = 0.0005
+#: Nodes of a column that are multiplied at once.
+SHORT = 32
 #: Followers of a leading node whose sets are intersected in one task; a leader with more is dealt to several.
 FOLLOWERS = 200
-#: Bits of the table that drops sets without a partner before they move.
-SURVIVOR_BITS = 1 << 24
+#: Bits of the table that drops sets that nobody asks for before they move.
+TABLE_BITS = 1 << 24
 #: Nodes of a column multiplied in the second block; each further block is twice as large.
 BLOCK = 32
 
@@ -184,19 +187,19 @@ def _column_rows(out: list[np.ndarray], names: list[int], sizes: list[int]) -> p
     )
 
 
-def _survivor_bits(survivors: DataFrame) -> np.ndarray:
+def _bit_table(names: DataFrame) -> np.ndarray:
     """A bounded bit table of the nodes ``k1``: it holds all of them, and with many also others."""
-    place = F.col("k1").bitwiseAND(F.lit(SURVIVOR_BITS - 1))
-    words = survivors.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(k1 & 63 as int))").alias("bit"))
+    place = F.col("k1").bitwiseAND(F.lit(TABLE_BITS - 1))
+    words = names.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(k1 & 63 as int))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(SURVIVOR_BITS // 64, np.uint64)
+    table = np.zeros(TABLE_BITS // 64, np.uint64)
     table[np.asarray(found.column("word").combine_chunks())] = np.asarray(found.column("bits").combine_chunks(), dtype=np.int64).view(np.uint64)
     return table
 
 
-def node_sets(docs: DataFrame, survivors: DataFrame, words: int = WORDS, clashing: frozenset[int] = frozenset()) -> DataFrame:
-    """(node, n, grams): the set of each of ``survivors`` (k1)."""
-    bits = _survivor_bits(survivors)
+def node_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS, clashing: frozenset[int] = frozenset()) -> DataFrame:
+    """(node, n, grams): the set of each of ``wanted`` (k1)."""
+    bits = _bit_table(wanted)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,7 +209,7 @@ def node_sets(docs: DataFrame, survivors: DataFrame, words: int = WORDS, clashin
                     if len(found):
                         k1, k2 = _set_keys(found)
                         name = k2 if k1 in clashing else k1
-                        at = name % SURVIVOR_BITS
+                        at = name % TABLE_BITS
                         if int(bits[at >> 6]) >> (at & 63) & 1:
                             names.append(name)
                             sets.append(found)
@@ -217,7 +220,7 @@ def node_sets(docs: DataFrame, survivors: DataFrame, words: int = WORDS, clashin
 
     rows = docs.where("doc_id is not null and text is not null").select("text").mapInArrow(named, "node long, n int, grams array<long>")
     # Copies within a task are combined before the exchange on the node, which the semi-join then shares.
-    return rows.dropDuplicates(["node"]).join(survivors.select(F.col("k1").alias("node")), "node", "left_semi")
+    return rows.dropDuplicates(["node"]).join(wanted.select(F.col("k1").alias("node")), "node", "left_semi")
 
 
 def rare_columns(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -244,7 +247,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, followers:
     return both.where(f"100 * both >= {percent} * (total - both)").select("a", "b")
 
 
-def overlap_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, share: float = FREQUENT_SHARE, block: int = BLOCK) -> DataFrame:
+def overlap_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, share: float = FREQUENT_SHARE, block: int = BLOCK, short: int = SHORT) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id) of every row; the component is its smallest id."""
     described = saved(describe(docs, words, share), "sets")
     rows = described.where("n is not null")
@@ -255,15 +258,21 @@ def overlap_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     first = F.min(F.struct("doc_id", "text_key", "n")).alias("first")
     nodes = rows.where("n > 0 and doc_id is not null").groupBy(F.col("k1").alias("node")).agg(first).select("node", "first.*")
 
-    survivors = saved(_runs(columns(docs, frequent_grams(described, share), percent, words, clashing), percent).select("k1").distinct(), "survivors")
-    sets = saved_by(node_sets(docs, survivors, words, clashing), "node", "sets")
-    lists = saved(_runs(rare_columns(sets, percent), percent), "lists")
-    shared = saved(lists.join(lists.groupBy("k1").agg(F.max("place").alias("lead")), "k1"), "columns")
+    lists = saved(_runs(columns(docs, frequent_grams(described, share), percent, words, clashing), percent), "lists")
+    long = lists.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > short).select("gram", "run")
+    crowded = saved(lists.join(long, ["gram", "run"], "left_semi").groupBy("k1").agg(F.count(F.lit(1)).alias("long")), "crowded")
+    few = lists.join(long, ["gram", "run"], "left_anti").join(crowded, "k1", "left").fillna(0, ["long"]).withColumn("lead", F.lit(0))
+    early = saved(_block(few, 0, 1, percent), "pairs")
+    wanted = crowded.select("k1").unionByName(early.select(F.explode(F.array("a", "b")).alias("k1"))).distinct()
+    sets = saved_by(node_sets(docs, saved(wanted, "wanted"), words, clashing), "node", "sets")
+    again = _runs(rare_columns(sets.join(crowded.select(F.col("k1").alias("node")), "node", "left_semi"), percent), percent)
+    again = saved(again, "lists")
+    shared = saved(again.join(again.groupBy("k1").agg(F.max("place").alias("lead")), "k1").withColumn("long", F.lit(0)), "columns")
 
     def links(block: DataFrame) -> DataFrame:
         return saved(linked(saved(block, "pairs"), sets, percent), "links")
 
-    joined = components(links(_block(shared, 0, 1, percent)))
+    joined = components(saved(linked(early, sets, percent), "links").unionByName(links(_block(shared, 0, 1, percent))))
     after, width = 1, block
     waiting = _unsettled(shared, joined, after)
     while waiting is not None:
@@ -305,21 +314,21 @@ def _block(lists: DataFrame, after: int, width: int, percent: int) -> DataFrame:
     columns of a pair are counted in one block.
     """
     known = "root" in lists.columns
-    side = lambda s: [F.col("k1").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("place").alias(f"place_{s}"), F.col("root" if known else "k1").alias(f"root_{s}")]
+    side = lambda s: [F.col("k1").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("place").alias(f"place_{s}"), F.col("long").alias(f"long_{s}"), F.col("root" if known else "k1").alias(f"root_{s}")]
     left = lists.where(f"lead >= {after} and lead < {after + width}").select("gram", "run", *side("a"))
     right = lists.select("gram", "run", *side("b"))
     # The overlap that the sizes ask for: both sets must have as many members from any shared n-gram on as are still to be found.
     needed = f"(((n_a + n_b) * {percent} + {99 + percent}) div {100 + percent})"
     early = f"pos_a <= n_a - {needed} and pos_b <= n_b - {needed}"
     cells = left.join(right, ["gram", "run"]).where(f"place_a < place_b and root_a <> root_b and n_a * 100 >= n_b * {percent} and {early}")
-    counted = cells.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-    # What is not in these columns stands behind the last of them in both sets.
-    return counted.where(f"count + least(n_a - 1 - pos_a, n_b - 1 - pos_b) >= {needed}").select("a", "b")
+    counted = cells.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.least(F.max("long_a"), F.max("long_b")).alias("long"))
+    # What is not in these columns is in a long one, or stands behind the last of them in both sets.
+    return counted.where(f"count + long + least(n_a - 1 - pos_a, n_b - 1 - pos_b) >= {needed}").select("a", "b")
 
 
 def _unsettled(lists: DataFrame, roots: DataFrame, after: int) -> DataFrame | None:
     """The lists that still hold nodes of several components and unmultiplied pairs, with the root of each node; None if there are none."""
-    placed = lists.join(roots, lists.k1 == roots.node, "left").select("gram", "run", "k1", "n", "pos", "place", "lead", F.coalesce("root", "k1").alias("root"))
+    placed = lists.join(roots, lists.k1 == roots.node, "left").select("gram", "run", "k1", "n", "pos", "place", "lead", "long", F.coalesce("root", "k1").alias("root"))
     mixed = placed.groupBy("gram", "run").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("lead").alias("last"))
     mixed = mixed.where(f"x <> y and last >= {after}").select("gram", "run")
     waiting = saved(placed.join(mixed, ["gram", "run"], "left_semi"), "waiting")

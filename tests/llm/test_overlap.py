@@ -60,11 +60,11 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("block", [1, 32])
-def test_components_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "short"), [(1, 2), (32, 32)])
+def test_components_equal_brute_force(spark, block, short):
     rows = corpus(block)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as n", "1 as k1", "'y' as text_key")
-    found = overlap.overlap_components(docs, block=block).collect()
+    found = overlap.overlap_components(docs, block=block, short=short).collect()
     wanted, sizes = brute(rows)
     order = lambda x: sorted(x, key=repr)
     assert order((r.doc_id, r.n_shingles, r.component_id) for r in found) == order((i, n, c) for (i, _), n, c in zip(rows, sizes, wanted, strict=True))
