@@ -11,8 +11,8 @@ Vectors become integers (``floor(SCALE * x)`` per component), and the score is t
    the thresholds of all queries of the block, the rest of the shard is skipped. Of the others, the first ``LEADING`` coordinates
    are multiplied; the residual lengths bound the rest, and pairs that cannot reach the query's threshold are dropped. The pairs left are scored in integers.
 
-Defined results: vectors that are null or hold null or non-finite components take no part, nor do those with a component of which ``SCALE`` times
-exceeds 2**28, nor rows with a null id. Vectors of different lengths are multiplied as far as the shorter goes. A candidate with the query's id is the query
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id. Components of which ``SCALE`` times
+exceeds a long, and scores that exceed one, raise an error; products too large for 64-bit sums are made in whole numbers of any size. Vectors of different lengths are multiplied as far as the shorter goes. A candidate with the query's id is the query
 itself. Repeated candidates count each; of several query rows with one id the smallest vector asks. Ties go to the smaller id.
 """
 
@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from risemeter.llm.tables import saved
 
 SCALE = 256
-LIMIT = 2**28
 K = 5
 QUERY_BLOCK = 2048
 SHARD = 16384
@@ -37,14 +36,17 @@ LEADING = 24
 LONGEST = 1024
 #: Stands for no score; its negative is a number, too.
 LOWEST = np.iinfo(np.int64).min + 1
+#: Stand for scores beyond a long; among the best of a query they are an error.
+LEAST, MOST = LOWEST + 1, np.iinfo(np.int64).max
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v array<long>, norm): the vectors that take part."""
     x = F.col("embedding").cast("array<double>")
-    valid = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * scale) <= LIMIT))
+    valid = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     parsed = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(valid)
-    v = F.transform(x, lambda c: F.floor(c * scale).cast("long"))
+    fits = lambda c: (c >= -(2.0**63)) & (c < 2.0**63)
+    v = F.transform(x, lambda c: F.when(fits(F.floor(c * scale).cast("double")), F.floor(c * scale).cast("long")).otherwise(F.raise_error(F.lit("a component exceeds a long")).cast("long")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c))
     return parsed.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).withColumn("norm", norm)
 
@@ -81,9 +83,14 @@ def _kth_best(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products; in doubles where these hold every sum."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    return (a.astype(float) @ b.T.astype(float)).astype(np.int64) if most < 2**53 else a @ b.T
+    """Exact integer products: in doubles where these hold every sum, else in longs, else in whole numbers of any size."""
+    most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * max(1, a.shape[1])
+    if most < 2**53:
+        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
+    if most < 2**62:
+        return a @ b.T
+    exact = a.astype(object) @ b.T.astype(object)
+    return np.clip(exact, LEAST, MOST).astype(np.int64)
 
 
 def block_top(
@@ -120,6 +127,8 @@ def block_top(
         best, best_names = grown_scores, grown_names
         floors = np.maximum(floors, best[:, k - 1])
     row, place = np.nonzero(best > LOWEST)
+    if np.isin(best[row, place], (LEAST, MOST)).any():
+        raise OverflowError("a score exceeds a long")
     return ids[row], best_names[row, place], best[row, place]
 
 

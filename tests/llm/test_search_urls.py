@@ -34,6 +34,24 @@ def test_top_inner_products(spark):
     assert inner.top_inner_products(df.where("vec_id = 50"), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_large_components_take_part(spark):
+    big = 2.0**21
+    rows = [(0, [1.0, 1.0]), (1, [big, 1.0]), (2, [1.0, 2.0]), (50, [2.0**22, -(2.0**20)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = inner.top_inner_products(df, F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == top(rows)
+    wide = spark.createDataFrame([(0, [2.0**20] * 100), (1, [2.0**20] * 100)], "vec_id long, embedding array<float>")
+    assert [r.score for r in inner.top_inner_products(wide, F.col("vec_id") % 50 == 0).collect()] == [100 * 2**56]
+    for far in ([2.0**30] * 300, [2.0**40], [2.0**60]):
+        wide = spark.createDataFrame([(0, far), (1, far)], "vec_id long, embedding array<float>")
+        try:
+            inner.top_inner_products(wide, F.col("vec_id") % 50 == 0).collect()
+        except Exception as error:  # noqa: BLE001 - the kind depends on where the number outgrows a long
+            assert "exceeds a long" in str(error)
+        else:
+            raise AssertionError("a score beyond a long must not come back")
+
+
 def test_pruning_drops_nothing_and_saves_work():
     dice = np.random.default_rng(5)
     shard = np.floor(dice.normal(size=(5000, 16)) * dice.lognormal(2, 1, size=(5000, 1)) * 20).astype(np.int64)
