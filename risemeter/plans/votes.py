@@ -21,10 +21,22 @@ def vote_upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return latest_votes(stored.select(*columns).unionByName(incoming.select(*columns)))
 
 
-def vote_outcomes(votes: DataFrame) -> DataFrame:
-    """Each vote with the outcome its sender saw."""
-    earlier = Window.partitionBy("target_id", "voter_id").orderBy("created_at", "vote_id")
-    return votes.withColumn("outcome", vote_outcome(F.lag("vote_type").over(earlier), F.col("vote_type")))
+def vote_outcomes(votes: DataFrame, span: str = "hour") -> DataFrame:
+    """Each vote with the outcome its sender saw.
+
+    A vote follows from the one before it. Within a pair and a ``span`` of time that is a lag; the first vote of a span follows
+    the last one of the pair's span before, of which there is one row each. So a pair with very many votes is spread over its spans.
+    """
+    pair, time = ["target_id", "voter_id"], F.struct("created_at", "vote_id")
+    placed = votes.withColumn("_span", F.date_trunc(span, "created_at"))
+    ends = placed.groupBy(*pair, "_span").agg(F.max_by("vote_type", time).alias("_end"))
+    before = Window.partitionBy(*pair).orderBy("_span")
+    carried = ends.select(*pair, "_span", F.lag("_end").over(before).alias("_carried"))
+    inside = Window.partitionBy(*pair, "_span").orderBy("created_at", "vote_id")
+    listed = placed.withColumn("_before", F.lag("vote_type").over(inside)).withColumn("_place", F.row_number().over(inside))
+    joined = listed.join(carried, [*pair, "_span"])
+    previous = F.when(F.col("_place") == 1, F.col("_carried")).otherwise(F.col("_before"))
+    return joined.withColumn("outcome", vote_outcome(previous, F.col("vote_type"))).select(*votes.columns, "outcome")
 
 
 def vote_counts(votes: DataFrame, kinds: list[str] = CATALOG_VOTE_TYPES) -> DataFrame:

@@ -116,4 +116,4 @@ def _(v: Views) -> DataFrame:
     events = v.table("events").selectExpr(
         "CAST(user_id AS STRING) AS key", "event_id", "unix_micros(CAST(ts AS TIMESTAMP)) AS at"
     )
-    return bursts.flag_bursts(events, window_seconds=_WINDOW).where(~F.col("is_state")).select("key", "event_id", "flagged")
+    return bursts.flag_bursts(events, window_seconds=_WINDOW).select("key", "event_id", "flagged")

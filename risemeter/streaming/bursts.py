@@ -10,16 +10,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from risemeter.streaming.tables import prepare, run_available, store, stored
+from risemeter.streaming.tables import keyed_state, prepare, run_available, store, stored
 
 # Events allowed per window and its length.
 LIMIT = 5
 WINDOW_SECONDS = 60
 
 EVENT = "key STRING, event_id BIGINT, at BIGINT"
-FLAGGED = f"{EVENT}, flagged BOOLEAN, is_state BOOLEAN, used INT"
+FLAGGED = f"{EVENT}, flagged BOOLEAN"
+_OPEN = "start BIGINT, used INT"
 
 
 def _mark(at: np.ndarray, start: int | None, used: int, limit: int, length: int) -> tuple[np.ndarray, int, int]:
@@ -36,72 +38,67 @@ def _mark(at: np.ndarray, start: int | None, used: int, limit: int, length: int)
     return flagged, start, used
 
 
-def flag_bursts(
-    events: DataFrame, open_windows: DataFrame | None = None, limit: int = LIMIT, window_seconds: float = WINDOW_SECONDS
-) -> DataFrame:
-    """Events (key, event_id, at in microseconds) with ``flagged``, plus one state row per key.
+def segments(events: DataFrame, length: int) -> DataFrame:
+    """(key, bin, segment): runs of a key's occupied time bins of one window's length.
 
-    Spark partitions by key and sorts (with spill); each task passes over its sorted batches and
-    remembers only the open window of the current key, so memory does not grow with a key's
-    rows. Windows of one key depend on each other, so a key's events are passed over in one task.
+    Behind an empty bin a gap is longer than the window, so a new window opens with the next event, whatever came before:
+    segments of a key do not depend on one another. There is one row per key and bin here, not per event.
     """
-    length = int(window_seconds * 1_000_000)
-    rows = events.select("key", "event_id", "at", F.lit(None).cast("int").alias("used"))
-    if open_windows is not None:
-        rows = rows.unionByName(
-            open_windows.select("key", F.lit(None).cast("long").alias("event_id"), F.col("at"), "used")
-        )
-    # A state row (event_id NULL) comes before the events of its key.
-    ordered = rows.repartition("key").sortWithinPartitions("key", F.col("event_id").isNotNull(), "at", "event_id")
+    bins = events.select("key", F.floor(F.col("at") / length).cast("long").alias("bin")).distinct()
+    order = Window.partitionBy("key").orderBy("bin")
+    cut = bins.withColumn("_cut", F.coalesce(F.col("bin") - F.lag("bin").over(order) > 1, F.lit(True)).cast("int"))
+    return cut.select("key", "bin", F.sum("_cut").over(order).alias("segment"))
+
 
-    def state_row(key: str, start: int, used: int) -> dict:
-        return {"key": key, "event_id": None, "at": start, "flagged": False, "is_state": True, "used": used}
+def flag_bursts(events: DataFrame, limit: int = LIMIT, window_seconds: float = WINDOW_SECONDS) -> DataFrame:
+    """Events (key, event_id, at in microseconds) with ``flagged``.
+
+    Spark partitions by key and segment and sorts (with spill); each task passes over its sorted batches and
+    remembers only the open window, so memory does not grow with a key's rows, and a key with very many
+    events runs in as many tasks as it has segments.
+    """
+    length = int(window_seconds * 1_000_000)
+    binned = events.select("key", "event_id", "at", F.floor(F.col("at") / length).cast("long").alias("bin"))
+    ordered = binned.join(segments(events, length), ["key", "bin"]).repartition("key", "segment").sortWithinPartitions("key", "segment", "at", "event_id")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start, used = None, None, 0
+        last, start, used = None, None, 0
         for batch in batches:
             if batch.empty:
                 continue
-            closed, parts = [], []
-            bounds = np.flatnonzero(batch["key"].to_numpy()[1:] != batch["key"].to_numpy()[:-1]) + 1
-            for part in np.split(np.arange(len(batch)), bounds):
-                piece = batch.iloc[part]
-                if piece["key"].iat[0] != key:
-                    if key is not None:
-                        closed.append(state_row(key, start, used))
-                    key, start, used = piece["key"].iat[0], None, 0
-                stateful = piece["event_id"].isna().to_numpy()
-                if stateful.any():
-                    start, used = int(piece["at"].iat[0]), int(piece["used"].iat[0])
-                    piece = piece[~stateful]
-                if len(piece):
-                    flags, start, used = _mark(piece["at"].to_numpy(), start, used, limit, length)
-                    parts.append(piece.assign(flagged=flags, is_state=False, used=None))
-            out = pd.concat([*parts, *([pd.DataFrame(closed)] if closed else [])]) if parts or closed else None
-            if out is not None:
-                yield out[["key", "event_id", "at", "flagged", "is_state", "used"]].astype({"event_id": "Int64", "used": "Int32"})
-        if key is not None:
-            yield pd.DataFrame([state_row(key, start, used)]).astype({"event_id": "Int64", "used": "Int32"})
-
-    return ordered.mapInPandas(scan, FLAGGED)
+            keys, parts = batch["key"].to_numpy(), batch["segment"].to_numpy()
+            bounds = np.flatnonzero((keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])) + 1
+            at, flags = batch["at"].to_numpy(), []
+            for run in np.split(np.arange(len(batch)), bounds):
+                if (keys[run[0]], parts[run[0]]) != last:
+                    last, start, used = (keys[run[0]], parts[run[0]]), None, 0
+                marks, start, used = _mark(at[run], start, used, limit, length)
+                flags.append(marks)
+            yield batch[["key", "event_id", "at"]].assign(flagged=np.concatenate(flags))
+
+    return ordered.select("key", "segment", "event_id", "at").mapInPandas(scan, FLAGGED)
 
 
 def ingest_bursts(
     stream: DataFrame, folder: str, limit: int = LIMIT, window_seconds: float = WINDOW_SECONDS
 ) -> DataFrame:
-    """Flagged events of everything that has arrived; open windows carry over between batches."""
-    spark, table = stream.sparkSession, f"{folder}/flags"
-    readable = f"{FLAGGED}, batch_id INT"
+    """Flagged events of everything that has arrived.
+
+    The open window of each key is keyed state: a batch touches the state of its own keys only. A task holds the
+    times and ids of one key's events of one batch, to sort them.
+    """
+    spark, table, length = stream.sparkSession, f"{folder}/flags", int(window_seconds * 1_000_000)
     prepare(spark, table, FLAGGED)
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        first = batch.agg(F.min("at")).first()[0]
-        if first is None:
-            return
-        earlier = stored(batch.sparkSession, table, readable, before=batch_id).where("is_state")
-        newest = earlier.groupBy("key").agg(F.max_by(F.struct("at", "used"), "batch_id").alias("_w")).select("key", "_w.*")
-        still_open = newest.where(F.col("at") + int(window_seconds * 1_000_000) >= first)
-        store(flag_bursts(batch, still_open, limit, window_seconds), table, batch_id)
-
-    run_available(stream, handle, f"{folder}/checkpoint")
-    return stored(spark, table, readable).where(~F.col("is_state")).select("key", "event_id", "at", "flagged")
+    def mark(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, used = state.get if state.exists else (None, 0)
+        events = np.concatenate([chunk[["at", "event_id"]].to_numpy(dtype=np.int64) for chunk in chunks])
+        events = events[np.lexsort((events[:, 1], events[:, 0]))]
+        flags, start, used = _mark(events[:, 0], start, used, limit, length)
+        state.update((start, used))
+        yield pd.DataFrame({"key": key[0], "event_id": events[:, 1], "at": events[:, 0], "flagged": flags})
+
+    with keyed_state(spark):
+        flagged = stream.select("key", "event_id", "at").groupBy("key").applyInPandasWithState(mark, FLAGGED, _OPEN, "append", GroupStateTimeout.NoTimeout)
+        run_available(flagged, lambda batch, n: store(batch, table, n), f"{folder}/checkpoint")
+    return stored(spark, table, f"{FLAGGED}, batch_id INT").select("key", "event_id", "at", "flagged")

@@ -17,10 +17,10 @@ def first_within_watermark(stream: DataFrame, key: str, collected_at: str, delay
 def ingest_first_snapshots(stream: DataFrame, folder: str, key: str, order: Column) -> DataFrame:
     """Exact rule for any lateness: a batch adds only (key, date) pairs that are not stored yet.
 
-    Stored rows are compared within the batch's own range of days. Returns the stored table.
+    Stored rows lie in folders by day; a batch reads those of its own range of days only, and of them the keys. Returns the stored table.
     """
     spark, schema, table = stream.sparkSession, stream.schema, f"{folder}/snapshots"
-    prepare(spark, table, schema)
+    prepare(spark, table, schema, by="date")
     readable = StructType(list(schema.fields)).add("batch_id", IntegerType())
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -28,7 +28,7 @@ def ingest_first_snapshots(stream: DataFrame, folder: str, key: str, order: Colu
         if days[0] is None:
             return
         known = stored(batch.sparkSession, table, readable, before=batch_id).where(F.col("date").between(*days))
-        store(new_snapshots(known, batch, key, order).select(*schema.names), table, batch_id)
+        store(new_snapshots(known, batch, key, order).select(*schema.names), table, batch_id, by="date")
 
     run_available(stream, handle, f"{folder}/checkpoint")
     return stored(spark, table, readable).drop("batch_id")

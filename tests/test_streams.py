@@ -69,7 +69,7 @@ def test_bursts(spark, folder):
         events.append(("hot" if random.random() < 0.4 else f"k{random.randint(0, 20)}", i, clock))
     expected = direct(events, 5, 60 * second)
     frame = spark.createDataFrame(events, bursts.EVENT)
-    got = {r.event_id for r in bursts.flag_bursts(frame).where("NOT is_state AND flagged").collect()}
+    got = {r.event_id for r in bursts.flag_bursts(frame).where("flagged").collect()}
     assert got == expected and expected
     # The same in three batches: open windows carry over.
     for part in (events[:1000], events[1000:2000], events[2000:]):
@@ -82,6 +82,69 @@ def test_bursts(spark, folder):
 def test_burst_limit_is_exclusive(spark):
     events = [("k", i, i * 1_000_000) for i in range(7)] + [("k", 7, 60_000_000), ("k", 8, 60_000_001)]
     frame = spark.createDataFrame(events, bursts.EVENT)
-    got = sorted(r.event_id for r in bursts.flag_bursts(frame).where("NOT is_state AND flagged").collect())
+    got = sorted(r.event_id for r in bursts.flag_bursts(frame).where("flagged").collect())
     # Five pass; the window still holds at exactly 60 seconds and is replaced just after.
     assert got == [5, 6, 7]
+
+
+def test_a_hot_key_runs_in_several_tasks(spark):
+    second = 1_000_000
+    events = [("hot", i, (i // 8) * 300 * second + i % 8) for i in range(400)]
+    frame = spark.createDataFrame(events, bursts.EVENT)
+    marked = bursts.flag_bursts(frame)
+    assert {r.event_id for r in marked.where("flagged").collect()} == direct(events, 5, 60 * second)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert bursts.flag_bursts(frame).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert bursts.segments(frame, 60 * second).select("segment").distinct().count() == 50
+
+
+def test_a_batch_of_votes_touches_the_state_of_its_own_pairs(spark, folder):
+    at = dt.datetime(2026, 7, 1)
+    batches = [[(1, f"voter-{10 * b + k:04d}", "want_to_play", at, 100 * b + k) for k in range(10)] for b in range(6)]
+    # Several files, so several batches; the progress of the query tells the rows of state that each of them updated.
+    source = stream(spark, folder, votes.VOTE, batches)
+    seen = []
+    listed = votes.run_available
+
+    def watched(frame, handle, checkpoint):
+        listed(frame, lambda batch, n: (seen.append(batch.count()), handle(batch, n)), checkpoint)
+
+    votes.run_available = watched
+    try:
+        current, outcomes = votes.ingest_votes(source, folder)
+    finally:
+        votes.run_available = listed
+    assert seen == [10] * 6 and current.count() == 60 and outcomes.where("outcome = 'recorded'").count() == 60
+
+
+def test_a_batch_of_one_day_reads_one_day(spark, folder):
+    schema = "entity_id BIGINT, date DATE, subscriber_count BIGINT, collected_at TIMESTAMP"
+    days = [dt.date(2026, 7, d) for d in range(1, 6)]
+    rows = [[(1, day, 10, dt.datetime(2026, 7, day.day))] for day in days]
+    got = snapshots.ingest_first_snapshots(stream(spark, folder, schema, rows), folder, "entity_id", F.struct("collected_at"))
+    assert got.count() == 5
+    one = spark.read.parquet(f"{folder}/snapshots").where(F.col("date") == F.lit(days[0]))
+    assert len(one.inputFiles()) >= 5 and one.select(F.input_file_name()).distinct().count() == 1
+
+
+def test_outcomes_of_a_pair_with_most_votes(spark):
+    import itertools
+    import random
+
+    dice = random.Random(8)
+    start = dt.datetime(2026, 7, 1)
+    rows = [(1, "hot", dice.choice("abc"), start + dt.timedelta(minutes=dice.randint(0, 3000)), i) for i in range(300)]
+    rows += [(dice.randint(1, 3), f"v{dice.randint(0, 9)}", dice.choice("ab"), start + dt.timedelta(minutes=dice.randint(0, 3000)), 1000 + i) for i in range(200)]
+    wanted = {}
+    for _, group in itertools.groupby(sorted(rows, key=lambda r: (r[0], r[1], r[3], r[4])), key=lambda r: r[:2]):
+        before = None
+        for r in group:
+            wanted[r[4]] = "recorded" if before is None else "already_recorded" if before == r[2] else "updated"
+            before = r[2]
+    from risemeter.plans.votes import vote_outcomes
+
+    found = vote_outcomes(spark.createDataFrame(rows, votes.VOTE))
+    assert {r.vote_id: r.outcome for r in found.collect()} == wanted
