@@ -50,7 +50,9 @@ def momentum_order() -> list[Column]:
 
 
 def item_order(mode: str) -> list[Column]:
-    """newest or views; unknown publish dates come last."""
+    """newest, views or rising; unknown publish dates come last."""
+    if mode == "rising":
+        return trending_order()
     newest, views = F.desc_nulls_last("published_at"), F.desc("view_count")
     first = [views, newest] if mode == "views" else [newest, views]
     return [*first, by_id("item_id")]

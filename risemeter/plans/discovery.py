@@ -46,12 +46,16 @@ def sample_items(hits: DataFrame, n: int = SAMPLES) -> DataFrame:
 
 
 def discover_candidates(
-    hits: DataFrame, details: DataFrame, registered: DataFrame, now: Column, min_items: int, limit: int
+    hits: DataFrame, details: DataFrame, registered: DataFrame, now: Column, min_items: int, limit: int | None
 ) -> DataFrame:
-    """Scored candidates, best first, with fallback details where none were fetched."""
+    """Scored candidates, best first, with fallback details where none were fetched; all of them without a ``limit``.
+
+    ``details`` may lack the picture, the description or the publish date; these are NULL then.
+    """
     groups = hit_groups(hits, registered, min_items)
+    known = [F.col(c) if c in details.columns else F.lit(None).cast("string").alias(c) for c in ("thumbnail_url", "description", "published_at")]
     joined = groups.join(
-        details.select("external_id", F.struct("title", "subscriber_count", "view_count", "video_count").alias("_d")),
+        details.select("external_id", F.struct("title", "subscriber_count", "view_count", "video_count", *known).alias("_d")),
         "external_id",
         "left",
     )
@@ -62,6 +66,7 @@ def discover_candidates(
         F.col("_d.subscriber_count").alias("subscriber_count"),
         F.coalesce("_d.view_count", F.lit(0)).alias("view_count"),
         F.coalesce("_d.video_count", F.lit(0)).alias("video_count"),
+        *[F.col(f"_d.{c}").alias(c) for c in ("thumbnail_url", "description", "published_at")],
         "item_count",
         "queries",
         candidate_score(
@@ -69,7 +74,26 @@ def discover_candidates(
             F.try_to_timestamp(F.col("newest_at").cast("string")), now,
         ).alias("score"),
     )
-    return scored.orderBy(*candidate_order()).limit(limit)
+    ordered = scored.orderBy(*candidate_order())
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def discovery_report(
+    hits: DataFrame, details: DataFrame, registered: DataFrame, now: Column, days: int, min_items: int, limit: int | None
+) -> DataFrame:
+    """The candidates with their newest items, when they were found, and what was asked for.
+
+    Only hits of the candidates are looked at again; each brings at most ``SAMPLES`` items.
+    """
+    found = discover_candidates(hits, details, registered, now, min_items, limit)
+    fresh = hits.where(F.col("item_id") != "").join(found.select("external_id"), "external_id", "left_semi")
+    sample = sample_items(fresh).groupBy("external_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "item_id", "title", "published_at"))), lambda s: s.dropFields("position")).alias("sample_items")
+    )
+    asked = F.struct(
+        F.lit(days).alias("days"), F.lit(min_items).alias("min_items"), search_conditions(now, days).alias("published_after"), F.lit(limit).cast("int").alias("limit")
+    )
+    return found.join(sample, "external_id", "left").withColumns({"discovered_at": now, "search_conditions": asked})
 
 
 def search_conditions(now: Column, days: int) -> Column:

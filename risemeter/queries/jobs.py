@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from risemeter.functions.identity import normalize_type
 from risemeter.operators.matching import ambiguous_candidates
-from risemeter.operators.ranking import candidate_order
+from risemeter.operators.ranking import candidate_order, with_positions
 from risemeter.plans import catalog as C, digest as D, discovery, growth as G, ingest, items as I, merge as M, review as R, seeding
 from risemeter.plans.rematch import rematch
 from risemeter.queries.joins import TAGS_SQL, TERMS_SQL, identity_sql, merge_groups, tag_text
@@ -807,16 +807,17 @@ _DISCOVERY_SCORE = """(item_count * 20 + n_ref * 15 + log10(CAST(coalesce(subs,
 _FOUND_SQL = f"""SELECT external_id, coalesce(s_name, entity_title) AS title, subs AS subscriber_count, item_count, queries,
     {fixed_sql(_DISCOVERY_SCORE, 3)} AS score FROM {_GROUPS} LEFT JOIN (SELECT 's' || s_suppkey AS external_id, s_name,
     CASE WHEN s_acctbal > 2000 THEN CAST(floor(s_acctbal) AS BIGINT) END AS subs FROM supplier WHERE s_nationkey > 4)
-    USING (external_id) ORDER BY score DESC, item_count DESC, title LIMIT 20"""
+    USING (external_id) ORDER BY score DESC, item_count DESC, title"""
+_ALL_FOUND_SQL, _FOUND_SQL = _FOUND_SQL, f"{_FOUND_SQL} LIMIT 20"
 
 
-def _discovered(v: Views) -> DataFrame:
+def _discovered(v: Views, limit: int | None = 20) -> DataFrame:
     details = v.table("supplier").where("s_nationkey > 4").selectExpr(
         "concat('s', s_suppkey) AS external_id", "s_name AS title",
         "CASE WHEN s_acctbal > 2000 THEN CAST(floor(s_acctbal) AS BIGINT) END AS subscriber_count", "0L AS view_count", "0L AS video_count",
     )
     now = F.lit("2065-02-01 00:00:00").cast("timestamp")
-    rows = discovery.discover_candidates(hit_rows(v), details, _registered(v), now, 500, 20)
+    rows = discovery.discover_candidates(hit_rows(v), details, _registered(v), now, 500, limit)
     return rows.select("external_id", "title", "subscriber_count", "item_count", F.array_join("queries", ",").alias("queries"), "score")
 
 
@@ -825,9 +826,29 @@ def _(v: Views) -> DataFrame:
     return _discovered(v)
 
 
-@query("t11_candidate_order", f"SELECT external_id, score FROM ({_FOUND_SQL}) ORDER BY score DESC, item_count DESC, title LIMIT 10")
+@query(
+    "t11_candidate_order",
+    f"SELECT external_id, score, row_number() OVER (ORDER BY score DESC, item_count DESC, title, external_id) AS place FROM ({_ALL_FOUND_SQL})",
+)
+def _(v: Views) -> DataFrame:
+    return with_positions(_discovered(v, None), candidate_order(), "place").select("external_id", "score", *whole("place"))
+
+
+@query(
+    "job21_report_samples",
+    f"""SELECT external_id, list_reduce(list_slice(list(item_id ORDER BY published_at DESC, item_id), 1, 5), lambda x, y: x || ',' || y) AS samples,
+    '2065-01-02' AS published_after FROM (SELECT DISTINCT external_id, item_id, published_at FROM ({HITS_SQL})) WHERE external_id IN (SELECT external_id FROM ({_FOUND_SQL}))
+    GROUP BY external_id""",
+)
 def _(v: Views) -> DataFrame:
-    return _discovered(v).orderBy(*candidate_order()).limit(10).select("external_id", "score")
+    details = v.table("supplier").where("s_nationkey > 4").selectExpr(
+        "concat('s', s_suppkey) AS external_id", "s_name AS title",
+        "CASE WHEN s_acctbal > 2000 THEN CAST(floor(s_acctbal) AS BIGINT) END AS subscriber_count", "0L AS view_count", "0L AS video_count",
+    )
+    now = F.lit("2065-02-01 00:00:00").cast("timestamp")
+    rows = discovery.discovery_report(hit_rows(v), details, _registered(v), now, 30, 500, 20)
+    after = F.substring(F.col("search_conditions.published_after").cast("string"), 1, 10).alias("published_after")
+    return rows.select("external_id", F.array_join(F.transform("sample_items", lambda s: s.item_id), ",").alias("samples"), after)
 
 
 @query("snk9_written_report", _FOUND_SQL)

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from risemeter.functions.identity import with_identity_key
 from risemeter.operators import links as L, predicates as P, sets as S
 from risemeter.operators.matching import MATCHING_ROLES, ambiguous_candidates, index_catalog, judged_pairs, match_titles, matching_entries, title_hits
+from risemeter.operators.snapshots import period_comparisons
 from risemeter.operators.tallies import catalog_stats
 from risemeter.plans.items import item_trends
 from risemeter.queries.registry import query, text, whole
 from risemeter.queries.tables import HITS_SQL, detail_rows, hit_rows
-from risemeter.views import Views
+from risemeter.views import Views, compare_sql
 
 # -- filters ---------------------------------------------------------------
 
@@ -56,17 +57,17 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "pf5_period_whitelist",
-    """SELECT count(*) AS n, CAST(7 AS BIGINT) AS fallback, CAST(30 AS BIGINT) AS allowed, CAST(1 AS BIGINT) AS previous_mode,
-    CAST(7 AS BIGINT) AS weekly_mode FROM entity_daily""",
+    " UNION ALL ".join(
+        f"SELECT '{asked}' AS asked, entity_id, status, delta FROM ({compare_sql('entity_daily', 'entity_id', 'subscriber_count', period, low, high)})"
+        for asked, period, low, high in (("14", 7, 5, 9), ("1", 1, 1, 3), ("", 7, 5, 9), ("mode 7d", 7, 5, 9), ("mode other", 1, 1, 3))
+    ),
 )
 def _(v: Views) -> DataFrame:
-    def number(n: int):
-        return F.lit(n).cast("long")
-
-    return v.entity_daily().agg(
-        F.count(F.lit(1)).alias("n"), number(P.period_from("14")).alias("fallback"), number(P.period_from("30")).alias("allowed"),
-        number(P.period_of_mode("other")).alias("previous_mode"), number(P.period_of_mode("7d")).alias("weekly_mode"),
-    )
+    """Comparisons over the period that each parameter stands for."""
+    periods = {"14": P.period_from("14"), "1": P.period_from("1"), "": P.period_from(None), "mode 7d": P.period_of_mode("7d"), "mode other": P.period_of_mode("other")}
+    compared = period_comparisons(v.entity_daily(), "entity_id", "subscriber_count", sorted(set(periods.values())))
+    asked = F.explode(F.map_from_arrays(F.array(*map(F.lit, periods)), F.array(*map(F.lit, periods.values())))).alias("asked", "_period")
+    return compared.select("period", "entity_id", "status", "delta", asked).where("period = _period").select("asked", "entity_id", "status", "delta")
 
 
 @query(
@@ -405,11 +406,15 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "u2_shared_items",
-    """SELECT item_id FROM links WHERE catalog_id IN (3, 11) GROUP BY item_id HAVING count(DISTINCT catalog_id) = 2
-    UNION ALL SELECT l.item_id FROM links l WHERE 1 = 0""",
+    """WITH chosen AS (SELECT DISTINCT catalog_id FROM links WHERE item_id = (SELECT item_id FROM links GROUP BY item_id
+        HAVING count(DISTINCT catalog_id) > 1 ORDER BY item_id LIMIT 1) ORDER BY catalog_id LIMIT 2)
+    SELECT item_id FROM links WHERE catalog_id IN (SELECT catalog_id FROM chosen) GROUP BY item_id HAVING count(DISTINCT catalog_id) = 2""",
 )
 def _(v: Views) -> DataFrame:
-    return S.shared_items(v.links(), [3, 11])
+    """Items of two entries that share some: the first two of the first item that has several."""
+    several = v.links().groupBy("item_id").agg(F.count_distinct("catalog_id").alias("n")).where("n > 1").orderBy("item_id").limit(1)
+    chosen = v.links().join(several, "item_id", "left_semi").select("catalog_id").distinct().orderBy("catalog_id").limit(2)
+    return S.shared_items(v.links(), [r.catalog_id for r in chosen.collect()])
 
 
 @query(

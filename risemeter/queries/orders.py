@@ -97,6 +97,15 @@ def _(v: Views) -> DataFrame:
     return _placed(v.items().orderBy(*T.item_order("newest")), T.item_order("newest"), "item_id")
 
 
+@query(
+    "t5_item_order_rising",
+    f"""SELECT item_id, row_number() OVER (ORDER BY delta DESC, view_count DESC, CAST(item_id AS VARCHAR)) AS place FROM {TRENDING_SQL}""",
+)
+def _(v: Views) -> DataFrame:
+    gained = trending_ranked(v.items(), v.entities(), v.item_daily(), "previous", "standard,short")
+    return _placed(gained, T.item_order("rising"), "item_id")
+
+
 @query("t6_top_five", f"SELECT catalog_id, name, recent_views FROM {BUZZ_SQL} ORDER BY recent_views DESC, total_views DESC, catalog_id LIMIT 5")
 def _(v: Views) -> DataFrame:
     return T.top(_buzz(v), T.momentum_order()).select("catalog_id", "name", "recent_views")

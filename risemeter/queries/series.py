@@ -102,19 +102,18 @@ def _(v: Views) -> DataFrame:
     return rows.select(*whole("period"), "entity_id", "status", "delta", *whole("comparison_days"))
 
 
-_EARLY_ORDERS = f"""WITH {ORDER_DAYS}, early AS (SELECT * FROM order_days WHERE date <= (SELECT CAST(max(o_orderdate) AS DATE) - 200 FROM orders))
-    SELECT {_COLUMNS} FROM ({compare_sql('early', 'entity_id', 'subscriber_count', 90, 60, 120)})"""
-
-
-@query("snk1_growth_of_appended_days", _EARLY_ORDERS)
+@query(
+    "snk1_growth_of_appended_days",
+    f"""WITH early AS (SELECT * FROM entity_daily WHERE date <= DATE '2024-01-18')
+    SELECT {_COLUMNS} FROM ({compare_sql('early', 'entity_id', 'subscriber_count', 7, 5, 9)})""",
+)
 def _(v: Views) -> DataFrame:
-    """Two appends to a table by day, then the comparison as of a day that later folders do not reach."""
-    rows, folder = _order_days(v), fresh_folder(v.spark, "by-day")
-    even = F.dayofmonth("date") % 2 == 0
-    append_by_day(rows.where(even), folder)
-    append_by_day(rows.where(~even), folder)
-    last = rows.agg(F.date_sub(F.max("date"), 200).cast("string")).first()[0]
-    return _shown(W.period_comparison(v.spark.read.parquet(folder), "entity_id", "subscriber_count", 90, last))
+    """Two appends to a table by day, then the comparison as of a day; later folders are not read."""
+    rows, folder = v.entity_daily(), fresh_folder(v.spark, "by-day")
+    append_by_day(rows.where("date < DATE '2024-01-12'"), folder)
+    append_by_day(rows.where("date >= DATE '2024-01-12'"), folder)
+    stored = v.spark.read.schema(rows.schema).parquet(folder)
+    return _shown(W.period_comparison(stored, "entity_id", "subscriber_count", 7, "2024-01-18"))
 
 
 OVERVIEW_SQL = f"""SELECT entity_id, latest_date, latest_value, CASE WHEN n > 1 THEN latest_value - oldest_value ELSE 0 END

@@ -23,20 +23,38 @@ def _(v: Views) -> DataFrame:
     return active_entities(v.entities()).select("entity_id", "name", "category")
 
 
+# Tables of the full scan and their columns by kind: numbers are summed as whole numbers, texts by length, times by second.
+_SCANNED = {
+    "part": (["p_partkey", "p_size", "p_retailprice"], ["p_name", "p_brand", "p_type"], []),
+    "orders": (["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"], ["o_orderdate"]),
+    "lineitem": (
+        ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+        ["l_returnflag", "l_linestatus"],
+        ["l_shipdate"],
+    ),
+}
+
+
 @query(
     "src2_full_scan",
-    """SELECT 'catalog' AS source, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS key_sum FROM part
-    UNION ALL SELECT 'items', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders
-    UNION ALL SELECT 'links', count(*), CAST(sum(l_orderkey) AS BIGINT) FROM lineitem""",
+    " UNION ALL ".join(
+        f"SELECT '{table}' AS source, '{c}' AS name, count({c}) AS n, CAST(sum({total}) AS BIGINT) AS total FROM {table}"
+        for table, kinds in _SCANNED.items()
+        for columns, form in zip(kinds, ("floor({} * 100)::BIGINT", "length({})", "epoch({})::BIGINT"), strict=True)
+        for c in columns
+        for total in [form.format(c)]
+    ),
 )
 def _(v: Views) -> DataFrame:
-    def part(name: str, table: str, key: str) -> DataFrame:
-        rows = scan(v.spark, f"{v.folder}/{table}.parquet", [key])
-        return rows.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("n"), F.sum(key).alias("key_sum"))
-
-    return part("catalog", "part", "p_partkey").union(part("items", "orders", "o_orderkey")).union(
-        part("links", "lineitem", "l_orderkey")
-    )
+    """Every column of the tables is read; one pass per table."""
+    parts = []
+    for table, (numbers, texts, times) in _SCANNED.items():
+        whole_ = {c: F.floor(F.col(c) * 100).cast("long") for c in numbers} | {c: F.length(c).cast("long") for c in texts}
+        whole_ |= {c: F.unix_seconds(F.col(c).cast("timestamp")) for c in times}
+        rows = scan(v.spark, f"{v.folder}/{table}.parquet", list(whole_))
+        sums = rows.agg(F.array(*[F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.sum(x).alias("total")) for c, x in whole_.items()]).alias("c"))
+        parts.append(sums.select(F.lit(table).alias("source"), F.inline("c")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(

@@ -19,7 +19,7 @@ ITEM_COLUMNS = [
     "content_type_reason", "content_type_confidence", "duration_seconds", "live_flag",
 ]
 # Files that an append adds to a day at most.
-DAY_FILES = 8
+DAY_FILES = 4
 MENTION_COLUMNS = ["title", "view_count", "like_count", "comment_count", "published_at"]
 
 

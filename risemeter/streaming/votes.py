@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from risemeter.plans.votes import vote_outcomes
-from risemeter.streaming.tables import keyed_state, prepare, run_available, store, stored
+from risemeter.streaming.tables import prepare, run_available, store, stored
 
 VOTE = "target_id BIGINT, voter_id STRING, vote_type STRING, created_at TIMESTAMP, vote_id BIGINT"
 OUTCOME = f"{VOTE}, outcome STRING"
 PAIR = ["target_id", "voter_id"]
-
-# A vote on its way through the keyed state, and what is kept of a pair: its last vote.
-_MARKED = "target_id BIGINT, voter_id STRING, vote_type STRING, at BIGINT, vote_id BIGINT, is_prior BOOLEAN"
-_LAST = "vote_type STRING, at BIGINT, vote_id BIGINT"
+# After so many batches the last votes are merged into one base.
+MERGE_EVERY = 8
 
 
 def running_choice(stream: DataFrame) -> DataFrame:
@@ -31,38 +25,41 @@ def _last(rows: DataFrame) -> DataFrame:
     return newest.select(*PAIR, "_v.*")
 
 
-def with_prior(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The votes of a pair in a batch after its last vote so far; only that one is kept, whatever the number of votes."""
-    target, voter = key
-    last = tuple(state.get) if state.exists else None
-    if last:
-        yield pd.DataFrame([(target, voter, *last, True)], columns=["target_id", "voter_id", "vote_type", "at", "vote_id", "is_prior"])
-    for chunk in chunks:
-        yield chunk.assign(is_prior=False)
-        newest = chunk.loc[chunk.sort_values(["at", "vote_id"]).index[-1]]
-        found = (newest["vote_type"], int(newest["at"]), int(newest["vote_id"]))
-        last = found if last is None or found[1:] > last[1:] else last
-    state.update(last)
+def state_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
+    """The last votes before a batch: the newest base, and what the batches since then changed.
+
+    Which folders these are follows from the number of the batch, so a repeated batch reads what it read at first,
+    and no batch reads more than one base and ``MERGE_EVERY`` - 1 changes, however many came before.
+    """
+    merged = batch_id // MERGE_EVERY * MERGE_EVERY - 1
+    schema = f"{VOTE}, batch_id INT"
+    base = stored(spark, f"{folder}/base", schema).where(F.col("batch_id") == merged)
+    changes = stored(spark, f"{folder}/changes", schema).where((F.col("batch_id") > merged) & (F.col("batch_id") < batch_id))
+    return base.unionByName(changes).drop("batch_id")
 
 
 def ingest_votes(stream: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """(current votes, outcomes) after all votes that have arrived.
 
-    The last vote of each pair is keyed state: a batch reads and writes the state of its own pairs only, however many batches
-    and pairs came before. It comes before the batch's own votes, so the outcome of each vote follows from the vote before it.
-    Votes are taken in time order within a batch.
+    Stored choices of the voters in a batch come before the batch's own votes, so the outcome of
+    each vote follows from the vote before it. Votes are taken in time order within a batch.
     """
-    spark, outcomes = stream.sparkSession, f"{folder}/outcomes"
+    spark, state, outcomes = stream.sparkSession, f"{folder}/state", f"{folder}/outcomes"
+    prepare(spark, f"{state}/base", VOTE)
+    prepare(spark, f"{state}/changes", VOTE)
     prepare(spark, outcomes, OUTCOME)
-    votes = stream.select(*PAIR, "vote_type", F.unix_micros("created_at").alias("at"), "vote_id")
-    with keyed_state(spark):
-        marked = votes.groupBy(*PAIR).applyInPandasWithState(with_prior, _MARKED, _LAST, "append", GroupStateTimeout.NoTimeout)
-
-        def handle(batch: DataFrame, batch_id: int) -> None:
-            both = batch.withColumn("created_at", F.timestamp_micros("at")).drop("at")
-            judged = vote_outcomes(both).where(~F.col("is_prior"))
-            store(judged.select(*PAIR, "vote_type", "created_at", "vote_id", "outcome"), outcomes, batch_id)
-
-        run_available(marked, handle, f"{folder}/checkpoint")
+    columns = [*PAIR, "vote_type", "created_at", "vote_id"]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session, votes = batch.sparkSession, batch.select(*columns)
+        known = _last(state_before(session, state, batch_id).join(votes.select(*PAIR).distinct(), PAIR, "left_semi"))
+        both = known.withColumn("_new", F.lit(False)).unionByName(votes.withColumn("_new", F.lit(True)))
+        store(vote_outcomes(both).where("_new").drop("_new"), outcomes, batch_id)
+        store(_last(both.drop("_new")), f"{state}/changes", batch_id)
+        if (batch_id + 1) % MERGE_EVERY == 0:
+            changed = stored(session, f"{state}/changes", f"{VOTE}, batch_id INT").where(F.col("batch_id") == batch_id).drop("batch_id")
+            store(_last(state_before(session, state, batch_id).unionByName(changed)), f"{state}/base", batch_id)
+
+    run_available(stream, handle, f"{folder}/checkpoint")
     rows = stored(spark, outcomes, f"{OUTCOME}, batch_id INT").drop("batch_id")
     return _last(rows.drop("outcome")), rows

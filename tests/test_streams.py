@@ -101,23 +101,14 @@ def test_a_hot_key_runs_in_several_tasks(spark):
     assert bursts.segments(frame, 60 * second).select("segment").distinct().count() == 50
 
 
-def test_a_batch_of_votes_touches_the_state_of_its_own_pairs(spark, folder):
+def test_a_batch_of_votes_reads_one_base_and_a_few_changes(spark, folder):
     at = dt.datetime(2026, 7, 1)
-    batches = [[(1, f"voter-{10 * b + k:04d}", "want_to_play", at, 100 * b + k) for k in range(10)] for b in range(6)]
-    # Several files, so several batches; the progress of the query tells the rows of state that each of them updated.
-    source = stream(spark, folder, votes.VOTE, batches)
-    seen = []
-    listed = votes.run_available
-
-    def watched(frame, handle, checkpoint):
-        listed(frame, lambda batch, n: (seen.append(batch.count()), handle(batch, n)), checkpoint)
-
-    votes.run_available = watched
-    try:
-        current, outcomes = votes.ingest_votes(source, folder)
-    finally:
-        votes.run_available = listed
-    assert seen == [10] * 6 and current.count() == 60 and outcomes.where("outcome = 'recorded'").count() == 60
+    batches = [[(1, f"voter-{k:04d}", "ab"[b % 2], at + dt.timedelta(hours=b), 100 * b + k) for k in range(5)] for b in range(20)]
+    current, outcomes = votes.ingest_votes(stream(spark, folder, votes.VOTE, batches), folder)
+    assert current.count() == 5 and outcomes.count() == 100
+    assert outcomes.where("outcome = 'recorded'").count() == 5
+    # Five pairs: a base of five rows and up to seven changes of five rows, at batch 3 as at batch 19.
+    assert [votes.state_before(spark, f"{folder}/state", n).count() for n in (0, 3, 8, 9, 16, 19)] == [0, 15, 5, 10, 5, 20]
 
 
 def test_a_batch_of_one_day_reads_one_day(spark, folder):
