@@ -134,7 +134,7 @@ def describe(docs: DataFrame, words: int = WORDS, share: float = FREQUENT_SHARE)
                 held.append(found)
                 size += len(found)
                 rows += 1
-                if size > 3_000_000:  # lossy counting keeps memory bounded: what is dropped was rare in the rows so far
+                if size > 1_500_000:  # lossy counting keeps memory bounded: what is dropped was rare in the rows so far
                     kept, counts = merged(max(2, share * rows / 4))
                     held, size = [], 0
             empty = pa.nulls(len(n))
