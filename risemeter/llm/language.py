@@ -49,8 +49,8 @@ _SCRIPT = np.array([SCRIPTS.index(name) for _, name in RANGES], dtype=np.uint8)
 
 
 def _letters(limit: int = 0x3400) -> np.ndarray:
-    """Whether a code point below ``limit`` is a letter (or a mark that belongs to one)."""
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(limit)])
+    """Whether a code point below ``limit`` is a letter; marks are none, also those that belong to one."""
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(limit)])
 
 
 LETTERS = _letters()
@@ -61,7 +61,7 @@ def is_letter(codes: np.ndarray) -> np.ndarray:
     far = codes >= len(LETTERS)
     if far.any():
         own = np.unique(codes[far])
-        known = np.array([unicodedata.category(chr(c))[0] in "LM" for c in own])
+        known = np.array([unicodedata.category(chr(c))[0] == "L" for c in own])
         near = near.copy()
         near[far] = known[np.searchsorted(own, codes[far])]
     return near

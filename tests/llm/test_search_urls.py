@@ -220,3 +220,8 @@ def test_licences_within_longer_lines(spark):
     ]
     found = licenses.scan_licenses(spark.createDataFrame(files, "id long, path string, text string")).collect()
     assert {r.id: r.license for r in found} == {1: "MIT", 2: "Apache-2.0", 3: "GPL-3.0", 4: None, 5: "LGPL-3.0", 6: "LGPL-3.0"}
+
+
+def test_marks_alone_are_no_letters():
+    codes = np.array([ord(c) for c in "a\u0301\u093e1\u0915"], dtype=np.uint32)
+    assert language.is_letter(codes).tolist() == [True, False, False, False, True]
