@@ -49,6 +49,8 @@ FOLLOWERS = 200
 TABLE_BITS = 1 << 24
 #: Nodes of a column multiplied in the second block; each further block is twice as large.
 BLOCK = 32
+#: Cells of the incidence matrix that leave a task at a time; a longer set is alone in its batch.
+CELLS = 100_000
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -175,7 +177,7 @@ def columns(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: i
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, names, sizes = [], [], []
+            out, names, sizes, cells = [], [], [], 0
             for found in shingle_sets(b.column("text"), words):
                 if not len(found):
                     continue
@@ -185,12 +187,13 @@ def columns(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: i
                     weight = np.where(grams[at] == found, counts[at], 0)
                     found = found[np.argsort(weight, kind="stable")]
                 n = len(found)
-                out.append(found[: n - (percent * n + 99) // 100 + 1])
+                out.append(found[: n - (percent * n + 99) // 100 + 1].copy())  # a view would hold the whole set
                 names.append(k2 if k1 in clashing else k1)
                 sizes.append(n)
-                if len(out) >= 2000:
+                cells += len(out[-1])
+                if cells >= CELLS:
                     yield _column_rows(out, names, sizes)
-                    out, names, sizes = [], [], []
+                    out, names, sizes, cells = [], [], [], 0
             if out:
                 yield _column_rows(out, names, sizes)
 
