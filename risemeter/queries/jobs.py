@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from risemeter.functions.identity import normalize_type
@@ -18,6 +20,7 @@ from risemeter.queries.series import OVERVIEW_SQL
 from risemeter.queries.tables import HITS_SQL, entity_stat_rows, hit_rows, suggestion_rows
 from risemeter.session import fresh_folder
 from risemeter.sources import seeds as seed_sources, sinks
+from risemeter.sources.versions import current_version, publish_version
 from risemeter.views import Views, compare_sql, fixed_sql
 
 # -- growth ----------------------------------------------------------------
@@ -639,21 +642,50 @@ def _(v: Views) -> DataFrame:
     return _merged(v).links.select("item_id", "catalog_id", "method", "link_id")
 
 
-@query(
-    "job16_verified_tables",
-    """SELECT 'catalog' AS name, count(*) AS rows FROM catalog WHERE catalog_id NOT IN (SELECT duplicate_id FROM merge_groups)
-    UNION ALL SELECT 'judgments', count(*) FROM judgments""",
-)
+# Rows of the five merged tables: (name, row_id, catalog_id).
+_MERGED_SQL = """(WITH moved AS (SELECT id, coalesce(canonical_id, id) AS target, EXISTS (SELECT 1 FROM merge_groups g WHERE id IN
+        (g.canonical_id, g.duplicate_id)) AS affected FROM (SELECT catalog_id AS id FROM catalog) LEFT JOIN merge_groups ON id = duplicate_id)
+    SELECT 'catalog' AS name, catalog_id AS row_id, catalog_id FROM catalog WHERE catalog_id NOT IN (SELECT duplicate_id FROM merge_groups)
+    UNION ALL SELECT 'links', link_id, target FROM links JOIN moved ON catalog_id = id QUALIFY NOT affected OR row_number() OVER (PARTITION BY
+    item_id, target, affected ORDER BY CASE method WHEN 'manual_excluded' THEN 0 ELSE 1 END, CASE method WHEN 'manual' THEN 0 WHEN 'exact_name'
+    THEN 1 ELSE 2 END, CASE WHEN method = 'manual_excluded' THEN 0 ELSE -confidence END, link_id) = 1
+    UNION ALL SELECT 'mentions', link_id, target FROM links JOIN moved ON catalog_id = id QUALIFY NOT affected OR row_number() OVER (PARTITION BY
+    item_id, target, affected ORDER BY updated_at DESC, link_id) = 1
+    UNION ALL SELECT 'votes', vote_id, target FROM votes JOIN moved ON target_id = id QUALIFY NOT affected OR row_number() OVER (PARTITION BY
+    voter_id, target, affected ORDER BY vote_id) = 1
+    UNION ALL SELECT 'judgments', judgment_id, target FROM judgments JOIN moved ON catalog_id = id)"""
+
+
+@query("job16_verified_tables", f"SELECT name, count(*) AS rows FROM {_MERGED_SQL} GROUP BY name")
 def _(v: Views) -> DataFrame:
     """All merged tables written to a fresh folder, checked for references to removed ids and read back."""
     groups = merge_groups(v)
     stored = sinks.write_verified(
         v.spark, _merged(v).tables(), fresh_folder(v.spark, "merge"), lambda t: M.merge_problems(t, groups)
     )
-    counts = [
-        stored[n].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n in ("catalog", "judgments")
+    counts = [rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n, rows in stored.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+_ROW_IDS = {"catalog": "catalog_id", "links": "link_id", "mentions": "mention_id", "votes": "vote_id", "judgments": "judgment_id"}
+
+
+@query("job16_published_version", f"SELECT CAST(2 AS BIGINT) AS version, name, row_id, catalog_id FROM {_MERGED_SQL}")
+def _(v: Views) -> DataFrame:
+    """The tables as version 1, merged from there and published as version 2; all rows of the version that its manifest names."""
+    groups, root = merge_groups(v), fresh_folder(v.spark, "versions")
+    first = {"catalog": v.catalog(), "links": v.links(), "mentions": _mentions(v), "votes": v.votes(), "judgments": v.judgments()}
+    base = publish_version(v.spark, first, root, 0)
+    merged = M.merge_catalog(*[base.tables[n] for n in first], groups).tables()
+    publish_version(v.spark, merged, root, base.number, lambda t: M.merge_problems(t, groups))
+    now = current_version(v.spark, root)
+    named = [
+        rows.withColumnsRenamed({"target_id": "catalog_id"} if n == "votes" else {}).select(
+            F.lit(now.number).cast("long").alias("version"), F.lit(n).alias("name"), F.col(_ROW_IDS[n]).alias("row_id"), "catalog_id"
+        )
+        for n, rows in now.tables.items()
     ]
-    return counts[0].unionByName(counts[1])
+    return reduce(DataFrame.unionByName, named)
 
 
 _INSPECTED = [3, 11, 25]

@@ -15,7 +15,7 @@ CHECKED = [
     "w3_all_periods", "w4_newest_vs_oldest_of_last", "w6_chart_series", "w9_preferred_links", "a3_catalog_stats", "a5_vote_tally",
     "a16_merge_preview", "t7_page_after_key", "sf5_normalize_name", "sf10_content_class", "sf11_candidate_score", "sf17_parsed_judgments",
     "job1_growth_ranking_7d", "job2_trending_page", "job3_catalog_buzz", "job7_weekly_digest", "job11_summary", "job13_overridden_links",
-    "job15_counts", "job16_merged_catalog", "job18_upserted_catalog", "st2_vote_outcomes", "st3_batch_bursts",
+    "job15_counts", "job16_merged_catalog", "job16_published_version", "job18_upserted_catalog", "st2_vote_outcomes", "st3_batch_bursts",
 ]
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the given tables")
