@@ -5,18 +5,16 @@ threshold ``t`` (in per cent: ``100 * intersection >= t * union``):
 
 1. **Sets.** Every document becomes the set of its shingle hashes. Equal sets are one node; a hash group of thousands of copies is one
    row of the matrix from here on.
-2. **Columns.** Two sets of sizes a and b can only reach ``t`` if they share one of the first ``n - ceil(t n) + 1`` n-grams of each, in an
-   order that is the same for all documents. The product runs over these columns only. A first order is by hash, with the most frequent n-grams last. Each column is a list of nodes, cut where sizes
-   jump too far for any pair across the jump.
-3. **Short lists**, of at most ``SHORT`` nodes, are multiplied at once; the count of each pair is *accumulated* over the columns, and pairs whose count, long columns and rest of both sets cannot
-   reach the overlap that their sizes ask for are discarded. Each set has a signature of parities, one bit per member; cells of different parity bound from below how many members two sets do not share,
-   which rules out most of the other pairs for an eighth of a byte per member. The sets of the pairs left are intersected.
-4. **Long lists** are not multiplied. A pair that meets in none of the short ones lies in one of them, so their nodes are ordered anew: every n-gram of these sets is counted exactly, and
-   columns go from the rarest on. N-grams of one set come first and need no column, so a passage that many documents share is a column only of sets that hold little else.
-5. **Blocks.** Of these columns a node leads once its place in all of its lists has been reached: first the nodes that stand first in all of them, then the next 32, 64, 128 and so on, so a list has
-   no more leaders in a block than that. A block multiplies its leaders with the nodes behind them in all their lists, accumulates and discards as before. Between blocks, linked nodes are joined to components, and
+2. **Columns.** Every n-gram of the sets is counted exactly. Two sets of sizes a and b can only reach ``t`` if they share one of the first ``n - ceil(t n) + 1``
+   n-grams of each, in an order that is the same for all documents: from the rarest on. The product runs over these columns only. N-grams of one set come first and need no column, so a passage that
+   many documents share is a column only of sets that hold little else. Each column is a list of nodes, cut where sizes jump too far for any pair across the jump.
+3. **Blocks.** A node leads once its place in all of its lists has been reached: first the nodes that stand first in all of them, then the next 32, 64, 128 and so on, so a list has
+   no more leaders in a block than that. A block multiplies its leaders with the nodes behind them in all their lists; the count of each pair is *accumulated* over the columns, and pairs whose count and rest of both
+   sets cannot reach the overlap that their sizes ask for are discarded. Between blocks, linked nodes are joined to components, and
    pairs within one component are no longer multiplied; a list goes once its nodes are one component. So a group of thousands of near copies costs one pass, and yet each pair of
    different components that could link is counted.
+4. **Signatures.** Each set has a signature of parities, one bit per member; cells of different parity bound from below how many members two sets do not share,
+   which rules out most of the other pairs for an eighth of a byte per member. The sets of the pairs left are intersected.
 
 Links are never brought to the driver, and components are found by star contraction in Spark.
 
@@ -39,18 +37,10 @@ from risemeter.llm.words import hash_words, mix, slices, split_words
 
 WORDS = 5
 PERCENT = 75
-#: n-grams in at least this share of all documents are put last. There are at most (mean set size / share) of them, whatever the input.
-FREQUENT_SHARE = 0.0005
-#: Nodes of a column that are multiplied at once.
-SHORT = 32
 #: Followers of a leading node whose sets are intersected in one task; a leader with more is dealt to several.
 FOLLOWERS = 200
-#: Bits of the table that drops sets that nobody asks for before they move.
-TABLE_BITS = 1 << 24
 #: Nodes of a column multiplied in the second block; each further block is twice as large.
 BLOCK = 32
-#: Cells of the incidence matrix that leave a task at a time; a longer set is alone in its batch.
-CELLS = 100_000
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -107,106 +97,20 @@ def text_key() -> Column:
     return F.xxhash64(F.col("text"))
 
 
-def describe(docs: DataFrame, words: int = WORDS, share: float = FREQUENT_SHARE) -> DataFrame:
-    """A row (doc_id, text_key, n, k1, k2, sign, grams, counts) per document: size, name and signature of its set.
-
-    ``grams`` and ``counts`` are null there. Each task adds a row without names that lists the n-grams in at least half of ``share`` of
-    its own documents (and in two at least); an n-gram in ``share`` of all documents is listed by some task.
-    """
+def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """A row (doc_id, text_key, n, k1, k2, sign) per document: size, name and signature of its set."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        kept, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def merged(least: float) -> tuple[np.ndarray, np.ndarray]:
-            everything, place = np.unique(np.concatenate([kept, *held]), return_inverse=True)
-            weight = np.concatenate([counts, np.ones(len(place) - len(counts), np.int64)])
-            total = np.bincount(place, weight, minlength=len(everything)).astype(np.int64)
-            return everything[total >= least], total[total >= least]
-
-        size = 0
         for b in batches:
-            n, k1, k2, sign = [], [], [], []
-            for found in shingle_sets(b.column("text"), words):
-                n.append(len(found))
-                a, c = _set_keys(found)
-                k1.append(a)
-                k2.append(c)
-                sign.append(signature(found))
-                held.append(found)
-                size += len(found)
-                rows += 1
-                if size > 1_500_000:  # lossy counting keeps memory bounded: what is dropped was rare in the rows so far
-                    kept, counts = merged(max(2, share * rows / 4))
-                    held, size = [], 0
-            empty = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sign, pa.binary()), empty.cast(pa.list_(pa.int64())), empty.cast(pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "n", "k1", "k2", "sign", "grams", "counts"],
-            )
-        if rows:
-            kept, counts = merged(max(2, share * rows / 2))
-            none = pa.nulls(1)
+            sets = [(len(found), *_set_keys(found), signature(found)) for found in shingle_sets(b.column("text"), words)]
+            n, k1, k2, sign = zip(*sets, strict=True) if sets else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([kept.view(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "n", "k1", "k2", "sign", "grams", "counts"],
+                [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sign, pa.binary())],
+                ["doc_id", "text_key", "n", "k1", "k2", "sign"],
             )
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
-    return wanted.mapInArrow(measure, "doc_id long, text_key long, n int, k1 long, k2 long, sign binary, grams array<long>, counts array<long>")
-
-
-def frequent_grams(described: DataFrame, share: float = FREQUENT_SHARE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-grams in about ``share`` of the documents or more, and their counts.
-
-    Their number is at most mean set size / (share / 2), so they may come to the driver and travel with the tasks.
-    """
-    rows = described.where("n is not null").count()
-    listed = described.where("grams is not null").select(F.explode(F.arrays_zip("grams", "counts")).alias("x"))
-    total = listed.groupBy(F.col("x.grams").alias("gram")).agg(F.sum("x.counts").alias("count"))
-    found = total.where(F.col("count") >= max(2, share * rows / 2)).toArrow()
-    grams = np.asarray(found.column("gram").combine_chunks(), dtype=np.int64).view(np.uint64)
-    counts = np.asarray(found.column("count").combine_chunks(), dtype=np.int64)
-    order = np.argsort(grams)
-    return grams[order], counts[order]
-
-
-def columns(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int = PERCENT, words: int = WORDS, clashing: frozenset[int] = frozenset()) -> DataFrame:
-    """(gram, k1, n, pos): the n-grams over which the product runs, per set."""
-    grams, counts = frequent
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, names, sizes, cells = [], [], [], 0
-            for found in shingle_sets(b.column("text"), words):
-                if not len(found):
-                    continue
-                k1, k2 = _set_keys(found)
-                if len(grams):
-                    at = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
-                    weight = np.where(grams[at] == found, counts[at], 0)
-                    found = found[np.argsort(weight, kind="stable")]
-                n = len(found)
-                out.append(found[: n - (percent * n + 99) // 100 + 1].copy())  # a view would hold the whole set
-                names.append(k2 if k1 in clashing else k1)
-                sizes.append(n)
-                cells += len(out[-1])
-                if cells >= CELLS:
-                    yield _column_rows(out, names, sizes)
-                    out, names, sizes, cells = [], [], [], 0
-            if out:
-                yield _column_rows(out, names, sizes)
-
-    wanted = docs.where("doc_id is not null and text is not null").select("text")
-    return wanted.mapInArrow(prefix, "gram long, k1 long, n int, pos int")
-
-
-def _column_rows(out: list[np.ndarray], names: list[int], sizes: list[int]) -> pa.RecordBatch:
-    each = [len(x) for x in out]
-    return pa.RecordBatch.from_arrays(
-        [_signed(np.concatenate(out)), pa.array(np.repeat(np.array(names, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(np.concatenate([np.arange(e, dtype=np.int32) for e in each]))],
-        ["gram", "k1", "n", "pos"],
-    )
+    return wanted.mapInArrow(measure, "doc_id long, text_key long, n int, k1 long, k2 long, sign binary")
 
 
 def near(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -224,40 +128,26 @@ def near(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFram
     return signed.mapInArrow(reach, "a long, b long")
 
 
-def _bit_table(names: DataFrame) -> np.ndarray:
-    """A bounded bit table of the nodes ``k1``: it holds all of them, and with many also others."""
-    place = F.col("k1").bitwiseAND(F.lit(TABLE_BITS - 1))
-    words = names.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(k1 & 63 as int))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(TABLE_BITS // 64, np.uint64)
-    table[np.asarray(found.column("word").combine_chunks())] = np.asarray(found.column("bits").combine_chunks(), dtype=np.int64).view(np.uint64)
-    return table
-
-
-def node_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS, clashing: frozenset[int] = frozenset()) -> DataFrame:
-    """(node, n, grams): the set of each of ``wanted`` (k1)."""
-    bits = _bit_table(wanted)
+def node_sets(docs: DataFrame, words: int = WORDS, clashing: frozenset[int] = frozenset()) -> DataFrame:
+    """(node, n, grams): the set of each node."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, last in slices(b.column("text"), 1_000_000):
+            for first, last in slices(b.column("text")):
                 names, sets = [], []
                 for found in shingle_sets(b.column("text").slice(first, last - first), words):
                     if len(found):
                         k1, k2 = _set_keys(found)
-                        name = k2 if k1 in clashing else k1
-                        at = name % TABLE_BITS
-                        if int(bits[at >> 6]) >> (at & 63) & 1:
-                            names.append(name)
-                            sets.append(found)
+                        names.append(k2 if k1 in clashing else k1)
+                        sets.append(found)
                 sizes = [len(x) for x in sets]
                 grams = _signed(np.concatenate(sets)) if sets else pa.array([], pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32()), grams)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), lists], ["node", "n", "grams"])
 
     rows = docs.where("doc_id is not null and text is not null").select("text").mapInArrow(named, "node long, n int, grams array<long>")
-    # Copies within a task are combined before the exchange on the node, which the semi-join then shares.
-    return rows.dropDuplicates(["node"]).join(wanted.select(F.col("k1").alias("node")), "node", "left_semi")
+    # Copies within a task are combined before the exchange on the node.
+    return rows.dropDuplicates(["node"])
 
 
 def rare_columns(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -284,10 +174,9 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, followers:
     return both.where(f"100 * both >= {percent} * (total - both)").select("a", "b")
 
 
-def overlap_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, share: float = FREQUENT_SHARE, block: int = BLOCK, short: int = SHORT) -> DataFrame:
+def overlap_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id) of every row; the component is its smallest id."""
-    described = saved(describe(docs, words, share), "sets")
-    rows = described.where("n is not null")
+    rows = saved(describe(docs, words), "sets")
     # A node goes by 64 of the 128 bits of its set's name. Sets that differ in the other 64 only (expected once in 2^65 pairs) go by those.
     twins = rows.where("n > 0").groupBy("k1").agg(F.min("k2").alias("x"), F.max("k2").alias("y")).where("x <> y")
     clashing = frozenset(r.k1 for r in twins.select("k1").collect())
@@ -295,23 +184,16 @@ def overlap_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     first = F.min(F.struct("doc_id", "text_key", "n", "sign")).alias("first")
     nodes = saved(rows.where("n > 0 and doc_id is not null").groupBy(F.col("k1").alias("node")).agg(first).select("node", "first.*"), "nodes")
 
-    lists = saved(_runs(columns(docs, frequent_grams(described, share), percent, words, clashing), percent), "lists")
-    long = lists.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > short).select("gram", "run")
-    crowded = saved(lists.join(long, ["gram", "run"], "left_semi").groupBy("k1").agg(F.count(F.lit(1)).alias("long")), "crowded")
-    few = lists.join(long, ["gram", "run"], "left_anti").join(crowded, "k1", "left").fillna(0, ["long"]).withColumn("lead", F.lit(0))
-    early = saved(near(saved(_block(few, 0, 1, percent), "pairs"), nodes, percent), "near")
-    wanted = crowded.select("k1").unionByName(early.select(F.explode(F.array("a", "b")).alias("k1"))).distinct()
-    sets = saved_by(node_sets(docs, saved(wanted, "wanted"), words, clashing), "node", "sets")
-    again = _runs(rare_columns(sets.join(crowded.select(F.col("k1").alias("node")), "node", "left_semi"), percent), percent)
-    again = saved(again, "lists")
-    shared = saved(again.join(again.groupBy("k1").agg(F.max("place").alias("lead")), "k1").withColumn("long", F.lit(0)), "columns")
+    sets = saved_by(node_sets(docs, words, clashing), "node", "sets")
+    lists = saved(_runs(rare_columns(sets, percent), percent), "lists")
+    waiting = saved(lists.join(lists.groupBy("k1").agg(F.max("place").alias("lead")), "k1"), "columns")
 
     def links(block: DataFrame) -> DataFrame:
         return saved(linked(saved(near(saved(block, "pairs"), nodes, percent), "near"), sets, percent), "links")
 
-    joined = components(saved(linked(early, sets, percent), "links").unionByName(links(_block(shared, 0, 1, percent))))
+    joined = components(links(_block(waiting, 0, 1, percent)))
     after, width = 1, block
-    waiting = _unsettled(shared, joined, after)
+    waiting = _unsettled(waiting, joined, after)
     while waiting is not None:
         fresh = links(_block(waiting, after, width, percent))
         joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(fresh))
@@ -351,21 +233,21 @@ def _block(lists: DataFrame, after: int, width: int, percent: int) -> DataFrame:
     columns of a pair are counted in one block.
     """
     known = "root" in lists.columns
-    side = lambda s: [F.col("k1").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("place").alias(f"place_{s}"), F.col("long").alias(f"long_{s}"), F.col("root" if known else "k1").alias(f"root_{s}")]
+    side = lambda s: [F.col("k1").alias(s), F.col("n").alias(f"n_{s}"), F.col("pos").alias(f"pos_{s}"), F.col("place").alias(f"place_{s}"), F.col("root" if known else "k1").alias(f"root_{s}")]
     left = lists.where(f"lead >= {after} and lead < {after + width}").select("gram", "run", *side("a"))
     right = lists.select("gram", "run", *side("b"))
     # The overlap that the sizes ask for: both sets must have as many members from any shared n-gram on as are still to be found.
     needed = f"(((n_a + n_b) * {percent} + {99 + percent}) div {100 + percent})"
     early = f"pos_a <= n_a - {needed} and pos_b <= n_b - {needed}"
     cells = left.join(right, ["gram", "run"]).where(f"place_a < place_b and root_a <> root_b and n_a * 100 >= n_b * {percent} and {early}")
-    counted = cells.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.least(F.max("long_a"), F.max("long_b")).alias("long"))
-    # What is not in these columns is in a long one, or stands behind the last of them in both sets.
-    return counted.where(f"count + long + least(n_a - 1 - pos_a, n_b - 1 - pos_b) >= {needed}").select("a", "b")
+    counted = cells.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    # What is not in these columns stands behind the last of them in both sets.
+    return counted.where(f"count + least(n_a - 1 - pos_a, n_b - 1 - pos_b) >= {needed}").select("a", "b")
 
 
 def _unsettled(lists: DataFrame, roots: DataFrame, after: int) -> DataFrame | None:
     """The lists that still hold nodes of several components and unmultiplied pairs, with the root of each node; None if there are none."""
-    placed = lists.join(roots, lists.k1 == roots.node, "left").select("gram", "run", "k1", "n", "pos", "place", "lead", "long", F.coalesce("root", "k1").alias("root"))
+    placed = lists.join(roots, lists.k1 == roots.node, "left").select("gram", "run", "k1", "n", "pos", "place", "lead", F.coalesce("root", "k1").alias("root"))
     mixed = placed.groupBy("gram", "run").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("lead").alias("last"))
     mixed = mixed.where(f"x <> y and last >= {after}").select("gram", "run")
     waiting = saved(placed.join(mixed, ["gram", "run"], "left_semi"), "waiting")
