@@ -17,7 +17,7 @@ from risemeter.queries.registry import query, text, whole
 from risemeter.queries.columns import CLASS_SQL, REASON_SQL
 from risemeter.queries.counts import SUMMARY_SQL
 from risemeter.queries.series import OVERVIEW_SQL
-from risemeter.queries.tables import HITS_SQL, entity_stat_rows, hit_rows, suggestion_rows
+from risemeter.queries.tables import HITS_SQL, entity_stat_rows, hit_rows, suggestion_files, suggestion_rows
 from risemeter.session import fresh_folder
 from risemeter.sources import seeds as seed_sources, sinks
 from risemeter.sources.versions import current_version, publish_version
@@ -816,6 +816,22 @@ def _(v: Views) -> DataFrame:
     return seeding.apply_aliases(v.catalog(), approved).select("catalog_id", F.array_join("aliases", "|").alias("aliases"))
 
 
+@query(
+    "src10_alias_files",
+    """SELECT catalog_id, CASE WHEN catalog_id % 2 = 1 THEN name || '?' WHEN type = 'slot' THEN name || '!'
+    ELSE array_to_string(aliases, '|') END AS aliases FROM catalog""",
+)
+def _(v: Views) -> DataFrame:
+    """Alias files of two folders, read back and applied: where both name an entry, the later one wins."""
+    folder = fresh_folder(v.spark, "aliases")
+    suggestion_files(v).write.text(f"{folder}/1")
+    later = F.struct(F.col("catalog_id").alias("machineId"), F.array(F.concat(F.col("name"), F.lit("?"))).alias("aliases"), F.lit(True).alias("approved"))
+    odd = v.catalog().where("catalog_id % 2 = 1")
+    odd.select(F.to_json(F.struct(F.array(later).alias("suggestions"))).alias("body")).write.text(f"{folder}/2")
+    approved = seed_sources.approved_aliases(seed_sources.read_alias_file(v.spark, f"{folder}/*", multi_line=False))
+    return seeding.apply_aliases(v.catalog(), approved).select("catalog_id", F.array_join("aliases", "|").alias("aliases"))
+
+
 # -- discovery -------------------------------------------------------------
 
 _GROUPS = f"""(SELECT external_id, count(DISTINCT item_id) AS item_count, string_agg(DISTINCT query, ',' ORDER BY query) AS queries,

@@ -21,15 +21,20 @@ def read_seeds(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path).withColumn("position", F.monotonically_increasing_id())
 
 
-def read_alias_file(spark: SparkSession, path: str) -> DataFrame:
-    """Suggestions of a reviewed alias file with their approval."""
-    return alias_suggestions(spark.read.schema(ALIAS_FILE).option("multiLine", True).json(path))
+def read_alias_file(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Suggestions of reviewed alias files with their approval: one body per file, or per line without ``multi_line``.
 
+    Of several files the one that is later by path overrules; bodies of one file must not name an entry twice.
+    """
+    files = spark.read.schema(ALIAS_FILE).option("multiLine", multi_line).json(path)
+    return alias_suggestions(files.select("suggestions", F.col("_metadata.file_path").alias("file")), "file")
 
-def alias_suggestions(files: DataFrame) -> DataFrame:
-    """One row per suggestion; ``position`` follows the file, as later suggestions overrule earlier ones."""
-    return files.select(F.posexplode("suggestions").alias("position", "s")).select(
-        "position",
+
+def alias_suggestions(files: DataFrame, *order: str) -> DataFrame:
+    """One row per suggestion; ``position`` follows ``order`` and the place in the body, as later suggestions overrule earlier ones."""
+    listed = files.select(*order, F.posexplode("suggestions").alias("place", "s"))
+    return listed.select(
+        (F.struct(*order, "place") if order else F.col("place")).alias("position"),
         F.col("s.machineId").alias("catalog_id"),
         F.col("s.shortName").alias("short_name"),
         F.col("s.aliases").alias("aliases"),
