@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from risemeter.functions.identity import with_identity_key
 from risemeter.functions.misc import fill_missing
@@ -153,27 +153,43 @@ def merge_preview(
 ) -> DataFrame:
     """Counts before and after per group for the four child tables.
 
-    Every table is counted per (group, key) and then per group, so that a group with very many
-    rows is spread over its keys.
+    The rows of a canonical entry are counted once, however many duplicates it absorbs: every table is
+    counted per (entry, key), a duplicate's keys are marked where the canonical entry holds them too,
+    and the sums of both meet per group. So the work grows with the rows, not with rows times duplicates.
     """
     pair = ["canonical_id", "duplicate_id"]
-    ids = groups.select(
-        *pair,
-        F.explode(F.array(
-            F.struct(F.col("canonical_id").alias("catalog_id"), F.lit(False).alias("is_duplicate")),
-            F.struct(F.col("duplicate_id").alias("catalog_id"), F.lit(True).alias("is_duplicate")),
-        )).alias("_m"),
-    ).select(*pair, "_m.*")
+    # A pair listed several times counts its rows as often.
+    planned = groups.groupBy(*pair).agg(F.count(F.lit(1)).alias("_times"))
+    # The canonical entry itself stands beside its duplicates, without a duplicate id.
+    entries = planned.select(*pair, F.col("duplicate_id").alias("catalog_id")).unionByName(
+        planned.select("canonical_id").distinct().select(
+            "canonical_id", F.lit(None).cast(planned.schema["duplicate_id"].dataType).alias("duplicate_id"),
+            F.col("canonical_id").alias("catalog_id"),
+        )
+    )
 
     def counted(rows: DataFrame, key: str, name: str) -> DataFrame:
-        per_key = rows.join(ids, "catalog_id").groupBy(*pair, key).agg(
-            F.count(F.lit(1)).alias("_n"), F.count_if("is_duplicate").alias("_dup")
+        per_key = rows.groupBy("catalog_id", key).agg(F.count(F.lit(1)).alias("_n")).join(entries, "catalog_id")
+        held = F.max(F.col("duplicate_id").isNull()).over(Window.partitionBy("canonical_id", key))
+        sums = per_key.withColumn("_held", held).groupBy(*pair).agg(
+            F.sum("_n").alias("_rows"),
+            F.count(F.lit(1)).alias("_keys"),
+            F.sum(F.when(F.col("_held"), F.col("_n"))).alias("_held_rows"),
+            F.count_if("_held").alias("_held_keys"),
+        )
+        kept = sums.where(F.col("duplicate_id").isNull()).select(
+            "canonical_id", F.col("_rows").alias("_kept_rows"), F.col("_keys").alias("_kept_keys")
+        )
+        joined = planned.join(sums, pair, "left").join(kept, "canonical_id", "left")
+        rows_here, keys, held_rows, held_keys, kept_rows, kept_keys = (
+            F.coalesce(c, F.lit(0)) for c in ("_rows", "_keys", "_held_rows", "_held_keys", "_kept_rows", "_kept_keys")
         )
-        return per_key.groupBy(*pair).agg(
-            F.sum("_n").alias(f"{name}_before"),
-            F.count(F.lit(1)).alias(f"{name}_after"),
-            F.sum("_dup").alias(f"{name}_to_move"),
-            F.sum(F.when((F.col("_dup") > 0) & (F.col("_n") > F.col("_dup")), F.col("_dup")).otherwise(F.lit(0))).alias(f"{name}_shared"),
+        return joined.select(
+            *pair,
+            ((kept_rows + rows_here) * F.col("_times")).alias(f"{name}_before"),
+            (kept_keys + keys - held_keys).alias(f"{name}_after"),
+            (rows_here * F.col("_times")).alias(f"{name}_to_move"),
+            (held_rows * F.col("_times")).alias(f"{name}_shared"),
         )
 
     rankable = links.join(items.select("item_id", "match_status", "content_type"), "item_id").where(
