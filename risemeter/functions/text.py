@@ -74,8 +74,9 @@ def utf16_length(text: Column) -> Column:
 
 def _at_least(normalized: Column, lengths: tuple[int, int]) -> Column:
     any_script, ascii_only = lengths
-    length = utf16_length(normalized)
-    return (length >= any_script) & (~normalized.rlike("^[a-z0-9]+\\z") | (length >= ascii_only))
+    # A text of so many code points has as many units or more, so that most texts are settled by the first test.
+    plain = normalized.rlike("^[a-z0-9]+\\z")
+    return (F.length(normalized) >= ascii_only) | ((utf16_length(normalized) >= any_script) & ~plain)
 
 
 def is_safe_term(normalized: Column) -> Column:
@@ -100,14 +101,15 @@ def catalog_terms(*arrays: Column) -> Column:
 
 
 def split_tokens(nfkc_terms: Column) -> Column:
-    """Cut NFKC terms at whitespace and punctuation; distinct, order kept."""
+    """Cut NFKC terms at whitespace and punctuation, none of which a piece holds; distinct, order kept."""
     pieces = F.flatten(F.transform(nfkc_terms, lambda t: F.split(t, f"[{SPACE}{STRIPPED}]+")))
-    return F.array_distinct(F.filter(F.transform(pieces, trim_space), lambda t: t != ""))
+    return F.filter(F.array_distinct(pieces), lambda t: t != "")
 
 
 def weak_tokens(terms: Column) -> Column:
     """Tokens of a catalog entry's terms that are long enough to suggest a match."""
-    return F.filter(split_tokens(nfkc_array(terms)), lambda t: is_safe_token(strip_text(t)))
+    # Tokens hold nothing that normalization would strip, only upper case.
+    return F.filter(split_tokens(nfkc_array(terms)), lambda t: is_safe_token(F.lower(t)))
 
 
 def safe_terms(terms: Column) -> Column:
