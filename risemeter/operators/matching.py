@@ -11,7 +11,7 @@ pairs are then verified on the full text.
 * A bit table of all anchors, of bounded size, travels as one column value. N-grams that are no
   anchor fall at it where they are made, before anything moves, whatever the size of the catalog.
 * N-grams are made as 64-bit hashes by one rolling pass (``functions/grams.py``) and travel without the text. Texts are
-  normalized once, move once, by item, and are read twice: for their n-grams and for the check.
+  normalized and hashed once, written, move once, by item, and are read for the check of all their candidates at a time.
 * Exclusions and resolving keywords are terms like others, so that no text is looked up again.
 * Which term lies inside which longer one is a fact of the catalog, written with the index.
 """
@@ -158,21 +158,28 @@ def index_catalog(catalog: DataFrame, roles: tuple[str, ...] | None = None) -> C
 
 
 def offering(texts: DataFrame, text_id: str, text: str, index: CatalogIndex) -> DataFrame:
-    """(text_id, text, offered): each text with the hashes of its n-grams that may be anchors, by ``text_id``."""
-    return texts.withColumn("offered", gram_hashes(F.col(text), index.lengths, index.held)).repartition(text_id)
+    """(text_id, text, offered): each text with the hashes of its n-grams that may be anchors.
+
+    Written, as it is read for the n-grams and for the check: a plan that holds the hashing twice does it twice.
+    """
+    return written(texts.withColumn("offered", gram_hashes(F.col(text), index.lengths, index.held)), "offered")
 
 
-def containing_pairs(texts: DataFrame, text_id: str, text: str, index: CatalogIndex) -> DataFrame:
-    """(text_id, term_id, is_guard) for every indexed term contained in the text.
+def containing_pairs(texts: DataFrame, text_id: str, text: str, index: CatalogIndex, guards: bool = False) -> DataFrame:
+    """(text_id, term_id, is_guard) for every indexed term contained in the text, or only those that are guards.
 
-    The text is not copied next to each n-gram but joined again for the check. ``texts`` come from
-    ``offering``: both uses read all its columns and so share its one exchange.
+    ``texts`` come from ``offering``. The terms that may lie in a text are gathered as one list, which meets
+    the text once. Hashes and texts move by ``text_id``, once each, into all shuffle partitions: the work follows
+    from the candidates and the lengths of the texts, not from the bytes by which Spark would merge partitions.
     """
-    anchors = F.explode_outer(F.when(F.length(text) > 0, F.col("offered")))
-    known = texts.select(text_id, anchors.alias("anchor")).where(index.offers(F.col("anchor")))
-    candidates = known.join(index.terms, "anchor").select(text_id, "anchor", "term_id", "term_text", "is_guard")
-    contains = F.array_contains("offered", F.col("anchor")) & F.contains(text, "term_text")
-    return candidates.join(texts.hint("merge"), text_id).where(contains).select(text_id, "term_id", "is_guard")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashes = texts.select(text_id, "offered").repartition(parts, text_id)
+    known = hashes.select(text_id, F.explode("offered").alias("anchor")).where(index.offers(F.col("anchor")))
+    terms = index.terms.where("is_guard") if guards else index.terms
+    candidates = known.join(terms.select("anchor", "term_id", "term_text", "is_guard"), "anchor")
+    listed = candidates.groupBy(text_id).agg(F.collect_list(F.struct("term_id", "is_guard", "term_text")).alias("_terms"))
+    checked = listed.join(texts.select(text_id, text).repartition(parts, text_id).hint("merge"), text_id)
+    return checked.select(text_id, F.inline(F.filter("_terms", lambda t: F.contains(text, t.term_text)))).drop("term_text")
 
 
 def covering_terms(index: CatalogIndex) -> DataFrame:
@@ -249,9 +256,9 @@ def title_hits(items: DataFrame, index: CatalogIndex) -> DataFrame:
     ``is_ambiguous`` for pairs that only deserve a review (needs the weak role).
     """
     normalized = F.col("title_text") if "title_text" in items.columns else normalize_text(F.col("title"))
-    # Never NULL, so that no join adds a filter to one use only and both uses share the exchange.
     texts = items.select("item_id", F.coalesce(normalized, F.lit("")).alias("title_text"))
-    found = containing_pairs(offering(texts, "item_id", "title_text", index), "item_id", "title_text", index)
+    texts = offering(texts, "item_id", "title_text", index)
+    found = containing_pairs(texts, "item_id", "title_text", index)
     # From here rows are a few numbers wide, so that the grouping is a hash aggregation with
     # map-side combine. It keeps the items' partitioning.
     columns = ["term_id", "catalog_id", "role", "rank", "confirms", "guarded", "resolves"]
@@ -261,7 +268,8 @@ def title_hits(items: DataFrame, index: CatalogIndex) -> DataFrame:
 
     by_name, by_alias, by_ambiguous = (F.col(f"_{r}").isNotNull() for r in MATCHING_ROLES)
     # The guards of a title are parts of it; they meet those of an entry only where these decide.
-    present = found.where("is_guard").groupBy(F.col("item_id").alias("_item")).agg(F.collect_set("term_id").alias("_present"))
+    guards = containing_pairs(texts, "item_id", "title_text", index, guards=True)
+    present = guards.groupBy(F.col("item_id").alias("_item")).agg(F.collect_set("term_id").alias("_present"))
     asks = F.col("_guarded") | (by_ambiguous & ~by_name & ~by_alias)
     guarded = pairs.join(present, (F.col("item_id") == F.col("_item")) & asks, "left").join(index.guards, "catalog_id", "left")
     hit = lambda guards: F.coalesce(F.arrays_overlap(guards, "_present"), F.lit(False))

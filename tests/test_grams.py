@@ -63,3 +63,20 @@ def test_weak_tokens_lengths(spark, rows):
     assert "regexp_replace" not in df.select(tokens)._jdf.queryExecution().optimizedPlan().toString()
     expected = ["ABCDE", "ab1c2", "海物語", "İİ", "a.b"]
     assert rows(df.select(tokens)) == sorted([(expected,), ([],)], key=repr)
+
+
+def test_titles_are_hashed_once(spark):
+    """Neither the hits nor their plan hash or normalize a title again; the check sees a text once, with all its candidates."""
+    catalog = spark.createDataFrame(
+        [(1, "Ocean 5 Special", None, None, None, None, ["ocean five"], ["Lake"]), (2, "Ocean 5", None, None, None, ["Sea six"], ["lake two"], None)],
+        "catalog_id BIGINT, name STRING, short_name STRING, aliases ARRAY<STRING>, unique_aliases ARRAY<STRING>, "
+        "ambiguous_aliases ARRAY<STRING>, resolving_keywords ARRAY<STRING>, exclude_terms ARRAY<STRING>",
+    )
+    titles = [(1, "Ocean 5 Special"), (1, "Sea six, Lake two"), (2, "Ocean 5 Special on a Lake"), (None, "Ocean 5"), (3, None), (4, "sea Six")]
+    items = spark.createDataFrame(titles, "item_id BIGINT, title STRING")
+    index = M.index_catalog(catalog, M.MATCHING_ROLES)
+    hits = M.title_hits(items, index)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "hashes(" not in plan and "_nfkc_batch" not in plan
+    got = {(r.item_id, r.catalog_id, r.term) for r in hits.where("method is not null").collect()}
+    assert got == {(1, 2, "Ocean 5"), (2, 2, "Ocean 5")}
