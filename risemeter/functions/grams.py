@@ -17,21 +17,17 @@ _ODD = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _rolled(points: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, hash of the n-gram at each place) for lengths that are a power of two, or 3."""
-    base = lambda n: np.uint64(pow(_BASE, n, 1 << 64))
-    mixed = points.astype(np.uint64) * np.uint64(_BASE)
+    """(length, hash of the n-gram at each place), each length from the one before."""
+    base = np.uint64(_BASE)
+    mixed = points.astype(np.uint64) * base
     mixed ^= mixed >> np.uint64(29)
     one = mixed * _ODD
-    n, rolled = 1, one
-    while True:
+    rolled = one
+    for n in range(1, min(max(lengths, default=0), len(points)) + 1):
+        if n > 1:
+            rolled = rolled[:-1] * base + one[n - 1 :]
         if n in lengths:
             yield n, rolled
-        if n == 2 and 3 in lengths and len(points) > 2:
-            yield 3, rolled[:-1] * base(1) + one[2:]
-        if 2 * n > max(lengths, default=0) or len(rolled) <= n:
-            return
-        rolled = rolled[:-n] * base(n) + rolled[n:]
-        n *= 2
 
 
 def _finished(rolled: np.ndarray, length: int) -> np.ndarray:
@@ -43,19 +39,17 @@ def _points(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
 
 
-def _slice_hashes(rows: list[int], texts: list[str], lengths: list[int], words: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _slice_hashes(rows: list[int], texts: list[str], lengths: list[int], bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of the n-grams of each text of a slice that the bit table holds."""
     ends = np.cumsum([len(t) for t in texts])
     owner = np.asarray(rows, dtype=np.int64)
     found = []
     for n, rolled in _rolled(_points(texts), lengths):
         hashed = _finished(rolled, n)
-        if words is None:
+        if bits is None:
             place = np.arange(len(hashed))
         else:
-            bit = hashed & np.uint64(len(words) * 64 - 1)
-            held = (words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)
-            place = np.flatnonzero(held)
+            place = np.flatnonzero(bits[(hashed & np.uint64(len(bits) - 1)).view(np.int64)])
         text = np.searchsorted(ends, place, side="right")
         inside = place + n <= ends[text]  # an n-gram ends in the text where it begins
         found.append((owner[text[inside]], hashed[place[inside]]))
@@ -67,10 +61,11 @@ def _slice_hashes(rows: list[int], texts: list[str], lengths: list[int], words:
 def text_hashes(texts: list[str | None], lengths: list[int], words: np.ndarray | None = None) -> list[np.ndarray]:
     """The distinct n-gram hashes of each text, only those that the bit table holds if there is one."""
     parts, rows, pieces, size = [], [], [], 0
+    bits = None if words is None else np.unpackbits(words.astype("<u8").view(np.uint8), bitorder="little").view(bool)
     overlap = max(lengths, default=1) - 1
 
     def flush() -> None:
-        parts.append(_slice_hashes(rows, pieces, lengths, words))
+        parts.append(_slice_hashes(rows, pieces, lengths, bits))
 
     for k, whole in enumerate(texts):
         for start in range(0, len(whole or ""), SLICE):

@@ -5,22 +5,22 @@ without losing pairs: every term is filed under one of its own n-grams (its anch
 offers all its n-grams, and a text can only contain a term whose anchor it offers. Candidate
 pairs are then verified on the full text.
 
-* Anchors are as long as the term allows (1, 2, 3, 4, 8 or 16 characters) and the rarest of
-  the term's n-grams within the catalog, so common prefixes never become hot join keys.
+* Anchors are as long as the term allows (1 to 16 characters) and the rarest of the term's
+  n-grams within the catalog, so common prefixes never become hot join keys. A term of at most
+  16 characters is its own anchor, so that nearly all its candidates contain it.
 * Texts only offer lengths that occur among the anchors.
 * A bit table of all anchors, of bounded size, travels as one column value. N-grams that are no
   anchor fall at it where they are made, before anything moves, whatever the size of the catalog.
-* N-grams are made as 64-bit hashes by one rolling pass (``functions/grams.py``) and travel without the text. Texts are
-  normalized and hashed once, written, move once, by item, and are read for the check of all their candidates at a time.
+* N-grams are made as 64-bit hashes by one rolling pass (``functions/grams.py``) and travel without the text. Texts move
+  by item before they are normalized and hashed, as one file may hold them in a single row group, are written, move once
+  more, by item, and are read for the check of all their candidates at a time.
 * Exclusions and resolving keywords are terms like others, so that no text is looked up again.
 * Which term lies inside which longer one is a fact of the catalog, written with the index.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -38,10 +38,10 @@ from risemeter.functions.text import (
 )
 from risemeter.session import written
 
-GRAM_LENGTHS = [1, 2, 3, 4, 8, 16]
+GRAM_LENGTHS = list(range(1, 17))
 
 # The bit table has about so many bits per anchor, and at most so many bits (2 MB).
-BITS_PER_ANCHOR, MOST_BITS = 16, 1 << 24
+BITS_PER_ANCHOR, MOST_BITS = 256, 1 << 24
 
 ROLES = ("name", "alias", "ambiguous", "weak")
 MATCHING_ROLES = ("name", "alias", "ambiguous")
@@ -54,20 +54,20 @@ NAME_CONFIDENCE, ALIAS_CONFIDENCE, RESOLVED_CONFIDENCE = 100, 85, 75
 _NO_STRINGS = "array<string>"
 
 
-def _grams(text: Column, length: int) -> Column:
-    """All n-grams of one length, by a look-ahead that passes over the text once."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), 1)
+def _own_grams(text: Column, length: Column) -> Column:
+    """All n-grams of the given length, which is at most that of the text."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - length + 1), lambda start: F.substr(text, start, length))
 
 
 def _length_class(length: Column) -> Column:
     """The largest anchor length that fits."""
-    return reduce(lambda chosen, n: F.when(length >= n, F.lit(n)).otherwise(chosen), GRAM_LENGTHS, F.lit(None).cast("int"))
+    return F.when(length >= 1, F.least(length, F.lit(GRAM_LENGTHS[-1])))
 
 
 def anchored(texts: DataFrame) -> DataFrame:
     """Add ``anchor``: the hash of the rarest n-gram of each ``term_text``, at its ``anchor_length``. Texts are distinct."""
     sized = texts.withColumn("anchor_length", _length_class(F.length("term_text")))
-    own = _all_grams(F.col("term_text"), lambda n: F.col("anchor_length") == n)
+    own = _own_grams(F.col("term_text"), F.col("anchor_length"))
     grams = sized.select("term_id", "anchor_length", F.explode(F.array_distinct(own)).alias("_gram"))
     usage = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_uses"))
     anchors = grams.join(usage, "_gram").groupBy("term_id", "anchor_length").agg(
@@ -76,14 +76,6 @@ def anchored(texts: DataFrame) -> DataFrame:
     return texts.join(anchors.withColumn("anchor", whole_hash(F.col("_gram"))).drop("_gram"), "term_id")
 
 
-def _all_grams(text: Column, wanted: Callable[[int], Column]) -> Column:
-    """N-grams of the one length for which ``wanted(length)`` holds."""
-    chosen = F.lit(None).cast(_NO_STRINGS)
-    for n in GRAM_LENGTHS:
-        chosen = F.when(wanted(n), _grams(text, n)).otherwise(chosen)
-    return chosen
-
-
 def anchor_bits(terms: DataFrame, anchors: int) -> tuple[DataFrame, int]:
     """One row with the bit table of all anchors as an array of longs, and its number of bits (a power of two).
 
@@ -157,6 +149,10 @@ def index_catalog(catalog: DataFrame, roles: tuple[str, ...] | None = None) -> C
     return CatalogIndex(terms, entries, written(listed_guards, "guards"), words, bits, held, sorted(r["n"] for r in facts))
 
 
+def _partitions(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def offering(texts: DataFrame, text_id: str, text: str, index: CatalogIndex) -> DataFrame:
     """(text_id, text, offered): each text with the hashes of its n-grams that may be anchors.
 
@@ -172,7 +168,7 @@ def containing_pairs(texts: DataFrame, text_id: str, text: str, index: CatalogIn
     the text once. Hashes and texts move by ``text_id``, once each, into all shuffle partitions: the work follows
     from the candidates and the lengths of the texts, not from the bytes by which Spark would merge partitions.
     """
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _partitions(texts)
     hashes = texts.select(text_id, "offered").repartition(parts, text_id)
     known = hashes.select(text_id, F.explode("offered").alias("anchor")).where(index.offers(F.col("anchor")))
     terms = index.terms.where("is_guard") if guards else index.terms
@@ -255,8 +251,11 @@ def title_hits(items: DataFrame, index: CatalogIndex) -> DataFrame:
     Columns: the matched method, confidence, term and its id (NULL without a match), and
     ``is_ambiguous`` for pairs that only deserve a review (needs the weak role).
     """
-    normalized = F.col("title_text") if "title_text" in items.columns else normalize_text(F.col("title"))
-    texts = items.select("item_id", F.coalesce(normalized, F.lit("")).alias("title_text"))
+    known = "title_text" in items.columns
+    normalized = F.col("title_text") if known else normalize_text(F.col("title"))
+    # A scan has no more tasks than its files have row groups, however much text these hold.
+    spread = items.select("item_id", "title_text" if known else "title").repartition(_partitions(items), "item_id")
+    texts = spread.select("item_id", F.coalesce(normalized, F.lit("")).alias("title_text"))
     texts = offering(texts, "item_id", "title_text", index)
     found = containing_pairs(texts, "item_id", "title_text", index)
     # From here rows are a few numbers wide, so that the grouping is a hash aggregation with

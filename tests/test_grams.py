@@ -80,3 +80,33 @@ def test_titles_are_hashed_once(spark):
     assert "hashes(" not in plan and "_nfkc_batch" not in plan
     got = {(r.item_id, r.catalog_id, r.term) for r in hits.where("method is not null").collect()}
     assert got == {(1, 2, "Ocean 5"), (2, 2, "Ocean 5")}
+
+
+def test_titles_of_one_partition_are_hashed_in_many(spark, monkeypatch):
+    """A file with one row group is read by one task; normalizing and hashing do not stay there."""
+    catalog = spark.createDataFrame(
+        [(1, "Ocean 5 Special", None, None, None, None, None, None)],
+        "catalog_id BIGINT, name STRING, short_name STRING, aliases ARRAY<STRING>, unique_aliases ARRAY<STRING>, "
+        "ambiguous_aliases ARRAY<STRING>, resolving_keywords ARRAY<STRING>, exclude_terms ARRAY<STRING>",
+    )
+    items = spark.range(40).selectExpr("id AS item_id", "concat('no ', id, ' Ocean 5 Special') AS title").coalesce(1)
+    index, offering, seen = M.index_catalog(catalog), M.offering, []
+
+    def spied(texts, *others):
+        seen.append(texts.select("item_id").rdd.getNumPartitions())
+        return offering(texts, *others)
+
+    monkeypatch.setattr(M, "offering", spied)
+    assert M.title_hits(items, index).where("method = 'exact_name'").count() == 40
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
+def test_short_terms_are_their_own_anchors(spark):
+    """Else a text that holds only a part of the term is a candidate, and is searched to its end."""
+    terms = ["a", "abcde", "abcdefg", "日本語の機種", "abcdefghijklm", "abcdefghijklmnop", "abcdefghijklmnopqrst"]
+    rows = spark.createDataFrame([*enumerate(terms)], "term_id BIGINT, term_text STRING")
+    got = {r.term_text: r.anchor for r in M.anchored(rows).collect()}
+    assert got.keys() == set(terms)
+    for term in terms:
+        grams_of = {int(grams.text_hashes([term[i : i + 16]], [min(16, len(term))])[0][0]) for i in range(max(1, len(term) - 15))}
+        assert got[term] in grams_of
