@@ -36,7 +36,7 @@ from risemeter.functions.text import (
     strip_text,
     utf16_length,
 )
-from risemeter.session import written
+from risemeter.session import spread, written
 
 GRAM_LENGTHS = list(range(1, 17))
 
@@ -149,10 +149,6 @@ def index_catalog(catalog: DataFrame, roles: tuple[str, ...] | None = None) -> C
     return CatalogIndex(terms, entries, written(listed_guards, "guards"), words, bits, held, sorted(r["n"] for r in facts))
 
 
-def _partitions(rows: DataFrame) -> int:
-    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def offering(texts: DataFrame, text_id: str, text: str, index: CatalogIndex) -> DataFrame:
     """(text_id, text, offered): each text with the hashes of its n-grams that may be anchors.
 
@@ -168,13 +164,12 @@ def containing_pairs(texts: DataFrame, text_id: str, text: str, index: CatalogIn
     the text once. Hashes and texts move by ``text_id``, once each, into all shuffle partitions: the work follows
     from the candidates and the lengths of the texts, not from the bytes by which Spark would merge partitions.
     """
-    parts = _partitions(texts)
-    hashes = texts.select(text_id, "offered").repartition(parts, text_id)
+    hashes = spread(texts.select(text_id, "offered"), text_id)
     known = hashes.select(text_id, F.explode("offered").alias("anchor")).where(index.offers(F.col("anchor")))
     terms = index.terms.where("is_guard") if guards else index.terms
     candidates = known.join(terms.select("anchor", "term_id", "term_text", "is_guard"), "anchor")
     listed = candidates.groupBy(text_id).agg(F.collect_list(F.struct("term_id", "is_guard", "term_text")).alias("_terms"))
-    checked = listed.join(texts.select(text_id, text).repartition(parts, text_id).hint("merge"), text_id)
+    checked = listed.join(spread(texts.select(text_id, text), text_id).hint("merge"), text_id)
     return checked.select(text_id, F.inline(F.filter("_terms", lambda t: F.contains(text, t.term_text)))).drop("term_text")
 
 
@@ -254,8 +249,8 @@ def title_hits(items: DataFrame, index: CatalogIndex) -> DataFrame:
     known = "title_text" in items.columns
     normalized = F.col("title_text") if known else normalize_text(F.col("title"))
     # A scan has no more tasks than its files have row groups, however much text these hold.
-    spread = items.select("item_id", "title_text" if known else "title").repartition(_partitions(items), "item_id")
-    texts = spread.select("item_id", F.coalesce(normalized, F.lit("")).alias("title_text"))
+    dealt = spread(items.select("item_id", "title_text" if known else "title"), "item_id")
+    texts = dealt.select("item_id", F.coalesce(normalized, F.lit("")).alias("title_text"))
     texts = offering(texts, "item_id", "title_text", index)
     found = containing_pairs(texts, "item_id", "title_text", index)
     # From here rows are a few numbers wide, so that the grouping is a hash aggregation with

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from risemeter.functions.dates import day_gap, days_between
 from risemeter.functions.numbers import delta_percent
+from risemeter.session import spread
 
 # Allowed distance in days of the baseline for each comparison period.
 PERIOD_WINDOWS = {1: (1, 3), 7: (5, 9), 30: (21, 39), 90: (60, 120)}
@@ -78,7 +79,8 @@ def period_comparisons(
     totals = rows.groupBy(key).agg(F.max("date").alias("_last"), raw_rows.cast("long").alias("_rows"))
     # No more rows than there are calendar days.
     near = rows.join(F.broadcast(days_needed(totals.select("_last"), periods)), "date", "left_semi")
-    days = near.join(totals, key).groupBy(key, "date", "_last", "_rows").agg(
+    # The last stage joins and groups by key: its tasks are not merged.
+    days = spread(near, key).join(totals, key).groupBy(key, "date", "_last", "_rows").agg(
         F.max(value).alias(value), F.count(F.lit(1)).alias("_same_day")
     )
     repeated = F.raise_error(F.concat(F.lit("several snapshots on one day of key "), F.col(key).cast("string")))

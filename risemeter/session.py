@@ -44,6 +44,15 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/risemeter/{name}-{uuid.uuid4().hex}"
 
 
+def spread(rows, *keys: str):
+    """``rows`` by ``keys`` in all shuffle partitions, for stages that hold several sorts or maps of their rows at a time.
+
+    Spark merges other shuffle partitions by their compressed bytes, up to 64 MB, which narrow rows unpack to many times that.
+    A count that is asked for stays, and with it the tasks of every join and grouping in the same stage.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def checkpointed(df, spark: SparkSession):
     """Cut the lineage of ``df`` through the shared checkpoint folder."""
     context = spark.sparkContext
