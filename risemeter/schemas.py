@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from risemeter.operators.tallies import repeated_values
+from risemeter.session import spread
 
 _LISTS = (
     "aliases ARRAY<STRING>, unique_aliases ARRAY<STRING>, ambiguous_aliases ARRAY<STRING>, "
@@ -58,7 +59,8 @@ def key_problems(tables: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for name, rows in tables.items():
         keys = UNIQUE_KEYS[name]
-        repeated = repeated_values(rows.dropna(subset=keys), keys)
+        # In the other order, as Spark leaves a repartition out where rows are partitioned in the same way.
+        repeated = repeated_values(spread(rows.dropna(subset=keys).select(*keys), *reversed(keys)), keys)
         parts.append(
             repeated.select(F.lit(name).alias("table"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"), "occurrences")
         )
