@@ -10,6 +10,7 @@ from risemeter.functions.judgments import REASON_LENGTH, answer_error, judgment_
 from risemeter.functions.numbers import round_half_up
 from risemeter.operators.links import first_by, without
 from risemeter.operators.predicates import EXCLUDED_METHOD, MANUAL_METHODS
+from risemeter.session import spread
 from risemeter.sources.sinks import mention_rows, rebuilt_mentions
 
 # Candidates per run, and confidence of links made by judgment or by hand.
@@ -148,7 +149,7 @@ class AppliedOverrides:
     @property
     def mentions(self) -> DataFrame:
         """All mentions of the touched items; they replace those stored for these items."""
-        return rebuilt_mentions(self.links.join(self.touched, "item_id", "left_semi"), self.items)
+        return rebuilt_mentions(spread(self.links, "item_id").join(self.touched, "item_id", "left_semi"), self.items)
 
 
 def apply_overrides(items: DataFrame, links: DataFrame, catalog: DataFrame, overrides: DataFrame) -> AppliedOverrides:
@@ -168,11 +169,12 @@ def apply_overrides(items: DataFrame, links: DataFrame, catalog: DataFrame, over
         F.when(is_link, "manual").otherwise(EXCLUDED_METHOD).alias("method"),
         F.when(is_link, F.lit(MANUAL_CONFIDENCE)).otherwise(F.lit(0)).alias("confidence"),
     )
-    kept = without(links.select("item_id", "catalog_id", "method", "confidence"), last, ["item_id", "catalog_id"])
+    stored = spread(links.select("item_id", "catalog_id", "method", "confidence"), "item_id", "catalog_id")
+    kept = without(stored, last, ["item_id", "catalog_id"])
     new_links = kept.unionByName(made)
     touched = last.select("item_id").distinct()
     states = (
-        new_links.join(touched, "item_id", "left_semi")
+        spread(new_links, "item_id").join(touched, "item_id", "left_semi")
         .groupBy("item_id")
         .agg(F.max(F.col("method") != EXCLUDED_METHOD).alias("_active"))
     )
