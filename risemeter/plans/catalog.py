@@ -12,6 +12,7 @@ from risemeter.operators.ranking import item_order, momentum_order, trending_ord
 from risemeter.operators.snapshots import DEFAULT_PERIOD
 from risemeter.operators.tallies import catalog_stats, catalog_summary, content_type_counts_once
 from risemeter.plans.items import item_trends
+from risemeter.session import written
 
 STAT_COLUMNS = ["total_views", "item_count", "recent_views", "recent_item_count", "entity_count"]
 
@@ -27,8 +28,7 @@ def catalog_buzz(catalog: DataFrame, links: DataFrame, items: DataFrame, item_da
     return with_defaults(listed, stats, "catalog_id", STAT_COLUMNS).orderBy(*momentum_order())
 
 
-def _shown_items(links: DataFrame, items: DataFrame, entities: DataFrame, item_daily: DataFrame, catalog_id: int) -> DataFrame:
-    chosen = catalog_items(links, items, entities, catalog_id)
+def _with_trends(chosen: DataFrame, item_daily: DataFrame) -> DataFrame:
     wanted = item_daily.join(chosen.select("item_id"), "item_id", "left_semi")
     trends = item_trends(wanted, DEFAULT_PERIOD).select("item_id", "is_ready", "delta", "delta_pct", "comparison_days", "status")
     return chosen.join(trends, "item_id", "left")
@@ -44,11 +44,16 @@ def catalog_detail(
     types: str | None = "standard",
     sort: str = "rising",
 ) -> DataFrame:
-    """Confirmed items of one entry with trend, tags and release bucket in the asked order."""
-    shown = of_types(_shown_items(links, items, entities, item_daily, catalog_id), types)
+    """Confirmed items of one entry with trend, tags and release bucket in the asked order.
+
+    The items of the entry are written once: counters, links and tags are looked up for them, by joins that follow
+    from their number, and not by sorting all tables in one stage.
+    """
+    chosen = written(of_types(catalog_items(links, items, entities, catalog_id), types), "detail-items")
+    shown = _with_trends(chosen, item_daily)
     shown = shown.withColumn("delta", F.coalesce("delta", F.lit(0))).withColumn("delta_pct", F.coalesce("delta_pct", F.lit(0.0)))
     release = catalog.where(F.col("catalog_id") == catalog_id).select("catalog_id", "release_date")
-    ids = shown.select("item_id")
+    ids = chosen.select("item_id")
     tags = catalog_tags(links.join(ids, "item_id", "left_semi"), items.join(ids, "item_id", "left_semi"), catalog)
     rows = (
         shown.join(release, "catalog_id", "left")
@@ -67,6 +72,6 @@ def catalog_detail_counts(links: DataFrame, items: DataFrame, entities: DataFram
 def catalog_detail_summary(
     links: DataFrame, items: DataFrame, entities: DataFrame, item_daily: DataFrame, catalog_id: int, now: Column
 ) -> DataFrame:
-    chosen = catalog_items(links, items, entities, catalog_id)
+    chosen = written(catalog_items(links, items, entities, catalog_id), "detail-items")
     wanted = item_daily.join(chosen.select("item_id"), "item_id", "left_semi")
     return catalog_summary(chosen, item_trends(wanted, DEFAULT_PERIOD), now)
