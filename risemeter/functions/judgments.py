@@ -52,14 +52,22 @@ def parse_judgments(responses: DataFrame, text: str = "response_text") -> DataFr
     ``candidateIndex`` and a ``confidence`` in 0..1; other elements are dropped. Variant
     access keeps the written JSON type, so the string "0.9" is not taken for a number.
     """
-    elements = responses.withColumn("_parsed", F.try_parse_json(_array_text(F.col(text)))).where(
-        F.schema_of_variant("_parsed").startswith("ARRAY")
+    # A text from "[" to "]" parses to an array or to NULL, which has no elements. The typed fields are made as the elements are
+    # cut, once each; columns that a filter reads as well would be made again for each of its uses.
+    elements = F.try_variant_get(F.try_parse_json(_array_text(F.col(text))), "$", "array<variant>")
+    typed = F.transform(
+        elements,
+        lambda v: F.struct(
+            v.alias("_item"),
+            _typed(v, "candidateIndex", _NUMBER, "double").alias("_index"),
+            _typed(v, "machineId", _NUMBER, "double").cast("long").alias("judged_catalog_id"),
+            _typed(v, "confidence", _NUMBER, "double").alias("confidence"),
+        ),
     )
-    items = elements.select(
-        *responses.columns, F.posexplode(F.try_variant_get("_parsed", "$", "array<variant>")).alias("element", "_item")
+    items = responses.select(*responses.columns, F.posexplode(typed).alias("element", "_typed")).select(
+        *responses.columns, "element", "_typed.*"
     )
     value = F.col("_item")
-    index = _typed(value, "candidateIndex", _NUMBER, "double")
     terms = F.try_variant_get(value, "$.matchedTerms", "array<variant>")
     strings = F.transform(
         F.filter(F.coalesce(terms, F.array().cast("array<variant>")), lambda t: F.schema_of_variant(t) == "STRING"),
@@ -67,9 +75,6 @@ def parse_judgments(responses: DataFrame, text: str = "response_text") -> DataFr
     )
     parsed = items.select(
         "*",
-        index.alias("_index"),
-        _typed(value, "machineId", _NUMBER, "double").cast("long").alias("judged_catalog_id"),
-        _typed(value, "confidence", _NUMBER, "double").alias("confidence"),
         F.coalesce(
             F.substring(_typed(value, "reason", "^STRING$", "string"), 1, REASON_LENGTH), F.lit("")
         ).alias("reason"),

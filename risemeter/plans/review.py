@@ -62,9 +62,9 @@ def apply_judgments(candidates: DataFrame, responses: DataFrame, items: DataFram
     again. Batches without a response row were not answered, such as those behind an exhausted quota,
     and candidates that a readable answer passes over get no judgment; both are only counted.
     """
-    parsed = first_by(parse_judgments(responses), ["batch_id", "candidate_index"], F.struct("element")).drop(
-        "response_text"
-    )
+    # The whole answer would travel with each of its elements, as the struct of a grouped minimum is not pruned.
+    answered = parse_judgments(responses).drop("response_text")
+    parsed = first_by(answered, ["batch_id", "candidate_index"], F.struct("element"))
     joined = candidates.join(parsed, ["batch_id", "candidate_index"], "left")
     judged = joined.where(F.col("confidence").isNotNull()).select(
         "batch_id", "candidate_index", "item_id", "catalog_id", "judged_catalog_id",

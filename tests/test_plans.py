@@ -447,3 +447,17 @@ def test_raw_snapshots_count_once_a_day(spark, rows):
     raw = spark.createDataFrame(cast, "item_id BIGINT, date STRING, view_count BIGINT, collected_at TIMESTAMP")
     trends = I.item_trends(raw.withColumn("date", F.to_date("date")), 7)
     assert rows(trends, "item_id", "delta", "comparison_days") == [(1, 30, 7)]
+
+
+def test_answers_are_typed_once_and_stay_behind(spark):
+    """A field is read from an element for its type and its value, not again for every use; the answer does not travel with its elements."""
+    sent = spark.createDataFrame([(1, 0, 7, 70), (1, 1, 8, 80), (2, 0, 9, 90)], "batch_id BIGINT, candidate_index BIGINT, item_id BIGINT, catalog_id BIGINT")
+    answer = '[{"candidateIndex": 0, "machineId": 70, "confidence": 0.95}, {"candidateIndex": 1, "confidence": "0.9"}, {"candidateIndex": 1, "confidence": 0.8}, 5]'
+    responses = spark.createDataFrame([(1, answer), (2, '{"a": 1}'), (3, "[]"), (4, None)], "batch_id BIGINT, response_text STRING")
+    items = spark.createDataFrame([(7, "pending"), (8, "pending")], "item_id BIGINT, match_status STRING")
+    links = spark.createDataFrame([], "item_id BIGINT, catalog_id BIGINT")
+    summary = R.apply_judgments(sent, responses, items, links).summary
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.candidateIndex") == 2 and plan.count("$.confidence") == 2
+    assert not any("min_by" in line and "response_text" in line for line in plan.splitlines())
+    assert [tuple(r) for r in summary.collect()] == [(3, 1, 1, 0, 1)]
