@@ -11,7 +11,7 @@ pairs are then verified on the full text.
 * Texts only offer lengths that occur among the anchors.
 * A bit table of all anchors, of bounded size, travels as one column value. N-grams that are no
   anchor fall at it where they are made, before anything moves, whatever the size of the catalog.
-* N-grams are made as 64-bit hashes by one rolling pass (``functions/grams.py``) and travel without the text. Texts move
+* N-grams are made as 64-bit hashes by one rolling pass (``functions/grams.py``) and travel with a place each, without the text. Texts move
   by item before they are normalized and hashed, as one file may hold them in a single row group, are written, move once
   more, by item, and are read for the check of all their candidates at a time.
 * Exclusions and resolving keywords are terms like others, so that no text is looked up again.
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from risemeter.functions.grams import gram_hashes, whole_hash
+from risemeter.functions.grams import whole_hash, with_gram_hashes
 from risemeter.functions.text import (
     is_safe_term,
     is_safe_token,
@@ -41,7 +41,7 @@ from risemeter.session import spread, written
 GRAM_LENGTHS = list(range(1, 17))
 
 # The bit table has about so many bits per anchor, and at most so many bits (2 MB).
-BITS_PER_ANCHOR, MOST_BITS = 256, 1 << 24
+BITS_PER_ANCHOR, MOST_BITS = 1024, 1 << 24
 
 ROLES = ("name", "alias", "ambiguous", "weak")
 MATCHING_ROLES = ("name", "alias", "ambiguous")
@@ -65,7 +65,8 @@ def _length_class(length: Column) -> Column:
 
 
 def anchored(texts: DataFrame) -> DataFrame:
-    """Add ``anchor``: the hash of the rarest n-gram of each ``term_text``, at its ``anchor_length``. Texts are distinct."""
+    """Add ``anchor``: the hash of the rarest n-gram of each ``term_text``, at its ``anchor_length``, and ``anchor_at``, the byte of the
+    term at which it begins. Texts are distinct."""
     sized = texts.withColumn("anchor_length", _length_class(F.length("term_text")))
     own = _own_grams(F.col("term_text"), F.col("anchor_length"))
     grams = sized.select("term_id", "anchor_length", F.explode(F.array_distinct(own)).alias("_gram"))
@@ -73,7 +74,8 @@ def anchored(texts: DataFrame) -> DataFrame:
     anchors = grams.join(usage, "_gram").groupBy("term_id", "anchor_length").agg(
         F.min_by("_gram", F.struct("_uses", "_gram")).alias("_gram")
     )
-    return texts.join(anchors.withColumn("anchor", whole_hash(F.col("_gram"))).drop("_gram"), "term_id")
+    named = texts.join(anchors.withColumn("anchor", whole_hash(F.col("_gram"))), "term_id")
+    return named.withColumn("anchor_at", F.octet_length(F.call_function("substring_index", F.col("term_text"), F.col("_gram"), F.lit(1)))).drop("_gram")
 
 
 def anchor_bits(terms: DataFrame, anchors: int) -> tuple[DataFrame, int]:
@@ -93,7 +95,7 @@ def anchor_bits(terms: DataFrame, anchors: int) -> tuple[DataFrame, int]:
 class CatalogIndex:
     """The term side of the join, written once and read by every use.
 
-    ``terms`` has term_id, term_text, is_guard, anchor, one row per distinct text. ``entries`` has
+    ``terms`` has term_id, term_text, is_guard, anchor, anchor_at, one row per distinct text. ``entries`` has
     term_id, catalog_id, role, rank, term, confirms, guarded, one row per entry and term. ``guards`` has
     catalog_id and the term ids of its exclusions and resolvers, for entries that have any.
     ``covers`` has (longer_id, term_id) for each term inside a longer one.
@@ -150,11 +152,11 @@ def index_catalog(catalog: DataFrame, roles: tuple[str, ...] | None = None) -> C
 
 
 def offering(texts: DataFrame, text_id: str, text: str, index: CatalogIndex) -> DataFrame:
-    """(text_id, text, offered): each text with the hashes of its n-grams that may be anchors.
+    """(text_id, text, offered, places): each text with the hashes and places of its n-grams that may be anchors.
 
     Written, as it is read for the n-grams and for the check: a plan that holds the hashing twice does it twice.
     """
-    return written(texts.withColumn("offered", gram_hashes(F.col(text), index.lengths, index.held)), "offered")
+    return written(with_gram_hashes(texts, text, index.lengths, index.held), "offered")
 
 
 def containing_pairs(texts: DataFrame, text_id: str, text: str, index: CatalogIndex, guards: bool = False) -> DataFrame:
@@ -163,14 +165,19 @@ def containing_pairs(texts: DataFrame, text_id: str, text: str, index: CatalogIn
     ``texts`` come from ``offering``. The terms that may lie in a text are gathered as one list, which meets
     the text once. Hashes and texts move by ``text_id``, once each, into all shuffle partitions: the work follows
     from the candidates and the lengths of the texts, not from the bytes by which Spark would merge partitions.
+    A candidate is compared with the bytes at the place of its anchor, and the text is searched only if they differ.
     """
-    hashes = spread(texts.select(text_id, "offered"), text_id)
-    known = hashes.select(text_id, F.explode("offered").alias("anchor")).where(index.offers(F.col("anchor")))
+    hashes = spread(texts.select(text_id, "offered", "places"), text_id)
+    known = hashes.select(text_id, F.inline(F.arrays_zip("offered", "places")).alias("anchor", "_place"))
     terms = index.terms.where("is_guard") if guards else index.terms
-    candidates = known.join(terms.select("anchor", "term_id", "term_text", "is_guard"), "anchor")
-    listed = candidates.groupBy(text_id).agg(F.collect_list(F.struct("term_id", "is_guard", "term_text")).alias("_terms"))
-    checked = listed.join(spread(texts.select(text_id, text), text_id).hint("merge"), text_id)
-    return checked.select(text_id, F.inline(F.filter("_terms", lambda t: F.contains(text, t.term_text)))).drop("term_text")
+    terms = terms.select("anchor", "anchor_at", "term_id", F.col("term_text").cast("binary").alias("_term"), "is_guard")
+    candidates = known.where(index.offers(F.col("anchor"))).join(terms, "anchor").withColumn("_at", F.col("_place") - F.col("anchor_at") + 1)
+    listed = candidates.groupBy(text_id).agg(F.collect_list(F.struct("term_id", "is_guard", "_term", "_at")).alias("_terms"))
+    whole = spread(texts.select(text_id, F.col(text).cast("binary").alias("_whole")), text_id)
+    checked = listed.join(whole.hint("merge"), text_id).select(text_id, "_whole", F.inline("_terms"))
+    # Equal bytes anywhere are the term, so a place of another occurrence, text of a repeated id or n-gram of the same hash loses and adds nothing.
+    there = F.substr("_whole", F.col("_at"), F.octet_length("_term")) == F.col("_term")
+    return checked.where(there | F.contains("_whole", "_term")).select(text_id, "term_id", "is_guard")
 
 
 def covering_terms(index: CatalogIndex) -> DataFrame:

@@ -110,3 +110,36 @@ def test_short_terms_are_their_own_anchors(spark):
     for term in terms:
         grams_of = {int(grams.text_hashes([term[i : i + 16]], [min(16, len(term))])[0][0]) for i in range(max(1, len(term) - 15))}
         assert got[term] in grams_of
+
+
+@pytest.mark.parametrize("size", [1 << 16, 5])
+def test_places_are_bytes_at_which_the_ngrams_begin(size, monkeypatch):
+    """Also behind the cut of a slice and behind characters of two to four bytes, and with a bit table that is folded."""
+    monkeypatch.setattr(grams, "SLICE", size)
+    monkeypatch.setattr(grams, "FOLDED", 64)
+    random.seed(5)
+    texts = ["".join(random.choices("abé日𝒳 ", k=random.randint(0, 40))) for _ in range(40)] + ["", None, "a", "日"]
+    table = np.full(4, ~np.uint64(0))
+    for words in (None, table):
+        firsts, hashed, places = grams.text_places(texts, LENGTHS, words)
+        for k, text in enumerate(texts):
+            own, whole = naive(text or ""), (text or "").encode()
+            found = dict(zip(hashed[firsts[k] : firsts[k + 1]].tolist(), places[firsts[k] : firsts[k + 1]].tolist(), strict=True))
+            assert found.keys() == set(own.values())
+            assert all(whole[found[h] :].startswith(gram.encode()) for gram, h in own.items())
+
+
+def test_terms_are_found_where_their_anchor_is_not_first(spark):
+    """Long terms whose anchor occurs earlier without them, texts of repeated ids, terms behind characters of several bytes."""
+    catalog = spark.createDataFrame(
+        [(1, "x" * 20 + "abcdefgh", None, None, None, None, None, None), (2, "日本語の機種", None, None, None, None, None, None)],
+        "catalog_id BIGINT, name STRING, short_name STRING, aliases ARRAY<STRING>, unique_aliases ARRAY<STRING>, "
+        "ambiguous_aliases ARRAY<STRING>, resolving_keywords ARRAY<STRING>, exclude_terms ARRAY<STRING>",
+    )
+    term, part = "x" * 20 + "abcdefgh", "x" * 16
+    titles = [(1, f"{part}é{part}y日{term}"), (2, "xxxxxxxxabcdefgh"), (3, f"ééé𝒳日本語の機種{term}"), (4, "日本語の機"), (5, term), (5, "日本語の機種")]
+    items = spark.createDataFrame(titles, "item_id BIGINT, title STRING")
+    index = M.index_catalog(catalog, M.MATCHING_ROLES)
+    assert {r.anchor_at for r in index.terms.collect()} <= set(range(13))
+    got = {(r.item_id, r.catalog_id) for r in M.title_hits(items, index).where("method is not null").collect()}
+    assert got == {(1, 1), (3, 1), (3, 2), (5, 1), (5, 2)}
