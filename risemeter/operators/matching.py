@@ -168,7 +168,8 @@ def containing_pairs(texts: DataFrame, text_id: str, text: str, index: CatalogIn
     A candidate is compared with the bytes at the place of its anchor, and the text is searched only if they differ.
     """
     hashes = spread(texts.select(text_id, "offered", "places"), text_id)
-    known = hashes.select(text_id, F.inline(F.arrays_zip("offered", "places")).alias("anchor", "_place"))
+    zipped = hashes.select(text_id, F.explode(F.arrays_zip("offered", "places")).alias("_gram"))
+    known = zipped.select(text_id, F.col("_gram.offered").alias("anchor"), F.col("_gram.places").alias("_place"))
     terms = index.terms.where("is_guard") if guards else index.terms
     terms = terms.select("anchor", "anchor_at", "term_id", F.col("term_text").cast("binary").alias("_term"), "is_guard")
     candidates = known.where(index.offers(F.col("anchor"))).join(terms, "anchor").withColumn("_at", F.col("_place") - F.col("anchor_at") + 1)
