@@ -65,7 +65,8 @@ def apply_judgments(candidates: DataFrame, responses: DataFrame, items: DataFram
     # The whole answer would travel with each of its elements, as the struct of a grouped minimum is not pruned.
     answered = parse_judgments(responses).drop("response_text")
     parsed = first_by(answered, ["batch_id", "candidate_index"], F.struct("element"))
-    joined = candidates.join(parsed, ["batch_id", "candidate_index"], "left")
+    # Spark estimates exploded variants at a small part of their size, and would gather all answers in the driver to broadcast them.
+    joined = candidates.join(parsed.hint("merge"), ["batch_id", "candidate_index"], "left")
     judged = joined.where(F.col("confidence").isNotNull()).select(
         "batch_id", "candidate_index", "item_id", "catalog_id", "judged_catalog_id",
         judgment_key(F.col("item_id"), F.col("catalog_id")).alias("judgment_key"),

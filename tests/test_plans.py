@@ -461,3 +461,26 @@ def test_answers_are_typed_once_and_stay_behind(spark):
     assert plan.count("$.candidateIndex") == 2 and plan.count("$.confidence") == 2
     assert not any("min_by" in line and "response_text" in line for line in plan.splitlines())
     assert [tuple(r) for r in summary.collect()] == [(3, 1, 1, 0, 1)]
+
+
+def test_answers_are_not_gathered_by_an_estimate(spark, folder):
+    """Answers beyond the limit of a broadcast are sorted, though Spark estimates their elements at less than that."""
+    elements = "transform(sequence(0, 4), i -> to_json(named_struct('candidateIndex', i, 'machineId', id, 'confidence', 0.95, 'reason', sha2(string(id * 5 + i), 256))))"
+    spark.range(400).selectExpr("id AS batch_id", f"concat('[', concat_ws(',', {elements}), ']') AS response_text").write.parquet(f"{folder}/answers")
+    responses = spark.read.parquet(f"{folder}/answers")
+    limit = 30_000
+    assert responses._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > limit
+    sent = spark.range(2000).selectExpr("id div 5 AS batch_id", "id % 5 AS candidate_index", "id AS item_id", "id div 5 AS catalog_id")
+    items = spark.range(2000).selectExpr("id AS item_id", "'pending' AS match_status")
+    links = spark.createDataFrame([], "item_id BIGINT, catalog_id BIGINT")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(limit))
+    try:
+        done = R.apply_judgments(sent, responses, items, links)
+        for table in (done.judgments, done.summary):
+            table.collect()
+            assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString()
+        assert done.judgments.where("status = 'auto_linked' AND judged_catalog_id = catalog_id").count() == 2000
+        assert [tuple(r) for r in done.summary.collect()] == [(2000, 2000, 0, 0, 0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
