@@ -171,9 +171,11 @@ def containing_pairs(texts: DataFrame, text_id: str, text: str, index: CatalogIn
     zipped = hashes.select(text_id, F.explode(F.arrays_zip("offered", "places")).alias("_gram"))
     known = zipped.select(text_id, F.col("_gram.offered").alias("anchor"), F.col("_gram.places").alias("_place"))
     terms = index.terms.where("is_guard") if guards else index.terms
-    terms = terms.select("anchor", "anchor_at", "term_id", F.col("term_text").cast("binary").alias("_term"), "is_guard")
+    terms = terms.select("anchor", "anchor_at", "term_id", "term_text", "is_guard")
     candidates = known.where(index.offers(F.col("anchor"))).join(terms, "anchor").withColumn("_at", F.col("_place") - F.col("anchor_at") + 1)
-    listed = candidates.groupBy(text_id).agg(F.collect_list(F.struct("term_id", "is_guard", "_term", "_at")).alias("_terms"))
+    # Terms become bytes behind the join: Spark takes bytes for five times as wide as text, and would rather broadcast the n-grams.
+    candidate = F.struct("term_id", "is_guard", F.col("term_text").cast("binary").alias("_term"), "_at")
+    listed = candidates.groupBy(text_id).agg(F.collect_list(candidate).alias("_terms"))
     whole = spread(texts.select(text_id, F.col(text).cast("binary").alias("_whole")), text_id)
     checked = listed.join(whole.hint("merge"), text_id).select(text_id, "_whole", F.inline("_terms"))
     # Equal bytes anywhere are the term, so a place of another occurrence, text of a repeated id or n-gram of the same hash loses and adds nothing.
